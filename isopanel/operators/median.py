@@ -2,29 +2,34 @@
 
 ``percentile`` keeps a map of all distinct values of a group in the memory of one task. That is right for small
 groups and wrong when one year or one place holds a third of all rows. Here the rows are first reduced to
-``(group, value) -> count``, which spreads a hot group over all tasks, and then the neighbourhood of the middle
-is narrowed down with histograms whose size does not depend on the data:
-
-1. a slab number that grows with the value (4,096 slabs per power of two) gives a histogram per group; its
-   running sum names the one or two slabs that hold the middle rows;
-2. only the values of those slabs are kept, and the same is done inside them with 2**20 equal steps;
-3. what is left, at most about a million distinct values in the worst case and usually a handful, is ranked.
-
-Any slab function that never decreases with the value gives exact results, as all values of a lower slab lie
-below all values of a higher one.
+``(group, value) -> count``, which spreads a hot group over all tasks, and the neighbourhood of the middle is then
+narrowed down:
+
+1. a slab number that grows with the value (2**20 slabs per power of two) gives a histogram per group, whose size
+   depends on the range of the values and not on the number of rows; its running sum names the one or two slabs
+   that hold the middle rows;
+2. the values of those slabs alone are sorted, slab by slab, and counted up to the middle. The sort spills to disk
+   and holds no state per value.
+
+Any slab function that never decreases with the value gives exact results, as all values of a lower slab lie below
+all values of a higher one. Values that agree in their first 20 bits share a slab; where a group has very many of
+them, ``levels=2`` splits the slab again by 2**20 equal steps, and ``levels=3`` leaves at most a few values per step
+for any doubles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLABS_PER_OCTAVE = 4096
+SLABS_PER_OCTAVE = 1 << 20
 FINE_STEPS = 1 << 20
 
 _OCTAVE_SHIFT = 1100  # above 1074, the depth of the smallest double, so that slab numbers of positives are > 0
+_BEYOND = 1 << 50
 _INF = float("inf")
 
 
@@ -41,6 +46,7 @@ def exact_median(
     value: str = "value",
     output: str = "median",
     weight: str | None = None,
+    levels: int = 1,
 ) -> DataFrame:
     """Median of ``value`` per group; the mean of the middle two when the number of rows is even.
 
@@ -57,39 +63,16 @@ def exact_median(
             .agg(F.sum(weight).alias("_n"))
         )
 
-    coarse = counts.withColumn("_slab", _coarse_slab(F.col("_v")))
-    histogram = _histogram(coarse, keys)
-    by_slab = Window.partitionBy(*keys).orderBy("_slab")
-    running = histogram.select(
-        "*",
-        F.coalesce(F.sum("_m").over(by_slab.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_below"),
-        F.sum("_m").over(Window.partitionBy(*keys)).alias("_total"),
-    )
-    slabs = running.where(_holds_middle(F.col("_below"), F.col("_m"), F.col("_total")))
-    near = coarse.join(slabs.select(*keys, "_slab", "_lo", "_hi", "_below", "_total"), [*keys, "_slab"])
-
-    fine = near.withColumn("_step", _fine_step(F.col("_v"), F.col("_lo"), F.col("_hi")))
-    steps = fine.groupBy(*keys, "_slab", "_step").agg(
-        F.sum("_n").alias("_m"), F.first("_below").alias("_base"), F.first("_total").alias("_total")
-    )
-    by_step = Window.partitionBy(*keys, "_slab").orderBy("_step")
-    stepped = steps.withColumn(
-        "_below",
-        F.col("_base")
-        + F.coalesce(F.sum("_m").over(by_step.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-    )
-    middle_steps = stepped.where(_holds_middle(F.col("_below"), F.col("_m"), F.col("_total")))
-    last = fine.select(*keys, "_slab", "_step", "_v", "_n").join(
-        middle_steps.select(*keys, "_slab", "_step", "_below", "_total"), [*keys, "_slab", "_step"]
-    )
+    group = [*keys, "_slab1"]
+    near = _narrow(counts.withColumn("_slab1", _coarse_slab(F.col("_v"))), keys, "_slab1")
+    for level in range(2, levels + 1):
+        slab = f"_slab{level}"
+        near = _narrow(near.withColumn(slab, _fine_step(F.col("_v"), F.col("_lo"), F.col("_hi"))), group, slab)
+        group = [*group, slab]
 
-    by_value = Window.partitionBy(*keys, "_slab", "_step").orderBy("_v")
-    ranked = last.withColumn(
-        "_before",
-        F.col("_below")
-        + F.coalesce(F.sum("_n").over(by_value.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-    )
-    middle = ranked.where(_holds_middle(F.col("_before"), F.col("_n"), F.col("_total")))
+    by_value = Window.partitionBy(*group).orderBy("_v")
+    before = F.col("_below") + _running("_n", by_value)
+    middle = near.withColumn("_before", before).where(_holds_middle(F.col("_before"), F.col("_n")))
     # One or two values per group are left. Halving the sum, not summing the halves, is how a mean of two is taken.
     return middle.groupBy(*keys).agg(((F.min("_v") + F.max("_v")) / 2).alias(output))
 
@@ -99,27 +82,47 @@ def small_group_median(value: str | Column) -> Column:
     return F.percentile(value, F.lit(0.5))
 
 
-def _histogram(coarse: DataFrame, keys: list[str]) -> DataFrame:
-    return coarse.groupBy(*keys, "_slab").agg(
-        F.sum("_n").alias("_m"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
+def _narrow(rows: DataFrame, group: list[str], slab: str) -> DataFrame:
+    """The rows in those slabs of each group that hold its middle rows.
+
+    They carry the number of rows below their slab, the size of the whole group and the limits of the slab.
+    """
+    again = "_below" in rows.columns
+    carried = [F.first(name).alias(name) for name in ("_below", "_total")] if again else []
+    histogram = rows.groupBy(*group, slab).agg(
+        F.sum("_n").alias("_m"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), *carried
     )
+    below = _running("_m", Window.partitionBy(*group).orderBy(slab))
+    total = F.sum("_m").over(Window.partitionBy(*group))
+    placed = histogram.withColumns(
+        {
+            "_below": F.col("_below") + below if again else below,
+            "_total": F.col("_total") if again else total,
+        }
+    )
+    slabs = placed.where(_holds_middle(F.col("_below"), F.col("_m")))
+    bare = rows.drop("_below", "_total", "_lo", "_hi")
+    return bare.join(slabs.drop("_m"), [*group, slab])
+
+
+def _running(count: str, window) -> Column:
+    return F.coalesce(F.sum(count).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
-def _holds_middle(before: Column, size: Column, total: Column) -> Column:
-    """True when rows ``before+1 .. before+size`` include one of the two middle rows of ``total``."""
+def _holds_middle(before: Column, size: Column) -> Column:
+    """True when rows ``before+1 .. before+size`` include one of the two middle rows of ``_total``."""
+    total = F.col("_total")
     lower = F.floor((total + 1) / 2)
     upper = F.floor(total / 2) + 1
     return (before < upper) & (before + size >= lower)
 
 
 def _coarse_slab(v: Column) -> Column:
-    size = F.abs(v)
-    depth = F.floor((F.log2(size) + F.lit(_OCTAVE_SHIFT)) * F.lit(float(SLABS_PER_OCTAVE))).cast("bigint")
-    beyond = F.lit(1 << 40)
+    depth = F.floor((F.log2(F.abs(v)) + F.lit(_OCTAVE_SHIFT)) * F.lit(float(SLABS_PER_OCTAVE))).cast("bigint")
     slab = (
         F.when(v == 0, F.lit(0).cast("bigint"))
-        .when(v == F.lit(_INF), beyond)
-        .when(v == F.lit(-_INF), -beyond)
+        .when(v == F.lit(_INF), F.lit(_BEYOND))
+        .when(v == F.lit(-_INF), F.lit(-_BEYOND))
         .when(v > 0, depth)
         .otherwise(-depth)
     )
@@ -138,7 +141,4 @@ def _never_null(x: Column) -> Column:
 
 
 def _all(conditions: Sequence[Column]) -> Column:
-    joined = F.lit(True)
-    for condition in conditions:
-        joined = joined & condition
-    return joined
+    return reduce(lambda a, b: a & b, conditions, F.lit(True))

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import fixed_text
+from ..functions.numeric import fixed_text, round_exact
 from ..functions.text import fill, sentences
 from .compare import IN_LINE
 
@@ -114,6 +114,15 @@ FLOW_NOTE = "**{leader}** leads {target} supply."
 FLOW_NO_NOTE = "No significant {target} generation."
 
 
+# Sums of doubles vary in their last digits with the order of the rows. Computed figures lose those digits before
+# they are turned into text, so that a figure halfway between two texts gives the same one in every run.
+STABLE_DIGITS = 6
+
+
+def _figure_text(value: Column | str, digits: int = 2) -> Column:
+    return fixed_text(round_exact(value, STABLE_DIGITS), digits)
+
+
 def _text(column: Column | str) -> Column:
     return (F.col(column) if isinstance(column, str) else column).cast("string")
 
@@ -148,16 +157,16 @@ def insight_indicator(facts: DataFrame, text: str = "text") -> DataFrame:
     own = fill(
         TREND, first_year=_text("first_year"), last_year=_text("last_year"), country=country, label=label,
         direction=direction("slope_per_decade"), rate=fixed_text(F.abs(F.col("slope_per_decade")), 2), unit=unit,
-        fitted_first=fixed_text("fitted_first", 2), fitted_last=fixed_text("fitted_last", 2),
+        fitted_first=_figure_text("fitted_first"), fitted_last=_figure_text("fitted_last"),
     )
     gap = F.abs(value - median)
     in_line = fill(MEDIAN_IN_LINE, median=fixed_text(median, 2), unit=unit)
     off = fill(
-        MEDIAN_OFF, gap=fixed_text(gap, 2), unit=unit, median=fixed_text(median, 2),
+        MEDIAN_OFF, gap=_figure_text(gap), unit=unit, median=fixed_text(median, 2),
         relation=F.when(value > median, "above").otherwise("below"),
     )
     versus = fill(
-        COMPARE, compare="compare", gap=fixed_text(F.abs(value - other), 2), unit=unit, country=country,
+        COMPARE, compare="compare", gap=_figure_text(F.abs(value - other)), unit=unit, country=country,
         relation=F.when(value > other, "higher than").when(value < other, "lower than").otherwise("the same as"),
         direction=direction("compare_slope"),
     )
@@ -252,7 +261,7 @@ def insight_power_mix(countries: DataFrame, mix: DataFrame) -> DataFrame:
     """Leading source and total of the latest year."""
     text = fill(
         MIX, year=_text("latest_year"), country="country", leader=F.lower("leader"),
-        leader_value=fixed_text("leader_value", 1), total=fixed_text("total", 1),
+        leader_value=fixed_text("leader_value", 1), total=_figure_text("total", 1),
     )
     missing = fill(NO_MIX, country="country")
     return countries.join(mix, "country", "left").select("country", F.coalesce(text, missing).alias("text"))
@@ -276,7 +285,7 @@ def insight_flow(countries: DataFrame, leaders: DataFrame, targets: Sequence[str
         )
         for n, t in enumerate(targets)
     ]
-    total = fill(FLOW_TOTAL, country="country", total=fixed_text("total", 1))
+    total = fill(FLOW_TOTAL, country="country", total=_figure_text("total", 1))
     text = F.when(F.col("total").isNull(), fill(NO_FLOW, country="country")).otherwise(sentences(total, *notes))
     return joined.select("country", text.alias("text"))
 
@@ -284,9 +293,9 @@ def insight_flow(countries: DataFrame, leaders: DataFrame, targets: Sequence[str
 def window_phrase(prefix: str = "") -> Column:
     """Phrase for the result of ``window_trend``, whose columns may carry a prefix."""
     figures = {
-        "overall": fixed_text(prefix + "overall", 2),
-        "start": fixed_text(prefix + "start_figure", 2),
-        "end": fixed_text(prefix + "end_figure", 2),
+        "overall": _figure_text(prefix + "overall"),
+        "start": _figure_text(prefix + "start_figure"),
+        "end": _figure_text(prefix + "end_figure"),
         "unit": "unit",
     }
     trend = F.col(prefix + "trend")
@@ -331,7 +340,7 @@ def insight_tail_risk_overview(extent: DataFrame, counts: DataFrame, labels: Dat
     keys = ["country", "indicator"]
     text = fill(
         RISK_OVERVIEW, country="country", label="label", first_year=_text("first_year"),
-        last_year=_text("last_year"), threshold=fixed_text("threshold", 2), unit="unit", count=_text("n_extremes"),
+        last_year=_text("last_year"), threshold=_figure_text("threshold"), unit="unit", count=_text("n_extremes"),
         max_value=fixed_text("max_value", 2), max_year=_text("max_year"), min_value=fixed_text("min_value", 2),
         min_year=_text("min_year"),
     )
@@ -342,7 +351,7 @@ def insight_mix_growth(growth: DataFrame, mix: DataFrame) -> DataFrame:
     """Growth or contraction between first and last year, and the leading source."""
     text = fill(
         MIX_OVERVIEW, country="country", start_year=_text("start_year"), latest_year=_text("latest_year"),
-        status="status", total=fixed_text("total", 1), leader="leader", leader_value=fixed_text("leader_value", 1),
+        status="status", total=_figure_text("total", 1), leader="leader", leader_value=fixed_text("leader_value", 1),
     )
     leaders = mix.select("country", "leader", "leader_value", "total")
     return growth.join(leaders, "country").select("country", text.alias("text"))
@@ -360,6 +369,6 @@ def insight_flow_overview(
     ]
     text = fill(
         FLOW_OVERVIEW, country="country", first_year=_text("first_year"), last_year=_text("last_year"),
-        total=fixed_text("total", 1), notes=sentences(*notes),
+        total=_figure_text("total", 1), notes=sentences(*notes),
     )
     return _by_target(leaders, targets).join(years, "country").select("country", text.alias("text"))

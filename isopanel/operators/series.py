@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import first_by, round_exact
-from ..sources.catalog import Catalog
 from .median import exact_median, small_group_median, value_counts
 
 KEYS = ("country", "indicator")
@@ -45,14 +44,14 @@ def annual_series(
     return figures if digits is None else figures.withColumn(output, round_exact(output, digits))
 
 
-def annual_panel(panel: DataFrame, catalog: Catalog, weight: str | None = None, digits: int | None = 3) -> DataFrame:
-    """Annual series of all indicators, each with the aggregate that the catalogue names for it."""
-    parts = [
-        annual_series(panel.where(F.col("indicator").isin(catalog.names(agg))), agg, weight=weight, digits=digits)
-        for agg in ("median", "sum")
-        if catalog.names(agg)
-    ]
-    return reduce(DataFrame.union, parts)
+def annual_panel(panels: Mapping[str, DataFrame], weight: str | None = None, digits: int | None = 3) -> DataFrame:
+    """Annual series of all indicators. ``panels`` holds, by aggregate, the rows of the indicators it applies to.
+
+    Taking them apart by a filter on the indicator instead would put a different filter below each use of the
+    panel and read it once per aggregate.
+    """
+    parts = [annual_series(panel, agg, weight=weight, digits=digits) for agg, panel in panels.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def regional_median(panel: DataFrame, weight: str | None = None, digits: int = 3) -> DataFrame:

@@ -7,34 +7,27 @@ from pyspark.sql import functions as F
 from ..functions.numeric import round_exact
 from ..operators import breakdown as b
 from ..operators import flows as fl
+from ..sinks.tables import store
 from ..sources import observations as o
 from .oracle import r, with_
 from .registry import query
 from .testbed import YEARS, Testbed
 
 
-def product_cells(t: Testbed):
-    return b.member_annual(t.products, "median")
-
-
-def source_cells(t: Testbed):
-    return b.member_annual(t.power_sources, "sum")
-
-
 @query("product_annual_median", with_("product_cells") + "SELECT * FROM product_cells")
 def product_annual_median(t: Testbed):
-    return product_cells(t)
+    return t.product_cells
 
 
 @query("source_annual_sum", with_("source_cells") + "SELECT * FROM source_cells")
 def source_annual_sum(t: Testbed):
-    return source_cells(t)
+    return t.source_cells
 
 
 @query("product_median_of_years", with_("product_cells") + f"""
 SELECT country, member, {r('median(value)', 4)} AS median FROM product_cells GROUP BY country, member""")
 def product_median_of_years(t: Testbed):
-    return b.rounded(b.median_of_years(product_cells(t)), 4, "median")
+    return b.rounded(b.median_of_years(t.product_cells), 4, "median")
 
 
 @query("product_median_raw", with_("products") + """
@@ -60,19 +53,19 @@ _RAW_MEDIANS = """
 @query("rank_products_top", with_("product_cells") + _MEDIANS + f"""
 SELECT country, side, rank, member, {r('median', 4)} AS median FROM ({_ranked_sql('top', 'medians')})""")
 def rank_products_top(t: Testbed):
-    return b.rounded(b.rank_members(b.median_of_years(product_cells(t)), "top"), 4, "median")
+    return b.rounded(b.rank_members(b.median_of_years(t.product_cells), "top"), 4, "median")
 
 
 @query("rank_products_bottom", with_("product_cells") + _MEDIANS + f"""
 SELECT country, side, rank, member, {r('median', 4)} AS median FROM ({_ranked_sql('bottom', 'medians')})""")
 def rank_products_bottom(t: Testbed):
-    return b.rounded(b.rank_members(b.median_of_years(product_cells(t)), "bottom"), 4, "median")
+    return b.rounded(b.rank_members(b.median_of_years(t.product_cells), "bottom"), 4, "median")
 
 
 @query("rank_products_raw", with_("products") + _RAW_MEDIANS + f"""
 {_ranked_sql('top', 'medians')} UNION ALL {_ranked_sql('bottom', 'medians')}""")
 def rank_products_raw(t: Testbed):
-    medians = b.median_of_rows(t.products)
+    medians = store(b.median_of_rows(t.products), "medians")
     return b.rank_members(medians, "top").union(b.rank_members(medians, "bottom"))
 
 
@@ -80,7 +73,7 @@ def rank_products_raw(t: Testbed):
 SELECT country, member, {", ".join(f'max(CASE WHEN year = {y} THEN value END) AS "{y}"' for y in YEARS)}
 FROM source_cells GROUP BY country, member""")
 def heatmap_pivot(t: Testbed):
-    return b.heatmap_pivot(source_cells(t), YEARS)
+    return b.heatmap_pivot(t.source_cells, YEARS)
 
 
 @query("heatmap_dense", with_("product_cells") + """
@@ -89,13 +82,13 @@ FROM (SELECT DISTINCT country, member FROM product_cells)
 JOIN (SELECT DISTINCT country, year FROM product_cells) USING (country)
 LEFT JOIN product_cells c USING (country, member, year)""")
 def heatmap_dense(t: Testbed):
-    return b.heatmap_dense(product_cells(t))
+    return b.heatmap_dense(t.stored.product_cells)
 
 
 @query("latest_period", with_("source_cells") + """
 SELECT country, max(year) AS latest_year FROM source_cells GROUP BY country""")
 def latest_period(t: Testbed):
-    return b.latest_period(source_cells(t))
+    return b.latest_period(t.source_cells)
 
 
 LATEST_MIX = f"""
@@ -112,20 +105,20 @@ FROM (SELECT country, year, sum(value) AS total FROM source_cells GROUP BY count
 
 @query("latest_mix", with_("source_cells") + LATEST_MIX)
 def latest_mix(t: Testbed):
-    return b.rounded(b.latest_mix(source_cells(t)), 2, "total")
+    return b.rounded(b.latest_mix(t.source_cells), 2, "total")
 
 
 @query("mix_growth", with_("source_cells") + f"""
 SELECT country, start_year, latest_year, {r('start_total', 2)} AS start_total, {r('latest_total', 2)} AS latest_total,
        status FROM ({MIX_GROWTH})""")
 def mix_growth(t: Testbed):
-    growth = b.mix_growth(source_cells(t))
+    growth = b.mix_growth(t.source_cells)
     return growth.withColumns({name: round_exact(name, 2) for name in ("start_total", "latest_total")})
 
 
 @query("flow_links", with_("links") + "SELECT * FROM links")
 def flow_links(t: Testbed):
-    return fl.flow_links(t.flows)
+    return t.links
 
 
 @query("flow_links_with_subtotals", with_("power") + f"""
@@ -144,13 +137,13 @@ FROM links GROUP BY country, target"""
 
 @query("flow_leaders", with_("links") + FLOW_LEADERS)
 def flow_leaders(t: Testbed):
-    return b.rounded(fl.flow_leaders(fl.flow_links(t.flows)), 2, "target_total")
+    return b.rounded(fl.flow_leaders(t.links), 2, "target_total")
 
 
 @query("flow_nodes", with_("links") + """
 SELECT country, source AS label FROM links UNION SELECT country, target FROM links""")
 def flow_nodes(t: Testbed):
-    return fl.flow_nodes(fl.flow_links(t.flows))
+    return fl.flow_nodes(t.links)
 
 
 _NODES = """
@@ -170,9 +163,9 @@ SELECT l.country, s.idx AS source_idx, t.idx AS target_idx, l.value
 FROM links l JOIN nodes s ON s.country = l.country AND s.label = l.source
 JOIN nodes t ON t.country = l.country AND t.label = l.target""")
 def flow_indexed(t: Testbed):
-    return fl.flow_indexed(fl.flow_links(t.flows))
+    return fl.flow_indexed(t.stored.links)
 
 
 @query("flow_index_nodes", with_("links") + _NODES + "SELECT country, idx, label FROM nodes")
 def flow_index_nodes(t: Testbed):
-    return fl.flow_index_nodes(fl.flow_links(t.flows))
+    return fl.flow_index_nodes(t.links)

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import round_exact
 from ..operators import compare as cmp
+from ..sinks.tables import work_dir
 from ..sources import catalog as c
 from ..sources import countries as geo
 from ..sources import observations as o
 from .oracle import MISSING, f, number, r, with_, year
 from .registry import query
-from .testbed import CATALOG, Testbed, work_dir
+from .testbed import CATALOG, Testbed
 
 SHORT = {
     c.PERIOD_COLUMN: "period",

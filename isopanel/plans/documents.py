@@ -8,25 +8,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import compare as cmp
-from ..operators import flows as fl
 from ..operators import risk as rk
 from ..sinks import documents as d
-from .breakdown import product_cells, source_cells
+from ..sinks.tables import work_dir
 from .oracle import with_
 from .registry import query
-from .testbed import Testbed, work_dir
+from .testbed import Testbed
 
 
 def _document(t: Testbed) -> DataFrame:
+    t = t.stored
     return d.country_document(t.dim, t.aligned, t.trend, t.labels)
 
 
 def _enriched(t: Testbed, document: DataFrame) -> DataFrame:
+    t = t.stored
     return d.enriched_document(
         document,
-        product_cells(t).withColumn("indicator", F.lit("crop_yield")),
-        source_cells(t),
-        fl.flow_links(t.flows),
+        t.product_cells.withColumn("indicator", F.lit("crop_yield")),
+        t.source_cells,
+        t.links,
         rk.tail_risk_stats(t.monthly),
         rk.tail_risk_extremes(t.monthly),
         t.monthly,
@@ -157,6 +158,7 @@ FROM trend JOIN (
     FROM aligned GROUP BY country, indicator
 ) USING (country, indicator)""")
 def flagship(t: Testbed):
+    t = t.stored
     latest = cmp.latest_vs_median(t.aligned).select(
         "country", "indicator", F.col("year").alias("last_year"), F.col("value").alias("last_value"),
         F.col("regional_median").alias("last_median"),

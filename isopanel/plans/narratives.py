@@ -12,8 +12,8 @@ from ..operators import risk as rk
 from ..operators import series as s
 from ..operators import trend as tr
 from ..sources import observations as o
-from .breakdown import FLOW_LEADERS, LATEST_MIX, MIX_GROWTH, product_cells, source_cells
-from .oracle import f, with_
+from .breakdown import FLOW_LEADERS, LATEST_MIX, MIX_GROWTH
+from .oracle import f, r, with_
 from .registry import query
 from .series import window_sql
 from .testbed import WINDOW_THRESHOLD, Testbed
@@ -37,13 +37,13 @@ _INSIGHTS = f"""
         ELSE concat_ws(' ',
             'From ' || first_year || ' to ' || last_year || ', ' || country || '''s ' || lower(label) || ' has '
             || {_WORD.format('slope')} || ' at a rate of ' || {f('abs(slope)', 2)} || unit || ' per decade, from roughly '
-            || {f('fitted_first', 2)} || unit || ' to ' || {f('fitted_last', 2)} || unit || ' along that trend.',
+            || {f(r('fitted_first', 6), 2)} || unit || ' to ' || {f(r('fitted_last', 6), 2)} || unit || ' along that trend.',
             CASE WHEN abs(value - med) < 1e-6
                 THEN 'That''s in line with the regional median of ' || {f('med', 2)} || unit || '.'
-                ELSE 'That''s ' || {f('abs(value - med)', 2)} || unit
+                ELSE 'That''s ' || {f(r('abs(value - med)', 6), 2)} || unit
                      || CASE WHEN value > med THEN ' above' ELSE ' below' END
                      || ' the regional median (' || {f('med', 2)} || unit || ').' END,
-            'By comparison, ' || compare || '''s most recent value is ' || {f('abs(value - other)', 2)} || unit
+            'By comparison, ' || compare || '''s most recent value is ' || {f(r('abs(value - other)', 6), 2)} || unit
             || CASE WHEN value > other THEN ' higher than ' WHEN value < other THEN ' lower than '
                     ELSE ' the same as ' END || country || '''s, and has ' || {_WORD.format('other_slope')}
             || ' over its own recorded period.') END AS text
@@ -53,6 +53,7 @@ _INSIGHTS = f"""
 
 def _insights(t: Testbed):
     requests = cmp.resolve_compare(t.nation_requests, t.countries)
+    t = t.stored
     ends = tr.fitted_endpoints(t.trend, s.series_extent(t.annual))
     return n.insight_indicator(n.indicator_facts(ends, cmp.latest_vs_median(t.aligned), t.labels, requests))
 
@@ -93,7 +94,7 @@ FROM places p LEFT JOIN picks USING (country)""")
 def insight_ranked(t: Testbed):
     from ..sources.catalog import STANDARD_CATALOG
 
-    medians = b.median_of_years(product_cells(t)).withColumn("indicator", F.lit("crop_yield"))
+    medians = b.median_of_years(t.stored.product_cells).withColumn("indicator", F.lit("crop_yield"))
     keys = ["country", "indicator"]
     nations = t.table("nation").select(F.col("n_name").alias("country"), F.lit(True).alias("has_series"))
     regions = t.table("region").select("r_name", F.col("r_regionkey") <= 2)
@@ -139,6 +140,7 @@ def insight_tail_risk_compare(t: Testbed):
 
 
 def _risk(t: Testbed):
+    t = t.stored
     return rk.tail_risk_summary(rk.tail_risk_stats(t.monthly), rk.tail_risk_extremes(t.monthly))
 
 
@@ -152,11 +154,11 @@ def _places(t: Testbed):
 @query("insight_power_mix", with_("source_cells") + _PLACES + f"""
 SELECT country, CASE WHEN leader IS NULL THEN 'No power generation source data is available for ' || country || '.'
        ELSE 'As of ' || latest_year || ', ' || country || '''s power generation was led by ' || lower(leader)
-            || ', contributing ' || {f('leader_value', 1)} || ' GWH of ' || {f('total', 1)} || ' GWH total that year.'
+            || ', contributing ' || {f('leader_value', 1)} || ' GWH of ' || {f(r('total', 6), 1)} || ' GWH total that year.'
        END AS text
 FROM places LEFT JOIN ({LATEST_MIX}) USING (country)""")
 def insight_power_mix(t: Testbed):
-    return n.insight_power_mix(_places(t), b.latest_mix(source_cells(t)))
+    return n.insight_power_mix(_places(t), b.latest_mix(t.source_cells))
 
 
 _FLOW_FACTS = f"""
@@ -172,18 +174,20 @@ _FLOW_FACTS = f"""
 @query("insight_flow", with_("links") + _PLACES + _FLOW_FACTS + f"""
 SELECT country, CASE WHEN total IS NULL THEN 'No power generation flow data is available for ' || country || '.'
        ELSE concat_ws(' ',
-           'Across the recorded period, ' || country || ' generated ' || {f('total', 1)} || ' GWH in total.',
+           'Across the recorded period, ' || country || ' generated ' || {f(r('total', 6), 1)} || ' GWH in total.',
            on_leader || ' leads On-grid supply at ' || {f('on_value', 1)} || ' GWH.',
            off_leader || ' leads Off-grid supply at ' || {f('off_value', 1)} || ' GWH.') END AS text
 FROM places LEFT JOIN facts USING (country)""")
 def insight_flow(t: Testbed):
-    return n.insight_flow(_places(t), fl.flow_leaders(fl.flow_links(t.flows)))
+    return n.insight_flow(_places(t), fl.flow_leaders(t.links))
 
 
 def _phrase(p: str = "") -> str:
-    start, end = f"{f(p + 'start_figure', 2)} || unit", f"{f(p + 'end_figure', 2)} || unit"
+    overall, start, end = (
+        f"{f(r(p + name, 6), 2)} || unit" for name in ("overall", "start_figure", "end_figure")
+    )
     return f"""CASE {p}trend
-        WHEN 'short' THEN 'an average of ' || {f(p + 'overall', 2)} || unit || ' throughout the period'
+        WHEN 'short' THEN 'an average of ' || {overall} || ' throughout the period'
         WHEN 'rising' THEN 'a significant increasing trend, from ' || {start} || ' to ' || {end} || ' in recent years'
         WHEN 'falling' THEN 'a significant decreasing trend, from ' || {start} || ' to ' || {end} || ' in recent years'
         ELSE 'a relatively stable trend, with an average around ' || {start} END"""
@@ -223,6 +227,7 @@ During the same period, the **regional median** has shown ' || {_phrase('r_')} |
 FROM range JOIN own USING (country, indicator) JOIN region USING (indicator) JOIN base USING (indicator)
 JOIN labels USING (indicator)""")
 def insight_comparison(t: Testbed):
+    t = t.stored
     baseline = s.regional_of_series(t.monthly)
     regional_series = baseline.select("indicator", "year", F.col("regional_median").alias("value"))
     return n.insight_comparison(
@@ -247,7 +252,7 @@ SELECT country, indicator, '
 
 **Overview (' || y0 || '-' || y1 || '):**
 
-Extreme events are defined as anomalies exceeding **' || {f('threshold', 2)} || ' USD** above or below average
+Extreme events are defined as anomalies exceeding **' || {f(r('threshold', 6), 2)} || ' USD** above or below average
 (two standard deviations from the historical mean).
 
 **Key Observations:**
@@ -268,12 +273,12 @@ SELECT country, '
 
 Between ' || start_year || ' and ' || g.latest_year || ', ' || country
 || '''s power generation has shown a general ' || status || '.
-As of ' || g.latest_year || ', total generation reached **' || {f('total', 1)} || ' GWH**, led by **' || leader || '**
+As of ' || g.latest_year || ', total generation reached **' || {f(r('total', 6), 1)} || ' GWH**, led by **' || leader || '**
 (' || {f('leader_value', 1)} || ' GWH).
 ' AS text
 FROM ({MIX_GROWTH}) g JOIN ({LATEST_MIX}) m USING (country)""")
 def insight_mix_growth(t: Testbed):
-    return n.insight_mix_growth(b.mix_growth(source_cells(t)), b.latest_mix(source_cells(t)))
+    return n.insight_mix_growth(b.mix_growth(t.stored.source_cells), b.latest_mix(t.stored.source_cells))
 
 
 @query("insight_flow_script", with_("power") + f"""
@@ -287,7 +292,7 @@ def insight_mix_growth(t: Testbed):
 SELECT country, '
 ### Dynamic Insight for ' || country || '''s Power Generation Flow (' || y0 || '-' || y1 || '):
 
-Total power generation across On-grid and Off-grid was **' || {f('total', 1)} || ' GWH**.
+Total power generation across On-grid and Off-grid was **' || {f(r('total', 6), 1)} || ' GWH**.
 ' || coalesce('**' || on_leader || '** leads On-grid supply.', 'No significant On-grid generation.') || ' '
 || coalesce('**' || off_leader || '** leads Off-grid supply.', 'No significant Off-grid generation.') || '
 ' AS text

@@ -81,10 +81,10 @@ def join_country_dim(t: Testbed):
 
 @query("linear_trend", with_("trend") + f"""
 SELECT country, indicator, n, slope_per_decade, {r('slope_per_year', 6)} AS slope_per_year,
-       {r('intercept', 2)} AS intercept, r_squared, relative_slope_pct FROM trend""")
+       {r('intercept', 5)} AS intercept, r_squared, relative_slope_pct FROM trend""")
 def linear_trend(t: Testbed):
     return t.trend.withColumns(
-        {"slope_per_year": round_exact("slope_per_year", 6), "intercept": round_exact("intercept", 2)}
+        {"slope_per_year": round_exact("slope_per_year", 6), "intercept": round_exact("intercept", 5)}
     )
 
 
@@ -120,13 +120,14 @@ def relative_slope(t: Testbed):
 
 
 @query("fitted_endpoints", with_("endpoints") + f"""
-SELECT country, indicator, first_year, last_year, {r('fitted_first', 3)} AS fitted_first,
-       {r('fitted_last', 3)} AS fitted_last FROM endpoints""")
+SELECT country, indicator, first_year, last_year, {r('fitted_first', 5)} AS fitted_first,
+       {r('fitted_last', 5)} AS fitted_last FROM endpoints""")
 def fitted_endpoints(t: Testbed):
+    t = t.stored
     ends = tr.fitted_endpoints(t.trend, s.series_extent(t.annual))
     return ends.select(
-        *KEYS, "first_year", "last_year", round_exact("fitted_first", 3).alias("fitted_first"),
-        round_exact("fitted_last", 3).alias("fitted_last"),
+        *KEYS, "first_year", "last_year", round_exact("fitted_first", 5).alias("fitted_first"),
+        round_exact("fitted_last", 5).alias("fitted_last"),
     )
 
 
@@ -198,23 +199,25 @@ def window_sql(stat: str, source: str, keys: str = "country, indicator") -> str:
 
 
 def _window_figures(df):
-    return df.withColumns({name: round_exact(name, 4) for name in ("overall", "start_figure", "end_figure")})
+    return df.withColumns({name: round_exact(name, 6) for name in ("overall", "start_figure", "end_figure")})
 
 
 _WINDOW_COLUMNS = (
-    f"trend, {r('overall', 4)} AS overall, {r('start_figure', 4)} AS start_figure, {r('end_figure', 4)} AS end_figure"
+    f"trend, {r('overall', 6)} AS overall, {r('start_figure', 6)} AS start_figure, {r('end_figure', 6)} AS end_figure"
 )
 
 
 @query("window_trend", with_("monthly", "annual") + _LONG_AND_SHORT + f"""
 SELECT country, indicator, {_WINDOW_COLUMNS} FROM ({window_sql('avg', 'mixed')})""")
 def window_trend(t: Testbed):
+    t = t.stored
     return _window_figures(tr.window_trend(_long_and_short(t), WINDOW_THRESHOLD))
 
 
 @query("window_trend_median", with_("monthly", "annual") + _LONG_AND_SHORT + f"""
 SELECT country, indicator, {_WINDOW_COLUMNS} FROM ({window_sql('median', 'mixed')})""")
 def window_trend_median(t: Testbed):
+    t = t.stored
     return _window_figures(tr.window_trend(_long_and_short(t), WINDOW_THRESHOLD, stat="median"))
 
 
@@ -231,6 +234,7 @@ SELECT country, indicator, last_year, last_value, baseline_year, {r('baseline_va
             WHEN last_value < baseline_value - {WINDOW_THRESHOLD} THEN 'lower' ELSE 'aligned' END AS position
 FROM own JOIN base USING (indicator)""")
 def baseline_position(t: Testbed):
+    t = t.stored
     position = cmp.baseline_position(t.monthly, s.regional_of_series(t.monthly), WINDOW_THRESHOLD)
     return position.withColumn("baseline_value", round_exact("baseline_value", 4))
 
@@ -254,6 +258,7 @@ _PAIRS = """
 
 
 def _pairs(t: Testbed):
+    t = t.stored
     requests = cmp.resolve_compare(t.nation_requests, t.countries)
     return cmp.compare_pairs(s.last_point(t.annual), requests)
 
@@ -333,6 +338,7 @@ def series_arrays(t: Testbed):
 SELECT country, indicator, year, value, regional_median FROM monthly LEFT JOIN base USING (indicator, year)
 UNION ALL SELECT '{REGION_LABEL}', indicator, year, regional_median, regional_median FROM base""")
 def comparison_lines(t: Testbed):
+    t = t.stored
     return s.comparison_lines(t.monthly, s.regional_of_series(t.monthly, digits=4), REGION_LABEL)
 
 
@@ -352,11 +358,12 @@ def tail_risk_stats(t: Testbed):
 
 @query("tail_risk_extremes", with_("extremes") + "SELECT * FROM extremes")
 def tail_risk_extremes(t: Testbed):
-    return rk.tail_risk_extremes(t.monthly)
+    return rk.tail_risk_extremes(t.stored.monthly)
 
 
 @query("tail_risk_summary", with_("risk") + "SELECT * FROM risk")
 def tail_risk_summary(t: Testbed):
+    t = t.stored
     return rk.tail_risk_summary(rk.tail_risk_stats(t.monthly), rk.tail_risk_extremes(t.monthly))
 
 

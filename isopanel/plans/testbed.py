@@ -6,15 +6,16 @@ are derived from line items, with the blanks, bad numbers and subtotal labels th
 
 from __future__ import annotations
 
-import uuid
-from functools import cached_property
-from posixpath import join
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import breakdown as b
+from ..operators import flows as fl
 from ..operators import series as s
 from ..operators import trend as tr
+from ..sinks.tables import store
 from ..sources import catalog as c
 from ..sources import observations as o
 from ..sources.catalog import Catalog, Indicator, RowRule
@@ -72,14 +73,25 @@ RAW_CROPS = {
 }
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A new folder below the shared one that the session names."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        root = "/tmp/isopanel"
-    return join(root, f"isopanel-{uuid.uuid4().hex}")
+# Types of the test tables as written; naming them saves a look into the files per query.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": (
+        "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
+    ),
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+        "l_shipdate timestamp_ntz"
+    ),
+}
 
 
 class Testbed:
@@ -92,7 +104,7 @@ class Testbed:
         self.sf_dir = sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir.rstrip('/')}/{name}.parquet")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.sf_dir.rstrip('/')}/{name}.parquet")
 
     @cached_property
     def orders(self) -> DataFrame:
@@ -155,31 +167,44 @@ class Testbed:
     def flows(self) -> DataFrame:
         return o.load_power_by_source_grid(self.raw_power)
 
+    @cached_property
+    def panels(self) -> dict[str, DataFrame]:
+        """Indicators by aggregate; a source is read once for all indicators that share an aggregate."""
+        sources = {"orders": self.orders, "lines": self.lines}
+        panels: dict[str, list[DataFrame]] = {}
+        for agg in ("median", "sum"):
+            for name, frame in sources.items():
+                indicators = [i for i in CATALOG.indicators if i.source == name and i.agg == agg]
+                if indicators:
+                    tagged = c.tag_indicators(frame, indicators, "country", "year", "value")
+                    panels.setdefault(agg, []).append(tagged.select("country", "indicator", "year", "value"))
+        return {agg: reduce(DataFrame.union, parts) for agg, parts in panels.items()}
+
     @cached_property
     def panel(self) -> DataFrame:
-        """All indicators; each source is read once, whatever the number of its indicators."""
-        parts = [
-            c.tag_indicators(frame, [i for i in CATALOG.indicators if i.source == name], "country", "year", "value")
-            for name, frame in (("orders", self.orders), ("lines", self.lines))
-        ]
-        return parts[0].unionByName(parts[1]).select("country", "indicator", "year", "value")
+        return reduce(DataFrame.union, self.panels.values())
 
     @cached_property
-    def counts(self) -> DataFrame:
-        return s.panel_counts(self.panel)
+    def counts(self) -> dict[str, DataFrame]:
+        return {agg: s.panel_counts(panel) for agg, panel in self.panels.items()}
 
     @cached_property
     def annual(self) -> DataFrame:
-        return s.annual_panel(self.counts, CATALOG, weight="n")
+        return s.annual_panel(self.counts, weight="n")
 
     @cached_property
     def regional(self) -> DataFrame:
-        return s.regional_median(self.counts, weight="n")
+        return s.regional_median(reduce(DataFrame.union, self.counts.values()), weight="n")
 
     @cached_property
     def aligned(self) -> DataFrame:
         return s.align_regional(self.annual, self.regional)
 
+    @cached_property
+    def stored(self) -> Testbed:
+        """The same tables with the series that several results are made of written out once."""
+        return StoredTestbed(self.spark, self.sf_dir)
+
     @cached_property
     def trend(self) -> DataFrame:
         return tr.linear_trend(self.annual)
@@ -229,6 +254,18 @@ class Testbed:
         )
         return self.table("nation").select(F.col("n_name").alias("country"), compare.alias("compare"))
 
+    @cached_property
+    def product_cells(self) -> DataFrame:
+        return b.member_annual(self.products, "median")
+
+    @cached_property
+    def source_cells(self) -> DataFrame:
+        return b.member_annual(self.power_sources, "sum")
+
+    @cached_property
+    def links(self) -> DataFrame:
+        return fl.flow_links(self.flows)
+
     @cached_property
     def countries(self) -> DataFrame:
         return self.table("nation").select(F.col("n_name").alias("country"))
@@ -247,3 +284,39 @@ class Testbed:
             .otherwise(name(F.col("c_custkey") * 3))
             .alias("compare"),
         )
+
+
+class StoredTestbed(Testbed):
+    """Series, cells and links as written tables. Each is written when it is first asked for."""
+
+    @cached_property
+    def plain(self) -> Testbed:
+        return Testbed(self.spark, self.sf_dir)
+
+    @cached_property
+    def stored(self) -> Testbed:
+        return self
+
+    @cached_property
+    def aligned(self) -> DataFrame:
+        return store(self.plain.aligned, "aligned")
+
+    @cached_property
+    def annual(self) -> DataFrame:
+        return self.aligned.drop("regional_median")
+
+    @cached_property
+    def monthly(self) -> DataFrame:
+        return store(self.plain.monthly, "monthly")
+
+    @cached_property
+    def product_cells(self) -> DataFrame:
+        return store(self.plain.product_cells, "product_cells")
+
+    @cached_property
+    def source_cells(self) -> DataFrame:
+        return store(self.plain.source_cells, "source_cells")
+
+    @cached_property
+    def links(self) -> DataFrame:
+        return store(self.plain.links, "links")

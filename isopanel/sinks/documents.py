@@ -1,4 +1,4 @@
-"""Result tables as nested records per country, and writing them.
+"""Nested records per country, and writing them.
 
 The tables themselves are the result at scale; a document holds one country with its series, which are bounded
 by the catalogue and the number of years, never data rows.
@@ -6,8 +6,6 @@ by the catalogue and the number of years, never data rows.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +17,7 @@ LABEL_FIELDS = ("label", "unit", "chapter")
 
 
 def _map_of(key: str, value: Column | str, name: str) -> Column:
-    return F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value)))).alias(name)
+    return F.map_from_entries(F.collect_list(F.struct(key, value))).alias(name)
 
 
 def indicator_records(aligned: DataFrame, trend: DataFrame, labels: DataFrame) -> DataFrame:
@@ -106,15 +104,6 @@ def read_documents(reference: DataFrame, path: str) -> DataFrame:
     return reference.sparkSession.read.schema(reference.schema).json(path)
 
 
-def write_tables(tables: Mapping[str, DataFrame], root: str, by: str = "indicator") -> None:
-    """Result tables as Parquet, partitioned by indicator where they have one, so that readers skip the rest."""
-    for name, table in tables.items():
-        writer = table.write.mode("errorifexists")
-        if by in table.columns:
-            writer = writer.partitionBy(by)
-        writer.parquet(f"{root.rstrip('/')}/{name}")
-
-
 def chart_payload(table: DataFrame, requests: DataFrame) -> DataFrame:
     """Rows of the requested countries only, with their role: primary, and compare where one is asked for."""
     primary = requests.select("country", F.lit("primary").alias("role"))

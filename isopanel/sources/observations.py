@@ -143,11 +143,13 @@ def project_canonical(df: DataFrame) -> DataFrame:
     return df.select("country", "year", "value")
 
 
-def load_panel(datasets: Mapping[str, DataFrame], catalog: c.Catalog = c.STANDARD_CATALOG) -> DataFrame:
-    """Rows of all indicators as one panel (country, indicator, year, value)."""
-    parts = [
-        load_indicator(datasets[i.source], i).select("country", F.lit(i.name).alias("indicator"), "year", "value")
-        for i in catalog.indicators
-        if i.source in datasets
-    ]
-    return reduce(DataFrame.union, parts)
+def load_panels(datasets: Mapping[str, DataFrame], catalog: c.Catalog = c.STANDARD_CATALOG) -> dict[str, DataFrame]:
+    """Rows of all indicators as panels (country, indicator, year, value), one for each aggregate in use."""
+    parts: dict[str, list[DataFrame]] = {}
+    for i in catalog.indicators:
+        if i.source in datasets:
+            rows = load_indicator(datasets[i.source], i)
+            parts.setdefault(i.agg, []).append(
+                rows.select("country", F.lit(i.name).alias("indicator"), "year", "value")
+            )
+    return {agg: reduce(DataFrame.union, frames) for agg, frames in parts.items()}
