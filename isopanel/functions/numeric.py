@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,9 +27,23 @@ def _is_finite(x: Column) -> Column:
     return ~(F.isnan(x) | (F.abs(x) == F.lit(_INF)))
 
 
+def _reaches_half(x: Column, digits: int) -> Column:
+    """For ``|x|`` below one unit of the last digit: whether it rounds up to that unit."""
+    half = 0.5 / 10**digits
+    stored, exact = Fraction(half), Fraction(1, 2 * 10**digits)
+    return F.abs(x) >= half if stored > exact else F.abs(x) > half
+
+
 def _decimal_text(x: Column, digits: int) -> Column:
-    pattern = "0." + "0" * digits if digits else "0"
-    return F.call_function("format_number", x, F.lit(pattern))
+    """Decimal text of a finite double.
+
+    The number format rounds half to even on the exact binary value, except where all digits of the number fall
+    away; those numbers are compared with one half.
+    """
+    zeros = "0." + "0" * digits if digits else "0"
+    unit = zeros[:-1] + "1"
+    small = F.concat(F.when(x < 0, "-").otherwise(""), F.when(_reaches_half(x, digits), unit).otherwise(zeros))
+    return F.when(F.abs(x) < 10.0**-digits, small).otherwise(F.call_function("format_number", x, F.lit(zeros)))
 
 
 def round_exact(value: Column | str, digits: int) -> Column:
@@ -38,8 +54,7 @@ def round_exact(value: Column | str, digits: int) -> Column:
     over text is meant for aggregate results, not for every input row.
     """
     x = _as_column(value).cast("double")
-    rounded = _decimal_text(x, digits).cast("double") + F.lit(0.0)
-    return F.when(_is_finite(x), rounded).otherwise(x)
+    return F.when(_is_finite(x), _decimal_text(x, digits).cast("double") + F.lit(0.0)).otherwise(x)
 
 
 def fixed_text(value: Column | str, digits: int) -> Column:

@@ -61,14 +61,8 @@ def tail_risk_summary(stats: DataFrame, extremes: DataFrame, keys: Sequence[str]
     )
 
 
-def tail_risk_zero_centred(rows: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Rows beyond two sample standard deviations around zero, with that threshold."""
-    thresholds = zero_centred_threshold(rows, keys)
-    beyond = (F.col("value") > F.col("threshold")) | (F.col("value") < -F.col("threshold"))
-    return rows.join(thresholds, list(keys)).where(beyond).select(*keys, "year", "value", "threshold")
-
-
 def zero_centred_threshold(rows: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Two sample standard deviations per key. Below two rows there is none (null)."""
     return (
         rows.dropna(subset=[*keys, "value"])
         .groupBy(*keys)
@@ -76,10 +70,18 @@ def zero_centred_threshold(rows: DataFrame, keys: Sequence[str] = KEYS) -> DataF
     )
 
 
-def zero_centred_counts(rows: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def tail_risk_zero_centred(rows: DataFrame, thresholds: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Rows beyond the threshold on either side of zero.
+
+    The thresholds are a table of their own: stored before, they are small enough for the rows to stay where they are.
+    """
+    beyond = (F.col("value") > F.col("threshold")) | (F.col("value") < -F.col("threshold"))
+    return rows.join(thresholds, list(keys)).where(beyond).select(*keys, "year", "value", "threshold")
+
+
+def zero_centred_counts(rows: DataFrame, thresholds: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Threshold and number of events per key, zero included."""
-    thresholds = zero_centred_threshold(rows, keys)
-    events = tail_risk_zero_centred(rows, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_extremes"))
+    events = tail_risk_zero_centred(rows, thresholds, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_extremes"))
     return thresholds.join(events, list(keys), "left").withColumn(
         "n_extremes", F.coalesce("n_extremes", F.lit(0)).cast("bigint")
     )

@@ -11,6 +11,7 @@ from ..operators import narrative as n
 from ..operators import risk as rk
 from ..operators import series as s
 from ..operators import trend as tr
+from ..sinks.tables import store
 from ..sources import observations as o
 from .breakdown import FLOW_LEADERS, LATEST_MIX, MIX_GROWTH
 from .oracle import f, r, with_
@@ -264,7 +265,9 @@ Extreme events are defined as anomalies exceeding **' || {f(r('threshold', 6), 2
 FROM facts""")
 def insight_tail_risk_script(t: Testbed):
     labels = t.spark.createDataFrame([("anomaly", "Price Anomaly", " USD")], "indicator string, label string, unit string")
-    return n.insight_tail_risk_overview(s.series_extent(t.anomalies), rk.zero_centred_counts(t.anomalies), labels)
+    thresholds = store(rk.zero_centred_threshold(t.anomalies), "thresholds")
+    counts = rk.zero_centred_counts(t.anomalies, thresholds)
+    return n.insight_tail_risk_overview(s.series_extent(t.anomalies), counts, labels)
 
 
 @query("insight_mix_growth", with_("source_cells") + f"""

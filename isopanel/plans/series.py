@@ -9,6 +9,7 @@ from ..operators import compare as cmp
 from ..operators import risk as rk
 from ..operators import series as s
 from ..operators import trend as tr
+from ..sinks.tables import store
 from ..sources import catalog as c
 from ..sources import observations as o
 from .oracle import r, with_
@@ -65,7 +66,7 @@ SELECT country, 'order_value' AS indicator, year, value, regional_median
 FROM orders_obs LEFT JOIN baseline USING (year)""")
 def join_regional_baseline(t: Testbed):
     rows = _orders_panel(t)
-    return s.align_regional(rows, s.regional_median(rows))
+    return s.align_regional(rows, store(s.regional_median(rows), "regional"))
 
 
 @query("align_regional_median", with_("aligned") + "SELECT * FROM aligned")
@@ -371,4 +372,5 @@ def tail_risk_summary(t: Testbed):
 SELECT country, indicator, year, value, {r('threshold', 3)} AS threshold
 FROM anomalies JOIN zero_thresholds USING (country, indicator) WHERE value > threshold OR value < -threshold""")
 def tail_risk_zero_centred(t: Testbed):
-    return rk.tail_risk_zero_centred(t.anomalies).withColumn("threshold", round_exact("threshold", 3))
+    thresholds = store(rk.zero_centred_threshold(t.anomalies), "thresholds")
+    return rk.tail_risk_zero_centred(t.anomalies, thresholds).withColumn("threshold", round_exact("threshold", 3))

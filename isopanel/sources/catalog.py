@@ -76,8 +76,9 @@ def tag_indicators(df: DataFrame, indicators: Iterable[Indicator], *columns: str
     indicators = list(indicators)
     rules = [(i.name, i.rows.condition()) for i in indicators]
     wanted = reduce(lambda a, b: a | b, [c for _, c in rules])
-    tags = F.filter(F.array(*[F.when(c, F.lit(name)) for name, c in rules]), lambda t: t.isNotNull())
-    return df.where(wanted).select(*columns, F.explode(tags).alias("indicator"))
+    tags = F.array(*[F.when(c, F.lit(name)) for name, c in rules])
+    tagged = df.where(wanted).select(*columns, F.explode(tags).alias("indicator"))
+    return tagged.where(F.col("indicator").isNotNull())
 
 
 # Column names and codes of the source files.
