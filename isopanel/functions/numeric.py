@@ -60,12 +60,8 @@ def round_exact(value: Column | str, digits: int) -> Column:
 def fixed_text(value: Column | str, digits: int) -> Column:
     """Text of a double with a fixed number of decimals, rounded as in :func:`round_exact`."""
     x = _as_column(value).cast("double")
-    return (
-        F.when(F.isnan(x), F.lit("nan"))
-        .when(x == F.lit(_INF), F.lit("inf"))
-        .when(x == F.lit(-_INF), F.lit("-inf"))
-        .otherwise(_decimal_text(x, digits))
-    )
+    other = F.replace(F.lower(x.cast("string")), F.lit("infinity"), F.lit("inf"))
+    return F.when(_is_finite(x), _decimal_text(x, digits)).otherwise(other)
 
 
 def blank_to_null(value: Column | str) -> Column:

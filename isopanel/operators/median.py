@@ -64,10 +64,11 @@ def exact_median(
         )
 
     group = [*keys, "_slab1"]
-    near = _narrow(counts.withColumn("_slab1", _coarse_slab(F.col("_v"))), keys, "_slab1")
+    near = _narrow(counts.withColumn("_slab1", _coarse_slab(F.col("_v"))), keys, "_slab1", levels > 1)
     for level in range(2, levels + 1):
         slab = f"_slab{level}"
-        near = _narrow(near.withColumn(slab, _fine_step(F.col("_v"), F.col("_lo"), F.col("_hi"))), group, slab)
+        step = _fine_step(F.col("_v"), F.col("_lo"), F.col("_hi"))
+        near = _narrow(near.withColumn(slab, step), group, slab, levels > level)
         group = [*group, slab]
 
     by_value = Window.partitionBy(*group).orderBy("_v")
@@ -82,16 +83,17 @@ def small_group_median(value: str | Column) -> Column:
     return F.percentile(value, F.lit(0.5))
 
 
-def _narrow(rows: DataFrame, group: list[str], slab: str) -> DataFrame:
+def _narrow(rows: DataFrame, group: list[str], slab: str, with_limits: bool) -> DataFrame:
     """The rows in those slabs of each group that hold its middle rows.
 
-    They carry the number of rows below their slab, the size of the whole group and the limits of the slab.
+    They carry the number of rows below their slab, the size of the whole group and, if asked for, the lowest and
+    highest value of the slab.
     """
     again = "_below" in rows.columns
     carried = [F.first(name).alias(name) for name in ("_below", "_total")] if again else []
-    histogram = rows.groupBy(*group, slab).agg(
-        F.sum("_n").alias("_m"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), *carried
-    )
+    if with_limits:
+        carried += [F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
+    histogram = rows.groupBy(*group, slab).agg(F.sum("_n").alias("_m"), *carried)
     below = _running("_m", Window.partitionBy(*group).orderBy(slab))
     total = F.sum("_m").over(Window.partitionBy(*group))
     placed = histogram.withColumns(

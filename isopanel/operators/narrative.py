@@ -119,8 +119,10 @@ FLOW_NO_NOTE = "No significant {target} generation."
 STABLE_DIGITS = 6
 
 
-def _figure_text(value: Column | str, digits: int = 2) -> Column:
-    return fixed_text(round_exact(value, STABLE_DIGITS), digits)
+def _stable(df: DataFrame, **figures: Column | str) -> DataFrame:
+    """Add computed figures as columns. Rounding names its argument several times, and text does so again; as
+    columns the figures are worked out once instead of being repeated inside of each other."""
+    return df.withColumns({name: round_exact(value, STABLE_DIGITS) for name, value in figures.items()})
 
 
 def _text(column: Column | str) -> Column:
@@ -156,23 +158,30 @@ def insight_indicator(facts: DataFrame, text: str = "text") -> DataFrame:
     value, median, other = F.col("value"), F.col("regional_median"), F.col("compare_value")
     own = fill(
         TREND, first_year=_text("first_year"), last_year=_text("last_year"), country=country, label=label,
-        direction=direction("slope_per_decade"), rate=fixed_text(F.abs(F.col("slope_per_decade")), 2), unit=unit,
-        fitted_first=_figure_text("fitted_first"), fitted_last=_figure_text("fitted_last"),
+        direction=direction("slope_per_decade"), rate=fixed_text("_rate", 2), unit=unit,
+        fitted_first=fixed_text("_fitted_first", 2), fitted_last=fixed_text("_fitted_last", 2),
     )
-    gap = F.abs(value - median)
     in_line = fill(MEDIAN_IN_LINE, median=fixed_text(median, 2), unit=unit)
     off = fill(
-        MEDIAN_OFF, gap=_figure_text(gap), unit=unit, median=fixed_text(median, 2),
+        MEDIAN_OFF, gap=fixed_text("_median_gap", 2), unit=unit, median=fixed_text(median, 2),
         relation=F.when(value > median, "above").otherwise("below"),
     )
     versus = fill(
-        COMPARE, compare="compare", gap=_figure_text(F.abs(value - other)), unit=unit, country=country,
+        COMPARE, compare="compare", gap=fixed_text("_other_gap", 2), unit=unit, country=country,
         relation=F.when(value > other, "higher than").when(value < other, "lower than").otherwise("the same as"),
         direction=direction("compare_slope"),
     )
-    full = sentences(own, F.when(gap < IN_LINE, in_line).otherwise(off), F.when(other.isNotNull(), versus))
+    full = sentences(own, F.when(F.abs(value - median) < IN_LINE, in_line).otherwise(off), F.when(other.isNotNull(), versus))
     short = fill(TOO_LITTLE, label=label, country=country)
-    return facts.withColumn(text, F.when(F.col("slope_per_decade").isNull(), short).otherwise(full))
+    stable = _stable(
+        facts,
+        _rate=F.abs(F.col("slope_per_decade")),
+        _fitted_first="fitted_first",
+        _fitted_last="fitted_last",
+        _median_gap=F.abs(value - median),
+        _other_gap=F.abs(value - other),
+    )
+    return stable.withColumn(text, F.when(F.col("slope_per_decade").isNull(), short).otherwise(full))
 
 
 def insight_summary(insights: DataFrame) -> DataFrame:
@@ -261,10 +270,11 @@ def insight_power_mix(countries: DataFrame, mix: DataFrame) -> DataFrame:
     """Leading source and total of the latest year."""
     text = fill(
         MIX, year=_text("latest_year"), country="country", leader=F.lower("leader"),
-        leader_value=fixed_text("leader_value", 1), total=_figure_text("total", 1),
+        leader_value=fixed_text("leader_value", 1), total=fixed_text("total", 1),
     )
     missing = fill(NO_MIX, country="country")
-    return countries.join(mix, "country", "left").select("country", F.coalesce(text, missing).alias("text"))
+    joined = _stable(countries.join(mix, "country", "left"), total="total")
+    return joined.select("country", F.coalesce(text, missing).alias("text"))
 
 
 def _by_target(leaders: DataFrame, targets: Sequence[str]) -> DataFrame:
@@ -277,7 +287,7 @@ def _by_target(leaders: DataFrame, targets: Sequence[str]) -> DataFrame:
 
 def insight_flow(countries: DataFrame, leaders: DataFrame, targets: Sequence[str] = FLOW_TARGETS) -> DataFrame:
     """Total flow and the leading source of each named target."""
-    joined = countries.join(_by_target(leaders, targets), "country", "left")
+    joined = _stable(countries.join(_by_target(leaders, targets), "country", "left"), total="total")
     notes = [
         fill(
             FLOW_LEADER, leader=F.col(f"_t{n}.leader"), target=F.lit(t),
@@ -285,7 +295,7 @@ def insight_flow(countries: DataFrame, leaders: DataFrame, targets: Sequence[str
         )
         for n, t in enumerate(targets)
     ]
-    total = fill(FLOW_TOTAL, country="country", total=_figure_text("total", 1))
+    total = fill(FLOW_TOTAL, country="country", total=fixed_text("total", 1))
     text = F.when(F.col("total").isNull(), fill(NO_FLOW, country="country")).otherwise(sentences(total, *notes))
     return joined.select("country", text.alias("text"))
 
@@ -293,9 +303,9 @@ def insight_flow(countries: DataFrame, leaders: DataFrame, targets: Sequence[str
 def window_phrase(prefix: str = "") -> Column:
     """Phrase for the result of ``window_trend``, whose columns may carry a prefix."""
     figures = {
-        "overall": _figure_text(prefix + "overall"),
-        "start": _figure_text(prefix + "start_figure"),
-        "end": _figure_text(prefix + "end_figure"),
+        "overall": fixed_text(prefix + "overall", 2),
+        "start": fixed_text(prefix + "start_figure", 2),
+        "end": fixed_text(prefix + "end_figure", 2),
         "unit": "unit",
     }
     trend = F.col(prefix + "trend")
@@ -332,7 +342,8 @@ def insight_comparison(
         max_value=fixed_text("max_value", 2), max_year=_text("max_year"), regional_trend=window_phrase("regional_"),
         comparison=comparison,
     )
-    return joined.select(*keys, text.alias("text"))
+    windows = [p + name for p in ("", "regional_") for name in ("overall", "start_figure", "end_figure")]
+    return _stable(joined, **{name: name for name in windows}).select(*keys, text.alias("text"))
 
 
 def insight_tail_risk_overview(extent: DataFrame, counts: DataFrame, labels: DataFrame) -> DataFrame:
@@ -340,21 +351,23 @@ def insight_tail_risk_overview(extent: DataFrame, counts: DataFrame, labels: Dat
     keys = ["country", "indicator"]
     text = fill(
         RISK_OVERVIEW, country="country", label="label", first_year=_text("first_year"),
-        last_year=_text("last_year"), threshold=_figure_text("threshold"), unit="unit", count=_text("n_extremes"),
+        last_year=_text("last_year"), threshold=fixed_text("threshold", 2), unit="unit", count=_text("n_extremes"),
         max_value=fixed_text("max_value", 2), max_year=_text("max_year"), min_value=fixed_text("min_value", 2),
         min_year=_text("min_year"),
     )
-    return extent.join(counts, keys).join(labels, "indicator").select(*keys, text.alias("text"))
+    joined = extent.join(counts, keys).join(labels, "indicator")
+    return _stable(joined, threshold="threshold").select(*keys, text.alias("text"))
 
 
 def insight_mix_growth(growth: DataFrame, mix: DataFrame) -> DataFrame:
     """Growth or contraction between first and last year, and the leading source."""
     text = fill(
         MIX_OVERVIEW, country="country", start_year=_text("start_year"), latest_year=_text("latest_year"),
-        status="status", total=_figure_text("total", 1), leader="leader", leader_value=fixed_text("leader_value", 1),
+        status="status", total=fixed_text("total", 1), leader="leader", leader_value=fixed_text("leader_value", 1),
     )
     leaders = mix.select("country", "leader", "leader_value", "total")
-    return growth.join(leaders, "country").select("country", text.alias("text"))
+    joined = _stable(growth.join(leaders, "country"), total="total")
+    return joined.select("country", text.alias("text"))
 
 
 def insight_flow_overview(
@@ -369,6 +382,7 @@ def insight_flow_overview(
     ]
     text = fill(
         FLOW_OVERVIEW, country="country", first_year=_text("first_year"), last_year=_text("last_year"),
-        total=_figure_text("total", 1), notes=sentences(*notes),
+        total=fixed_text("total", 1), notes=sentences(*notes),
     )
-    return _by_target(leaders, targets).join(years, "country").select("country", text.alias("text"))
+    joined = _stable(_by_target(leaders, targets).join(years, "country"), total="total")
+    return joined.select("country", text.alias("text"))

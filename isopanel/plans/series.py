@@ -34,8 +34,7 @@ def annual_series_median(t: Testbed):
 SELECT country, 'shipped_quantity' AS indicator, year, {r('sum(value)', 3)} AS value
 FROM line_obs GROUP BY country, year""")
 def annual_series_sum(t: Testbed):
-    rows = t.lines.select("country", F.lit("shipped_quantity").alias("indicator"), "year", "value")
-    return s.annual_series(rows, "sum")
+    return s.annual_series(t.shipped, "sum")
 
 
 @query("annual_panel", with_("annual") + "SELECT * FROM annual")
@@ -177,8 +176,8 @@ _LONG_AND_SHORT = """
 
 
 def _long_and_short(t: Testbed):
-    short = t.annual.where(F.col("indicator") == "early_order_value")
-    return t.monthly.unionByName(short.select("country", "indicator", "year", "value"))
+    rows = c.tag_indicators(t.orders, [CATALOG["early_order_value"]], "country", "year", "value")
+    return store(t.monthly.unionByName(s.annual_series(rows, "median")), "long_and_short")
 
 
 def window_sql(stat: str, source: str, keys: str = "country, indicator") -> str:
@@ -211,14 +210,12 @@ _WINDOW_COLUMNS = (
 @query("window_trend", with_("monthly", "annual") + _LONG_AND_SHORT + f"""
 SELECT country, indicator, {_WINDOW_COLUMNS} FROM ({window_sql('avg', 'mixed')})""")
 def window_trend(t: Testbed):
-    t = t.stored
     return _window_figures(tr.window_trend(_long_and_short(t), WINDOW_THRESHOLD))
 
 
 @query("window_trend_median", with_("monthly", "annual") + _LONG_AND_SHORT + f"""
 SELECT country, indicator, {_WINDOW_COLUMNS} FROM ({window_sql('median', 'mixed')})""")
 def window_trend_median(t: Testbed):
-    t = t.stored
     return _window_figures(tr.window_trend(_long_and_short(t), WINDOW_THRESHOLD, stat="median"))
 
 

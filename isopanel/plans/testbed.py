@@ -146,6 +146,25 @@ class Testbed:
             "l_partkey",
         )
 
+    @cached_property
+    def shipped(self) -> DataFrame:
+        """Quantities summed per supplier and year before the suppliers are looked up.
+
+        A sum can be taken in parts, so the line items themselves need not be shuffled to the join, and a supplier
+        with very many of them arrives there as one row per year.
+        """
+        per_supplier = (
+            self.table("lineitem")
+            .groupBy("l_suppkey", F.year("l_shipdate").alias("year"))
+            .agg(F.sum("l_quantity").alias("value"))
+        )
+        placed = per_supplier.join(self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(
+            self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey")
+        )
+        return placed.select(
+            F.col("n_name").alias("country"), F.lit("shipped_quantity").alias("indicator"), "year", "value"
+        )
+
     @cached_property
     def raw_power(self) -> DataFrame:
         return self._line_places.select(*[F.expr(sql).alias(name) for name, sql in RAW_POWER.items()])

@@ -19,6 +19,9 @@ TABLES = (
 ).split()
 
 
+SQL_TYPES = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for name in TABLES:
@@ -45,6 +48,8 @@ def compare(spark, con, name: str, run, sql: str, sf_dir: str) -> list[str]:
     columns = [d[0] for d in result.description]
     theirs = rows_of(columns, result.fetchall())
     problems = []
+    mine = {name: SQL_TYPES.get(kind, kind) for name, kind in df.dtypes}
+    other = {d[0]: str(d[1]) for d in result.description}
     if sorted(columns) != sorted(df.columns):
         problems.append(f"{name}: columns {sorted(df.columns)} against {sorted(columns)}")
     elif ours != theirs:
@@ -52,6 +57,9 @@ def compare(spark, con, name: str, run, sql: str, sf_dir: str) -> list[str]:
             f"{name}: {sum(ours.values())} against {sum(theirs.values())} rows\n  only Spark: "
             f"{list((ours - theirs).items())[:2]}\n  only SQL:   {list((theirs - ours).items())[:2]}"
         )
+    elif mine != other:
+        problems.append(f"{name}: types {sorted(set(mine.items()) - set(other.items()))} against "
+                        f"{sorted(set(other.items()) - set(mine.items()))}")
     if not ours:
         problems.append(f"{name}: no rows")
     return problems
