@@ -20,7 +20,7 @@ from ..operators import narrative as n
 from ..operators import risk as rk
 from ..operators import series as s
 from ..operators import trend as tr
-from ..sinks.documents import country_document, enriched_document, write_documents
+from ..sinks.documents import chart_payload, country_document, enriched_document, write_documents
 from ..sinks.tables import store, write_tables
 from ..sources import catalog as c
 from ..sources import observations as o
@@ -51,7 +51,7 @@ def build(
     spark = next(iter(datasets.values())).sparkSession
     dim = standard_countries(spark) if dim is None else dim
     panels = o.load_panels(datasets, catalog)
-    counts = {agg: s.panel_counts(panel) for agg, panel in panels.items()}
+    counts = {agg: store(s.panel_counts(panel), f"counts_{agg}") for agg, panel in panels.items()}
     regional = store(s.regional_median(reduce(DataFrame.unionByName, counts.values()), weight="n"), "regional")
     series = s.align_regional(s.annual_panel(counts, weight="n"), regional)
     write_tables({"series": series}, out)
@@ -147,5 +147,5 @@ def answer(
         "tail_risk_insights": n.insight_tail_risk(risk, labels),
         "power_mix_insights": n.insight_power_mix(named, b.latest_mix(details["power_sources"])),
         "flow_insights": n.insight_flow(named, fl.flow_leaders(details["power_links"])),
-        "series": series.join(named, "country", "left_semi"),
+        "charts": chart_payload(series, asked),
     }

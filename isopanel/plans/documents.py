@@ -135,18 +135,17 @@ def enrich_results(t: Testbed):
     )
 
 
-@query("chart_payload", with_("aligned") + """
+@query("chart_payload", with_("aligned", "nation_requests") + """
 , roles AS (
-    SELECT 'NATION_7' AS country, 'primary' AS role UNION ALL SELECT 'NATION_12', 'compare'
+    SELECT country AS "primary", compare, 'primary' AS role, country FROM nation_requests
+    UNION ALL SELECT country, compare, 'compare', compare FROM nation_requests WHERE compare <> ''
 )
-SELECT country, role, indicator, year, value, regional_median FROM aligned JOIN roles USING (country)""")
+SELECT "primary", compare, role, country, indicator, year, value, regional_median
+FROM aligned JOIN roles USING (country)""")
 def chart_payload(t: Testbed):
-    asked = t.table("nation").where(F.col("n_name") == "NATION_7").select(
-        F.col("n_name").alias("country"), F.lit("NATION_12").alias("compare")
-    )
-    requests = cmp.resolve_compare(cmp.country_or_default(asked, t.countries, "NATION_0"), t.countries)
-    return d.chart_payload(t.aligned, requests).select(
-        "country", "role", "indicator", "year", "value", "regional_median"
+    requests = cmp.resolve_compare(cmp.country_or_default(t.nation_requests, t.countries, "NATION_0"), t.countries)
+    return d.chart_payload(t.stored.aligned, requests).select(
+        "primary", "compare", "role", "country", "indicator", "year", "value", "regional_median"
     )
 
 

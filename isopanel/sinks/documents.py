@@ -105,9 +105,15 @@ def read_documents(reference: DataFrame, path: str) -> DataFrame:
 
 
 def chart_payload(table: DataFrame, requests: DataFrame) -> DataFrame:
-    """Rows of the requested countries only, with their role: primary, and compare where one is asked for."""
-    primary = requests.select("country", F.lit("primary").alias("role"))
-    compare = requests.where(F.col("compare") != "").select(
-        F.col("compare").alias("country"), F.lit("compare").alias("role")
+    """For each request (``country``, ``compare``) the rows of these countries only, with their role.
+
+    Without a compare country (empty text) only the primary one is shipped.
+    """
+    compare = F.when(F.col("compare") != "", F.struct(F.lit("compare").alias("role"), F.col("compare").alias("country")))
+    roles = F.array(F.struct(F.lit("primary").alias("role"), "country"), compare)
+    wanted = requests.select(F.col("country").alias("primary"), "compare", F.explode(roles).alias("_r")).where(
+        F.col("_r").isNotNull()
+    )
+    return wanted.select("primary", "compare", F.col("_r.role").alias("role"), F.col("_r.country").alias("country")).join(
+        table, "country"
     )
-    return table.join(primary.union(compare).distinct(), "country")

@@ -19,6 +19,7 @@ TABLES = (
 ).split()
 
 
+UNWANTED = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas")
 SQL_TYPES = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
 
 
@@ -60,6 +61,8 @@ def compare(spark, con, name: str, run, sql: str, sf_dir: str) -> list[str]:
     elif mine != other:
         problems.append(f"{name}: types {sorted(set(mine.items()) - set(other.items()))} against "
                         f"{sorted(set(other.items()) - set(mine.items()))}")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    problems += [f"{name}: {step} in the plan" for step in UNWANTED if step in plan]
     if not ours:
         problems.append(f"{name}: no rows")
     return problems

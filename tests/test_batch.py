@@ -216,7 +216,11 @@ def test_answers(spark, result):
     ranked = {(r["country"], r["indicator"]): r["text"] for r in got["ranked_insights"].collect()}
     assert ranked["Tonga", "crop_yield"] == "No crop yield data is available for Tonga."
     assert ranked["Fiji", "crop_yield"].startswith("Across all recorded years, ")
-    assert {r["country"] for r in got["series"].collect()} == {"Fiji", "Samoa", "Tonga"}
+    roles = {(r["primary"], r["compare"], r["role"], r["country"]) for r in got["charts"].collect()}
+    assert roles == {
+        ("Fiji", "Samoa", "primary", "Fiji"), ("Fiji", "Samoa", "compare", "Samoa"), ("Fiji", "", "primary", "Fiji"),
+        ("Tonga", "", "primary", "Tonga"),
+    }
     assert len(got["tail_risk_insights"].collect()) == 6
     assert len(got["power_mix_insights"].collect()) == 3 and len(got["flow_insights"].collect()) == 3
 
