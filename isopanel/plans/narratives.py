@@ -267,7 +267,7 @@ def insight_tail_risk_script(t: Testbed):
     labels = t.spark.createDataFrame([("anomaly", "Price Anomaly", " USD")], "indicator string, label string, unit string")
     thresholds = store(rk.zero_centred_threshold(t.anomalies), "thresholds")
     counts = rk.zero_centred_counts(t.anomalies, thresholds)
-    return n.insight_tail_risk_overview(s.series_extent(t.anomalies), counts, labels)
+    return n.insight_tail_risk_overview(store(s.series_extent(t.anomalies), "extent"), counts, labels)
 
 
 @query("insight_mix_growth", with_("source_cells") + f"""

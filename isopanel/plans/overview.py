@@ -51,7 +51,10 @@ POWER_REGION_LABEL = "Regional Median (Total Generation)"
 def section_rows(datasets: Mapping[str, DataFrame], section: Section) -> DataFrame:
     """Rows of a section: country, indicator, year, value."""
     indicator = c.STANDARD_CATALOG[section.indicator]
-    rows = o.load_indicator(datasets[indicator.source], indicator).withColumn("indicator", F.lit(indicator.name))
+    rows = o.load_indicator(datasets[indicator.source], indicator)
+    # Generated, not a constant: with the same constant on both sides of a join the optimizer would drop the join
+    # condition and pair all rows.
+    rows = rows.withColumn("indicator", F.explode(F.array(F.lit(indicator.name))))
     return rows if section.annual is None else s.annual_series(rows, section.annual, digits=None)
 
 

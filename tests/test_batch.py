@@ -231,6 +231,7 @@ def test_overviews(result, tables):
     texts = {r["country"]: r["text"] for r in text.collect()}
     assert set(texts) == set(PLACES) and texts["Fiji"].startswith("\n### Dynamic Insight for Fiji (Mean Surface")
     assert "**Overview (1990-2019):**" in texts["Tonga"]
+    assert not any(step in text._jdf.queryExecution().executedPlan().toString() for step in ("Cartesian", "NestedLoop"))
     regional = {r["year"]: r["value"] for r in lines.where(f"country = '{overview.REGION_LABEL}'").collect()}
     values = defaultdict(list)
     for e in kept(tables, "surface_temperature"):
