@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Mapping
 from posixpath import join
@@ -11,16 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder below the one that ``spark.checkpoint.dir`` names.
+    """A new folder below the one that ``spark.checkpoint.dir`` names, or below the warehouse where that is unset.
 
-    A local session may do without the setting; on a cluster a folder of one machine would not do.
+    Driver and executors share both. The folder of a session goes when its JVM ends.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        root = join(tempfile.gettempdir(), "isopanel")
-    return join(root, f"isopanel-{uuid.uuid4().hex}")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    session = join(root, f"isopanel-{spark.sparkContext.applicationId}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(session)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return join(session, uuid.uuid4().hex)
 
 
 def store(df: DataFrame, name: str = "table") -> DataFrame:
