@@ -8,12 +8,50 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash
+from . import bpe, linededup, mixing, sharding, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix of all sources by the weights 5, 2, 1 takes of each document."""
+    docs = table(spark, sf_dir, "documents")
+    return mixing.Mix(docs).plan(docs.select("doc_id", "source", "text")).select(
+        "doc_id",
+        F.col("__size").alias("size"),
+        F.col("__source_size").alias("source_size"),
+        F.col("__target").alias("target"),
+        (F.col("__size") * F.col("__copies")).alias("taken"),
+    )
+
+
+def op3_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards along the Hilbert curve, by equal row counts."""
+    placed = sharding.hilbert_shards(table(spark, sf_dir, "documents"), 40)
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+        "curve",
+    )
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that several documents hold go, but for the first document's."""
+    kept = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select(
+        "doc_id",
+        F.col("__n_lines").alias("n_lines"),
+        F.col("__n_dropped").alias("n_dropped"),
+        F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"),
+    )
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded and decoded with the word tokenizer."""
     encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -31,8 +69,27 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_mixing": op1_mixing,
+    "op3_hilbert": op3_hilbert,
+    "op4_line_dedup": op4_line_dedup,
     "op8_bpe": op8_bpe,
     "op9_simhash": op9_simhash,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_line_dedup": """
+        WITH lines AS (
+            SELECT doc_id, n, line, translate(
+                trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+            FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n
+                  FROM documents)),
+        repeated AS (
+            SELECT key, min(doc_id) AS owner FROM lines WHERE length(key) >= 10
+            GROUP BY key HAVING count(DISTINCT doc_id) >= 2)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (owner <> doc_id) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (owner IS NULL OR owner = doc_id), ''))
+                   AS kept_sha256
+        FROM lines LEFT JOIN repeated USING (key) GROUP BY doc_id""",
+}
