@@ -58,7 +58,7 @@ def bytes_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def steps(texts: list[bytes]) -> Iterator[slice]:
+def steps(texts: list[bytes] | list[str]) -> Iterator[slice]:
     """Slices of the list whose texts hold about STEP_BYTES together."""
     begin, held = 0, 0
     for i, text in enumerate(texts):

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, linededup, mixing, sharding, simhash
+from . import bpe, linededup, minhash, mixing, neighbours, sharding, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all texts, against those of their edited texts and of the next documents."""
+    found = minhash.against_edits(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
+
+
 def op3_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards along the Hilbert curve, by equal row counts."""
     placed = sharding.hilbert_shards(table(spark, sf_dir, "documents"), 40)
@@ -52,6 +58,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest other vectors of every vector whose id is divisible by 50."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded and decoded with the word tokenizer."""
     encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -70,8 +81,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
+    "op2_minhash": op2_minhash,
     "op3_hilbert": op3_hilbert,
     "op4_line_dedup": op4_line_dedup,
+    "op6_neighbours": op6_neighbours,
     "op8_bpe": op8_bpe,
     "op9_simhash": op9_simhash,
 }
@@ -92,4 +105,16 @@ SQL: dict[str, str] = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (owner IS NULL OR owner = doc_id), ''))
                    AS kept_sha256
         FROM lines LEFT JOIN repeated USING (key) GROUP BY doc_id""",
+    "op6_neighbours": """
+        WITH vectors AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        ranked AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.v, c.v) AS score,
+                   CAST(row_number() OVER (
+                       PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.v, c.v) DESC, c.vec_id) AS INTEGER) AS rank
+            FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
 }
