@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, linededup, minhash, mixing, neighbours, sharding, simhash
+from . import bpe, linededup, minhash, mixing, neighbours, pii, sharding, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text: counts and digest of the patterns' spans, and all spans."""
+    found = pii.detect(table(spark, sf_dir, "documents"))
+    return found.withColumn("base_sha256", F.sha2(F.encode("base", "UTF-8"), 256)).drop("base")
+
+
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest other vectors of every vector whose id is divisible by 50."""
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
@@ -84,6 +90,7 @@ QUERIES: dict[str, Query] = {
     "op2_minhash": op2_minhash,
     "op3_hilbert": op3_hilbert,
     "op4_line_dedup": op4_line_dedup,
+    "op5_pii": op5_pii,
     "op6_neighbours": op6_neighbours,
     "op8_bpe": op8_bpe,
     "op9_simhash": op9_simhash,
