@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, linededup, minhash, mixing, neighbours, pii, sharding, simhash
+from . import bpe, linededup, minhash, mixing, neighbours, pii, quality, sharding, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,6 +85,18 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, reach=3)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both views' and the combined quality score of every document, and whether it is kept."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return quality.classify(docs, table(spark, sf_dir, "labels")).select(
+        "doc_id",
+        F.col("__text_score").alias("text_score"),
+        F.col("__metadata_score").alias("metadata_score"),
+        F.col("__quality").alias("quality_score"),
+        (F.col("__quality") >= quality.THRESHOLD).alias("kept"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_minhash": op2_minhash,
@@ -94,6 +106,7 @@ QUERIES: dict[str, Query] = {
     "op6_neighbours": op6_neighbours,
     "op8_bpe": op8_bpe,
     "op9_simhash": op9_simhash,
+    "op10_quality": op10_quality,
 }
 
 SQL: dict[str, str] = {
