@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, linededup, minhash, mixing, neighbours, pii, quality, sharding, simhash
+from . import bpe, language, linededup, minhash, mixing, neighbours, pii, quality, sharding, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +69,13 @@ def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of every whole text; documents of one remainder of seven are held out."""
+    remainder = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 7
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return language.score(docs.withColumn("held", F.coalesce(remainder == 2, F.lit(False))), "held")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded and decoded with the word tokenizer."""
     encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -104,6 +111,7 @@ QUERIES: dict[str, Query] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_pii": op5_pii,
     "op6_neighbours": op6_neighbours,
+    "op7_language": op7_language,
     "op8_bpe": op8_bpe,
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
