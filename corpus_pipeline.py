@@ -1,25 +1,68 @@
-"""A corpus pipeline of the operators in ``llm``: each stage works on all that the one before it kept."""
+"""A corpus pipeline of the operators in ``llm``: each stage works on all that the one before it kept.
+
+Documents of low quality go, then lines that several documents hold, then near-duplicate documents. What is left is
+mixed by source to the target weights, which repeats documents of some sources, and encoded. Every stage but the last
+returns the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from llm import simhash
+from isopanel.sinks.tables import store
+from llm import bpe, linededup, mixing, quality, simhash
 from llm.common import table
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest id."""
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier doesn't reject."""
+    return quality.good(docs, table(spark, sf_dir, "labels"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that a document of a smaller id holds too."""
+    return linededup.without_repeated_lines(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
     return simhash.keep_one(docs)
 
 
-STAGES = [("simhash near-dedup", near_duplicates)]
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, as often as it takes them."""
+    return mixing.Mix(docs).mixed(docs)
+
+
+def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document of the mix, with digests of them and of the text they decode to."""
+    encoded = bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return encoded.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+        "ids",
+    )
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("line dedup", line_dedup),
+    ("SimHash near-dedup", near_dedup),
+    ("mixing sources to target weights", source_mixing),
+    ("BPE encoding and decoding", bpe_encoding),
+]
 
+#: A classifier, fingerprints and a tokenizer are beyond SQL; the stages are tested against plain versions instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents, each one's result written and read by the next."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = store(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -202,7 +202,7 @@ def seat(customers: np.ndarray, pull: np.ndarray, discount: float, random: np.ra
     The next customer opens a table with odds ``pull`` against the customers seated, less the discount of their tables.
     The first 16 are seated singly. Behind them, for a weak pull the customer who opens the next table is drawn at once,
     from the product of the chances that nobody before does; for a strong one customers come in parties of a sixteenth
-    of those that count, within which the odds are held.
+    of those that count, with the odds that its middle one meets.
     """
     tables = np.minimum(customers, 1)
     for seated in range(1, 16):
@@ -225,7 +225,7 @@ def seat(customers: np.ndarray, pull: np.ndarray, discount: float, random: np.ra
     while len(strong):
         weight = pull[strong] + seated[strong] - discount * tables[strong]
         party = np.minimum(np.maximum(1, weight // 16), customers[strong] - seated[strong]).astype(np.int64)
-        tables[strong] += random.binomial(party, pull[strong] / weight)
+        tables[strong] += random.binomial(party, pull[strong] / (weight + (party - 1) / 2))
         seated[strong] += party
         strong = strong[seated[strong] < customers[strong]]
     return tables

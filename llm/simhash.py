@@ -244,9 +244,13 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents whose id is their component's smallest, whole and with all their columns.
+    """One document of each component, the one with the smallest id, whole and with all its columns.
 
-    Of rows that repeat this id all stay if they are equal in text, and so do rows without an id.
+    Of rows that repeat this id and its text one stays. Rows without an id can't be told apart and stay.
     """
-    found = near_duplicates(docs, doc_id, text).where("doc_id <> component_id").select(F.col("doc_id").alias("__copy"))
-    return docs.join(found.distinct(), F.col(doc_id) == F.col("__copy"), "left_anti")
+    found = store(near_duplicates(docs, doc_id, text).select(F.col("doc_id").alias("__id"), "component_id"), "found")
+    copies = found.where("__id <> component_id").select("__id").distinct()
+    repeated = store(found.where("__id = component_id").groupBy("__id").count().where("count > 1").select("__id"), "repeated")
+    same = F.col(doc_id) == F.col("__id")
+    rest = docs.join(copies, same, "left_anti").join(repeated, same, "left_anti")
+    return rest.unionByName(docs.join(repeated, same, "left_semi").dropDuplicates([doc_id, text]))
