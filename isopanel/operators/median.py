@@ -2,19 +2,16 @@
 
 ``percentile`` keeps a map of all distinct values of a group in the memory of one task. That is right for small
 groups and wrong when one year or one place holds a third of all rows. Here the rows are first reduced to
-``(group, value) -> count``, which spreads a hot group over all tasks, and the neighbourhood of the middle is then
-narrowed down:
-
-1. a slab number that grows with the value (2**20 slabs per power of two) gives a histogram per group, whose size
-   depends on the range of the values and not on the number of rows; its running sum names the one or two slabs
-   that hold the middle rows;
-2. the values of those slabs alone are sorted, slab by slab, and counted up to the middle. The sort spills to disk
-   and holds no state per value.
-
-Any slab function that never decreases with the value gives exact results, as all values of a lower slab lie below
-all values of a higher one. Values that agree in their first 20 bits share a slab; where a group has very many of
-them, ``levels=2`` splits the slab again by 2**20 equal steps, and ``levels=3`` leaves at most a few values per step
-for any doubles.
+``(group, value) -> count``, which spreads a hot group over all tasks, and stored. Where a group has more than a few
+distinct values, the range that holds its middle rows is narrowed down:
+
+1. the range is cut into a bounded number of slabs, the counts are summed by slab, which again happens in every task
+   before anything is shuffled, and the running sum over a group's slabs names those that hold the middle rows;
+2. this is repeated on the range that these slabs cover until it has few distinct values, or only the two values in
+   question. A level cuts wide ranges by the logarithm and narrow ones evenly, so each level leaves about a thousandth
+   of the range, and a handful of levels does for any doubles.
+
+What is left is a row for each group, whose stored size the planner knows, and the few counts within its range.
 """
 
 from __future__ import annotations
@@ -25,11 +22,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLABS_PER_OCTAVE = 1 << 20
-FINE_STEPS = 1 << 20
+from ..sinks.tables import store
 
-_OCTAVE_SHIFT = 1100  # above 1074, the depth of the smallest double, so that slab numbers of positives are > 0
-_BEYOND = 1 << 50
+#: Slabs that a group's range is cut into, and distinct values that are sorted without cutting.
+SLABS, FEW = 1_024, 4_096
+#: Powers of two above which a range is cut by the logarithm.
+WIDE = 2.0
+
+_ABOVE_DEPTH = 1100.0  # more than 1074, the depth of the smallest double, so that depths of positives are > 0
 _INF = float("inf")
 
 
@@ -46,12 +46,13 @@ def exact_median(
     value: str = "value",
     output: str = "median",
     weight: str | None = None,
-    levels: int = 1,
+    few: int = FEW,
 ) -> DataFrame:
     """Median of ``value`` per group; the mean of the middle two when the number of rows is even.
 
     With ``weight`` each row stands for that many equal rows, so the result of :func:`value_counts` on finer keys
-    can be rolled up without reading the rows again.
+    can be rolled up without reading the rows again. How often ranges are cut depends on the values, so the counts and
+    the groups' ranges are worked out here; the rest is left to the plan that is returned.
     """
     keys = list(keys)
     if weight is None:
@@ -62,20 +63,29 @@ def exact_median(
             .groupBy(*keys, F.col(value).alias("_v"))
             .agg(F.sum(weight).alias("_n"))
         )
+    counts = store(counts, "counts")
+    groups = store(
+        counts.groupBy(*keys).agg(
+            F.min("_v").alias("_lo"),
+            F.max("_v").alias("_hi"),
+            F.count(F.lit(1)).alias("_k"),
+            F.sum("_n").alias("_total"),
+            F.lit(0).cast("bigint").alias("_below"),
+            F.lit(False).alias("_found"),
+        ),
+        "groups",
+    )
+    many = (F.col("_k") > few) & ~F.col("_found")
+    while not groups.where(many).isEmpty():
+        groups = store(groups.where(~many).unionByName(_narrow(counts, groups.where(many), keys)), "groups")
 
-    group = [*keys, "_slab1"]
-    near = _narrow(counts.withColumn("_slab1", _coarse_slab(F.col("_v"))), keys, "_slab1", levels > 1)
-    for level in range(2, levels + 1):
-        slab = f"_slab{level}"
-        step = _fine_step(F.col("_v"), F.col("_lo"), F.col("_hi"))
-        near = _narrow(near.withColumn(slab, step), group, slab, levels > level)
-        group = [*group, slab]
-
-    by_value = Window.partitionBy(*group).orderBy("_v")
-    before = F.col("_below") + _running("_n", by_value)
-    middle = near.withColumn("_before", before).where(_holds_middle(F.col("_before"), F.col("_n")))
+    within = counts.join(groups.where(~F.col("_found")), keys).where("_v >= _lo and _v <= _hi")
+    before = F.col("_below") + _running("_n", Window.partitionBy(*keys).orderBy("_v"))
+    middle = within.withColumn("_before", before).where(_holds_middle(F.col("_before"), F.col("_n")))
     # One or two values per group are left. Halving the sum, not summing the halves, is how a mean of two is taken.
-    return middle.groupBy(*keys).agg(((F.min("_v") + F.max("_v")) / 2).alias(output))
+    sorted_out = middle.groupBy(*keys).agg(((F.min("_v") + F.max("_v")) / 2).alias(output))
+    found = groups.where("_found").select(*keys, ((F.col("_lo") + F.col("_hi")) / 2).alias(output))
+    return sorted_out.unionByName(found)
 
 
 def small_group_median(value: str | Column) -> Column:
@@ -83,28 +93,29 @@ def small_group_median(value: str | Column) -> Column:
     return F.percentile(value, F.lit(0.5))
 
 
-def _narrow(rows: DataFrame, group: list[str], slab: str, with_limits: bool) -> DataFrame:
-    """The rows in those slabs of each group that hold its middle rows.
+def _narrow(counts: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """The groups with the ranges of the slabs that hold their middle rows.
 
-    They carry the number of rows below their slab, the size of the whole group and, if asked for, the lowest and
-    highest value of the slab.
+    If the middle rows lie in two slabs, they are the highest value of the one and the lowest of the other, and found.
     """
-    again = "_below" in rows.columns
-    carried = [F.first(name).alias(name) for name in ("_below", "_total")] if again else []
-    if with_limits:
-        carried += [F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
-    histogram = rows.groupBy(*group, slab).agg(F.sum("_n").alias("_m"), *carried)
-    below = _running("_m", Window.partitionBy(*group).orderBy(slab))
-    total = F.sum("_m").over(Window.partitionBy(*group))
-    placed = histogram.withColumns(
-        {
-            "_below": F.col("_below") + below if again else below,
-            "_total": F.col("_total") if again else total,
-        }
+    ranges = groups.drop("_k", "_found")
+    within = counts.join(ranges, keys).where("_v >= _lo and _v <= _hi")
+    slabs = (
+        within.withColumn("_slab", _slab(F.col("_v"), F.col("_lo"), F.col("_hi")))
+        .groupBy(*keys, "_total", "_below", "_slab")
+        .agg(F.sum("_n").alias("_m"), F.count(F.lit(1)).alias("_k"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    )
+    placed = slabs.withColumn("_below", F.col("_below") + _running("_m", Window.partitionBy(*keys).orderBy("_slab")))
+    middle = placed.where(_holds_middle(F.col("_below"), F.col("_m")))
+    several = F.count(F.lit(1)) > 1
+    return middle.groupBy(*keys).agg(
+        F.when(several, F.min("_hi")).otherwise(F.min("_lo")).alias("_lo"),
+        F.when(several, F.max("_lo")).otherwise(F.max("_hi")).alias("_hi"),
+        F.sum("_k").alias("_k"),
+        F.first("_total").alias("_total"),
+        F.min("_below").alias("_below"),
+        several.alias("_found"),
     )
-    slabs = placed.where(_holds_middle(F.col("_below"), F.col("_m")))
-    bare = rows.drop("_below", "_total", "_lo", "_hi")
-    return bare.join(slabs.drop("_m"), [*group, slab])
 
 
 def _running(count: str, window) -> Column:
@@ -119,27 +130,23 @@ def _holds_middle(before: Column, size: Column) -> Column:
     return (before < upper) & (before + size >= lower)
 
 
-def _coarse_slab(v: Column) -> Column:
-    depth = F.floor((F.log2(F.abs(v)) + F.lit(_OCTAVE_SHIFT)) * F.lit(float(SLABS_PER_OCTAVE))).cast("bigint")
-    slab = (
-        F.when(v == 0, F.lit(0).cast("bigint"))
-        .when(v == F.lit(_INF), F.lit(_BEYOND))
-        .when(v == F.lit(-_INF), F.lit(-_BEYOND))
+def _depth(v: Column) -> Column:
+    """The binary logarithm of the distance from zero, signed and finite, so that it never falls as the value rises."""
+    depth = F.log2(F.abs(v)) + _ABOVE_DEPTH
+    return (
+        F.when(v == 0, 0.0)
+        .when(F.abs(v) == _INF, F.when(v > 0, 2 * _ABOVE_DEPTH).otherwise(-2 * _ABOVE_DEPTH))
         .when(v > 0, depth)
         .otherwise(-depth)
     )
-    return _never_null(slab)
-
-
-def _fine_step(v: Column, lo: Column, hi: Column) -> Column:
-    step = F.when(hi > lo, F.floor((v - lo) / (hi - lo) * F.lit(float(FINE_STEPS))))
-    return _never_null(step.cast("bigint"))
 
 
-def _never_null(x: Column) -> Column:
-    # The slab is a join key. If it could be null, the optimizer would add a not-null filter below one use of the
-    # value counts and not below the other, and the counts would be computed and shuffled twice.
-    return F.coalesce(x, F.lit(0).cast("bigint"))
+def _slab(v: Column, lo: Column, hi: Column) -> Column:
+    """The number of a value's slab. It never falls as the value rises, and the ends of a range lie in different ones."""
+    wide = _depth(hi) - _depth(lo) > WIDE
+    by_depth = (_depth(v) - _depth(lo)) / (_depth(hi) - _depth(lo))
+    evenly = (v - lo) / (hi - lo)
+    return F.least(F.floor(F.when(wide, by_depth).otherwise(evenly) * SLABS), F.lit(SLABS - 1)).cast("int")
 
 
 def _all(conditions: Sequence[Column]) -> Column:

@@ -28,12 +28,12 @@ def groups():
     return made
 
 
-@pytest.mark.parametrize("levels", [1, 2, 3])
-def test_matches_brute_force(spark, levels):
+@pytest.mark.parametrize("few", [1, 8, 4096])
+def test_matches_brute_force(spark, few):
     rows = [(g, float(v)) for g, values in groups().items() for v in values]
     random.Random(3).shuffle(rows)
     df = spark.createDataFrame(rows, "g string, value double").repartition(7)
-    got = {r["g"]: r["median"] for r in exact_median(df, ["g"], levels=levels).collect()}
+    got = {r["g"]: r["median"] for r in exact_median(df, ["g"], few=few).collect()}
     for g, values in groups().items():
         ordered = sorted(values)
         a, b = ordered[(len(ordered) - 1) // 2], ordered[len(ordered) // 2]
@@ -64,10 +64,32 @@ def test_order_and_partitioning_do_not_matter(spark):
     assert first == again
 
 
+def test_many_values_in_one_slab(spark):
+    """Nearly all values share the first slab of a range that one far value stretches, level after level."""
+    near = [1.0 + k * 2.0**-40 for k in range(6000)]
+    rows = [(v,) for v in [*near, 1e3, 1e6, 1e300, -1e300]]
+    df = spark.createDataFrame(rows, "value double").withColumn("g", F.lit("a"))
+    ordered = sorted(v for (v,) in rows)
+    expected = (ordered[(len(rows) - 1) // 2] + ordered[len(rows) // 2]) / 2
+    assert [r["median"] for r in exact_median(df, ["g"], few=4).collect()] == [expected]
+
+
 def test_no_group_meets_in_one_task_before_it_is_narrowed(spark):
-    """Rows leave their scan as (group, value) counts, and are never shuffled or sorted by the group alone."""
-    df = spark.range(1000).select((F.col("id") % 2).alias("g"), F.rand(4).alias("value"))
-    plan = exact_median(df, ["g"])._jdf.queryExecution().executedPlan().toString()
-    assert "ObjectHashAggregate" not in plan and "collect_list" not in plan and "CartesianProduct" not in plan
-    first_shuffle = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line][-1]
+    """Rows leave their scan as (group, value) counts; a group's own rows meet only where few of them are left."""
+    df = spark.range(20000).select((F.col("id") % 2).alias("g"), F.rand(4).alias("value"))
+    counts = value_counts(df, ["g"])._jdf.queryExecution().executedPlan().toString()
+    first_shuffle = [line for line in counts.splitlines() if "Exchange hashpartitioning" in line][-1]
     assert "value" in first_shuffle
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = exact_median(df, ["g"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ObjectHashAggregate" not in plan and "collect_list" not in plan and "CartesianProduct" not in plan
+    assert plan.count("Scan parquet") <= 3  # the stored counts once, and the groups' ranges
+
+
+def test_narrowing_leaves_few_values(spark):
+    df = spark.range(50000).select(F.lit(1).alias("g"), F.exp(F.randn(5) * 9).alias("value"))
+    values = sorted(r["value"] for r in df.collect())
+    assert exact_median(df, ["g"], few=16).first()["median"] == (values[24999] + values[25000]) / 2
