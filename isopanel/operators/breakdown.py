@@ -46,24 +46,40 @@ def rank_members(medians: DataFrame, side: str, n: int = 10, keys: Sequence[str]
     return ranked.where(F.col("rank") <= n).select(*keys, F.lit(side).alias("side"), "rank", "member", "median")
 
 
-def heatmap_pivot(cells: DataFrame, years: Sequence[int], keys: Sequence[str] = COUNTRY) -> DataFrame:
-    """Member by year as columns, one cell per member and year. The years are given, which saves a job."""
-    return cells.groupBy(*keys, "member").pivot("year", list(years)).agg(F.first("value"))
+def _laid_out(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Each member's figures as a map by year, beside the years that any member of the country has.
 
-
-def heatmap_dense(cells: DataFrame, keys: Sequence[str] = COUNTRY) -> DataFrame:
-    """A row for every member and every year that any member of the country has; null where there is no figure.
-
-    The years of a country travel as one array to its members, and each member lays its figures over them. No
-    rows are paired, and the number of columns stays fixed.
+    The years of a country travel as one array to its members. No rows are paired.
     """
-    years = cells.groupBy(*keys).agg(F.array_sort(F.collect_set("year")).alias("_years"))
+    years = cells.groupBy(*keys).agg(F.array_sort(F.collect_set("year")).alias("years"))
     members = cells.groupBy(*keys, "member").agg(
         F.map_from_entries(F.collect_list(F.struct("year", "value"))).alias("_cells")
     )
-    return members.join(years, list(keys)).select(
-        *keys, "member", F.explode("_years").alias("year"), "_cells"
-    ).select(*keys, "member", "year", F.try_element_at("_cells", F.col("year")).alias("value"))
+    return members.join(years, list(keys))
+
+
+def heatmap_pivot(cells: DataFrame, keys: Sequence[str] = COUNTRY) -> DataFrame:
+    """Member by year: a row for each member with the country's years and, beside them, its figures or nulls.
+
+    The years are whatever the data has. They are kept as an array, since columns would have to be named before the
+    data is read; ``heatmap_columns`` makes columns of them.
+    """
+    figures = F.transform("years", lambda year: F.try_element_at("_cells", year))
+    return _laid_out(cells, keys).select(*keys, "member", "years", figures.alias("values"))
+
+
+def heatmap_columns(cells: DataFrame, keys: Sequence[str] = COUNTRY) -> DataFrame:
+    """Member by year with a column for each year that the data has; Spark reads the years first."""
+    return cells.groupBy(*keys, "member").pivot("year").agg(F.first("value"))
+
+
+def heatmap_dense(cells: DataFrame, keys: Sequence[str] = COUNTRY) -> DataFrame:
+    """A row for every member and every year that any member of the country has; null where there is no figure."""
+    return (
+        _laid_out(cells, keys)
+        .select(*keys, "member", F.explode("years").alias("year"), "_cells")
+        .select(*keys, "member", "year", F.try_element_at("_cells", F.col("year")).alias("value"))
+    )
 
 
 def latest_period(cells: DataFrame, keys: Sequence[str] = COUNTRY) -> DataFrame:

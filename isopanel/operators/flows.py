@@ -19,6 +19,19 @@ def flow_links(rows: DataFrame, keys: Sequence[str] = COUNTRY, digits: int | Non
     return links if digits is None else links.withColumn("value", round_exact("value", digits))
 
 
+def flow_links_with_years(rows: DataFrame, keys: Sequence[str] = COUNTRY) -> DataFrame:
+    """Unrounded total per source and target with the first and the last year, in one pass."""
+    present = rows.dropna(subset=[*keys, "source", "target", "value"])
+    return present.groupBy(*keys, "source", "target").agg(
+        F.sum("value").alias("value"), F.min("year").alias("first_year"), F.max("year").alias("last_year")
+    )
+
+
+def flow_years(links: DataFrame, keys: Sequence[str] = COUNTRY) -> DataFrame:
+    """First and last year of all links of a country."""
+    return links.groupBy(*keys).agg(F.min("first_year").alias("first_year"), F.max("last_year").alias("last_year"))
+
+
 def flow_nodes(links: DataFrame, keys: Sequence[str] = COUNTRY) -> DataFrame:
     """Distinct sources and targets of each country."""
     sources = links.select(*keys, F.col("source").alias("label"))

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import fixed_text, round_exact
+from ..functions.numeric import fixed_text, significant
 from ..functions.text import fill, sentences
 from .compare import IN_LINE
 
@@ -114,15 +114,13 @@ FLOW_NOTE = "**{leader}** leads {target} supply."
 FLOW_NO_NOTE = "No significant {target} generation."
 
 
-# Sums of doubles vary in their last digits with the order of the rows. Computed figures lose those digits before
-# they are turned into text, so that a figure halfway between two texts gives the same one in every run.
-STABLE_DIGITS = 6
-
-
 def _stable(df: DataFrame, **figures: Column | str) -> DataFrame:
-    """Add computed figures as columns. Rounding names its argument several times, and text does so again; as
-    columns the figures are worked out once instead of being repeated inside of each other."""
-    return df.withColumns({name: round_exact(value, STABLE_DIGITS) for name, value in figures.items()})
+    """Add computed figures as columns, with the digits that don't vary with the order of the rows.
+
+    Text names its argument several times; as columns the figures are worked out once instead of being repeated
+    inside of each other.
+    """
+    return df.withColumns({name: significant(value) for name, value in figures.items()})
 
 
 def _text(column: Column | str) -> Column:
@@ -346,8 +344,8 @@ def insight_comparison(
     return _stable(joined, **{name: name for name in windows}).select(*keys, text.alias("text"))
 
 
-def insight_tail_risk_overview(extent: DataFrame, counts: DataFrame, labels: DataFrame) -> DataFrame:
-    """Number of zero-centred extreme events, highest and lowest value."""
+def insight_tail_risk_overview(facts: DataFrame, labels: DataFrame) -> DataFrame:
+    """Number of zero-centred extreme events, highest and lowest value; facts: of ``zero_centred_overview``."""
     keys = ["country", "indicator"]
     text = fill(
         RISK_OVERVIEW, country="country", label="label", first_year=_text("first_year"),
@@ -355,7 +353,7 @@ def insight_tail_risk_overview(extent: DataFrame, counts: DataFrame, labels: Dat
         max_value=fixed_text("max_value", 2), max_year=_text("max_year"), min_value=fixed_text("min_value", 2),
         min_year=_text("min_year"),
     )
-    joined = extent.join(counts, keys).join(labels, "indicator")
+    joined = facts.join(labels, "indicator")
     return _stable(joined, threshold="threshold").select(*keys, text.alias("text"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import first_by, round_exact
+from ..sinks.tables import store
 from .series import KEYS
 
 SPREADS = 2.0
@@ -70,18 +71,39 @@ def zero_centred_threshold(rows: DataFrame, keys: Sequence[str] = KEYS) -> DataF
     )
 
 
-def tail_risk_zero_centred(rows: DataFrame, thresholds: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Rows beyond the threshold on either side of zero.
+def tail_risk_zero_centred(
+    rows: DataFrame, thresholds: DataFrame, keys: Sequence[str] = KEYS, also: Sequence[str] = ()
+) -> DataFrame:
+    """Rows beyond the threshold on either side of zero, with further columns of the thresholds if asked for.
 
     The thresholds are a table of their own: stored before, they are small enough for the rows to stay where they are.
     """
     beyond = (F.col("value") > F.col("threshold")) | (F.col("value") < -F.col("threshold"))
-    return rows.join(thresholds, list(keys)).where(beyond).select(*keys, "year", "value", "threshold")
+    return rows.join(thresholds, list(keys)).where(beyond).select(*keys, "year", "value", "threshold", *also)
 
 
-def zero_centred_counts(rows: DataFrame, thresholds: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Threshold and number of events per key, zero included."""
-    events = tail_risk_zero_centred(rows, thresholds, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_extremes"))
-    return thresholds.join(events, list(keys), "left").withColumn(
-        "n_extremes", F.coalesce("n_extremes", F.lit(0)).cast("bigint")
+def zero_centred_overview(rows: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Extent, threshold and number of events beyond it, per key, in two passes over the rows.
+
+    The first pass takes figures that a task can add up, and is stored; the second counts against them and finds the
+    years of the lowest and the highest value, the earliest on ties.
+    """
+    keys = list(keys)
+    present = rows.dropna(subset=[*keys, "year", "value"])
+    figures = store(
+        present.groupBy(*keys).agg(
+            (F.stddev_samp("value") * SPREADS).alias("threshold"),
+            F.min("year").alias("first_year"),
+            F.max("year").alias("last_year"),
+            F.min("value").alias("min_value"),
+            F.max("value").alias("max_value"),
+        ),
+        "figures",
+    )
+    value, threshold = F.col("value"), F.col("threshold")
+    counts = present.join(figures, keys).groupBy(*keys).agg(
+        F.count(F.when((value > threshold) | (value < -threshold), 1)).alias("n_extremes"),
+        F.min(F.when(value == F.col("min_value"), F.col("year"))).alias("min_year"),
+        F.min(F.when(value == F.col("max_value"), F.col("year"))).alias("max_year"),
     )
+    return figures.join(counts, keys)

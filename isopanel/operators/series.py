@@ -100,28 +100,39 @@ def headline_change(baseline: DataFrame, digits: int = 2) -> DataFrame:
     return ends.withColumn("change", round_exact(F.col("end_value") - F.col("start_value"), digits))
 
 
+def headline_stat(headline: DataFrame, labels: DataFrame, indicator: str, label: str) -> DataFrame:
+    """The headline figure: one indicator's change with a label of its own and the indicator's unit."""
+    units = labels.select("indicator", "unit")
+    picked = headline.where(F.col("indicator") == indicator).join(units, "indicator")
+    return picked.select(
+        F.lit(label).alias("label"), "unit", "start_year", "end_year", "start_value", "end_value", "change"
+    )
+
+
+def _by_year(series: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Lowest and highest value of each year. Rows may be raw ones, so they are reduced by hashing alone, before
+    anything is picked by an order."""
+    present = series.dropna(subset=[*keys, "year", "value"])
+    return present.groupBy(*keys, "year").agg(F.min("value").alias("_min"), F.max("value").alias("_max"))
+
+
 def series_extent(series: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """First and last year, lowest and highest value and their years; the earliest year wins ties."""
-    present = series.dropna(subset=[*keys, "year", "value"])
-    year, value = F.col("year"), F.col("value")
-    return present.groupBy(*keys).agg(
+    year = F.col("year")
+    return _by_year(series, keys).groupBy(*keys).agg(
         F.min(year).alias("first_year"),
         F.max(year).alias("last_year"),
-        F.min(value).alias("min_value"),
-        F.max(value).alias("max_value"),
-        first_by(year, value, year).alias("min_year"),
-        first_by(year, -value, year).alias("max_year"),
+        F.min("_min").alias("min_value"),
+        F.max("_max").alias("max_value"),
+        first_by(year, F.col("_min"), year).alias("min_year"),
+        first_by(year, -F.col("_max"), year).alias("max_year"),
     )
 
 
 def last_point(series: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Year and value of the latest entry. With several rows in the latest year, the highest value counts."""
-    latest = F.max(F.struct("year", "value"))
-    return (
-        series.dropna(subset=[*keys, "year", "value"])
-        .groupBy(*keys)
-        .agg(latest.alias("_latest"))
-        .select(*keys, F.col("_latest.year").alias("year"), F.col("_latest.value").alias("value"))
+    return _by_year(series, keys).groupBy(*keys).agg(
+        F.max("year").alias("year"), F.max_by("_max", "year").alias("value")
     )
 
 
@@ -151,6 +162,12 @@ def coverage_counts(series: DataFrame) -> DataFrame:
     )
 
 
+def sorted_series(series: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Annual figures with their position in the series, from 1. A series has one row for each year."""
+    position = F.row_number().over(Window.partitionBy(*keys).orderBy("year"))
+    return series.select(*keys, position.alias("position"), "year", "value")
+
+
 def series_arrays(aligned: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Parallel arrays of years, values and regional medians, ordered by year. For the output side: a row holds
     one series, whose length is bounded by the number of years."""

@@ -20,14 +20,14 @@ from ..operators import narrative as n
 from ..operators import risk as rk
 from ..operators import series as s
 from ..operators import trend as tr
-from ..sinks.documents import chart_payload, country_document, enriched_document, write_documents
+from ..sinks.documents import chart_payload, country_document, enriched_document, read_documents, write_documents
 from ..sinks.tables import store, write_tables
 from ..sources import catalog as c
 from ..sources import observations as o
 from ..sources.countries import project_map_xy, standard_countries
 
-SERIES_TABLES = ("series", "trend", "headline", "countries", "catalog")
-DETAIL_TABLES = ("products", "power_sources", "power_links", "risk", "extremes")
+#: Detail tables that a request's charts show, with the rankings made for them.
+CHART_TABLES = ("products", "power_sources", "power_links", "risk", "extremes")
 
 
 def stage(
@@ -37,8 +37,13 @@ def stage(
     return {name: store(df, name) for name, df in o.scan_many(spark, root, files).items()}
 
 
-def read_tables(spark: SparkSession, root: str, names: tuple[str, ...]) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(join(root, name)) for name in names}
+def write_and_read(tables: Mapping[str, DataFrame], root: str) -> dict[str, DataFrame]:
+    """The tables as they are read back, with their own types: those of folder names would be guessed."""
+    write_tables(tables, root)
+    return {
+        name: table.sparkSession.read.schema(table.schema).parquet(join(root, name)).select(*table.columns)
+        for name, table in tables.items()
+    }
 
 
 def build(
@@ -54,21 +59,22 @@ def build(
     counts = {agg: store(s.panel_counts(panel), f"counts_{agg}") for agg, panel in panels.items()}
     regional = store(s.regional_median(reduce(DataFrame.unionByName, counts.values()), weight="n"), "regional")
     series = s.align_regional(s.annual_panel(counts, weight="n"), regional)
-    write_tables({"series": series}, out)
-    series = spark.read.parquet(join(out, "series"))
-    write_tables(
+    labels = catalog.frame(spark)
+    headline = store(s.headline_change(regional), "headline")
+    tables = write_and_read({"series": series}, out)
+    tables |= write_and_read(
         {
-            "trend": tr.linear_trend(series),
-            "headline": s.headline_change(regional),
+            "trend": tr.linear_trend(tables["series"]),
+            "headline": headline,
+            "headline_stat": s.headline_stat(headline, labels, c.HEADLINE_INDICATOR, c.HEADLINE_LABEL),
             "countries": project_map_xy(dim),
-            "catalog": catalog.frame(spark),
+            "catalog": labels,
         },
         out,
     )
-    tables = read_tables(spark, out, SERIES_TABLES)
     document = country_document(tables["countries"], tables["series"], tables["trend"], tables["catalog"])
     write_documents(document, join(out, "documents"))
-    return {**tables, "documents": document}
+    return {**tables, "documents": read_documents(document, join(out, "documents"))}
 
 
 def enrich(
@@ -83,7 +89,6 @@ def enrich(
 
     The first batch is read and left as it is.
     """
-    spark = built["series"].sparkSession
     rows = [
         o.load_products(datasets[catalog[name].source], catalog[name].rows).withColumn("indicator", F.lit(name))
         for name in product_indicators
@@ -91,7 +96,7 @@ def enrich(
     keys = ["country", "indicator"]
     power = datasets[catalog["power_generation"].source]
     risky = built["series"].where(F.col("indicator").isin(*risk_indicators)).drop("regional_median")
-    write_tables(
+    tables = write_and_read(
         {
             "products": b.member_annual(reduce(DataFrame.unionByName, rows), "median", keys),
             "power_sources": b.member_annual(o.load_power_by_source(power), "sum"),
@@ -101,13 +106,12 @@ def enrich(
         },
         out,
     )
-    tables = read_tables(spark, out, DETAIL_TABLES)
     document = enriched_document(
         built["documents"], tables["products"], tables["power_sources"], tables["power_links"], tables["risk"],
         tables["extremes"], risky,
     )
     write_documents(document, join(out, "documents_enriched"))
-    return {**tables, "documents_enriched": document}
+    return {**tables, "documents_enriched": read_documents(document, join(out, "documents_enriched"))}
 
 
 def answer(
@@ -119,7 +123,9 @@ def answer(
 ) -> dict[str, DataFrame]:
     """Texts, rankings and chart rows for a table of requests (``country``, ``compare``).
 
-    Any number of requests is answered at once; they are joined to the tables by country.
+    Any number of requests is answered at once; they are joined to the tables by country. ``charts`` has the series and
+    ``charts_<table>`` the products, sources, flows, tail risk and rankings, each for the primary and the compare
+    country with its role.
     """
     dim, series, labels = built["countries"], built["series"], built["catalog"]
     asked = cmp.resolve_compare(cmp.country_or_default(requests, dim, default), dim)
@@ -132,7 +138,9 @@ def answer(
     insights = n.insight_indicator(n.indicator_facts(endpoints, cmp.latest_vs_median(series), labels, asked))
     keys = ["country", "indicator"]
     medians = b.median_of_years(details["products"], keys).join(named, "country", "left_semi")
-    ranked = {side: b.rank_members(medians, side, keys=keys) for side in ("top", "bottom")}
+    ranked = {side: store(b.rank_members(medians, side, keys=keys), side) for side in ("top", "bottom")}
+    both = ranked["top"].unionByName(ranked["bottom"])
+    extended = {**{name: details[name] for name in CHART_TABLES}, "ranked": both}
     has_series = series.select(*keys).distinct().withColumn("_has", F.lit(True))
     wanted = named.withColumn("indicator", F.explode(F.array(*[F.lit(i) for i in product_indicators])))
     wanted = wanted.join(has_series, keys, "left").select(
@@ -142,10 +150,11 @@ def answer(
     return {
         "insights": insights.select("country", "compare", "indicator", "text"),
         "summary": n.insight_summary(insights),
-        "ranked": ranked["top"].unionByName(ranked["bottom"]),
+        "ranked": both,
         "ranked_insights": n.insight_ranked(wanted, labels, ranked["top"], ranked["bottom"]),
         "tail_risk_insights": n.insight_tail_risk(risk, labels),
         "power_mix_insights": n.insight_power_mix(named, b.latest_mix(details["power_sources"])),
         "flow_insights": n.insight_flow(named, fl.flow_leaders(details["power_links"])),
         "charts": chart_payload(series, asked),
+        **{f"charts_{name}": chart_payload(table, asked) for name, table in extended.items()},
     }

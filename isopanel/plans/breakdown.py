@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.numeric import round_exact
+from ..functions.numeric import fixed_text, round_exact
 from ..operators import breakdown as b
 from ..operators import flows as fl
 from ..sinks.tables import store
 from ..sources import observations as o
 from .oracle import r, with_
 from .registry import query
-from .testbed import YEARS, Testbed
+from .testbed import Testbed
 
 
 @query("product_annual_median", with_("product_cells") + "SELECT * FROM product_cells")
@@ -69,11 +69,17 @@ def rank_products_raw(t: Testbed):
     return b.rank_members(medians, "top").union(b.rank_members(medians, "bottom"))
 
 
-@query("heatmap_pivot", with_("source_cells") + f"""
-SELECT country, member, {", ".join(f'max(CASE WHEN year = {y} THEN value END) AS "{y}"' for y in YEARS)}
-FROM source_cells GROUP BY country, member""")
+@query("heatmap_pivot", with_("source_cells") + """
+SELECT country, member, string_agg(year, ',' ORDER BY year) AS years,
+       string_agg(coalesce(printf('%.2f', c.value), '-'), ',' ORDER BY year) AS cells
+FROM (SELECT DISTINCT country, member FROM source_cells)
+JOIN (SELECT DISTINCT country, year FROM source_cells) USING (country)
+LEFT JOIN source_cells c USING (country, member, year) GROUP BY country, member""")
 def heatmap_pivot(t: Testbed):
-    return b.heatmap_pivot(t.source_cells, YEARS)
+    pivoted = b.heatmap_pivot(t.stored.source_cells)
+    cells = F.transform("values", lambda x: F.coalesce(fixed_text(x, 2), F.lit("-")))
+    years = F.array_join(F.col("years").cast("array<string>"), ",")
+    return pivoted.select("country", "member", years.alias("years"), F.array_join(cells, ",").alias("cells"))
 
 
 @query("heatmap_dense", with_("product_cells") + """
@@ -91,29 +97,33 @@ def latest_period(t: Testbed):
     return b.latest_period(t.source_cells)
 
 
-LATEST_MIX = f"""
+def latest_mix_sql(cells: str) -> str:
+    return f"""
 SELECT country, year AS latest_year, arg_min(member, (-value, member)) AS leader, max(value) AS leader_value,
        {r('sum(value)', 2)} AS total
-FROM source_cells JOIN (SELECT country, max(year) AS year FROM source_cells GROUP BY country) USING (country, year)
+FROM {cells} JOIN (SELECT country, max(year) AS year FROM {cells} GROUP BY country) USING (country, year)
 GROUP BY country, year"""
-MIX_GROWTH = """
+
+
+def mix_growth_sql(cells: str) -> str:
+    return f"""
 SELECT country, min(year) AS start_year, max(year) AS latest_year, arg_min(total, year) AS start_total,
        arg_max(total, year) AS latest_total,
        CASE WHEN arg_max(total, year) > arg_min(total, year) THEN 'growth' ELSE 'contraction' END AS status
-FROM (SELECT country, year, sum(value) AS total FROM source_cells GROUP BY country, year) GROUP BY country"""
+FROM (SELECT country, year, sum(value) AS total FROM {cells} GROUP BY country, year) GROUP BY country"""
 
 
-@query("latest_mix", with_("source_cells") + LATEST_MIX)
+@query("latest_mix", with_("source_cells") + latest_mix_sql("source_cells"))
 def latest_mix(t: Testbed):
     return b.rounded(b.latest_mix(t.source_cells), 2, "total")
 
 
-@query("mix_growth", with_("source_cells") + f"""
-SELECT country, start_year, latest_year, {r('start_total', 2)} AS start_total, {r('latest_total', 2)} AS latest_total,
-       status FROM ({MIX_GROWTH})""")
+@query("mix_growth", with_("raw_source_cells") + f"""
+SELECT country, start_year, latest_year, {r('start_total', 3)} AS start_total, {r('latest_total', 3)} AS latest_total,
+       status FROM ({mix_growth_sql('raw_source_cells')})""")
 def mix_growth(t: Testbed):
-    growth = b.mix_growth(t.source_cells)
-    return growth.withColumns({name: round_exact(name, 2) for name in ("start_total", "latest_total")})
+    growth = b.mix_growth(t.raw_source_cells)
+    return growth.withColumns({name: round_exact(name, 3) for name in ("start_total", "latest_total")})
 
 
 @query("flow_links", with_("links") + "SELECT * FROM links")

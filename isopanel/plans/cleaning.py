@@ -14,7 +14,7 @@ from ..sources import countries as geo
 from ..sources import observations as o
 from .oracle import MISSING, f, number, r, with_, year
 from .registry import query
-from .testbed import CATALOG, Testbed
+from .testbed import CATALOG, RAW_SOURCES, Testbed
 
 SHORT = {
     c.PERIOD_COLUMN: "period",
@@ -36,6 +36,14 @@ def _write_csv(df, path: str) -> None:
     )
 
 
+def write_sources(t: Testbed) -> str:
+    """All source files, as folders of CSV parts below a new folder."""
+    root = work_dir(t.spark)
+    for name, rows in t.raw_sources.items():
+        _write_csv(rows, join(root, c.SOURCE_FILES[name]))
+    return root
+
+
 @query("scan_observations", with_("raw_power") + f"""
 SELECT TIME_PERIOD AS period, "{c.COUNTRY_COLUMN}" AS country,
        CASE WHEN OBS_VALUE NOT IN {MISSING} THEN OBS_VALUE END AS value, UNIT_MEASURE AS unit,
@@ -47,21 +55,19 @@ def scan_observations(t: Testbed):
     return o.scan_observations(t.spark, path).withColumnsRenamed(SHORT)
 
 
-@query("scan_many", with_("raw_power", "raw_crops") + f"""
-SELECT 'power_generation' AS dataset, UNIT_MEASURE AS unit, count(*) AS n_rows,
-       count(CASE WHEN OBS_VALUE NOT IN {MISSING} THEN 1 END) AS n_values,
-       count("{c.SOURCE_COLUMN}") AS n_sources, 0 AS n_products
-FROM raw_power GROUP BY UNIT_MEASURE
-UNION ALL
-SELECT 'crop_yield', UNIT_MEASURE, count(*), count(CASE WHEN OBS_VALUE NOT IN {MISSING} THEN 1 END), 0,
-       count("{c.PRODUCT_COLUMN}")
-FROM raw_crops GROUP BY UNIT_MEASURE""")
+def _scan_sql(name: str) -> str:
+    columns = RAW_SOURCES[name][1]
+    counted = [f'count("{x}")' if x in columns else "0" for x in (c.SOURCE_COLUMN, c.PRODUCT_COLUMN)]
+    return f"""
+SELECT '{name}' AS dataset, UNIT_MEASURE AS unit, count(*) AS n_rows,
+       count(CASE WHEN OBS_VALUE NOT IN {MISSING} THEN 1 END) AS n_values, {counted[0]} AS n_sources,
+       {counted[1]} AS n_products
+FROM raw_{name} GROUP BY UNIT_MEASURE"""
+
+
+@query("scan_many", with_(*(f"raw_{name}" for name in c.SOURCE_FILES)) + " UNION ALL ".join(map(_scan_sql, c.SOURCE_FILES)))
 def scan_many(t: Testbed):
-    root = work_dir(t.spark)
-    files = {name: c.SOURCE_FILES[name] for name in ("power_generation", "crop_yield")}
-    _write_csv(t.raw_power, join(root, files["power_generation"]))
-    _write_csv(t.raw_crops, join(root, files["crop_yield"]))
-    union = o.union_datasets(o.scan_many(t.spark, root, files))
+    union = o.union_datasets(o.scan_many(t.spark, write_sources(t)))
     return union.groupBy("dataset", F.col(c.UNIT_COLUMN).alias("unit")).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count(c.VALUE_COLUMN).alias("n_values"),

@@ -71,7 +71,11 @@ def sink_country_document(t: Testbed):
 )
 SELECT sections.* FROM sections SEMI JOIN dim USING (country)""")
 def sink_enriched_document(t: Testbed):
-    document = _written(t, _enriched(t, _written(t, _document(t), "countries")), "countries_enriched")
+    return sections(_written(t, _enriched(t, _written(t, _document(t), "countries")), "countries_enriched"))
+
+
+def sections(document: DataFrame) -> DataFrame:
+    """The added sections of enriched documents as rows."""
     none = F.lit(None).cast("string")
 
     def series(section: str, members: DataFrame) -> DataFrame:

@@ -13,15 +13,15 @@ from ..operators import series as s
 from ..operators import trend as tr
 from ..sinks.tables import store
 from ..sources import observations as o
-from .breakdown import FLOW_LEADERS, LATEST_MIX, MIX_GROWTH
-from .oracle import f, r, with_
+from .breakdown import FLOW_LEADERS, latest_mix_sql, mix_growth_sql
+from .oracle import f, sig, with_
 from .registry import query
 from .series import window_sql
 from .testbed import WINDOW_THRESHOLD, Testbed
 
 _WORD = "CASE WHEN {0} IS NULL THEN 'held steady' WHEN {0} > 0 THEN 'risen' ELSE 'fallen' END"
 
-_INSIGHTS = f"""
+INSIGHTS = f"""
 , facts AS (
     SELECT q.country, q.compare, e.indicator, l.label, l.unit, l.indicator_order, l.chapter_order, l.chapter_title,
            e.slope_per_decade AS slope, e.first_year, e.last_year, e.fitted_first, e.fitted_last, a.value,
@@ -38,13 +38,13 @@ _INSIGHTS = f"""
         ELSE concat_ws(' ',
             'From ' || first_year || ' to ' || last_year || ', ' || country || '''s ' || lower(label) || ' has '
             || {_WORD.format('slope')} || ' at a rate of ' || {f('abs(slope)', 2)} || unit || ' per decade, from roughly '
-            || {f(r('fitted_first', 6), 2)} || unit || ' to ' || {f(r('fitted_last', 6), 2)} || unit || ' along that trend.',
+            || {f(sig('fitted_first'), 2)} || unit || ' to ' || {f(sig('fitted_last'), 2)} || unit || ' along that trend.',
             CASE WHEN abs(value - med) < 1e-6
                 THEN 'That''s in line with the regional median of ' || {f('med', 2)} || unit || '.'
-                ELSE 'That''s ' || {f(r('abs(value - med)', 6), 2)} || unit
+                ELSE 'That''s ' || {f(sig('abs(value - med)'), 2)} || unit
                      || CASE WHEN value > med THEN ' above' ELSE ' below' END
                      || ' the regional median (' || {f('med', 2)} || unit || ').' END,
-            'By comparison, ' || compare || '''s most recent value is ' || {f(r('abs(value - other)', 6), 2)} || unit
+            'By comparison, ' || compare || '''s most recent value is ' || {f(sig('abs(value - other)'), 2)} || unit
             || CASE WHEN value > other THEN ' higher than ' WHEN value < other THEN ' lower than '
                     ELSE ' the same as ' END || country || '''s, and has ' || {_WORD.format('other_slope')}
             || ' over its own recorded period.') END AS text
@@ -59,20 +59,23 @@ def _insights(t: Testbed):
     return n.insight_indicator(n.indicator_facts(ends, cmp.latest_vs_median(t.aligned), t.labels, requests))
 
 
-@query("insight_indicator", with_("endpoints", "latest", "labels", "nation_requests") + _INSIGHTS + """
+@query("insight_indicator", with_("endpoints", "latest", "labels", "nation_requests") + INSIGHTS + """
 SELECT country, compare, indicator, text FROM insights""")
 def insight_indicator(t: Testbed):
     return _insights(t).select("country", "compare", "indicator", "text")
 
 
-@query("insight_summary", with_("endpoints", "latest", "labels", "nation_requests") + _INSIGHTS + """
+SUMMARY_TEXT = """
 , chapters AS (
     SELECT country, compare, chapter_order,
            '**' || chapter_title || '**: ' || string_agg(text, ' ' ORDER BY indicator_order) AS paragraph
     FROM insights WHERE slope IS NOT NULL GROUP BY country, compare, chapter_order, chapter_title
 )
 SELECT country, compare, string_agg(paragraph, chr(10) || chr(10) ORDER BY chapter_order) AS text
-FROM chapters GROUP BY country, compare""")
+FROM chapters GROUP BY country, compare"""
+
+
+@query("insight_summary", with_("endpoints", "latest", "labels", "nation_requests") + INSIGHTS + SUMMARY_TEXT)
 def insight_summary(t: Testbed):
     return n.insight_summary(_insights(t))
 
@@ -108,7 +111,15 @@ def insight_ranked(t: Testbed):
     )
 
 
-_RISK_TEXT = f"""
+# For any indicator, where the country's series are in ``annual``.
+RANKED_TEXT = f"""
+       CASE WHEN NOT EXISTS (SELECT 1 FROM annual a WHERE a.country = w.country AND a.indicator = w.indicator)
+                THEN 'No ' || replace(w.indicator, '_', ' ') || ' data is available for ' || w.country || '.'
+            WHEN top IS NULL THEN 'Not enough product-level data is available for ' || w.country || '.'
+            ELSE 'Across all recorded years, ' || lower(top) || ' has the highest median ' || lower(label) || ' in '
+                 || w.country || ' at ' || {f('top_value', 2)} || unit || ', while ' || lower(bottom)
+                 || ' has the lowest at ' || {f('bottom_value', 2)} || unit || '.' END"""
+RISK_TEXT = f"""
     CASE WHEN r.n_extremes = 0
         THEN r.country || ' has recorded no anomalies beyond ' || {f('r.threshold', 2)} || unit
              || ' from the historical mean (' || {f('r.mean', 2)} || unit || ') -- no extreme ' || lower(label)
@@ -120,13 +131,13 @@ _RISK_TEXT = f"""
 
 
 @query("insight_tail_risk", with_("risk", "labels") + f"""
-SELECT country, indicator, {_RISK_TEXT} AS text FROM risk r JOIN labels USING (indicator)""")
+SELECT country, indicator, {RISK_TEXT} AS text FROM risk r JOIN labels USING (indicator)""")
 def insight_tail_risk(t: Testbed):
     return n.insight_tail_risk(_risk(t), t.labels)
 
 
 @query("insight_tail_risk_compare", with_("risk", "labels", "nation_requests") + f"""
-SELECT q.country, q.compare, r.indicator, concat_ws(' ', {_RISK_TEXT},
+SELECT q.country, q.compare, r.indicator, concat_ws(' ', {RISK_TEXT},
     CASE WHEN c.n_extremes = 0
         THEN 'By comparison, ' || q.compare || ' has recorded no anomalies beyond its own threshold of '
              || {f('c.threshold', 2)} || unit || ' from its historical mean (' || {f('c.mean', 2)} || unit || ').'
@@ -152,12 +163,18 @@ def _places(t: Testbed):
     return t.countries.union(t.table("region").select("r_name"))
 
 
-@query("insight_power_mix", with_("source_cells") + _PLACES + f"""
-SELECT country, CASE WHEN leader IS NULL THEN 'No power generation source data is available for ' || country || '.'
+class MIX_TEXT:
+    """Text of the latest mix, and the rows it is made from."""
+
+    source = latest_mix_sql("source_cells")
+    text = f"""CASE WHEN leader IS NULL THEN 'No power generation source data is available for ' || country || '.'
        ELSE 'As of ' || latest_year || ', ' || country || '''s power generation was led by ' || lower(leader)
-            || ', contributing ' || {f('leader_value', 1)} || ' GWH of ' || {f(r('total', 6), 1)} || ' GWH total that year.'
-       END AS text
-FROM places LEFT JOIN ({LATEST_MIX}) USING (country)""")
+            || ', contributing ' || {f('leader_value', 1)} || ' GWH of ' || {f(sig('total'), 1)} || ' GWH total that year.'
+       END"""
+
+
+@query("insight_power_mix", with_("source_cells") + _PLACES + f"""
+SELECT country, {MIX_TEXT.text} AS text FROM places LEFT JOIN ({MIX_TEXT.source}) USING (country)""")
 def insight_power_mix(t: Testbed):
     return n.insight_power_mix(_places(t), b.latest_mix(t.source_cells))
 
@@ -172,20 +189,26 @@ _FLOW_FACTS = f"""
 )"""
 
 
-@query("insight_flow", with_("links") + _PLACES + _FLOW_FACTS + f"""
-SELECT country, CASE WHEN total IS NULL THEN 'No power generation flow data is available for ' || country || '.'
+class FLOW_TEXT:
+    """Text of the flows, and the expression it is made from."""
+
+    facts = _FLOW_FACTS
+    text = f"""CASE WHEN total IS NULL THEN 'No power generation flow data is available for ' || country || '.'
        ELSE concat_ws(' ',
-           'Across the recorded period, ' || country || ' generated ' || {f(r('total', 6), 1)} || ' GWH in total.',
+           'Across the recorded period, ' || country || ' generated ' || {f(sig('total'), 1)} || ' GWH in total.',
            on_leader || ' leads On-grid supply at ' || {f('on_value', 1)} || ' GWH.',
-           off_leader || ' leads Off-grid supply at ' || {f('off_value', 1)} || ' GWH.') END AS text
-FROM places LEFT JOIN facts USING (country)""")
+           off_leader || ' leads Off-grid supply at ' || {f('off_value', 1)} || ' GWH.') END"""
+
+
+@query("insight_flow", with_("links") + _PLACES + _FLOW_FACTS + f"""
+SELECT country, {FLOW_TEXT.text} AS text FROM places LEFT JOIN facts USING (country)""")
 def insight_flow(t: Testbed):
     return n.insight_flow(_places(t), fl.flow_leaders(t.links))
 
 
 def _phrase(p: str = "") -> str:
     overall, start, end = (
-        f"{f(r(p + name, 6), 2)} || unit" for name in ("overall", "start_figure", "end_figure")
+        f"{f(sig(p + name), 2)} || unit" for name in ("overall", "start_figure", "end_figure")
     )
     return f"""CASE {p}trend
         WHEN 'short' THEN 'an average of ' || {overall} || ' throughout the period'
@@ -194,8 +217,8 @@ def _phrase(p: str = "") -> str:
         ELSE 'a relatively stable trend, with an average around ' || {start} END"""
 
 
-@query("insight_comparison", with_("monthly", "monthly_region", "labels") + f"""
-, own AS ({window_sql('avg', 'monthly')})
+@query("insight_comparison", with_("raw_monthly", "monthly_region", "labels") + f"""
+, own AS ({window_sql('avg', 'raw_monthly')})
 , region AS (
     SELECT indicator, trend AS r_trend, overall AS r_overall, start_figure AS r_start_figure,
            end_figure AS r_end_figure
@@ -205,7 +228,7 @@ def _phrase(p: str = "") -> str:
     SELECT country, indicator, min(year) AS y0, max(year) AS y1, min(value) AS lo, max(value) AS hi,
            arg_min(year, (value, year)) AS lo_year, arg_min(year, (-value, year)) AS hi_year,
            arg_max(value, year) AS last_value
-    FROM monthly GROUP BY country, indicator
+    FROM raw_monthly GROUP BY country, indicator
 )
 , base AS (SELECT indicator, arg_max(value, year) AS base_value FROM monthly_region GROUP BY indicator)
 SELECT country, indicator, '
@@ -229,13 +252,13 @@ FROM range JOIN own USING (country, indicator) JOIN region USING (indicator) JOI
 JOIN labels USING (indicator)""")
 def insight_comparison(t: Testbed):
     t = t.stored
-    baseline = s.regional_of_series(t.monthly)
+    baseline = s.regional_of_series(t.raw_monthly)
     regional_series = baseline.select("indicator", "year", F.col("regional_median").alias("value"))
     return n.insight_comparison(
-        s.series_extent(t.monthly),
-        tr.window_trend(t.monthly, WINDOW_THRESHOLD),
+        s.series_extent(t.raw_monthly),
+        tr.window_trend(t.raw_monthly, WINDOW_THRESHOLD),
         tr.window_trend(regional_series, WINDOW_THRESHOLD, keys=["indicator"]),
-        cmp.baseline_position(t.monthly, baseline, WINDOW_THRESHOLD),
+        cmp.baseline_position(t.raw_monthly, baseline, WINDOW_THRESHOLD),
         t.labels,
     )
 
@@ -253,7 +276,7 @@ SELECT country, indicator, '
 
 **Overview (' || y0 || '-' || y1 || '):**
 
-Extreme events are defined as anomalies exceeding **' || {f(r('threshold', 6), 2)} || ' USD** above or below average
+Extreme events are defined as anomalies exceeding **' || {f(sig('threshold'), 2)} || ' USD** above or below average
 (two standard deviations from the historical mean).
 
 **Key Observations:**
@@ -265,23 +288,22 @@ Extreme events are defined as anomalies exceeding **' || {f(r('threshold', 6), 2
 FROM facts""")
 def insight_tail_risk_script(t: Testbed):
     labels = t.spark.createDataFrame([("anomaly", "Price Anomaly", " USD")], "indicator string, label string, unit string")
-    thresholds = store(rk.zero_centred_threshold(t.anomalies), "thresholds")
-    counts = rk.zero_centred_counts(t.anomalies, thresholds)
-    return n.insight_tail_risk_overview(store(s.series_extent(t.anomalies), "extent"), counts, labels)
+    return n.insight_tail_risk_overview(rk.zero_centred_overview(t.anomalies), labels)
 
 
-@query("insight_mix_growth", with_("source_cells") + f"""
+@query("insight_mix_growth", with_("raw_source_cells") + f"""
 SELECT country, '
 ### Dynamic Insight for ' || country || ' (Power Generation Mix):
 
 Between ' || start_year || ' and ' || g.latest_year || ', ' || country
 || '''s power generation has shown a general ' || status || '.
-As of ' || g.latest_year || ', total generation reached **' || {f(r('total', 6), 1)} || ' GWH**, led by **' || leader || '**
+As of ' || g.latest_year || ', total generation reached **' || {f(sig('total'), 1)} || ' GWH**, led by **' || leader || '**
 (' || {f('leader_value', 1)} || ' GWH).
 ' AS text
-FROM ({MIX_GROWTH}) g JOIN ({LATEST_MIX}) m USING (country)""")
+FROM ({mix_growth_sql('raw_source_cells')}) g JOIN ({latest_mix_sql('raw_source_cells')}) m USING (country)""")
 def insight_mix_growth(t: Testbed):
-    return n.insight_mix_growth(b.mix_growth(t.stored.source_cells), b.latest_mix(t.stored.source_cells))
+    cells = t.stored.raw_source_cells
+    return n.insight_mix_growth(b.mix_growth(cells), b.latest_mix(cells))
 
 
 @query("insight_flow_script", with_("power") + f"""
@@ -295,13 +317,11 @@ def insight_mix_growth(t: Testbed):
 SELECT country, '
 ### Dynamic Insight for ' || country || '''s Power Generation Flow (' || y0 || '-' || y1 || '):
 
-Total power generation across On-grid and Off-grid was **' || {f(r('total', 6), 1)} || ' GWH**.
+Total power generation across On-grid and Off-grid was **' || {f(sig('total'), 1)} || ' GWH**.
 ' || coalesce('**' || on_leader || '** leads On-grid supply.', 'No significant On-grid generation.') || ' '
 || coalesce('**' || off_leader || '** leads Off-grid supply.', 'No significant Off-grid generation.') || '
 ' AS text
 FROM facts JOIN years USING (country)""")
 def insight_flow_script(t: Testbed):
-    rows = o.load_flow_rows_with_year(t.raw_power)
-    years = rows.groupBy("country").agg(F.min("year").alias("first_year"), F.max("year").alias("last_year"))
-    leaders = fl.flow_leaders(fl.flow_links(rows, digits=None))
-    return n.insight_flow_overview(leaders, years)
+    links = store(fl.flow_links_with_years(o.load_flow_rows_with_year(t.raw_power)), "links")
+    return n.insight_flow_overview(fl.flow_leaders(links), fl.flow_years(links))

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from ..sources import catalog as c
-from .testbed import RAW_CROPS, RAW_POWER
+from ..sources.catalog import STANDARD_CATALOG, RowRule
+from .testbed import RAW_CROPS, RAW_POWER, RAW_SOURCES
 
 MISSING = "('', 'NA', 'N/A', 'n/a', 'NaN', 'nan', 'null', 'NULL', 'None')"
 
@@ -13,6 +14,11 @@ def r(expression: str, digits: int) -> str:
     return f"(CAST(printf('%.{digits}f', {expression}) AS DOUBLE) + 0.0)"
 
 
+def sig(expression: str) -> str:
+    """The 15 significant digits that every double holds."""
+    return f"(CAST(printf('%.14e', {expression}) AS DOUBLE) + 0.0)"
+
+
 def f(expression: str, digits: int) -> str:
     """Fixed-decimal text."""
     return f"printf('%.{digits}f', {expression})"
@@ -26,25 +32,38 @@ def year(expression: str) -> str:
     return f"CAST(trunc(TRY_CAST({expression} AS DOUBLE)) AS INTEGER)"
 
 
-def with_(*names: str) -> str:
-    """WITH clause of the named expressions and all that they need, in order."""
+def with_(*names: str, standard: bool = False) -> str:
+    """WITH clause of the named expressions and all that they need, in order.
+
+    ``standard``: over the standard catalogue's indicators, taken from what the source files hold.
+    """
     needed: list[str] = []
+    ctes = CTES | STANDARD_CTES if standard else CTES
 
     def add(name: str) -> None:
-        for other in CTES[name][0]:
+        for other in ctes[name][0]:
             add(other)
         if name not in needed:
             needed.append(name)
 
     for name in names:
         add(name)
-    return "WITH " + ",\n".join(f"{name} AS ({CTES[name][1]})" for name in needed) + "\n"
+    return "WITH " + ",\n".join(f"{name} AS ({ctes[name][1]})" for name in needed) + "\n"
 
 
 def _columns(expressions: dict[str, str]) -> str:
     return ", ".join(f'{sql} AS "{name}"' for name, sql in expressions.items())
 
 
+def _rule(rule: RowRule) -> str:
+    """A row rule as SQL."""
+    parts = [f"\"{name}\" = '{value}'" for name, value in rule.equals.items()]
+    parts += [f"\"{name}\" IN ({', '.join(repr(v) for v in values)})" for name, values in rule.one_of.items()]
+    parts += [f"coalesce(\"{name}\" <> '{value}', true)" for name, value in rule.differs.items()]
+    parts += [f"NOT coalesce(\"{name}\" ILIKE '%total%', false)" for name in rule.no_subtotals]
+    return " AND ".join(parts)
+
+
 _LINES = "lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey"
 
 CTES: dict[str, tuple[tuple[str, ...], str]] = {
@@ -77,6 +96,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT country, year, source AS member, value FROM power
         WHERE unit = 'GWH' AND grid = 'Total' AND source NOT ILIKE '%total%'
         AND country IS NOT NULL AND year IS NOT NULL AND value IS NOT NULL"""),
+    "raw_source_cells": (("power_sources",), """
+        SELECT country, member, year, sum(value) AS value FROM power_sources GROUP BY ALL"""),
     "source_cells": (("power_sources",), f"""
         SELECT country, member, year, {r('sum(value)', 2)} AS value FROM power_sources GROUP BY ALL"""),
     "flow_rows": (("power",), """
@@ -134,8 +155,15 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "monthly": (("orders_obs",), f"""
         SELECT country, 'order_value' AS indicator, period AS year, {r('median(value)', 3)} AS value
         FROM orders_obs GROUP BY country, period"""),
-    "monthly_region": (("monthly",), """
-        SELECT indicator, year, median(value) AS value FROM monthly GROUP BY indicator, year"""),
+    "raw_annual": (("panel",), """
+        SELECT country, indicator, year,
+               CASE WHEN indicator IN ('order_value', 'early_order_value') THEN median(value) ELSE sum(value) END AS value
+        FROM panel GROUP BY country, indicator, year"""),
+    "raw_monthly": (("orders_obs",), """
+        SELECT country, 'order_value' AS indicator, period AS year, median(value) AS value
+        FROM orders_obs GROUP BY country, period"""),
+    "monthly_region": (("raw_monthly",), """
+        SELECT indicator, year, median(value) AS value FROM raw_monthly GROUP BY indicator, year"""),
     "spread": (("monthly",), """
         SELECT country, indicator, avg(value) AS m, stddev_pop(value) AS s FROM monthly GROUP BY ALL"""),
     "stats": (("spread",), f"""
@@ -165,3 +193,57 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                CASE WHEN c_mktsegment = 'BUILDING' THEN '' ELSE 'NATION_' || (c_custkey * 3 % 28) END AS compare
         FROM customer"""),
 }
+
+_PLACES = {
+    "orders": "orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey",
+    "lines": _LINES,
+    "parts": f"{_LINES} JOIN part ON l_partkey = p_partkey",
+}
+CTES |= {f"raw_{name}": ((), f"SELECT {_columns(columns)} FROM {_PLACES[base]}") for name, (base, columns) in RAW_SOURCES.items()}
+
+
+def _rows(indicator: str, member: str | None = None) -> str:
+    entry = STANDARD_CATALOG[indicator]
+    extra = f', "{member}" AS member' if member else ""
+    missing = f' AND "{member}" IS NOT NULL' if member else ""
+    return f"""
+        SELECT * FROM (
+            SELECT "{c.COUNTRY_COLUMN}" AS country, '{indicator}' AS indicator, {year(c.PERIOD_COLUMN)} AS year,
+                   {number(c.VALUE_COLUMN)} AS value{extra}
+            FROM raw_{entry.source} WHERE {_rule(entry.rows)}{missing})
+        WHERE country IS NOT NULL AND year IS NOT NULL AND value IS NOT NULL"""
+
+
+_SUMMED = ", ".join(f"'{name}'" for name in STANDARD_CATALOG.names("sum"))
+_RISKY = ", ".join(f"'{name}'" for name in c.TAIL_RISK_INDICATORS)
+_CHAPTERS = {key: (n, title) for n, (key, title) in enumerate(STANDARD_CATALOG.chapters)}
+_LABEL_ROWS = ", ".join(
+    f"('{i.name}', {n}, '{i.label}', '{i.unit}', '{i.chapter}', {_CHAPTERS[i.chapter][0]}, '{_CHAPTERS[i.chapter][1]}')"
+    for n, i in enumerate(STANDARD_CATALOG.indicators)
+)
+
+#: Expressions that stand for those of the same name where the standard catalogue's indicators are meant.
+STANDARD_CTES: dict[str, tuple[tuple[str, ...], str]] = {
+    "panel": (
+        tuple(dict.fromkeys(f"raw_{i.source}" for i in STANDARD_CATALOG.indicators)),
+        " UNION ALL ".join(_rows(i.name) for i in STANDARD_CATALOG.indicators),
+    ),
+    "annual": (("panel",), f"""
+        SELECT country, indicator, year, CASE WHEN indicator IN ({_SUMMED}) THEN {r('sum(value)', 3)}
+               ELSE {r('median(value)', 3)} END AS value
+        FROM panel GROUP BY country, indicator, year"""),
+    "raw_annual": (("panel",), f"""
+        SELECT country, indicator, year, CASE WHEN indicator IN ({_SUMMED}) THEN sum(value) ELSE median(value) END AS value
+        FROM panel GROUP BY country, indicator, year"""),
+    "labels": ((), f"""
+        SELECT * FROM (VALUES {_LABEL_ROWS})
+            AS t(indicator, indicator_order, label, unit, chapter, chapter_order, chapter_title)"""),
+    "monthly": (("annual",), f"SELECT country, indicator, year, value FROM annual WHERE indicator IN ({_RISKY})"),
+    "products": (
+        ("raw_crop_yield", "raw_livestock_yield"),
+        " UNION ALL ".join(_rows(name, c.PRODUCT_COLUMN) for name in c.PRODUCT_INDICATORS),
+    ),
+    "product_cells": (("products",), f"""
+        SELECT country, indicator, member, year, {r('median(value)', 2)} AS value FROM products GROUP BY ALL"""),
+    "dim": ((), "SELECT n_name AS country FROM nation WHERE n_regionkey <> 3"),
+}

@@ -87,10 +87,9 @@ def comparison(datasets: Mapping[str, DataFrame], section: Section) -> tuple[Dat
 def tail_risk(datasets: Mapping[str, DataFrame], section: Section) -> tuple[DataFrame, DataFrame]:
     """Extreme rows around zero and their text."""
     rows = section_rows(datasets, section)
-    thresholds = store(rk.zero_centred_threshold(rows), f"{section.indicator}_thresholds")
-    counts = rk.zero_centred_counts(rows, thresholds)
-    text = n.insight_tail_risk_overview(s.series_extent(rows), counts, _labels(rows, section))
-    return rk.tail_risk_zero_centred(rows, thresholds), text
+    facts = store(rk.zero_centred_overview(rows), f"{section.indicator}_facts")
+    text = n.insight_tail_risk_overview(facts, _labels(rows, section))
+    return rk.tail_risk_zero_centred(rows, facts.select("country", "indicator", "threshold")), text
 
 
 def power(datasets: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
@@ -101,17 +100,15 @@ def power(datasets: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
         "power_totals",
     )
     cells = store(b.member_annual(o.load_power_by_source(raw), "sum", digits=None), "power_cells")
-    flow_rows = o.load_power_by_source_grid(raw, with_subtotals=True)
-    links = store(fl.flow_links(flow_rows, digits=None), "power_links")
-    dated = o.load_flow_rows_with_year(raw)
-    years = dated.groupBy("country").agg(F.min("year").alias("first_year"), F.max("year").alias("last_year"))
+    dated = store(fl.flow_links_with_years(o.load_flow_rows_with_year(raw)), "power_links")
+    links = dated.drop("first_year", "last_year")
     return {
         "lines": s.comparison_lines(totals, s.regional_of_series(totals), POWER_REGION_LABEL),
         "cells": cells,
         "nodes": fl.flow_index_nodes(links),
         "links": fl.flow_indexed(links),
         "mix_text": n.insight_mix_growth(b.mix_growth(cells), b.latest_mix(cells)),
-        "flow_text": n.insight_flow_overview(fl.flow_leaders(links), years),
+        "flow_text": n.insight_flow_overview(fl.flow_leaders(links), fl.flow_years(dated)),
     }
 
 

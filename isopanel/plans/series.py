@@ -47,10 +47,10 @@ def regional_median_raw(t: Testbed):
     return s.regional_median(t.panel)
 
 
-@query("regional_median_of_countries", with_("annual") + f"""
-SELECT indicator, year, {r('median(value)', 4)} AS regional_median FROM annual GROUP BY indicator, year""")
+@query("regional_median_of_countries", with_("raw_annual") + f"""
+SELECT indicator, year, {r('median(value)', 4)} AS regional_median FROM raw_annual GROUP BY indicator, year""")
 def regional_median_of_countries(t: Testbed):
-    return s.regional_of_series(t.annual, digits=4)
+    return s.regional_of_series(t.raw_annual, digits=4)
 
 
 @query("regional_mean", with_("panel") + f"""
@@ -170,14 +170,14 @@ def first_n_last_n(t: Testbed):
 
 _LONG_AND_SHORT = """
 , mixed AS (
-    SELECT country, indicator, year, value FROM monthly
-    UNION ALL SELECT country, indicator, year, value FROM annual WHERE indicator = 'early_order_value'
+    SELECT country, indicator, year, value FROM raw_monthly
+    UNION ALL SELECT country, indicator, year, value FROM raw_annual WHERE indicator = 'early_order_value'
 )"""
 
 
 def _long_and_short(t: Testbed):
     rows = c.tag_indicators(t.orders, [CATALOG["early_order_value"]], "country", "year", "value")
-    return store(t.monthly.unionByName(s.annual_series(rows, "median")), "long_and_short")
+    return store(t.raw_monthly.unionByName(s.annual_series(rows, "median", digits=None)), "long_and_short")
 
 
 def window_sql(stat: str, source: str, keys: str = "country, indicator") -> str:
@@ -207,34 +207,34 @@ _WINDOW_COLUMNS = (
 )
 
 
-@query("window_trend", with_("monthly", "annual") + _LONG_AND_SHORT + f"""
+@query("window_trend", with_("raw_monthly", "raw_annual") + _LONG_AND_SHORT + f"""
 SELECT country, indicator, {_WINDOW_COLUMNS} FROM ({window_sql('avg', 'mixed')})""")
 def window_trend(t: Testbed):
     return _window_figures(tr.window_trend(_long_and_short(t), WINDOW_THRESHOLD))
 
 
-@query("window_trend_median", with_("monthly", "annual") + _LONG_AND_SHORT + f"""
+@query("window_trend_median", with_("raw_monthly", "raw_annual") + _LONG_AND_SHORT + f"""
 SELECT country, indicator, {_WINDOW_COLUMNS} FROM ({window_sql('median', 'mixed')})""")
 def window_trend_median(t: Testbed):
     return _window_figures(tr.window_trend(_long_and_short(t), WINDOW_THRESHOLD, stat="median"))
 
 
-@query("baseline_position", with_("monthly", "monthly_region") + f"""
+@query("baseline_position", with_("raw_monthly", "monthly_region") + f"""
 , own AS (
     SELECT country, indicator, max(year) AS last_year, arg_max(value, year) AS last_value
-    FROM monthly GROUP BY country, indicator
+    FROM raw_monthly GROUP BY country, indicator
 ), base AS (
     SELECT indicator, max(year) AS baseline_year, arg_max(value, year) AS baseline_value
     FROM monthly_region GROUP BY indicator
 )
-SELECT country, indicator, last_year, last_value, baseline_year, {r('baseline_value', 4)} AS baseline_value,
+SELECT country, indicator, last_year, {r('last_value', 4)} AS last_value, baseline_year, {r('baseline_value', 4)} AS baseline_value,
        CASE WHEN last_value > baseline_value + {WINDOW_THRESHOLD} THEN 'higher'
             WHEN last_value < baseline_value - {WINDOW_THRESHOLD} THEN 'lower' ELSE 'aligned' END AS position
 FROM own JOIN base USING (indicator)""")
 def baseline_position(t: Testbed):
     t = t.stored
-    position = cmp.baseline_position(t.monthly, s.regional_of_series(t.monthly), WINDOW_THRESHOLD)
-    return position.withColumn("baseline_value", round_exact("baseline_value", 4))
+    position = cmp.baseline_position(t.raw_monthly, s.regional_of_series(t.raw_monthly), WINDOW_THRESHOLD)
+    return position.withColumns({name: round_exact(name, 4) for name in ("last_value", "baseline_value")})
 
 
 @query("latest_vs_median", with_("latest") + f"""
@@ -306,12 +306,7 @@ def chapter_index(t: Testbed):
 SELECT country, indicator, CAST(row_number() OVER (PARTITION BY country, indicator ORDER BY year) AS INTEGER)
        AS position, year, value FROM annual""")
 def sorted_series(t: Testbed):
-    arrays = s.series_arrays(t.aligned)
-    points = arrays.select(*KEYS, F.posexplode(F.arrays_zip("years", "values")).alias("_p", "_point"))
-    return points.select(
-        *KEYS, (F.col("_p") + 1).alias("position"), F.col("_point.years").alias("year"),
-        F.col("_point.values").alias("value"),
-    )
+    return s.sorted_series(t.annual)
 
 
 @query("series_arrays", with_("aligned") + """
@@ -331,13 +326,13 @@ def series_arrays(t: Testbed):
     )
 
 
-@query("comparison_lines", with_("monthly", "monthly_region") + f"""
+@query("comparison_lines", with_("raw_monthly", "monthly_region") + f"""
 , base AS (SELECT indicator, year, {r('value', 4)} AS regional_median FROM monthly_region)
-SELECT country, indicator, year, value, regional_median FROM monthly LEFT JOIN base USING (indicator, year)
+SELECT country, indicator, year, value, regional_median FROM raw_monthly LEFT JOIN base USING (indicator, year)
 UNION ALL SELECT '{REGION_LABEL}', indicator, year, regional_median, regional_median FROM base""")
 def comparison_lines(t: Testbed):
     t = t.stored
-    return s.comparison_lines(t.monthly, s.regional_of_series(t.monthly, digits=4), REGION_LABEL)
+    return s.comparison_lines(t.raw_monthly, s.regional_of_series(t.raw_monthly, digits=4), REGION_LABEL)
 
 
 @query("power_total_all_grids", with_("power") + f"""
@@ -369,5 +364,7 @@ def tail_risk_summary(t: Testbed):
 SELECT country, indicator, year, value, {r('threshold', 3)} AS threshold
 FROM anomalies JOIN zero_thresholds USING (country, indicator) WHERE value > threshold OR value < -threshold""")
 def tail_risk_zero_centred(t: Testbed):
-    thresholds = store(rk.zero_centred_threshold(t.anomalies), "thresholds")
-    return rk.tail_risk_zero_centred(t.anomalies, thresholds).withColumn("threshold", round_exact("threshold", 3))
+    thresholds = rk.zero_centred_threshold(t.anomalies)
+    thresholds = store(thresholds.withColumn("shown", round_exact("threshold", 3)), "thresholds")
+    beyond = rk.tail_risk_zero_centred(t.anomalies, thresholds, also=("shown",))
+    return beyond.drop("threshold").withColumnRenamed("shown", "threshold")

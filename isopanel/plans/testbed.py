@@ -11,6 +11,7 @@ from functools import cached_property, reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numeric import round_exact
 from ..operators import breakdown as b
 from ..operators import flows as fl
 from ..operators import series as s
@@ -35,7 +36,6 @@ CATALOG = Catalog(
     ),
     chapters=(("land", "Land & Food"), ("ocean", "Ocean & Atmosphere"), ("people", "People & Economy")),
 )
-YEARS = tuple(range(1995, 2002))
 WINDOW_THRESHOLD = 5000.0
 REGION_LABEL = "Median (All Countries)"
 
@@ -51,7 +51,9 @@ RAW_POWER = {
         "CASE WHEN l_orderkey % 11 = 0 THEN 'n/a' WHEN l_orderkey % 19 = 0 THEN '12d' "
         "WHEN l_orderkey % 23 = 0 THEN ' 12 ' WHEN l_orderkey % 31 = 0 THEN '1e3' "
         "WHEN l_orderkey % 37 = 0 THEN 'NaN' WHEN l_orderkey % 43 = 0 THEN '1,234' "
-        "ELSE CAST(CAST(l_quantity AS INT) AS STRING) END"
+        # eighths, of which sums are exact in any order
+        "ELSE CAST(CAST(l_quantity AS INT) AS STRING) || CASE l_linenumber % 4 WHEN 0 THEN '' WHEN 1 THEN '.125' "
+        "WHEN 2 THEN '.5' ELSE '.375' END END"
     ),
     c.UNIT_COLUMN: "CASE WHEN l_linenumber = 7 THEN 'MW' ELSE 'GWH' END",
     c.SOURCE_COLUMN: (
@@ -71,6 +73,56 @@ RAW_CROPS = {
     c.PRODUCTION_COLUMN: "CASE WHEN l_linestatus = 'O' THEN 'AREA' ELSE 'CROP_YIELD' END",
     c.PRODUCT_COLUMN: "CASE WHEN l_linenumber = 6 THEN NULL ELSE p_brand END",
 }
+RAW_LIVESTOCK = {
+    **RAW_CROPS,
+    c.UNIT_COLUMN: "CASE WHEN l_returnflag = 'A' THEN 'T' ELSE 'KG_AN' END",
+    c.PRODUCTION_COLUMN: "CASE WHEN l_linestatus = 'F' THEN 'HEADS' ELSE 'LVST_YIELD' END",
+    c.PRODUCT_COLUMN: "CASE WHEN l_linenumber = 5 THEN NULL ELSE p_type END",
+}
+
+
+def _from_orders(spread: int, unit: str, **more: str) -> dict[str, str]:
+    """Columns of a source made from orders: figures around zero in steps of an eighth."""
+    return {
+        c.PERIOD_COLUMN: (
+            "CASE WHEN o_orderkey % 41 = 0 THEN 'abc' "
+            "WHEN o_orderkey % 17 = 0 THEN CAST(year(o_orderdate) AS STRING) || '.7' "
+            "ELSE CAST(year(o_orderdate) AS STRING) END"
+        ),
+        c.COUNTRY_COLUMN: "CASE WHEN o_orderkey % 29 = 0 THEN NULL ELSE n_name END",
+        c.VALUE_COLUMN: (
+            "CASE WHEN o_orderkey % 11 = 0 THEN 'n/a' WHEN o_orderkey % 23 = 0 THEN ' 12 ' "
+            f"ELSE CAST(CAST(o_custkey % {spread} AS INT) - {spread // 3} AS STRING) || CASE CAST(o_orderkey % 3 AS INT) "
+            "WHEN 0 THEN '' WHEN 1 THEN '.125' ELSE '.5' END END"
+        ),
+        c.UNIT_COLUMN: f"CASE WHEN o_orderkey % 13 = 0 THEN 'OTHER' ELSE '{unit}' END",
+        **more,
+    }
+
+
+def _climate(code: str) -> str:
+    return f"CASE WHEN o_orderkey % 7 = 0 THEN 'OTHER' ELSE '{code}' END"
+
+
+#: Columns of every source file: of the joined orders, the line items, or the line items with their parts.
+RAW_SOURCES = {
+    "mean_surface_temp_anomalies": ("orders", _from_orders(9, "CELSIUS", **{c.CLIMATE_COLUMN: _climate("ST_ANOM")})),
+    "mean_sea_surface_temp_anomalies": ("orders", _from_orders(6, "CELSIUS", **{c.CLIMATE_COLUMN: _climate("SST_ANOM")})),
+    "crop_yield": ("parts", RAW_CROPS),
+    "environmental_taxes": ("orders", _from_orders(50, "USD")),
+    "greenhouse_gas_emissions": ("orders", _from_orders(40, "T")),
+    "livestock_yield": ("parts", RAW_LIVESTOCK),
+    "meteorological_monitoring": ("orders", _from_orders(30, "N")),
+    "power_generation": ("lines", RAW_POWER),
+    "rainfall_anomalies": ("orders", _from_orders(300, "MM", **{c.CLIMATE_COLUMN: _climate("RAIN_ANOM")})),
+    "sea_level_anomalies": ("orders", _from_orders(20, "MM")),
+    "tourist_arrivals": (
+        "orders",
+        _from_orders(
+            900, "N", **{c.VISITOR_COLUMN: "CASE WHEN o_orderkey % 5 = 0 THEN 'Same-day' ELSE 'Overnight tourists' END"}
+        ),
+    ),
+}
 
 
 # Types of the test tables as written; naming them saves a look into the files per query.
@@ -107,12 +159,26 @@ class Testbed:
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.sf_dir.rstrip('/')}/{name}.parquet")
 
     @cached_property
-    def orders(self) -> DataFrame:
-        joined = (
+    def _order_places(self) -> DataFrame:
+        return (
             self.table("orders")
             .join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
             .join(self.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         )
+
+    @cached_property
+    def raw_sources(self) -> dict[str, DataFrame]:
+        """What the source files hold, by data set."""
+        parts = self._line_places.join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
+        places = {"orders": self._order_places, "lines": self._line_places, "parts": parts}
+        return {
+            name: places[base].select(*[F.expr(sql).alias(column) for column, sql in columns.items()])
+            for name, (base, columns) in RAW_SOURCES.items()
+        }
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        joined = self._order_places
         year = F.year("o_orderdate")
         return joined.select(
             F.col("n_name").alias("country"),
@@ -215,6 +281,11 @@ class Testbed:
     def regional(self) -> DataFrame:
         return s.regional_median(reduce(DataFrame.union, self.counts.values()), weight="n")
 
+    @cached_property
+    def raw_annual(self) -> DataFrame:
+        """Annual figures as they come, for the variants that don't round before going on."""
+        return s.annual_panel(self.counts, weight="n", digits=None)
+
     @cached_property
     def aligned(self) -> DataFrame:
         return s.align_regional(self.annual, self.regional)
@@ -233,12 +304,16 @@ class Testbed:
         return CATALOG.frame(self.spark)
 
     @cached_property
-    def monthly(self) -> DataFrame:
+    def raw_monthly(self) -> DataFrame:
         """A long series: the period counts months and plays the year."""
         rows = self.orders.select(
             "country", F.lit("order_value").alias("indicator"), F.col("period").alias("year"), "value"
         )
-        return s.annual_series(rows, "median")
+        return s.annual_series(rows, "median", digits=None)
+
+    @cached_property
+    def monthly(self) -> DataFrame:
+        return self.raw_monthly.withColumn("value", round_exact("value", 3))
 
     @cached_property
     def anomalies(self) -> DataFrame:
@@ -277,6 +352,10 @@ class Testbed:
     def product_cells(self) -> DataFrame:
         return b.member_annual(self.products, "median")
 
+    @cached_property
+    def raw_source_cells(self) -> DataFrame:
+        return b.member_annual(self.power_sources, "sum", digits=None)
+
     @cached_property
     def source_cells(self) -> DataFrame:
         return b.member_annual(self.power_sources, "sum")
@@ -324,10 +403,18 @@ class StoredTestbed(Testbed):
     def annual(self) -> DataFrame:
         return self.aligned.drop("regional_median")
 
+    @cached_property
+    def raw_monthly(self) -> DataFrame:
+        return store(self.plain.raw_monthly, "raw_monthly")
+
     @cached_property
     def monthly(self) -> DataFrame:
         return store(self.plain.monthly, "monthly")
 
+    @cached_property
+    def raw_source_cells(self) -> DataFrame:
+        return store(self.plain.raw_source_cells, "raw_source_cells")
+
     @cached_property
     def product_cells(self) -> DataFrame:
         return store(self.plain.product_cells, "product_cells")

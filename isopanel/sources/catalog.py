@@ -95,16 +95,16 @@ VISITOR_COLUMN = "Visitor duration category"
 
 # Source files by short name.
 SOURCE_FILES = {
-    "surface_temperature": "Mean surface temperature anomalies.csv",
-    "sea_surface_temperature": " Mean sea surface temperature anomalies.csv",
+    "mean_surface_temp_anomalies": "Mean surface temperature anomalies.csv",
+    "mean_sea_surface_temp_anomalies": " Mean sea surface temperature anomalies.csv",
     "crop_yield": "Crop yield (disaggregated).csv",
     "environmental_taxes": "Environmental taxes (disaggregated).csv",
     "greenhouse_gas_emissions": "Greenhouse gas emissions per capita.csv",
     "livestock_yield": "Livestock yield (disaggregated).csv",
     "meteorological_monitoring": "Meteorological monitoring network (disaggregated).csv",
     "power_generation": "Power generation (disaggregated).csv",
-    "rainfall": "Rainfall anomalies.csv",
-    "sea_level": "Sea level anomalies.csv",
+    "rainfall_anomalies": "Rainfall anomalies.csv",
+    "sea_level_anomalies": "Sea level anomalies.csv",
     "tourist_arrivals": "Tourist arrivals (disaggregated).csv",
 }
 
@@ -124,15 +124,15 @@ LIVESTOCK_ROWS = RowRule(equals={PRODUCTION_COLUMN: "LVST_YIELD", UNIT_COLUMN: "
 STANDARD_CATALOG = Catalog(
     indicators=(
         Indicator(
-            "surface_temp_anomaly", "surface_temperature", "°C", "Land Surface Temperature Anomaly", "ocean",
+            "surface_temp_anomaly", "mean_surface_temp_anomalies", "°C", "Land Surface Temperature Anomaly", "ocean",
             rows=RowRule(equals={UNIT_COLUMN: "CELSIUS", CLIMATE_COLUMN: "ST_ANOM"}),
         ),
         Indicator(
-            "sea_surface_temp_anomaly", "sea_surface_temperature", "°C", "Sea Surface Temperature Anomaly",
+            "sea_surface_temp_anomaly", "mean_sea_surface_temp_anomalies", "°C", "Sea Surface Temperature Anomaly",
             "ocean", rows=RowRule(equals={UNIT_COLUMN: "CELSIUS", CLIMATE_COLUMN: "SST_ANOM"}),
         ),
         Indicator(
-            "rainfall_anomaly", "rainfall", "mm", "Rainfall Anomaly", "land",
+            "rainfall_anomaly", "rainfall_anomalies", "mm", "Rainfall Anomaly", "land",
             rows=RowRule(equals={UNIT_COLUMN: "MM", CLIMATE_COLUMN: "RAIN_ANOM"}),
         ),
         Indicator("crop_yield", "crop_yield", " KG/HA", "Crop Yield", "land", rows=CROP_ROWS),
@@ -149,5 +149,7 @@ STANDARD_CATALOG = Catalog(
     chapters=(("land", "Land & Food"), ("ocean", "Ocean & Atmosphere"), ("people", "People & Economy")),
 )
 PRODUCT_INDICATORS = ("crop_yield", "livestock_yield")
+HEADLINE_INDICATOR = "surface_temp_anomaly"
+HEADLINE_LABEL = "Regional Median Surface Temperature Anomaly"
 TAIL_RISK_INDICATORS = ("surface_temp_anomaly", "rainfall_anomaly")
 DEFAULT_COUNTRY = "Fiji"

@@ -17,21 +17,29 @@ from .catalog import Indicator, RowRule
 RENAMES = {c.PERIOD_COLUMN: "year", c.COUNTRY_COLUMN: "country"}
 
 
-def scan_observations(spark: SparkSession, path: str, columns: Iterable[str] | None = None) -> DataFrame:
-    """One observation CSV with a header line; every column is text, missing tokens are null.
+def scan_observations(
+    spark: SparkSession, path: str, columns: Iterable[str] | None = None, multiline: bool = False
+) -> DataFrame:
+    """One observation CSV, or a folder of its parts, with header lines; all columns are text, missing tokens null.
 
-    With ``columns``, the names of all columns in file order, not even the header line is read ahead.
+    The names in the header say which column is which, in any order. A part of a folder whose header differs from the
+    others' fails the job instead of being read by position. ``columns`` picks some columns by name. With
+    ``multiline``, records may have line breaks inside of quotes; each file is then read by one task, so leave it off
+    for large files that have none.
     """
-    reader = spark.read.option("header", True).option("escape", '"')
-    if columns is not None:
-        reader = reader.schema(T.StructType([T.StructField(name, T.StringType()) for name in columns]))
-    df = reader.csv(path)
-    return df.select([blank_to_null(F.col(f"`{name}`")).alias(name) for name in df.columns])
-
-
-def scan_many(spark: SparkSession, root: str, files: Mapping[str, str] = c.SOURCE_FILES) -> dict[str, DataFrame]:
-    """All named sources below one folder, each still unread."""
-    return {name: scan_observations(spark, join(root, file)) for name, file in files.items()}
+    reader = spark.read.option("header", True).option("escape", '"').option("enforceSchema", False)
+    reader = reader.option("multiLine", multiline)
+    header = reader.csv(path).columns
+    df = reader.schema(T.StructType([T.StructField(name, T.StringType()) for name in header])).csv(path)
+    wanted = header if columns is None else list(columns)
+    return df.select([blank_to_null(F.col(f"`{name}`")).alias(name) for name in wanted])
+
+
+def scan_many(
+    spark: SparkSession, root: str, files: Mapping[str, str] = c.SOURCE_FILES, multiline: bool = False
+) -> dict[str, DataFrame]:
+    """All named sources below one folder, each still unread but for its header."""
+    return {name: scan_observations(spark, join(root, file), multiline=multiline) for name, file in files.items()}
 
 
 def union_datasets(datasets: Mapping[str, DataFrame]) -> DataFrame:

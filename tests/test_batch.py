@@ -72,15 +72,15 @@ def visitor_rows(rng):
 def tables():
     rng = random.Random(7)
     made = {
-        "surface_temperature": climate_rows("ST_ANOM", "CELSIUS", rng),
-        "sea_surface_temperature": climate_rows("SST_ANOM", "CELSIUS", rng),
-        "rainfall": climate_rows("RAIN_ANOM", "MM", rng, range(2000, 2012)),
+        "mean_surface_temp_anomalies": climate_rows("ST_ANOM", "CELSIUS", rng),
+        "mean_sea_surface_temp_anomalies": climate_rows("SST_ANOM", "CELSIUS", rng),
+        "rainfall_anomalies": climate_rows("RAIN_ANOM", "MM", rng, range(2000, 2012)),
         "crop_yield": product_rows("CROP_YIELD", "KGHA", rng),
         "livestock_yield": product_rows("LVST_YIELD", "KG_AN", rng),
         "power_generation": power_rows(rng),
         "tourist_arrivals": visitor_rows(rng),
     }
-    for name in ("environmental_taxes", "greenhouse_gas_emissions", "meteorological_monitoring", "sea_level"):
+    for name in ("environmental_taxes", "greenhouse_gas_emissions", "meteorological_monitoring", "sea_level_anomalies"):
         made[name] = (BASE, [["2000", "Tonga", "1", "X"], ["2001", "Atlantis", "2", "X"]])
     return made
 
@@ -234,13 +234,13 @@ def test_overviews(result, tables):
     assert not any(step in text._jdf.queryExecution().executedPlan().toString() for step in ("Cartesian", "NestedLoop"))
     regional = {r["year"]: r["value"] for r in lines.where(f"country = '{overview.REGION_LABEL}'").collect()}
     values = defaultdict(list)
-    for e in kept(tables, "surface_temperature"):
+    for e in kept(tables, "mean_surface_temp_anomalies"):
         if e[c.UNIT_COLUMN] == "CELSIUS" and e[c.CLIMATE_COLUMN] == "ST_ANOM":
             values[e["year"]].append(e["value"])
     assert regional == {y: statistics.median(v) for y, v in values.items()}
 
     rows, risk = overview.tail_risk(datasets, overview.SECTIONS[0])
-    own = [e["value"] for e in kept(tables, "surface_temperature")
+    own = [e["value"] for e in kept(tables, "mean_surface_temp_anomalies")
            if e[c.UNIT_COLUMN] == "CELSIUS" and e[c.CLIMATE_COLUMN] == "ST_ANOM" and e[c.COUNTRY_COLUMN] == "Tonga"]
     limit = 2 * statistics.stdev(own)
     assert sorted(r["value"] for r in rows.where("country = 'Tonga'").collect()) == sorted(v for v in own if abs(v) > limit)

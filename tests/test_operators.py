@@ -175,7 +175,12 @@ def test_zero_centred_risk_uses_sample_deviation(spark):
     assert rk.tail_risk_zero_centred(df, limits).count() == 4  # all far from zero, though close to the mean
     assert rk.tail_risk_extremes(df).count() == 0
     calm = series(spark, b=[-1, 1, -1, 1])
-    assert rk.zero_centred_counts(calm, rk.zero_centred_threshold(calm)).collect()[0]["n_extremes"] == 0
+    assert rk.zero_centred_overview(calm).collect()[0]["n_extremes"] == 0
+    peaks = rk.zero_centred_overview(series(spark, c=[-9, 9, 1, -9, 9] + [0] * 15)).collect()[0]
+    assert (peaks["n_extremes"], peaks["min_year"], peaks["max_year"]) == (4, 2000, 2001)
+    assert (peaks["first_year"], peaks["last_year"], peaks["min_value"], peaks["max_value"]) == (2000, 2019, -9.0, 9.0)
+    single = rk.zero_centred_overview(series(spark, d=[3])).collect()[0]
+    assert single["threshold"] is None and single["n_extremes"] == 0
 
 
 def test_ranks(spark):
@@ -206,8 +211,32 @@ def test_heatmaps(spark):
     dense = {(r["country"], r["member"], r["year"]): r["value"] for r in b.heatmap_dense(cells(spark)).collect()}
     assert len(dense) == 3 * 3 + 1
     assert dense["c", "oil", 2000] == 5.0 and dense["c", "sun", 2000] is None and dense["d", "oil", 1999] == 2.0
-    wide = by(b.heatmap_pivot(cells(spark), [2000, 2001]), "country", "member")
-    assert wide["c", "oil"]["2001"] == 4.0 and wide["c", "wind"]["2001"] is None
+    wide = by(b.heatmap_pivot(cells(spark)), "country", "member")
+    assert wide["c", "oil"]["years"] == [2000, 2001, 2003] and wide["c", "oil"]["values"] == [5.0, 4.0, None]
+    assert wide["d", "oil"]["years"] == [1999]
+    columns = by(b.heatmap_columns(cells(spark)), "country", "member")
+    assert columns["c", "oil"]["2001"] == 4.0 and columns["d", "oil"]["1999"] == 2.0
+
+
+def test_raw_rows_are_hashed_before_anything_is_picked(spark):
+    raw = spark.range(1000).select(
+        (F.col("id") % 3).cast("string").alias("country"), F.lit("i").alias("indicator"),
+        (F.col("id") % 20).cast("int").alias("year"), F.rand(1).alias("value"),
+    )
+    for figures in (s.series_extent(raw), s.last_point(raw)):
+        plan = figures._jdf.queryExecution().executedPlan().toString().splitlines()
+        lowest = [line for line in plan if "Aggregate" in line][-1]
+        assert "HashAggregate" in lowest and "SortAggregate" not in lowest and "year" in lowest
+    plan = rk.zero_centred_overview(raw)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+
+
+def test_headline_stat(spark):
+    rows = [("surface_temp_anomaly", 2000, 0.25), ("surface_temp_anomaly", 2005, 1.0), ("other", 2000, 1.0)]
+    baseline = spark.createDataFrame(rows, "indicator string, year int, regional_median double")
+    labels = spark.createDataFrame([("surface_temp_anomaly", "°C"), ("other", "m")], "indicator string, unit string")
+    got = s.headline_stat(s.headline_change(baseline), labels, "surface_temp_anomaly", "Headline").collect()
+    assert [tuple(r) for r in got] == [("Headline", "°C", 2000, 2005, 0.25, 1.0, 0.75)]
 
 
 def test_latest_mix_and_growth(spark):
