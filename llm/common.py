@@ -53,6 +53,23 @@ def doc_columns(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*names)
 
 
+class Hidden:
+    """A frame whose columns have neutral names while an operator adds its own, and get theirs back in the end.
+
+    Whatever the columns are called, even twice the same, none of them meets a name of the operator's.
+    """
+
+    def __init__(self, docs: DataFrame) -> None:
+        self.names = docs.columns
+        self.docs = docs.toDF(*[f"__c{i}" for i in range(len(self.names))])
+
+    def __getitem__(self, name: str) -> str:
+        return f"__c{self.names.index(name)}"
+
+    def restore(self, docs: DataFrame) -> DataFrame:
+        return docs.select(*self.docs.columns).toDF(*self.names)
+
+
 def bytes_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 of each text; a null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

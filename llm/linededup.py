@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import WORD_BASE, buckets_for, bytes_of, count_and_bytes, doc_columns, mix, store
+from .common import WORD_BASE, Hidden, buckets_for, bytes_of, count_and_bytes, doc_columns, mix, store
 
 #: Code points that a key has at least.
 LEAST_KEY = 10
@@ -240,9 +240,13 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return rewrite(docs, probe(keys, index, shards), buckets, doc_id, text)
 
 
-def without_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+def without_repeated_lines(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars"
+) -> DataFrame:
     """The documents with all their columns, their texts without the dropped lines, and n_chars counted anew."""
-    kept = dedup_lines(docs, doc_id, text).drop("__n_lines", "__n_dropped")
-    if n_chars in docs.columns:
-        kept = kept.withColumn(n_chars, F.char_length(text).cast(docs.schema[n_chars].dataType))
-    return kept.select(*docs.columns)
+    hidden = Hidden(docs)
+    kept = dedup_lines(hidden.docs, hidden[doc_id], hidden[text])
+    if n_chars in hidden.names:
+        counted = hidden[n_chars]
+        kept = kept.withColumn(counted, F.char_length(hidden[text]).cast(hidden.docs.schema[counted].dataType))
+    return hidden.restore(kept)

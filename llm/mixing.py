@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, doc_columns, store
+from .common import WORD, Hidden, doc_columns, store
 
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (5, 2, 1)
@@ -212,6 +212,9 @@ class Mix:
         Copies are a whole number from 0 to ``most``. Rows of one id and source are taken alike. A null source is a
         source, the last one; an empty or null text has the size zero. With no rows or no words nothing is taken.
         """
+        return self._planned(docs, self.doc_id, self.source, self.text)
+
+    def _planned(self, docs: DataFrame, doc_id: str, source: str, text: str) -> DataFrame:
         sources = self.sources.select(
             F.col("source").alias("__source"),
             F.col("source_size").alias("__source_size"),
@@ -222,10 +225,10 @@ class Mix:
             F.col("bounds").alias("__bounds"),
         )
         last = self.last.select(F.col("source").alias("__last"), F.col("place").alias("__end"), F.lit(1).alias("__more"))
-        sized = docs.withColumn("__size", size_of(F.col(self.text))).withColumn(
-            "__place", place_of(F.col(self.doc_id), self.seed)
+        sized = docs.withColumn("__size", size_of(F.col(text))).withColumn(
+            "__place", place_of(F.col(doc_id), self.seed)
         )
-        joined = sized.join(sources, F.col(self.source).cast("string").eqNullSafe(F.col("__source"))).join(
+        joined = sized.join(sources, F.col(source).cast("string").eqNullSafe(F.col("__source"))).join(
             last, F.col("__source").eqNullSafe(F.col("__last")) & (F.col("__place") == F.col("__end")), "left"
         )
         extra = F.when((F.col("__place") < F.col("__low")) | F.col("__more").isNotNull(), 1).otherwise(0)
@@ -246,11 +249,13 @@ class Mix:
 
     def mixed(self, docs: DataFrame) -> DataFrame:
         """The mixed documents with all their columns, a row for each copy, shuffled within their output shards."""
-        columns = docs.columns
-        copies = self.plan(docs).withColumn("__shard", F.explode("__shards"))
-        order = F.xxhash64(F.lit(self.seed), F.col("__shard"), F.col(self.doc_id))
+        hidden = Hidden(docs)
+        doc_id = hidden[self.doc_id]
+        planned = self._planned(hidden.docs, doc_id, hidden[self.source], hidden[self.text])
+        copies = planned.withColumn("__shard", F.explode("__shards"))
+        order = F.xxhash64(F.lit(self.seed), F.col("__shard"), F.col(doc_id))
         dealt = copies.withColumn("__order", order).repartition("__shard")
-        return dealt.sortWithinPartitions("__shard", "__order").select(*columns)
+        return hidden.restore(dealt.sortWithinPartitions("__shard", "__order"))
 
 
 def block_of(place: Column, blocks: Column) -> Column:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import bytes_of, doc_columns, ship, steps, store, word_hashes
+from .common import Hidden, bytes_of, doc_columns, ship, steps, store, word_hashes
 
 #: Labelled documents and unlabelled ones that the classifiers are fitted on at most.
 LABELLED, POOL = 4_000, 6_000
@@ -213,7 +213,14 @@ def _narrow(docs: DataFrame, doc_id: str, text: str, lang: str, source: str) ->
     )
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> Model:
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    lang: str = "lang",
+    source: str = "source",
+) -> Model:
     """The model from bounded samples: LABELLED labelled documents and POOL others, of the smallest hashed ids.
 
     labels: doc_id and quality (1 good, 0 bad, anything else is no label); of several labels of an id the worst counts.
@@ -247,7 +254,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     )
 
 
-def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+def score(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """docs with __text_score, __metadata_score (each view's calibrated probability) and __quality (the combined one).
 
     Every row is scored whole and keeps all its columns. A null text is empty, and a null language or source is a value
@@ -283,4 +290,6 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that aren't rejected, whole and with their columns."""
-    return classify(docs, labels).where(F.col("__quality") >= THRESHOLD).select(*docs.columns)
+    hidden = Hidden(docs)
+    scored = score(hidden.docs, train(docs, labels), hidden["text"], hidden["lang"], hidden["source"])
+    return hidden.restore(scored.where(F.col("__quality") >= THRESHOLD))

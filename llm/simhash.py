@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, doc_columns, steps, store
+from .common import Hidden, bytes_of, doc_columns, steps, store
 
 #: Distinct fingerprints that the shards' tree is fitted on at most. It decides how evenly the shards are filled only.
 SAMPLE = 20_000
@@ -248,9 +248,14 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
     Of rows that repeat this id and its text one stays. Rows without an id can't be told apart and stay.
     """
-    found = store(near_duplicates(docs, doc_id, text).select(F.col("doc_id").alias("__id"), "component_id"), "found")
+    hidden = Hidden(docs)
+    doc_id, text = hidden[doc_id], hidden[text]
+    found = near_duplicates(hidden.docs, doc_id, text).select(F.col("doc_id").alias("__id"), "component_id")
+    found = store(found, "found")
     copies = found.where("__id <> component_id").select("__id").distinct()
-    repeated = store(found.where("__id = component_id").groupBy("__id").count().where("count > 1").select("__id"), "repeated")
+    repeated = found.where("__id = component_id").groupBy("__id").count().where("count > 1").select("__id")
+    repeated = store(repeated, "repeated")
     same = F.col(doc_id) == F.col("__id")
-    rest = docs.join(copies, same, "left_anti").join(repeated, same, "left_anti")
-    return rest.unionByName(docs.join(repeated, same, "left_semi").dropDuplicates([doc_id, text]))
+    rest = hidden.docs.join(copies, same, "left_anti").join(repeated, same, "left_anti")
+    once = hidden.docs.join(repeated, same, "left_semi").dropDuplicates([doc_id, text])
+    return hidden.restore(rest.unionByName(once))
