@@ -58,9 +58,21 @@ def flow_index_nodes(links: DataFrame, keys: Sequence[str] = COUNTRY) -> DataFra
     return first_seen.select(*keys, number.alias("idx"), "label")
 
 
-def flow_indexed(links: DataFrame, keys: Sequence[str] = COUNTRY) -> DataFrame:
-    """Links with node numbers in place of names."""
-    nodes = flow_index_nodes(links, keys)
+def flow_link_nodes(links: DataFrame, keys: Sequence[str] = COUNTRY) -> DataFrame:
+    """Nodes numbered from 0 as the links, sorted by source and target, name them: source first, then target."""
+
+    def named(label: str, side: int) -> DataFrame:
+        place = F.struct(F.col("source").alias("a"), F.col("target").alias("b"), F.lit(side).alias("side"))
+        return links.groupBy(*keys, F.col(label).alias("label")).agg(F.min(place).alias("_first"))
+
+    first_named = named("source", 0).unionByName(named("target", 1)).groupBy(*keys, "label").agg(F.min("_first").alias("_first"))
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("_first")) - 1
+    return first_named.select(*keys, number.alias("idx"), "label")
+
+
+def flow_indexed(links: DataFrame, keys: Sequence[str] = COUNTRY, nodes: DataFrame | None = None) -> DataFrame:
+    """Links with node numbers in place of names; by default those of ``flow_index_nodes``."""
+    nodes = flow_index_nodes(links, keys) if nodes is None else nodes
     sources = nodes.select(*keys, F.col("label").alias("source"), F.col("idx").alias("source_idx"))
     targets = nodes.select(*keys, F.col("label").alias("target"), F.col("idx").alias("target_idx"))
     return (

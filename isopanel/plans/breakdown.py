@@ -179,3 +179,19 @@ def flow_indexed(t: Testbed):
 @query("flow_index_nodes", with_("links") + _NODES + "SELECT country, idx, label FROM nodes")
 def flow_index_nodes(t: Testbed):
     return fl.flow_index_nodes(t.links)
+
+
+@query("flow_link_nodes", with_("links") + """
+, named AS (
+    SELECT country, source AS label, source AS a, target AS b, 0 AS side FROM links
+    UNION ALL SELECT country, target, source, target, 1 FROM links
+), nodes AS (
+    SELECT country, label, CAST(row_number() OVER (PARTITION BY country ORDER BY min((a, b, side))) - 1 AS INTEGER) AS idx
+    FROM named GROUP BY country, label
+)
+SELECT l.country, s.idx AS source_idx, t.idx AS target_idx, l.value
+FROM links l JOIN nodes s ON s.country = l.country AND s.label = l.source
+JOIN nodes t ON t.country = l.country AND t.label = l.target""")
+def flow_link_nodes(t: Testbed):
+    links = t.stored.links
+    return fl.flow_indexed(links, nodes=fl.flow_link_nodes(links))

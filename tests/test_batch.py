@@ -266,3 +266,47 @@ def test_scan_union_and_country_list(spark, root):
 
 def test_tourism_filter(spark):
     assert c.STANDARD_CATALOG["tourism_arrivals"].rows.equals[c.VISITOR_COLUMN] == "Overnight tourists"
+
+
+def _csv(folder, name, text):
+    folder.mkdir(exist_ok=True)
+    (folder / name).write_text(text, encoding="utf-8")
+
+
+def test_header_names_decide(spark, tmp_path):
+    _csv(tmp_path, "a.csv", "OBS_VALUE,TIME_PERIOD,UNIT_MEASURE\n5,2001,X\nNA,2002,Y\n")
+    rows = o.scan_observations(spark, str(tmp_path / "a.csv"), ["TIME_PERIOD", "OBS_VALUE"]).collect()
+    assert [tuple(r) for r in rows] == [("2001", "5"), ("2002", None)]
+    assert o.scan_observations(spark, str(tmp_path / "a.csv")).columns == ["OBS_VALUE", "TIME_PERIOD", "UNIT_MEASURE"]
+
+
+def test_parts_with_other_headers_are_refused(spark, tmp_path):
+    _csv(tmp_path / "parts", "a.csv", "TIME_PERIOD,OBS_VALUE\n2001,5\n")
+    _csv(tmp_path / "parts", "b.csv", "OBS_VALUE,TIME_PERIOD\n6,2002\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        o.scan_observations(spark, str(tmp_path / "parts")).collect()
+
+
+def test_line_breaks_inside_of_quotes(spark, tmp_path):
+    _csv(tmp_path, "m.csv", 'TIME_PERIOD,NOTE\n2001,"one\ntwo, ""three"""\n2002,four\n')
+    rows = o.scan_observations(spark, str(tmp_path / "m.csv"), multiline=True).collect()
+    assert [tuple(r) for r in rows] == [("2001", 'one\ntwo, "three"'), ("2002", "four")]
+
+
+def test_extended_payload_and_types(spark, result):
+    _, built, details, _ = result
+    asked = spark.createDataFrame([("Fiji", "Samoa"), ("Tonga", "")], "country string, compare string")
+    got = batch.answer(built, details, asked)
+    for name in (*batch.CHART_TABLES, "ranked"):
+        rows = got[f"charts_{name}"].select("primary", "role", "country").distinct().collect()
+        assert {("Fiji", "primary", "Fiji"), ("Fiji", "compare", "Samoa")} <= {tuple(r) for r in rows} or name == "extremes"
+        assert {r["country"] for r in rows} <= {"Fiji", "Samoa", "Tonga"}
+    assert dict(built["series"].dtypes)["indicator"] == "string"
+    headline = built["headline_stat"].collect()
+    assert len(headline) == 1 and headline[0]["unit"] == "°C" and headline[0]["label"] == c.HEADLINE_LABEL
+
+
+def test_names_like_numbers_stay_text(spark, tmp_path):
+    table = spark.createDataFrame([("1", 2.0)], "indicator string, value double")
+    back = batch.write_and_read({"t": table}, str(tmp_path / "out"))["t"]
+    assert back.dtypes == table.dtypes and [tuple(r) for r in back.collect()] == [("1", 2.0)]

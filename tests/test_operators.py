@@ -253,6 +253,14 @@ def links(spark):
     return spark.createDataFrame(rows, LINKS)
 
 
+def test_nodes_in_link_order(spark):
+    nodes = {(r["country"], r["label"]): r["idx"] for r in fl.flow_link_nodes(links(spark)).collect()}
+    # Loop > Oil, Oil > Off-grid, Oil > On-grid, Solar > On-grid, Wind > Loop
+    assert [label for _, label in sorted(nodes, key=nodes.get)] == ["Loop", "Oil", "Off-grid", "On-grid", "Solar", "Wind"]
+    indexed = {(r["source_idx"], r["target_idx"]) for r in fl.flow_indexed(links(spark), nodes=fl.flow_link_nodes(links(spark))).collect()}
+    assert indexed == {(0, 1), (1, 2), (1, 3), (4, 3), (5, 0)}
+
+
 def test_flow_nodes_and_index(spark):
     nodes = {r["label"]: r["idx"] for r in fl.flow_index_nodes(links(spark)).collect()}
     # Sources by name, then targets as the sorted links first name them.
