@@ -9,7 +9,7 @@ of the sources' permuted blocks. Within a shard documents are shuffled by a hash
 
 The part of the last pass ends where the wanted words are reached. That place is found by narrowing: words are summed
 in a bounded number of bins for each source, the bin that holds the end is cut into bins again, until it holds a few
-documents, of which the largest that still fit are taken. No source is ever sorted or gathered.
+documents, of which those are taken that add up best. No source is ever sorted or gathered.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ MOST = 3
 BLOCK_WORDS, SHARDS = 100_000, 64
 #: Bins of one narrowing step, and documents that the last bin holds at most, unless they share one id.
 BINS, LAST_BIN = 256, 256
+#: Documents of which all subsets are tried.
+FEW = 16
 #: Bits of a document's place in its source's order.
 PLACE_BITS = 60
 
@@ -101,18 +103,40 @@ def narrow_step(places: DataFrame, ends: DataFrame) -> DataFrame:
     )
 
 
-def largest_that_fit(group: pd.DataFrame) -> pd.DataFrame:
-    """Of the documents of a source's last bin, the largest first, those that fit into the words that are needed."""
+def nearest_sum(sizes: np.ndarray, need: float) -> np.ndarray:
+    """Which of the sizes, largest first, add up to nearly the words that are needed.
+
+    Of a few sizes all subsets are tried. Of more, those that still fit are taken from the largest on, once from each
+    place of the order, and the best of these is kept; with many small sizes it leaves hardly a word.
+    """
+    n = len(sizes)
+    if n <= FEW:
+        sums = np.zeros(1)
+        for size in sizes:
+            sums = np.concatenate((sums, sums + size))
+        best = int(np.argmin(np.abs(sums - need)))
+        return np.array([best >> k & 1 for k in range(n)], dtype=bool)
+    best_gap, best = np.inf, np.zeros(n, dtype=bool)
+    for first in range(n):
+        taken, left = np.zeros(n, dtype=bool), need
+        for k in range(first, n):
+            if sizes[k] <= left:
+                taken[k] = True
+                left -= sizes[k]
+        more = np.flatnonzero(~taken)
+        if len(more) and abs(left - sizes[more[-1]]) < left:  # the smallest that is left brings it nearer
+            taken[more[-1]] = True
+            left -= sizes[more[-1]]
+        if abs(left) < best_gap:
+            best_gap, best = abs(left), taken
+    return best
+
+
+def taken_of_last_bin(group: pd.DataFrame) -> pd.DataFrame:
+    """The documents of a source's last bin that the mix takes."""
     group = group.sort_values(["size", "place"], ascending=[False, True])
-    need, taken = float(group["need"].iloc[0]), []
-    for place, size in zip(group["place"], group["size"], strict=True):
-        if size <= need:
-            taken.append(place)
-            need -= size
-    rest = group[~group["place"].isin(taken)]
-    if len(rest) and rest["size"].iloc[-1] < 2 * need:  # the smallest that is left brings it nearer
-        taken.append(rest["place"].iloc[-1])
-    return pd.DataFrame({"source": group["source"].iloc[0], "place": taken})
+    taken = nearest_sum(group["size"].to_numpy(), float(group["need"].iloc[0]))
+    return pd.DataFrame({"source": group["source"].iloc[0], "place": group["place"].to_numpy()[taken]})
 
 
 def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
@@ -185,7 +209,7 @@ class Mix:
             .agg(F.sum("size").alias("size"))
         )
         schema = f"source {targets.schema['source'].dataType.simpleString()}, place bigint"
-        self.last = store(last.groupBy("source").applyInPandas(largest_that_fit, schema), "last")
+        self.last = store(last.groupBy("source").applyInPandas(taken_of_last_bin, schema), "last")
         ended = targets.join(ends.select(F.col("source").alias("__source"), "low"), F.expr("source <=> __source"), "left")
         last_blocks = F.when(F.col("low").isNull(), 0).otherwise(block_of(F.col("low"), F.col("blocks")) + 1)
         quotas = ended.withColumn("quota", F.col("passes") * F.col("blocks") + last_blocks)

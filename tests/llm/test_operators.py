@@ -98,6 +98,17 @@ def test_mix_reaches_targets_closely(spark):
     assert sum(shards.values()) == found.agg(F.sum("__copies")).first()[0]
 
 
+def test_sums_come_near():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 7, 16, 17, 200):
+        sizes = np.sort(rng.integers(1, 500, n))[::-1]
+        for share in (0.0, 0.3, 0.77, 1.0):
+            need = share * sizes.sum()
+            gap = abs(sizes[mixing.nearest_sum(sizes, need)].sum() - need)
+            plain = min((abs(sum(x * (b >> k & 1) for k, x in enumerate(sizes)) - need) for b in range(1 << n)), default=need) if n <= 7 else 30
+            assert gap <= plain + 1e-9
+
+
 def test_quotas_are_exact():
     quotas = np.array([1000, 3, 0, 250, 1])
     split = mixing.split_quotas(quotas, 12, 5)
