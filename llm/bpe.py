@@ -23,14 +23,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import doc_columns
+from .common import doc_columns, slices
 
 #: Words whose encodings a worker keeps at most between batches; it starts anew beyond.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 250_000
 #: Pairs of tokens whose check a worker keeps at most.
-KEPT_PAIRS = 1_000_000
+KEPT_PAIRS = 400_000
 #: Texts that are encoded together; a longer one is encoded alone.
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 2_000_000
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids binary, decoded string"
 
@@ -92,7 +92,7 @@ class WordEncoder:
         self.inner = {raw: i for raw, i in self.inner.items() if self.is_whole(i)}
         self.final = {raw: i for raw, i in self.final.items() if self.is_whole(i)}
         self.longest = max(map(len, [*self.inner, *self.final]))
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.apart: dict[int, bool] = {}  # by both tokens of a pair in one number
         self.forget()
 
     def crossing(self, a: int, b: int) -> int | None:
@@ -134,12 +134,13 @@ class WordEncoder:
         for begin in range(max(0, end - self.longest), end):
             token = tokens.get(word[begin:end])
             if token is not None:
-                pair = (stack[begin], token)
+                before = stack[begin]
+                pair = before << 20 | token
                 fits = apart.get(pair)
                 if fits is None:
                     if len(apart) > KEPT_PAIRS:
                         apart.clear()
-                    fits = apart[pair] = begin == 0 or self.crossing(*pair) is None
+                    fits = apart[pair] = begin == 0 or self.crossing(before, token) is None
                 if fits:
                     return token
         raise ValueError(f"no encoding for {word!r}")  # single bytes are tokens, so one always fits
@@ -220,21 +221,12 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id
         if encoder is None:
             encoder = _encoders[key] = WordEncoder(definition.value)
         for batch in batches:
-            texts, begin, held = [x or "" for x in batch.column(1).to_pylist()], 0, 0
-            for i, one in enumerate(texts):
-                held += len(one)
-                if held >= BATCH_BYTES or i + 1 == len(texts):
-                    ids, decoded = zip(*encoder.encode(texts[begin : i + 1]), strict=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            batch.column(0).slice(begin, i + 1 - begin),
-                            pa.array([len(x) // 4 for x in ids], pa.int64()),
-                            pa.array(ids, pa.binary()),
-                            pa.array(decoded, pa.string()),
-                        ],
-                        ["doc_id", "n_tokens", "ids", "decoded"],
-                    )
-                    begin, held = i + 1, 0
+            for part in slices(batch.column(1), BATCH_BYTES):
+                names, texts = (batch.column(c).slice(part.start, part.stop - part.start) for c in (0, 1))
+                ids, decoded = zip(*encoder.encode([x or "" for x in texts.to_pylist()]), strict=True)
+                counts = pa.array([len(x) // 4 for x in ids], pa.int64())
+                columns = [names, counts, pa.array(ids, pa.binary()), pa.array(decoded, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "decoded"])
 
     narrow = doc_columns(docs, doc_id, text).selectExpr(f"cast(`{doc_id}` as bigint) doc_id", f"`{text}` text")
     return narrow.mapInArrow(run, SCHEMA)

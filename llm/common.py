@@ -13,6 +13,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,6 +88,18 @@ def steps(texts: list[bytes] | list[str]) -> Iterator[slice]:
         yield slice(begin, len(texts))
 
 
+def slices(column: pa.Array, size: int = STEP_BYTES) -> Iterator[slice]:
+    """The same for an Arrow column of texts, none of which is brought into Python for it."""
+    begin, held = 0, 0
+    for i, length in enumerate(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).tolist()):
+        held += length
+        if held >= size:
+            yield slice(begin, i + 1)
+            begin, held = i + 1, 0
+    if begin < len(column):
+        yield slice(begin, len(column))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit over all."""
     x = x ^ (x >> np.uint64(33))
