@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, count_and_bytes, doc_columns, mix, steps, store, word_hashes
+from .common import buckets_for, bytes_of, count_and_bytes, doc_columns, mix, steps, store, word_hashes
 
 #: Places of short words, their most bytes, and lengths of longer words that are told apart.
 SHORT_PLACES, SHORT_BYTES, LENGTHS = 128, 3, 32
@@ -83,12 +83,15 @@ CHUNKS_SCHEMA = (
     "shard int, keys binary, counts binary"
 )
 _CHUNKS_ARROW = pa.schema(
-    [("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32()))]
-    + [("codes", pa.binary()), ("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]
+    [("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_()))]
+    + [("lengths", pa.list_(pa.int32())), ("codes", pa.binary()), ("shard", pa.int32())]
+    + [("keys", pa.binary()), ("counts", pa.binary())]
 )
 
 
-def chunk_rows(chunk: int, ids: list, held: list[bool], keys: list[np.ndarray], lengths: list[int], bits: int) -> list[dict]:
+def chunk_rows(
+    chunk: int, ids: list, held: list[bool], keys: list[np.ndarray], lengths: list[int], bits: int
+) -> pa.RecordBatch:
     """A row with the documents as codes, and a row for each shard with the pairs and their training counts."""
     every = np.concatenate(keys)
     pairs, codes = np.unique(every, return_inverse=True)
@@ -99,7 +102,7 @@ def chunk_rows(chunk: int, ids: list, held: list[bool], keys: list[np.ndarray],
     for shard in np.flatnonzero(np.diff(edges)).tolist():
         part = slice(edges[shard], edges[shard + 1])
         rows.append({"chunk": chunk, "shard": shard, "keys": _zip_sorted(pairs[part]), "counts": _zip(counts[part])})
-    return rows
+    return pa.RecordBatch.from_pylist(rows, schema=_CHUNKS_ARROW)
 
 
 def chunks_of(docs: DataFrame, bits: int, doc_id: str, text: str, held: str) -> DataFrame:
@@ -123,10 +126,10 @@ def chunks_of(docs: DataFrame, bits: int, doc_id: str, text: str, held: str) ->
                 flags += out[part]
                 size += sum(map(len, texts[part]))
                 if size >= CHUNK_BYTES:
-                    yield pa.RecordBatch.from_pylist(chunk_rows(number, ids, flags, keys, lengths, bits), schema=_CHUNKS_ARROW)
+                    yield chunk_rows(number, ids, flags, keys, lengths, bits)
                     ids, flags, keys, lengths, size, number = [], [], [], [], 0, number + 1
         if ids:
-            yield pa.RecordBatch.from_pylist(chunk_rows(number, ids, flags, keys, lengths, bits), schema=_CHUNKS_ARROW)
+            yield chunk_rows(number, ids, flags, keys, lengths, bits)
 
     narrow = doc_columns(docs, doc_id, text, held).select(
         F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.col(held).alias("held")
@@ -167,8 +170,9 @@ def gather(group: pa.Table) -> pa.Table:
     }
     numbers = [(n, pa.int64()) for n in ("tokens", "words", "ones", "twos", "single", "double")]
     lists = [(n, pa.list_(pa.int64())) for n in ("customers", "pairs", "chunks")]
-    schema = [("shard", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), *numbers, *lists, ("asked", pa.list_(pa.binary()))]
-    return pa.Table.from_pylist([row], schema=pa.schema(schema))
+    blobs = [("keys", pa.binary()), ("counts", pa.binary()), ("asked", pa.list_(pa.binary()))]
+    schema = pa.schema([("shard", pa.int32()), *blobs[:2], *numbers, *lists, blobs[2]])
+    return pa.Table.from_pylist([row], schema=schema)
 
 
 @dataclass
@@ -266,7 +270,8 @@ class Shard:
     def answer(self, asked: list[np.ndarray], totals: Totals) -> list[np.ndarray]:
         """The predictive probability of each pair that is asked."""
         s = self.setting
-        parent = np.append(self.parent(totals), (STRENGTH + s.parent_discount * totals.parent_tables) * s.uniform / (STRENGTH + totals.parent_customers))
+        unknown = (STRENGTH + s.parent_discount * totals.parent_tables) * s.uniform
+        parent = np.append(self.parent(totals), unknown / (STRENGTH + totals.parent_customers))
         seats = np.append(self.counts - s.discount * self.tables, 0.0)
         out = []
         for keys in asked:
@@ -302,7 +307,8 @@ def sweep_totals(shards: DataFrame, setting: Setting, history: list[Totals]) ->
             for i in range(batch.num_rows):
                 number, keys, counts = (batch.column(c)[i].as_py() for c in range(3))
                 found = _after(held, past, number, keys, counts).totals()
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(found)), pa.int32()), pa.array(found, pa.int64())], ["at", "n"])
+                columns = [pa.array(range(len(found)), pa.int32()), pa.array(found, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["at", "n"])
 
     parts = shards.select("shard", "keys", "counts").mapInArrow(run, "at int, n bigint")
     found = np.zeros(CONTEXTS + 2, dtype=np.int64)
@@ -329,7 +335,8 @@ def answers(shards: DataFrame, setting: Setting, history: list[Totals], burn_in:
                         for total, p in zip(sums, shard.answer(asked, past[sweep + 1]), strict=True):
                             total += p
                 samples = len(past) - 1 - burn_in
-                word_counts = np.append(np.bincount(shard.word, weights=shard.counts, minlength=len(shard.words)), 0).astype(np.int64)
+                word_counts = np.bincount(shard.word, weights=shard.counts, minlength=len(shard.words))
+                word_counts = np.append(word_counts, 0).astype(np.int64)
                 known = [word_counts[find(shard.words, k >> np.uint64(8))] for k in asked]
                 columns = [
                     pa.array(chunks, pa.int64()),
@@ -343,6 +350,11 @@ def answers(shards: DataFrame, setting: Setting, history: list[Totals], burn_in:
     return wanted.mapInArrow(run, "chunk bigint, shard int, logs binary, known binary")
 
 
+def discount_of(ones: int, twos: int) -> float:
+    """The discount that the numbers of dishes with one and with two customers suggest."""
+    return min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
+
+
 SCORES_SCHEMA = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
@@ -360,8 +372,7 @@ def document_scores(documents: DataFrame, replies: DataFrame, setting: Setting)
             codes = _unzip(row["codes"], "<u4")
             lengths = np.array(row["lengths"], dtype=np.int64)
             at = np.concatenate(([0], np.cumsum(lengths)))[:-1]  # no document is without its end
-            sums = [np.add.reduceat(x[codes], at) for x in (known > 0, base, logs)]
-            sums[0] = np.add.reduceat((known > 0)[codes].astype(np.int64), at)
+            sums = [np.add.reduceat(x[codes], at) for x in ((known > 0).astype(np.int64), base, logs)]
             columns = [pa.array(row["ids"], pa.int64()), pa.array(row["held"]), pa.array(lengths), *map(pa.array, sums)]
             out.append(pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]))
         return pa.concat_tables(out)
@@ -370,7 +381,13 @@ def document_scores(documents: DataFrame, replies: DataFrame, setting: Setting)
 
 
 def score(
-    docs: DataFrame, held: str, doc_id: str = "doc_id", text: str = "text", sweeps: int = SWEEPS, burn_in: int = BURN_IN, seed: int = 7
+    docs: DataFrame,
+    held: str,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    sweeps: int = SWEEPS,
+    burn_in: int = BURN_IN,
+    seed: int = 7,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
 
@@ -381,7 +398,7 @@ def score(
     likely. Further columns are left out. An empty table gives no rows.
     """
     _, size = count_and_bytes(docs, text)
-    bits = max(0, (size // SHARD_BYTES).bit_length(), (2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).bit_length() - 1)
+    bits = (buckets_for(docs.sparkSession, size, SHARD_BYTES) - 1).bit_length()
     written = store(chunks_of(docs, bits, doc_id, text, held), "chunks")
     asked = written.where("shard is not null").select("shard", "chunk", "keys", "counts")
     shards = store(asked.groupBy("shard").applyInArrow(gather, SHARDS_SCHEMA), "shards")
@@ -389,10 +406,9 @@ def score(
     tokens, words, ones, twos, single, double = (int(x) for x in shards.agg(*sums).first())
     contexts = shards.select(F.posexplode(F.arrays_zip("customers", "pairs")).alias("at", "n")).groupBy("at")
     first = np.zeros((2, CONTEXTS), dtype=np.int64)
-    for at, customers, pairs in contexts.agg(F.sum("n.customers"), F.sum("n.pairs")).collect():  # a row for each context
+    for at, customers, pairs in contexts.agg(F.sum("n.customers"), F.sum("n.pairs")).collect():  # one for each context
         first[:, at] = customers, pairs
-    discount, parent_discount = (min(0.95, max(0.05, a / (a + 2 * b))) if a else 0.5 for a, b in ((ones, twos), (single, double)))
-    setting = Setting(tokens, words, first[0], discount, parent_discount, seed)
+    setting = Setting(tokens, words, first[0], discount_of(ones, twos), discount_of(single, double), seed)
     history = [Totals(first[1], int(first[1].sum()), words)]
     for _ in range(sweeps):
         history.append(sweep_totals(shards, setting, history))

@@ -155,8 +155,9 @@ def build_index(keys: DataFrame, shards: int) -> DataFrame:
         placed = np.empty((3, len(first)), dtype=np.int64)
         placed[:, perfect.numbers(high.astype(np.int64).view(np.uint64))] = arrays
         row = [perfect.bits.tobytes(), *(x.tobytes() for x in placed), np.ascontiguousarray(others).tobytes()]
+        sizes = pa.array([perfect.sizes], pa.list_(pa.int32()))
         return pa.table(
-            [group.column("shard")[:1], pa.array([perfect.sizes], pa.list_(pa.int32())), *(pa.array([x], pa.binary()) for x in row)],
+            [group.column("shard")[:1], sizes, *(pa.array([x], pa.binary()) for x in row)],
             names=["shard", "sizes", "bits", "fingerprints", "counts", "owners", "others"],
         )
 
@@ -179,10 +180,10 @@ def probe(keys: DataFrame, index: DataFrame, shards: int) -> DataFrame:
         owner, n = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64)
         known = (at >= 0) & (arrays[0][at] == low)
         n[known], owner[known] = arrays[1][at[known]], arrays[2][at[known]]
-        for other_high, other_low, other_n, other_owner in np.frombuffer(shard["others"], dtype=np.int64).reshape(-1, 4):
-            same = (high == other_high) & (low == other_low)
+        for other in np.frombuffer(shard["others"], dtype=np.int64).reshape(-1, 4):  # high, low, n and owner
+            same = (high == other[0]) & (low == other[1])
             known |= same
-            n[same], owner[same] = other_n, other_owner
+            n[same], owner[same] = other[2], other[3]
         return pa.table([pa.array(c[known]) for c in (bucket, high, low, owner, n)], names=names)
 
     dealt = keys.select("bucket", "high", "low").withColumn("shard", F.pmod("high", F.lit(shards)).cast("int"))
@@ -209,7 +210,8 @@ def rewrite(docs: DataFrame, found: DataFrame, buckets: int, doc_id: str, text:
             "__n_dropped", pa.array(n_dropped, pa.int64())
         )
 
-    schema = StructType([*docs.schema.fields, StructField("__n_lines", LongType()), StructField("__n_dropped", LongType())])
+    counts = [StructField(name, LongType()) for name in ("__n_lines", "__n_dropped")]
+    schema = StructType([*docs.schema.fields, *counts])
     held = docs.withColumn("__id", _id(doc_id)).withColumn("__bucket", _bucket(doc_id, buckets))
     return held.groupBy("__bucket").cogroup(found.groupBy("bucket")).applyInArrow(drop, schema)
 

@@ -46,7 +46,7 @@ _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 def donors(attempt: int, bins: int = BINS) -> np.ndarray:
     """For each bin the one that it asks at this attempt."""
-    seeds = np.arange(bins, dtype=np.uint64) * np.uint64(0x10001) + np.uint64(attempt) * np.uint64(0x9E3779B9) + np.uint64(1)
+    seeds = np.arange(1, bins + 1, dtype=np.uint64) + np.uint64(attempt << 20)
     return (mix(seeds) % np.uint64(bins)).astype(np.int64)
 
 
@@ -108,9 +108,10 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             for part in steps(texts):
                 packed = pack(sketches(texts[part]))
                 ids = batch.column(0).slice(part.start, part.stop - part.start)
-                yield pa.RecordBatch.from_arrays([ids, pa.array([x.tobytes() for x in packed])], ["doc_id", "fingerprint"])
+                columns = [ids, pa.array([x.tobytes() for x in packed], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fingerprint"])
 
-    narrow = doc_columns(docs, doc_id, text).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    narrow = doc_columns(docs, doc_id, text).selectExpr(f"cast(`{doc_id}` as bigint) doc_id", f"`{text}` text")
     return narrow.mapInArrow(run, "doc_id bigint, fingerprint binary")
 
 
@@ -198,7 +199,8 @@ def against_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
                 one = {name: batch.column(name)[i].as_py() for name in ("doc_id", "text", "after")}
                 yield _batch([{"part": 0} | r for r in compared([one["doc_id"]], [one["text"], one["after"]])])
 
-    done = store(narrow.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, RESULT), "compared")
+    ranges = narrow.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    done = store(ranges.mapInArrow(run, RESULT), "compared")
     firsts, lasts = (done.where(F.col("edge") == edge).select("part", "doc_id", "text") for edge in (1, 2))
     everything = Window.orderBy("part")
     first = F.min("part").over(Window.partitionBy())

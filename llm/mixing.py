@@ -57,6 +57,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, mos
     by_ratio = Window.orderBy("ratio", F.col("source").asc_nulls_last())
     everything = Window.partitionBy()
     nth = (F.row_number().over(by_name) - 1) % len(weights) + 1
+    at_limit = F.col("at_limit")
     return (
         sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), nth).cast("double"))
         .withColumn("wanted", F.sum("source_size").over(everything) * F.lit(float(share)))
@@ -66,11 +67,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, mos
         .withColumn("open", F.sum("weight").over(by_ratio.rowsBetween(0, Window.unboundedFollowing)))
         .withColumn("level", (F.col("wanted") - F.coalesce("filled", F.lit(0.0))) / F.col("open"))
         .withColumn("at_limit", F.col("ratio") <= F.col("level"))
-        .withColumn("left", F.col("wanted") - F.sum(F.when(F.col("at_limit"), F.col("limit")).otherwise(0.0)).over(everything))
-        .withColumn("free", F.sum(F.when(F.col("at_limit"), 0.0).otherwise(F.col("weight"))).over(everything))
-        .withColumn(
-            "target", F.when(F.col("at_limit"), F.col("limit")).otherwise(F.col("left") / F.col("free") * F.col("weight"))
-        )
+        .withColumn("left", F.col("wanted") - F.sum(F.when(at_limit, F.col("limit")).otherwise(0.0)).over(everything))
+        .withColumn("free", F.sum(F.when(at_limit, 0.0).otherwise(F.col("weight"))).over(everything))
+        .withColumn("even", F.col("left") / F.col("free") * F.col("weight"))
+        .withColumn("target", F.when(at_limit, F.col("limit")).otherwise(F.col("even")))
         .select("source", "source_size", "n", F.least("limit", "target").alias("target"))
     )
 
@@ -81,7 +81,8 @@ def narrow_step(places: DataFrame, ends: DataFrame) -> DataFrame:
     A range of ``n`` documents is cut into bins of LAST_BIN / 4 documents about, BINS at most; a small one stays whole.
     """
     bins = F.when(F.col("n") <= LAST_BIN, 1).otherwise(F.least(F.lit(BINS), F.expr(f"n div {LAST_BIN // 4}")))
-    ends = ends.withColumn("bins", bins).withColumn("width", F.expr("(high - low + bins - 1) div bins")).drop("n", "bins")
+    ends = ends.withColumn("bins", bins).withColumn("width", F.expr("(high - low + bins - 1) div bins"))
+    ends = ends.drop("n", "bins")
     inside = places.join(ends, places["source"].eqNullSafe(ends["source"])).where("place >= low and place < high")
     binned = inside.select(
         ends["source"], "low", "high", "need", "width", "size", F.expr("(place - low) div width").alias("bin")
@@ -210,7 +211,8 @@ class Mix:
         )
         schema = f"source {targets.schema['source'].dataType.simpleString()}, place bigint"
         self.last = store(last.groupBy("source").applyInPandas(taken_of_last_bin, schema), "last")
-        ended = targets.join(ends.select(F.col("source").alias("__source"), "low"), F.expr("source <=> __source"), "left")
+        lows = ends.select(F.col("source").alias("__source"), "low")
+        ended = targets.join(lows, F.expr("source <=> __source"), "left")
         last_blocks = F.when(F.col("low").isNull(), 0).otherwise(block_of(F.col("low"), F.col("blocks")) + 1)
         quotas = ended.withColumn("quota", F.col("passes") * F.col("blocks") + last_blocks)
         # without a part of a pass no place lies before its end; nulls would make pandas take the column for floats
@@ -248,7 +250,9 @@ class Mix:
             F.col("blocks").alias("__blocks"),
             F.col("bounds").alias("__bounds"),
         )
-        last = self.last.select(F.col("source").alias("__last"), F.col("place").alias("__end"), F.lit(1).alias("__more"))
+        last = self.last.select(
+            F.col("source").alias("__last"), F.col("place").alias("__end"), F.lit(1).alias("__more")
+        )
         sized = docs.withColumn("__size", size_of(F.col(text))).withColumn(
             "__place", place_of(F.col(doc_id), self.seed)
         )
@@ -266,9 +270,8 @@ class Mix:
             joined.withColumn("__copies", (F.col("__passes") + extra).cast("int"))
             .withColumn("__block", block)
             .withColumn("__shards", places)
-            .drop(
-                "__source", "__passes", "__low", "__blocks", "__bounds", "__last", "__end", "__more", "__place", "__block"
-            )
+            .drop("__source", "__passes", "__low", "__blocks", "__bounds", "__last", "__end", "__more")
+            .drop("__place", "__block")
         )
 
     def mixed(self, docs: DataFrame) -> DataFrame:

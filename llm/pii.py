@@ -117,7 +117,8 @@ def words_of(buffer: bytes) -> Words:
     lengths = np.minimum(np.diff(np.concatenate((begins, [len(raw)]))), 4)
     stop = np.searchsorted(begins, ends)
     first = np.searchsorted(begins, starts)
-    code = kind[begins].astype(np.uint64) * np.uint64(8) + np.where(kind[begins] == _DIGIT, lengths, 0).astype(np.uint64)
+    code = kind[begins].astype(np.uint64) * np.uint64(8)
+    code += np.where(kind[begins] == _DIGIT, lengths, 0).astype(np.uint64)
     spot = np.arange(len(begins)) - np.repeat(first, stop - first)
     shape = np.add.reduceat(mix(code + np.minimum(spot, 20).astype(np.uint64) * np.uint64(256) + np.uint64(1)), first)
 
@@ -145,10 +146,8 @@ def words_of(buffer: bytes) -> Words:
         np.minimum(digits, 20) * 2 + (before != 0),
         np.ones(len(starts), dtype=np.int64),
     ]
-    features = np.stack(
-        [(mix(f.astype(np.uint64) * np.uint64(16) + np.uint64(i)) % np.uint64(TABLE)).astype(np.int64) for i, f in enumerate(facts)],
-        axis=1,
-    )
+    salted = [f.astype(np.uint64) * np.uint64(16) + np.uint64(i) for i, f in enumerate(facts)]
+    features = np.stack([(mix(f) % np.uint64(TABLE)).astype(np.int64) for f in salted], axis=1)
     return Words(starts, ends, np.cumsum(cut) - 1, features)
 
 
@@ -252,7 +251,8 @@ def train(sequences: list[tuple[np.ndarray, np.ndarray]]) -> Field:
             np.add.at(gradient["features"], features[:, k], difference)
         for t in range(1, side.longest):
             here, prev = inner[t], inner[t - 1][: len(inner[t])]
-            pair = forward[prev][:, :, None] + follow + (scores[here] + backward[here])[:, None, :] - total[here][:, None, None]
+            after = scores[here] + backward[here] - total[here][:, None]
+            pair = forward[prev][:, :, None] + follow + after[:, None, :]
             gradient["follow"] += np.exp(pair).sum(axis=0) - observed[prev].T @ observed[here]
         gradient["start"] = difference[inner[0]].sum(axis=0)
         for name, g in gradient.items():
@@ -277,7 +277,9 @@ def tags_of(words: Words, spans: list[Span]) -> np.ndarray:
     return tags
 
 
-def added_spans(buffer: bytes, words: Words, tags: np.ndarray, taken: list[Span]) -> list[Span]:
+def added_spans(
+    buffer: bytes, starts: np.ndarray, ends: np.ndarray, tags: np.ndarray, taken: list[Span]
+) -> list[Span]:
     """The spans of tagged words, without signs at their ends, that overlap none of those taken."""
     out: list[Span] = []
     at = np.flatnonzero(tags)
@@ -285,7 +287,7 @@ def added_spans(buffer: bytes, words: Words, tags: np.ndarray, taken: list[Span]
         kind, j = (int(tags[i]) - 1) // 2, i + 1
         while j < len(tags) and tags[j] == 2 * kind + 2:
             j += 1
-        start, end = int(words.starts[i]), int(words.ends[j - 1])
+        start, end = int(starts[i]), int(ends[j - 1])
         body = buffer[start:end]
         start += len(body) - len(body.lstrip(b"([{<\"'"))
         end -= len(body) - len(body.rstrip(b".,;:!?)]}>\"'"))
@@ -321,7 +323,8 @@ def labelled_sequences(docs: DataFrame, doc_id: str, text: str) -> list[tuple[by
                         inside = [(s[0] - begin, s[1] - begin, s[2]) for s in spans if begin <= s[0] and s[1] <= end]
                         out["body"].append(body[begin:end])
                         out["spans"].append([x for s in inside for x in s])
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("body", pa.binary()), ("spans", pa.list_(pa.int32()))]))
+            schema = pa.schema([("body", pa.binary()), ("spans", pa.list_(pa.int32()))])
+            yield pa.RecordBatch.from_pydict(out, schema=schema)
 
     found = rows.mapInArrow(cut, "body binary, spans array<int>")
     chosen = found.distinct().orderBy(F.xxhash64("body"), "body").limit(SAMPLE_SEQUENCES).collect()
@@ -376,8 +379,8 @@ def find(docs: DataFrame, field: Field, doc_id: str = "doc_id", text: str = "tex
                     own = slice(first[i], first[i + 1])
                     extra: list[Span] = []
                     if tags[own].any():
-                        here = Words(words.starts[own] - begins[i], words.ends[own] - begins[i], words.sequence[own], words.features[:0])
-                        extra = added_spans(body, here, tags[own], spans)
+                        starts, ends = words.starts[own] - begins[i], words.ends[own] - begins[i]
+                        extra = added_spans(body, starts, ends, tags[own], spans)
                     points = None
                     if (spans or extra) and not body.isascii():
                         raw = np.frombuffer(body, dtype=np.uint8)
@@ -390,7 +393,7 @@ def find(docs: DataFrame, field: Field, doc_id: str = "doc_id", text: str = "tex
                 names = ["doc_id", *(f"n_{k}" for k in KINDS), "base", "spans"]
                 yield pa.RecordBatch.from_arrays([ids, *numbers, pa.array(base), pa.array(every)], names)
 
-    narrow = doc_columns(docs, doc_id, text).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    narrow = doc_columns(docs, doc_id, text).selectExpr(f"cast(`{doc_id}` as bigint) doc_id", f"`{text}` text")
     return narrow.mapInArrow(run, schema)
 
 

@@ -73,8 +73,8 @@ def text_features(texts: list[bytes]) -> np.ndarray:
     for k, keys in ((16, hashes), (18, hashes + np.roll(hashes, 1) * np.uint64(3))):
         order = np.lexsort((keys, row))
         keys, at = keys[order], row[order]
-        new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (at[1:] != at[:-1]))) if len(keys) else np.zeros(0, dtype=bool)
-        begins = np.flatnonzero(new)
+        new = (keys[1:] != keys[:-1]) | (at[1:] != at[:-1])
+        begins = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), dtype=bool), new)))
         repeats = np.diff(np.concatenate((begins, [len(keys)])))
         out[:, k] = np.bincount(at[begins], minlength=n) / words
         most = np.zeros(n)
@@ -238,10 +238,11 @@ def train(
         for batch in batches:
             texts = bytes_of(batch.column("text"))
             for part in steps(texts):
-                langs, sources = (batch.column(c).slice(part.start, part.stop - part.start).to_pylist() for c in ("lang", "source"))
+                own = batch.slice(part.start, part.stop - part.start)
+                langs, sources = (own.column(c).to_pylist() for c in ("lang", "source"))
                 values = np.hstack((text_features(texts[part]), metadata_features(texts[part], langs, sources)))
-                columns = [batch.column(c).slice(part.start, len(values)) for c in ("doc_id", "label")]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(list(values))], ["doc_id", "label", "features"])
+                columns = [own.column("doc_id"), own.column("label"), pa.array(list(values))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "label", "features"])
 
     rows = _narrow(docs, doc_id, text, lang, source).join(sample, "doc_id")
     rows = rows.select("doc_id", "label", "text", "lang", "source")

@@ -141,8 +141,8 @@ SQL: dict[str, str] = {
               AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
         ranked AS (
             SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.v, c.v) AS score,
-                   CAST(row_number() OVER (
-                       PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.v, c.v) DESC, c.vec_id) AS INTEGER) AS rank
+                   CAST(row_number() OVER (PARTITION BY q.vec_id
+                       ORDER BY list_cosine_similarity(q.v, c.v) DESC, c.vec_id) AS INTEGER) AS rank
             FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
 }
