@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import pairwise
 
 import numpy as np
@@ -44,29 +45,33 @@ RANGE_BYTES = 32_000_000
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def donors(attempt: int, bins: int = BINS) -> np.ndarray:
-    """For each bin the one that it asks at this attempt."""
-    seeds = np.arange(1, bins + 1, dtype=np.uint64) + np.uint64(attempt << 20)
-    return (mix(seeds) % np.uint64(bins)).astype(np.int64)
+@lru_cache(maxsize=64)
+def donors(first: int, attempts: int, bins: int) -> np.ndarray:
+    """The bins that each bin asks at some attempts: a row for each attempt."""
+    numbers = np.arange(first, first + attempts, dtype=np.uint64)[:, None] << np.uint64(20)
+    return (mix(numbers + np.arange(1, bins + 1, dtype=np.uint64)) % np.uint64(bins)).astype(np.int64)
 
 
 def densify(values: np.ndarray) -> np.ndarray:
-    """Fill the empty bins of each row from its filled ones. Rows without any filled bin become zeros."""
+    """Fill the empty bins of each row from its filled ones. Rows without any filled bin become zeros.
+
+    Several attempts are looked at together, the more the fewer rows are left; the first that finds a filled bin counts.
+    """
     out = values.copy()
     empty = values == _EMPTY
     none = empty.all(axis=1)
     out[none] = 0
     empty[none] = False
-    attempt = 0
-    while empty.any():
-        rows = np.flatnonzero(empty.any(axis=1))
-        given = values[rows][:, donors(attempt)]  # from bins filled by shingles only
-        take = empty[rows] & (given != _EMPTY)
-        some = out[rows]
-        some[take] = given[take]
-        out[rows] = some
-        empty[rows] &= ~take
-        attempt += 1
+    rows, first = np.flatnonzero(empty.any(axis=1)), 0
+    while len(rows):
+        attempts = 4 if len(rows) > 64 else 64
+        given = values[rows][:, donors(first, attempts, values.shape[1])]  # from bins that shingles have filled
+        filled = given != _EMPTY
+        row, column = np.nonzero(filled.any(axis=1) & empty[rows])
+        out[rows[row], column] = given[row, filled[row, :, column].argmax(axis=1), column]
+        empty[rows[row], column] = False
+        rows = rows[empty[rows].any(axis=1)]
+        first += attempts
     return out
 
 
