@@ -14,10 +14,11 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from llm import bpe, linededup, mixing, quality, simhash
+from llm import quality
 from llm.queries import QUERIES, SQL
 from tests.oracle_check import connect, rows_of
 
+from .odd import SCHEMA, frame
 from .test_operators import TOKENIZER, held, plain_fingerprint, plain_lines, plain_spans, plain_targets, sha, words
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -229,5 +230,10 @@ def test_pipeline(spark):
     assert Counter((r["doc_id"], r["ids_sha256"]) for r in whole) == Counter((r["doc_id"], r["ids_sha256"]) for r in rows[5])
 
 
-def test_stages_call_their_operators():
-    assert all(callable(f) for f in (quality.good, linededup.without_repeated_lines, simhash.keep_one, mixing.Mix, bpe.encode_documents))
+def test_stages_on_difficult_and_empty_tables(spark):
+    odd, empty = frame(spark), spark.createDataFrame([], SCHEMA)
+    for name, stage in corpus_pipeline.STAGES:
+        found, none = stage(spark, odd, SF_DIR), stage(spark, empty, SF_DIR)
+        assert none.count() == 0 and found.count() > 0, name
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert found.dtypes == odd.dtypes and none.columns == odd.columns, name
