@@ -65,13 +65,13 @@ def fixed_text(value: Column | str, digits: int) -> Column:
 
 
 def significant(value: Column | str) -> Column:
-    """A double with the 15 significant digits that every double holds.
+    """A double with 12 significant digits.
 
-    Sums of doubles vary in the digits beyond with the order of the rows. A figure that stands halfway between two
-    texts would come out as one or the other; without these digits it is the same in every run.
+    Sums of doubles, and lines fitted to them, vary in the last digits with the order of the rows. A figure that stands
+    halfway between two texts would come out as one or the other; without these digits it is the same in every run.
     """
     x = _as_column(value).cast("double")
-    return F.when(_is_finite(x), F.format_string("%.14e", x).cast("double") + F.lit(0.0)).otherwise(x)
+    return F.when(_is_finite(x), F.format_string("%.11e", x).cast("double") + F.lit(0.0)).otherwise(x)
 
 
 def blank_to_null(value: Column | str) -> Column:

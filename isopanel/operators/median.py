@@ -47,23 +47,23 @@ def exact_median(
     output: str = "median",
     weight: str | None = None,
     few: int = FEW,
+    counted: bool = False,
 ) -> DataFrame:
     """Median of ``value`` per group; the mean of the middle two when the number of rows is even.
 
     With ``weight`` each row stands for that many equal rows, so the result of :func:`value_counts` on finer keys
-    can be rolled up without reading the rows again. How often ranges are cut depends on the values, so the counts and
+    can be rolled up without reading the rows again. ``counted`` tells that the frame is such a result on these very keys
+    and stored, which saves doing both again. How often ranges are cut depends on the values, so the counts and
     the groups' ranges are worked out here; the rest is left to the plan that is returned.
     """
     keys = list(keys)
-    if weight is None:
-        counts = value_counts(df, keys, value, "_n").withColumnRenamed(value, "_v")
+    if counted:
+        counts = df.select(*keys, F.col(value).alias("_v"), F.col(weight).alias("_n"))
+    elif weight is None:
+        counts = store(value_counts(df, keys, value, "_n").withColumnRenamed(value, "_v"), "counts")
     else:
-        counts = (
-            df.where(_all([F.col(k).isNotNull() for k in keys]))
-            .groupBy(*keys, F.col(value).alias("_v"))
-            .agg(F.sum(weight).alias("_n"))
-        )
-    counts = store(counts, "counts")
+        present = df.where(_all([F.col(k).isNotNull() for k in keys]))
+        counts = store(present.groupBy(*keys, F.col(value).alias("_v")).agg(F.sum(weight).alias("_n")), "counts")
     groups = store(
         counts.groupBy(*keys).agg(
             F.min("_v").alias("_lo"),

@@ -30,11 +30,15 @@ def annual_series(
     weight: str | None = None,
     digits: int | None = 3,
     output: str = "value",
+    counted: bool = False,
 ) -> DataFrame:
-    """One figure per key: the exact median or the sum of ``value``. Rows with a missing key or value do not count."""
+    """One figure per key: the exact median or the sum of ``value``. Rows with a missing key or value do not count.
+
+    ``counted``: the panel is a stored result of :func:`panel_counts` on these keys, and ``weight`` its count.
+    """
     keys = list(keys)
     if agg == "median":
-        figures = exact_median(panel, keys, output=output, weight=weight)
+        figures = exact_median(panel, keys, output=output, weight=weight, counted=counted)
     elif agg == "sum":
         part = F.col("value") if weight is None else F.col("value") * F.col(weight)
         present = panel.dropna(subset=[*keys, "value"])
@@ -45,12 +49,14 @@ def annual_series(
 
 
 def annual_panel(panels: Mapping[str, DataFrame], weight: str | None = None, digits: int | None = 3) -> DataFrame:
-    """Annual series of all indicators. ``panels`` holds, by aggregate, the rows of the indicators it applies to.
+    """Annual series of all indicators. ``panels`` holds, by aggregate, the rows of the indicators it applies to, or
+    with ``weight`` their stored counts.
 
     Taking them apart by a filter on the indicator instead would put a different filter below each use of the
     panel and read it once per aggregate.
     """
-    parts = [annual_series(panel, agg, weight=weight, digits=digits) for agg, panel in panels.items()]
+    counted = weight is not None
+    parts = [annual_series(panel, agg, weight=weight, digits=digits, counted=counted) for agg, panel in panels.items()]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -97,10 +97,10 @@ def latest_period(t: Testbed):
     return b.latest_period(t.source_cells)
 
 
-def latest_mix_sql(cells: str) -> str:
+def latest_mix_sql(cells: str, digits: int = 2) -> str:
     return f"""
 SELECT country, year AS latest_year, arg_min(member, (-value, member)) AS leader, max(value) AS leader_value,
-       {r('sum(value)', 2)} AS total
+       {r('sum(value)', digits)} AS total
 FROM {cells} JOIN (SELECT country, max(year) AS year FROM {cells} GROUP BY country) USING (country, year)
 GROUP BY country, year"""
 
@@ -139,13 +139,14 @@ def flow_links_with_subtotals(t: Testbed):
     return fl.flow_links(o.load_power_by_source_grid(t.raw_power, with_subtotals=True))
 
 
-FLOW_LEADERS = f"""
+def flow_leaders_sql(digits: int = 2) -> str:
+    return f"""
 SELECT country, target, arg_min(source, (-value, source)) AS leader, max(value) AS leader_value,
-       {r('sum(value)', 2)} AS target_total
+       {r('sum(value)', digits)} AS target_total
 FROM links GROUP BY country, target"""
 
 
-@query("flow_leaders", with_("links") + FLOW_LEADERS)
+@query("flow_leaders", with_("links") + flow_leaders_sql())
 def flow_leaders(t: Testbed):
     return b.rounded(fl.flow_leaders(t.links), 2, "target_total")
 

@@ -245,8 +245,10 @@ def overview_tail_risk(t: Testbed):
     WHERE unit = 'GWH' AND grid IN ('On-grid', 'Off-grid') AND source IS NOT NULL AND country IS NOT NULL
     AND value IS NOT NULL
 )
-SELECT 'cell' AS part, country, member AS name, CAST(NULL AS VARCHAR) AS target, year, value FROM raw_source_cells
-UNION ALL SELECT 'link', country, source, target, CAST(NULL AS INTEGER), sum(value) FROM rows GROUP BY country, source, target""")
+SELECT part, country, name, target, year, """ + r("value", 4) + """ AS value FROM (
+    SELECT 'cell' AS part, country, member AS name, CAST(NULL AS VARCHAR) AS target, year, value FROM raw_source_cells
+    UNION ALL SELECT 'link', country, source, target, CAST(NULL AS INTEGER), sum(value) FROM rows
+    GROUP BY country, source, target)""")
 def overview_power(t: Testbed):
     power = overview.power(_run(t).datasets)
     nodes = power["nodes"]
@@ -256,9 +258,10 @@ def overview_power(t: Testbed):
     cells = power["cells"].select(
         F.lit("cell").alias("part"), "country", F.col("member").alias("name"), none.cast("string").alias("target"), "year", "value"
     )
-    return cells.unionByName(
-        links.select(F.lit("link").alias("part"), "country", F.col("source").alias("name"), "target", none.cast("int").alias("year"), "value")
+    flows = links.select(
+        F.lit("link").alias("part"), "country", F.col("source").alias("name"), "target", none.cast("int").alias("year"), "value"
     )
+    return cells.unionByName(flows).withColumn("value", round_exact("value", 4))
 
 
 @query("overview_products", with_("products", standard=True) + """

@@ -13,7 +13,7 @@ from ..operators import series as s
 from ..operators import trend as tr
 from ..sinks.tables import store
 from ..sources import observations as o
-from .breakdown import FLOW_LEADERS, latest_mix_sql, mix_growth_sql
+from .breakdown import flow_leaders_sql, latest_mix_sql, mix_growth_sql
 from .oracle import f, sig, with_
 from .registry import query
 from .series import window_sql
@@ -185,7 +185,7 @@ _FLOW_FACTS = f"""
            max(CASE WHEN target = 'On-grid' THEN leader_value END) AS on_value,
            max(CASE WHEN target = 'Off-grid' THEN leader END) AS off_leader,
            max(CASE WHEN target = 'Off-grid' THEN leader_value END) AS off_value
-    FROM ({FLOW_LEADERS}) GROUP BY country
+    FROM ({flow_leaders_sql(7)}) GROUP BY country
 )"""
 
 
@@ -300,7 +300,7 @@ Between ' || start_year || ' and ' || g.latest_year || ', ' || country
 As of ' || g.latest_year || ', total generation reached **' || {f(sig('total'), 1)} || ' GWH**, led by **' || leader || '**
 (' || {f('leader_value', 1)} || ' GWH).
 ' AS text
-FROM ({mix_growth_sql('raw_source_cells')}) g JOIN ({latest_mix_sql('raw_source_cells')}) m USING (country)""")
+FROM ({mix_growth_sql('raw_source_cells')}) g JOIN ({latest_mix_sql('raw_source_cells', 7)}) m USING (country)""")
 def insight_mix_growth(t: Testbed):
     cells = t.stored.raw_source_cells
     return n.insight_mix_growth(b.mix_growth(cells), b.latest_mix(cells))

@@ -15,8 +15,8 @@ def r(expression: str, digits: int) -> str:
 
 
 def sig(expression: str) -> str:
-    """The 15 significant digits that every double holds."""
-    return f"(CAST(printf('%.14e', {expression}) AS DOUBLE) + 0.0)"
+    """A double with 12 significant digits."""
+    return f"(CAST(printf('%.11e', {expression}) AS DOUBLE) + 0.0)"
 
 
 def f(expression: str, digits: int) -> str:

@@ -51,9 +51,9 @@ RAW_POWER = {
         "CASE WHEN l_orderkey % 11 = 0 THEN 'n/a' WHEN l_orderkey % 19 = 0 THEN '12d' "
         "WHEN l_orderkey % 23 = 0 THEN ' 12 ' WHEN l_orderkey % 31 = 0 THEN '1e3' "
         "WHEN l_orderkey % 37 = 0 THEN 'NaN' WHEN l_orderkey % 43 = 0 THEN '1,234' "
-        # eighths, of which sums are exact in any order
-        "ELSE CAST(CAST(l_quantity AS INT) AS STRING) || CASE l_linenumber % 4 WHEN 0 THEN '' WHEN 1 THEN '.125' "
-        "WHEN 2 THEN '.5' ELSE '.375' END END"
+        # fractions whose sums hardly ever stand halfway between two rounded figures
+        "ELSE CAST(CAST(l_quantity AS INT) AS STRING) || CASE l_linenumber % 4 WHEN 0 THEN '' WHEN 1 THEN '.1371359' "
+        "WHEN 2 THEN '.2917173' ELSE '.5833791' END END"
     ),
     c.UNIT_COLUMN: "CASE WHEN l_linenumber = 7 THEN 'MW' ELSE 'GWH' END",
     c.SOURCE_COLUMN: (
@@ -68,7 +68,13 @@ RAW_POWER = {
     ),
 }
 RAW_CROPS = {
-    **{name: RAW_POWER[name] for name in (c.PERIOD_COLUMN, c.COUNTRY_COLUMN, c.VALUE_COLUMN)},
+    **{name: RAW_POWER[name] for name in (c.PERIOD_COLUMN, c.COUNTRY_COLUMN)},
+    c.VALUE_COLUMN: (
+        "CASE WHEN l_orderkey % 11 = 0 THEN 'n/a' WHEN l_orderkey % 19 = 0 THEN '12d' "
+        "WHEN l_orderkey % 23 = 0 THEN ' 12 ' WHEN l_orderkey % 31 = 0 THEN '1e3' "
+        "WHEN l_orderkey % 37 = 0 THEN 'NaN' WHEN l_orderkey % 43 = 0 THEN '1,234' "
+        "ELSE CAST(CAST(l_quantity AS INT) AS STRING) END"
+    ),
     c.UNIT_COLUMN: "CASE WHEN l_returnflag = 'R' THEN 'T' ELSE 'KGHA' END",
     c.PRODUCTION_COLUMN: "CASE WHEN l_linestatus = 'O' THEN 'AREA' ELSE 'CROP_YIELD' END",
     c.PRODUCT_COLUMN: "CASE WHEN l_linenumber = 6 THEN NULL ELSE p_brand END",
@@ -271,7 +277,7 @@ class Testbed:
 
     @cached_property
     def counts(self) -> dict[str, DataFrame]:
-        return {agg: s.panel_counts(panel) for agg, panel in self.panels.items()}
+        return {agg: store(s.panel_counts(panel), f"counts_{agg}") for agg, panel in self.panels.items()}
 
     @cached_property
     def annual(self) -> DataFrame:
