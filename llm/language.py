@@ -303,12 +303,12 @@ def sweep_totals(shards: DataFrame, setting: Setting, history: list[Totals]) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, past = sent.value
+        found = np.zeros(CONTEXTS + 2, dtype=np.int64)  # of all shards of the task
         for batch in batches:
             for i in range(batch.num_rows):
                 number, keys, counts = (batch.column(c)[i].as_py() for c in range(3))
-                found = _after(held, past, number, keys, counts).totals()
-                columns = [pa.array(range(len(found)), pa.int32()), pa.array(found, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, ["at", "n"])
+                found += _after(held, past, number, keys, counts).totals()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(found), dtype=np.int32)), pa.array(found)], ["at", "n"])
 
     parts = shards.select("shard", "keys", "counts").mapInArrow(run, "at int, n bigint")
     found = np.zeros(CONTEXTS + 2, dtype=np.int64)
@@ -398,7 +398,7 @@ def score(
     likely. Further columns are left out. An empty table gives no rows.
     """
     _, size = count_and_bytes(docs, text)
-    bits = (buckets_for(docs.sparkSession, size, SHARD_BYTES) - 1).bit_length()
+    bits = buckets_for(docs.sparkSession, size, SHARD_BYTES).bit_length() - 1
     written = store(chunks_of(docs, bits, doc_id, text, held), "chunks")
     asked = written.where("shard is not null").select("shard", "chunk", "keys", "counts")
     shards = store(asked.groupBy("shard").applyInArrow(gather, SHARDS_SCHEMA), "shards")
