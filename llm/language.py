@@ -1,27 +1,31 @@
 """Language-model scores by a hierarchical Pitman-Yor model whose seating is sampled by Gibbs sweeps.
 
 A restaurant for each context serves words; all context restaurants share one parent, whose base is uniform over the
-training vocabulary and one unknown word. The context of a token is the word before it: a short word by itself (hashed
-to a place), a longer one by its length, or the text's beginning. There are CONTEXTS contexts, so the totals of all
-restaurants are a small table, while everything that grows with the corpus is kept by word:
-
-1. Each task takes stretches of documents (chunks) and writes, once, the distinct (word, context) pairs of each chunk
-   with their training counts, dealt to shards by word, and the documents as positions in the chunk's list of pairs.
-2. A shard adds up the counts of its words over all chunks. All customers of a word are in one shard, and a hot word is
-   one entry for each context.
-3. A sweep seats every word's customers anew, given the totals of the sweep before; the new totals are added up over
-   the shards and read by the next sweep. A shard's seating is a function of its counts, the seed and the totals so
-   far, so sweeps store nothing but these totals, and a lost task is simply run again.
-4. The last pass averages the predictive probabilities over the sweeps after burn-in and answers each chunk's pairs;
+training vocabulary and one unknown word. The context of a token is the word before it, whatever its length, or the end
+of the text before for a text's first word. There are as many restaurants as distinct words, so nothing about them is
+kept on the driver but the parent's two sums:
+
+1. Each task takes stretches of documents (chunks) and writes, once, their words as positions in the chunk's sorted
+   vocabulary. From there the distinct (word, context) pairs of each chunk are dealt to shards by word.
+2. A shard adds up the counts of its pairs over all chunks, and knows its words and contexts by number.
+3. Contexts are dealt to parts by their hash. Each part learns once where the contexts of each shard are in its own
+   list; from then on only counts in that order are exchanged.
+4. A sweep seats every word's customers anew, given the totals of the sweep before. Each shard tells the parts the
+   tables of its contexts, the parts add them up and tell each shard the totals it needs. Shards lie in buckets on
+   disk, so the counts come to them and they don't move.
+5. The last pass averages the predictive probabilities over the sweeps after burn-in and answers each chunk's pairs;
    the answers meet the chunk's documents, which add up their tokens.
 
-Words are known by 56 bits of their hash.
+Words and contexts are known by 56 bits of their hash.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
+from posixpath import join
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +34,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, bytes_of, count_and_bytes, doc_columns, mix, steps, store, word_hashes
+from isopanel.sinks.tables import work_dir
 
-#: Places of short words, their most bytes, and lengths of longer words that are told apart.
-SHORT_PLACES, SHORT_BYTES, LENGTHS = 128, 3, 32
-CONTEXTS = 1 + SHORT_PLACES + LENGTHS
+from .common import buckets_for, bytes_of, count_and_bytes, doc_columns, steps, store, word_hashes
+
+#: Bits of a pair's key that hold its context's number in a shard, and in a small table of CONTEXTS contexts.
+CONTEXT_BITS, SMALL_BITS = 32, 8
+CONTEXTS = 1 << SMALL_BITS
+#: Word shards for each part of the contexts, as a power of two.
+PART_BITS = 2
 #: Bytes of text of a chunk, and bytes of text for each shard of the words, about.
 CHUNK_BYTES, SHARD_BYTES = 16_000_000, 8_000_000
 #: Gibbs sweeps, those that are left out of the average, and the restaurants' strengths.
@@ -63,73 +71,64 @@ def _unzip_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(_unzip(blob, "<u8"), dtype=np.uint64)
 
 
-def token_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(word << 8 | context) of every token, an end after each text's words, and the first token of each text."""
-    hashes, lengths, first = word_hashes(texts)
+def token_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The word of every token, an end after each text's words, and the first token of each text."""
+    hashes, _, first = word_hashes(texts)
     counts = np.diff(first) + 1
     begins = np.concatenate(([0], np.cumsum(counts)))
     word = np.full(begins[-1], END, dtype=np.uint64)
-    context = np.zeros(begins[-1], dtype=np.uint64)
     at = np.arange(len(hashes)) + np.repeat(np.arange(len(texts)), counts - 1)
     word[at] = hashes >> np.uint64(64 - _WORD_BITS)
-    short = (mix(hashes) % np.uint64(SHORT_PLACES)) + np.uint64(1)
-    longer = np.clip(lengths - SHORT_BYTES - 1, 0, LENGTHS - 1).astype(np.uint64) + np.uint64(1 + SHORT_PLACES)
-    context[at + 1] = np.where(lengths <= SHORT_BYTES, short, longer)
-    return word << np.uint64(8) | context, begins
+    return word, begins
+
+
+def cuts(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Where each of 1 << bits ranges begins in sorted hashes, and their end."""
+    return np.searchsorted(hashes >> np.uint64(_WORD_BITS - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
 
 
 CHUNKS_SCHEMA = (
-    "chunk bigint, ids array<bigint>, held array<boolean>, lengths array<int>, codes binary, "
-    "shard int, keys binary, counts binary"
+    "chunk bigint, ids array<bigint>, held array<boolean>, lengths array<int>, vocabulary binary, codes binary"
 )
 _CHUNKS_ARROW = pa.schema(
     [("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_()))]
-    + [("lengths", pa.list_(pa.int32())), ("codes", pa.binary()), ("shard", pa.int32())]
-    + [("keys", pa.binary()), ("counts", pa.binary())]
+    + [("lengths", pa.list_(pa.int32())), ("vocabulary", pa.binary()), ("codes", pa.binary())]
 )
 
 
-def chunk_rows(
-    chunk: int, ids: list, held: list[bool], keys: list[np.ndarray], lengths: list[int], bits: int
-) -> pa.RecordBatch:
-    """A row with the documents as codes, and a row for each shard with the pairs and their training counts."""
-    every = np.concatenate(keys)
-    pairs, codes = np.unique(every, return_inverse=True)
-    counts = np.bincount(codes[np.repeat(~np.array(held), lengths)], minlength=len(pairs)).astype("<u4")
-    rows = [{"chunk": chunk, "ids": ids, "held": held, "lengths": lengths, "codes": _zip(codes.astype("<u4"))}]
-    shards = (pairs >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(pairs), dtype=np.int64)
-    edges = np.searchsorted(shards, np.arange((1 << bits) + 1))
-    for shard in np.flatnonzero(np.diff(edges)).tolist():
-        part = slice(edges[shard], edges[shard + 1])
-        rows.append({"chunk": chunk, "shard": shard, "keys": _zip_sorted(pairs[part]), "counts": _zip(counts[part])})
-    return pa.RecordBatch.from_pylist(rows, schema=_CHUNKS_ARROW)
+def chunk_row(chunk: int, ids: list, held: list[bool], words: list[np.ndarray], lengths: list[int]) -> pa.RecordBatch:
+    """The documents as positions in the sorted list of their words."""
+    vocabulary, codes = np.unique(np.concatenate(words), return_inverse=True)
+    row = {"chunk": chunk, "ids": ids, "held": held, "lengths": lengths}
+    row |= {"vocabulary": _zip_sorted(vocabulary), "codes": _zip(codes.astype("<u4"))}
+    return pa.RecordBatch.from_pylist([row], schema=_CHUNKS_ARROW)
 
 
-def chunks_of(docs: DataFrame, bits: int, doc_id: str, text: str, held: str) -> DataFrame:
-    """The rows of chunk_rows for all documents."""
+def chunks_of(docs: DataFrame, doc_id: str, text: str, held: str) -> DataFrame:
+    """The rows of chunk_row for all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 24
         ids: list = []
         flags: list[bool] = []
-        keys: list[np.ndarray] = []
+        words: list[np.ndarray] = []
         lengths: list[int] = []
         size = 0
         for batch in batches:
             texts = bytes_of(batch.column(1))
             names, out = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for part in steps(texts):
-                found, begins = token_keys(texts[part])
-                keys.append(found)
+                found, begins = token_words(texts[part])
+                words.append(found)
                 lengths += np.diff(begins).tolist()
                 ids += names[part]
                 flags += out[part]
                 size += sum(map(len, texts[part]))
                 if size >= CHUNK_BYTES:
-                    yield chunk_rows(number, ids, flags, keys, lengths, bits)
-                    ids, flags, keys, lengths, size, number = [], [], [], [], 0, number + 1
+                    yield chunk_row(number, ids, flags, words, lengths)
+                    ids, flags, words, lengths, size, number = [], [], [], [], 0, number + 1
         if ids:
-            yield chunk_rows(number, ids, flags, keys, lengths, bits)
+            yield chunk_row(number, ids, flags, words, lengths)
 
     narrow = doc_columns(docs, doc_id, text, held).select(
         F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.col(held).alias("held")
@@ -137,42 +136,166 @@ def chunks_of(docs: DataFrame, bits: int, doc_id: str, text: str, held: str) ->
     return narrow.mapInArrow(run, CHUNKS_SCHEMA)
 
 
+ASKED_SCHEMA = "chunk bigint, shard int, words binary, sizes binary, contexts binary, at binary, counts binary"
+_ASKED_ARROW = pa.schema(
+    [("chunk", pa.int64()), ("shard", pa.int32())]
+    + [(n, pa.binary()) for n in ("words", "sizes", "contexts", "at", "counts")]
+)
+
+
+def asked_rows(chunk: int, vocabulary: np.ndarray, codes: np.ndarray, held: np.ndarray, bits: int) -> pa.RecordBatch:
+    """A row for each shard: words, pairs of each, their contexts as positions in a list, and training counts.
+
+    The token before a chunk's first is an end as well, and so is the chunk's last token.
+    """
+    wide = codes.astype(np.uint64)
+    keys = np.sort(wide << np.uint64(33) | np.roll(wide, 1) << np.uint64(1) | held.astype(np.uint64))
+    pairs = keys >> np.uint64(1)
+    first = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1])))
+    counts = np.add.reduceat(1 - (keys & np.uint64(1)).astype(np.int64), first).astype("<u4")
+    word, before = pairs[first] >> np.uint64(32), pairs[first] & np.uint64(0xFFFFFFFF)
+    edges = cuts(vocabulary, bits)
+    ends = np.searchsorted(word, edges.astype(np.uint64))
+    rows = []
+    for shard in np.flatnonzero(np.diff(edges)).tolist():
+        own, part = slice(edges[shard], edges[shard + 1]), slice(ends[shard], ends[shard + 1])
+        sizes = np.bincount((word[part] - np.uint64(own.start)).astype(np.int64), minlength=own.stop - own.start)
+        contexts, at = np.unique(before[part], return_inverse=True)
+        row = {"chunk": chunk, "shard": shard, "words": _zip_sorted(vocabulary[own]), "sizes": _zip(sizes.astype("<u4"))}
+        row |= {"contexts": _zip_sorted(vocabulary[contexts.astype(np.int64)]), "at": _zip(at.astype("<u4"))}
+        rows.append(row | {"counts": _zip(counts[part])})
+    return pa.RecordBatch.from_pylist(rows, schema=_ASKED_ARROW)
+
+
+def asked_of(chunks: DataFrame, bits: int) -> DataFrame:
+    """The rows of asked_rows for all chunks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                chunk, vocabulary, codes, held, lengths = (batch.column(c)[i].as_py() for c in range(5))
+                out = np.repeat(np.array(held, dtype=bool), lengths)
+                yield asked_rows(chunk, _unzip_sorted(vocabulary), _unzip(codes, "<u4"), out, bits)
+
+    return chunks.select("chunk", "vocabulary", "codes", "held", "lengths").mapInArrow(run, ASKED_SCHEMA)
+
+
 SHARDS_SCHEMA = (
-    "shard int, keys binary, counts binary, tokens bigint, words bigint, ones bigint, twos bigint, single bigint, "
-    "double bigint, customers array<bigint>, pairs array<bigint>, chunks array<bigint>, asked array<binary>"
+    "shard int, pairs binary, counts binary, contexts binary, tokens bigint, words bigint, seats bigint, ones bigint, "
+    "twos bigint, single bigint, double bigint, chunks array<bigint>, asked array<binary>"
 )
 
 
 def gather(group: pa.Table) -> pa.Table:
-    """A shard: the training counts of its pairs, what the first totals need, and what each chunk asks."""
-    asked = group.column("keys").to_pylist()
-    keys = [_unzip_sorted(k) for k in asked]
-    counts = np.concatenate([_unzip(c, "<u4") for c in group.column("counts").to_pylist()]).astype(np.int64)
-    pairs, place = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(place, weights=counts, minlength=len(pairs)).astype(np.int64)
-    pairs, total = pairs[total > 0], total[total > 0]
-    context = (pairs & np.uint64(255)).astype(np.int64)
-    served = np.unique(pairs >> np.uint64(8), return_counts=True)[1]
+    """A shard: its pairs with their training counts, its contexts, and the places of the pairs that each chunk asks.
+
+    A pair is the number of its word << CONTEXT_BITS | the number of its context. Pairs of held-out texts only count 0.
+    """
+    rows = group.to_pylist()
+    words, contexts = ([_unzip_sorted(r[n]) for r in rows] for n in ("words", "contexts"))
+    every, around = np.unique(np.concatenate(words)), np.unique(np.concatenate(contexts))
+    keys = []
+    for row, own, before in zip(rows, words, contexts, strict=True):
+        word = np.repeat(np.searchsorted(every, own).astype(np.uint64), _unzip(row["sizes"], "<u4"))
+        context = np.searchsorted(around, before).astype(np.uint64)[_unzip(row["at"], "<u4")]
+        keys.append(word << np.uint64(CONTEXT_BITS) | context)
+    pairs = np.unique(np.concatenate(keys))
+    total, asked = np.zeros(len(pairs), dtype=np.int64), []
+    for row, own in zip(rows, keys, strict=True):
+        place = np.searchsorted(pairs, own)
+        total[place] += _unzip(row["counts"], "<u4")
+        asked.append(_zip(np.diff(place, prepend=0).astype("<u4")))
+    served = np.unique(pairs[total > 0] >> np.uint64(CONTEXT_BITS), return_counts=True)[1]
     row = {
-        "shard": group.column("shard")[0].as_py(),
-        "keys": _zip_sorted(pairs),
+        "shard": rows[0]["shard"],
+        "pairs": _zip_sorted(pairs),
         "counts": _zip(total),
+        "contexts": _zip_sorted(around),
         "tokens": int(total.sum()),
         "words": len(served),
+        "seats": int((total > 0).sum()),
         "ones": int((total == 1).sum()),
         "twos": int((total == 2).sum()),
         "single": int((served == 1).sum()),
         "double": int((served == 2).sum()),
-        "customers": np.bincount(context, weights=total, minlength=CONTEXTS).astype(np.int64).tolist(),
-        "pairs": np.bincount(context, minlength=CONTEXTS).tolist(),
-        "chunks": group.column("chunk").to_pylist(),
+        "chunks": [r["chunk"] for r in rows],
         "asked": asked,
     }
-    numbers = [(n, pa.int64()) for n in ("tokens", "words", "ones", "twos", "single", "double")]
-    lists = [(n, pa.list_(pa.int64())) for n in ("customers", "pairs", "chunks")]
-    blobs = [("keys", pa.binary()), ("counts", pa.binary()), ("asked", pa.list_(pa.binary()))]
-    schema = pa.schema([("shard", pa.int32()), *blobs[:2], *numbers, *lists, blobs[2]])
-    return pa.Table.from_pylist([row], schema=schema)
+    blobs = [(n, pa.binary()) for n in ("pairs", "counts", "contexts")]
+    numbers = [(n, pa.int64()) for n in ("tokens", "words", "seats", "ones", "twos", "single", "double")]
+    lists = [("chunks", pa.list_(pa.int64())), ("asked", pa.list_(pa.binary()))]
+    return pa.Table.from_pylist([row], schema=pa.schema([("shard", pa.int32()), *blobs, *numbers, *lists]))
+
+
+def store_by(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Stored like others, but in buckets by a column, so that what is grouped by it later needs no exchange.
+
+    Only a table of the catalog has buckets; it is taken out again at once, which leaves its files.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(parts, column).option("path", join(work_dir(spark), name)).format("parquet").saveAsTable(table)
+    found = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return found
+
+
+def _pairs_and_counts(pairs: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return _unzip_sorted(pairs), _unzip(counts, "<i8")
+
+
+def _context_sums(pairs: np.ndarray, weights: np.ndarray, contexts: int) -> np.ndarray:
+    at = (pairs & np.uint64((1 << CONTEXT_BITS) - 1)).astype(np.int64)
+    return np.bincount(at, weights=weights, minlength=contexts).astype("<i8")
+
+
+LINKS_SCHEMA = "part int, shard int, places binary, customers binary, tables binary"
+_LINKS_ARROW = pa.schema(
+    [("part", pa.int32()), ("shard", pa.int32())] + [(n, pa.binary()) for n in ("places", "customers", "tables")]
+)
+
+
+def links_of(shards: DataFrame, bits: int) -> DataFrame:
+    """For each part and shard: the places of the shard's contexts in the part's list, their customers and pairs."""
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                shard, pairs, counts, contexts = (batch.column(c)[i].as_py() for c in range(4))
+                keys, total = _pairs_and_counts(pairs, counts)
+                around = _unzip_sorted(contexts)
+                customers, tables = (_context_sums(keys, w, len(around)) for w in (total, total > 0))
+                edges = cuts(around, bits)
+                rows = []
+                for part in np.flatnonzero(np.diff(edges)).tolist():
+                    own = slice(edges[part], edges[part + 1])
+                    row = {"part": part, "shard": shard, "places": _zip_sorted(around[own])}
+                    rows.append(row | {"customers": _zip(customers[own]), "tables": _zip(tables[own])})
+                yield pa.RecordBatch.from_pylist(rows, schema=_LINKS_ARROW)
+
+    def meet(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        contexts = [_unzip_sorted(r["places"]) for r in rows]
+        every = np.unique(np.concatenate(contexts))
+        places = [np.searchsorted(every, c) for c in contexts]
+        for name in ("customers", "tables"):
+            add_up(rows, places, name)
+        for row, at in zip(rows, places, strict=True):
+            row["places"] = _zip_sorted(at.astype(np.uint64))
+        return pa.Table.from_pylist(rows, schema=_LINKS_ARROW)
+
+    told = shards.select("shard", "pairs", "counts", "contexts").mapInArrow(tell, LINKS_SCHEMA)
+    return told.groupBy("part").applyInArrow(meet, LINKS_SCHEMA)
+
+
+def add_up(rows: list[dict], places: list[np.ndarray], name: str) -> None:
+    """Replace each shard's numbers by their totals over all shards of a part."""
+    total = np.zeros(1 + max(int(at[-1]) for at in places), dtype=np.int64)
+    for row, at in zip(rows, places, strict=True):
+        total[at] += _unzip(row[name], "<i8")
+    for row, at in zip(rows, places, strict=True):
+        row[name] = _zip(total[at])
 
 
 @dataclass
@@ -186,7 +309,10 @@ class Totals:
 
 @dataclass
 class Setting:
-    """What stays the same over the sweeps: training tokens, vocabulary, customers of contexts, and discounts."""
+    """What stays the same over the sweeps: training tokens, vocabulary, customers of contexts, and discounts.
+
+    bits: those of a pair's key that hold the context, whose number is its place in customers and in Totals.tables.
+    """
 
     tokens: int
     words: int
@@ -194,6 +320,7 @@ class Setting:
     discount: float
     parent_discount: float
     seed: int
+    bits: int = SMALL_BITS
 
     @property
     def uniform(self) -> float:
@@ -240,12 +367,17 @@ class Shard:
 
     def __init__(self, number: int, keys: np.ndarray, counts: np.ndarray, setting: Setting) -> None:
         self.number, self.keys, self.counts, self.setting = number, keys, counts, setting
-        self.context = (keys & np.uint64(255)).astype(np.int64)
-        self.words, self.word = np.unique(keys >> np.uint64(8), return_inverse=True)
+        self.word, self.context = self.split(keys)
+        self.words, self.word = np.unique(self.word, return_inverse=True)
         self.tables = np.ones(len(keys), dtype=np.int64)
         self.served = np.bincount(self.word, minlength=len(self.words))  # the parent's customers
         self.parent_tables = np.ones(len(self.words), dtype=np.int64)
 
+    def split(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words and contexts of pairs."""
+        bits = self.setting.bits
+        return keys >> np.uint64(bits), (keys & np.uint64((1 << bits) - 1)).astype(np.int64)
+
     def parent(self, totals: Totals) -> np.ndarray:
         """The parent's probability of each word."""
         s = self.setting
@@ -262,9 +394,12 @@ class Shard:
         back = np.full(len(self.words), (STRENGTH + s.parent_discount * totals.parent_tables) * s.uniform)
         self.parent_tables = seat(self.served, back, s.parent_discount, random)
 
+    def context_tables(self, contexts: int) -> np.ndarray:
+        return np.bincount(self.context, weights=self.tables, minlength=contexts).astype(np.int64)
+
     def totals(self) -> list[int]:
         """Tables of each context, then the parent's customers and tables."""
-        tables = np.bincount(self.context, weights=self.tables, minlength=CONTEXTS).astype(np.int64)
+        tables = self.context_tables(len(self.setting.customers))
         return [*tables.tolist(), int(self.served.sum()), int(self.parent_tables.sum())]
 
     def answer(self, asked: list[np.ndarray], totals: Totals) -> list[np.ndarray]:
@@ -275,8 +410,8 @@ class Shard:
         seats = np.append(self.counts - s.discount * self.tables, 0.0)
         out = []
         for keys in asked:
-            context = (keys & np.uint64(255)).astype(np.int64)
-            back = (STRENGTH + s.discount * totals.tables[context]) * parent[find(self.words, keys >> np.uint64(8))]
+            word, context = self.split(keys)
+            back = (STRENGTH + s.discount * totals.tables[context]) * parent[find(self.words, word)]
             out.append((seats[find(self.keys, keys)] + back) / (STRENGTH + s.customers[context]))
         return out
 
@@ -289,65 +424,95 @@ def find(held: np.ndarray, asked: np.ndarray) -> np.ndarray:
     return np.where((at < len(held)) & (held[np.minimum(at, len(held) - 1)] == asked), at, len(held))
 
 
-def _after(setting: Setting, history: list[Totals], number: int, keys: bytes, counts: bytes) -> Shard:
-    """A shard as it is after as many sweeps as there are totals."""
-    shard = Shard(number, _unzip_sorted(keys), _unzip(counts, "<i8"), setting)
-    for sweep, totals in enumerate(history):
-        shard.sweep(sweep, totals)
+#: What comes to a shard: by part, the customers (CUSTOMERS) or a sweep's tables of its contexts; and its words' state.
+COMING_SCHEMA = "shard int, part int, sweep int, a binary, b binary"
+CUSTOMERS, STATE = -1, -2
+_SEATED_ARROW = pa.schema(
+    [("shard", pa.int32()), ("part", pa.int32()), ("sweep", pa.int32()), ("a", pa.binary()), ("b", pa.binary())]
+    + [("customers", pa.int64()), ("tables", pa.int64())]
+)
+
+
+def _coming(rows: pa.Table) -> dict[int, np.ndarray]:
+    """Numbers of a shard's contexts, by sweep: those of its parts one behind the other."""
+    found: dict[int, list] = {}
+    for r in sorted(rows.to_pylist(), key=lambda r: r["part"]):
+        if r["sweep"] != STATE:
+            found.setdefault(r["sweep"], []).append(_unzip(r["a"], "<i8"))
+    return {sweep: np.concatenate(parts) for sweep, parts in found.items()}
+
+
+def _shard(row: dict, rows: pa.Table, setting: Setting) -> Shard:
+    """A shard in the state that has come with its totals, or in the first one."""
+    keys, counts = _pairs_and_counts(row["pairs"], row["counts"])
+    shard = Shard(row["shard"], keys[counts > 0], counts[counts > 0], setting)
+    for r in rows.to_pylist():
+        if r["sweep"] == STATE:
+            shard.served, shard.parent_tables = _unzip(r["a"], "<i8"), _unzip(r["b"], "<i8")
     return shard
 
 
-def sweep_totals(shards: DataFrame, setting: Setting, history: list[Totals]) -> Totals:
-    """The totals after one more sweep."""
-    sent = shards.sparkSession.sparkContext.broadcast((setting, history))
+def seated(shards: DataFrame, coming: DataFrame, setting: Setting, number: int, sums: tuple, bits: int) -> DataFrame:
+    """One sweep: for each shard and part the tables of the shard's contexts, and the state of the shard's words."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, past = sent.value
-        found = np.zeros(CONTEXTS + 2, dtype=np.int64)  # of all shards of the task
-        for batch in batches:
-            for i in range(batch.num_rows):
-                number, keys, counts = (batch.column(c)[i].as_py() for c in range(3))
-                found += _after(held, past, number, keys, counts).totals()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(found), dtype=np.int32)), pa.array(found)], ["at", "n"])
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        row, tables = left.to_pylist()[0], _coming(right)[number]
+        shard = _shard(row, right, setting)
+        shard.sweep(number, Totals(tables, *sums))
+        own = shard.context_tables(len(tables))
+        edges = cuts(_unzip_sorted(row["contexts"]), bits)
+        out = [{"part": p, "a": _zip(own[edges[p] : edges[p + 1]])} for p in np.flatnonzero(np.diff(edges)).tolist()]
+        state = {"a": _zip(shard.served), "b": _zip(shard.parent_tables)}
+        state |= {"customers": int(shard.served.sum()), "tables": int(shard.parent_tables.sum())}
+        out = [r | {"sweep": number + 1} for r in out] + [state | {"part": -1, "sweep": STATE}]
+        return pa.Table.from_pylist([r | {"shard": row["shard"]} for r in out], schema=_SEATED_ARROW)
 
-    parts = shards.select("shard", "keys", "counts").mapInArrow(run, "at int, n bigint")
-    found = np.zeros(CONTEXTS + 2, dtype=np.int64)
-    for at, n in parts.groupBy("at").agg(F.sum("n")).collect():  # a row for each context
-        found[at] = n
-    return Totals(found[:CONTEXTS], int(found[CONTEXTS]), int(found[CONTEXTS + 1]))
+    wanted = shards.select("shard", "pairs", "counts", "contexts").groupBy("shard")
+    return wanted.cogroup(coming.groupBy("shard")).applyInArrow(run, f"{COMING_SCHEMA}, customers bigint, tables bigint")
 
 
-def answers(shards: DataFrame, setting: Setting, history: list[Totals], burn_in: int) -> DataFrame:
-    """chunk, shard, and for each pair the chunk asks: averaged probability and the word's training count."""
-    sent = shards.sparkSession.sparkContext.broadcast((setting, history))
+def totals_of(links: DataFrame, seats: DataFrame) -> DataFrame:
+    """The tables of all shards together, for each part and shard."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, past = sent.value
-        for batch in batches:
-            for i in range(batch.num_rows):
-                number, keys, counts, chunks, blobs = (batch.column(c)[i].as_py() for c in range(5))
-                asked = [_unzip_sorted(b) for b in blobs]
-                shard = Shard(number, _unzip_sorted(keys), _unzip(counts, "<i8"), held)
-                sums = [np.zeros(len(k)) for k in asked]
-                for sweep in range(len(past) - 1):
-                    shard.sweep(sweep, past[sweep])
-                    if sweep >= burn_in:
-                        for total, p in zip(sums, shard.answer(asked, past[sweep + 1]), strict=True):
-                            total += p
-                samples = len(past) - 1 - burn_in
-                word_counts = np.bincount(shard.word, weights=shard.counts, minlength=len(shard.words))
-                word_counts = np.append(word_counts, 0).astype(np.int64)
-                known = [word_counts[find(shard.words, k >> np.uint64(8))] for k in asked]
-                columns = [
-                    pa.array(chunks, pa.int64()),
-                    pa.array([number] * len(chunks), pa.int32()),
-                    pa.array([_zip(np.log10(p / samples).astype("<f4")) for p in sums], pa.binary()),
-                    pa.array([_zip(n) for n in known], pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["chunk", "shard", "logs", "known"])
-
-    wanted = shards.select("shard", "keys", "counts", "chunks", "asked")
-    return wanted.mapInArrow(run, "chunk bigint, shard int, logs binary, known binary")
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = right.to_pylist()
+        places = {r["shard"]: _unzip_sorted(r["places"]).astype(np.int64) for r in left.to_pylist()}
+        add_up(rows, [places[r["shard"]] for r in rows], "a")
+        return pa.Table.from_pylist(rows, schema=pa.schema(list(_SEATED_ARROW)[:5]))
+
+    told = seats.where(f"sweep != {STATE}").select("shard", "part", "sweep", "a", "b").groupBy("part")
+    return links.select("part", "shard", "places").groupBy("part").cogroup(told).applyInArrow(run, COMING_SCHEMA)
+
+
+def answers(
+    shards: DataFrame, coming: DataFrame, setting: Setting, sums: list[tuple], burn_in: int
+) -> DataFrame:
+    """chunk, shard, for each pair the chunk asks its averaged probability, and for each word its training count."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        row, found = left.to_pylist()[0], _coming(right)
+        pairs, counts = _pairs_and_counts(row["pairs"], row["counts"])
+        shard = _shard(row, right, replace(setting, customers=found[CUSTOMERS]))
+        total = np.zeros(len(pairs))
+        for sweep in range(burn_in, len(sums) - 1):
+            shard.sweep(sweep, Totals(found[sweep], *sums[sweep]))
+            total += shard.answer([pairs], Totals(found[sweep + 1], *sums[sweep + 1]))[0]
+        logs = np.log10(total / (len(sums) - 1 - burn_in)).astype("<f4")
+        word = (pairs >> np.uint64(CONTEXT_BITS)).astype(np.int64)
+        known = np.bincount(word, weights=counts).astype("<i8")
+        out = []
+        for chunk, blob in zip(row["chunks"], row["asked"], strict=True):
+            at = np.cumsum(_unzip(blob, "<u4"), dtype=np.int64)
+            reply = {"chunk": chunk, "shard": row["shard"], "logs": _zip(logs[at])}
+            out.append(reply | {"known": _zip(known[np.unique(word[at])])})
+        schema = pa.schema(
+            [("chunk", pa.int64()), ("shard", pa.int32()), ("logs", pa.binary()), ("known", pa.binary())]
+        )
+        return pa.Table.from_pylist(out, schema=schema)
+
+    wanted = shards.select("shard", "pairs", "counts", "chunks", "asked").groupBy("shard")
+    replies = "chunk bigint, shard int, logs binary, known binary"
+    return wanted.cogroup(coming.groupBy("shard")).applyInArrow(run, replies)
 
 
 def discount_of(ones: int, twos: int) -> float:
@@ -363,16 +528,19 @@ def document_scores(documents: DataFrame, replies: DataFrame, setting: Setting)
     log_size = float(np.log10(setting.tokens + setting.words + 1))
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
-        parts = sorted(found.to_pylist(), key=lambda r: r["shard"])  # the order of the pairs
+        parts = sorted(found.to_pylist(), key=lambda r: r["shard"])  # the order of the words and of the pairs
         logs = np.concatenate([_unzip(r["logs"], "<f4") for r in parts]).astype(np.float64)
         known = np.concatenate([_unzip(r["known"], "<i8") for r in parts])
         base = np.log10(known + 1.0) - log_size
         out = []
         for row in docs.to_pylist():
-            codes = _unzip(row["codes"], "<u4")
+            codes = _unzip(row["codes"], "<u4").astype(np.uint64)
+            pair = np.unique(codes << np.uint64(32) | np.roll(codes, 1), return_inverse=True)[1]
+            codes = codes.astype(np.int64)
             lengths = np.array(row["lengths"], dtype=np.int64)
             at = np.concatenate(([0], np.cumsum(lengths)))[:-1]  # no document is without its end
-            sums = [np.add.reduceat(x[codes], at) for x in ((known > 0).astype(np.int64), base, logs)]
+            by_word = ((known > 0).astype(np.int64)[codes], base[codes])
+            sums = [np.add.reduceat(x, at) for x in (*by_word, logs[pair])]
             columns = [pa.array(row["ids"], pa.int64()), pa.array(row["held"]), pa.array(lengths), *map(pa.array, sums)]
             out.append(pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]))
         return pa.concat_tables(out)
@@ -399,19 +567,30 @@ def score(
     """
     _, size = count_and_bytes(docs, text)
     bits = buckets_for(docs.sparkSession, size, SHARD_BYTES).bit_length() - 1
-    written = store(chunks_of(docs, bits, doc_id, text, held), "chunks")
-    asked = written.where("shard is not null").select("shard", "chunk", "keys", "counts")
-    shards = store(asked.groupBy("shard").applyInArrow(gather, SHARDS_SCHEMA), "shards")
-    sums = [F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "words", "ones", "twos", "single", "double")]
-    tokens, words, ones, twos, single, double = (int(x) for x in shards.agg(*sums).first())
-    contexts = shards.select(F.posexplode(F.arrays_zip("customers", "pairs")).alias("at", "n")).groupBy("at")
-    first = np.zeros((2, CONTEXTS), dtype=np.int64)
-    for at, customers, pairs in contexts.agg(F.sum("n.customers"), F.sum("n.pairs")).collect():  # one for each context
-        first[:, at] = customers, pairs
-    setting = Setting(tokens, words, first[0], discount_of(ones, twos), discount_of(single, double), seed)
-    history = [Totals(first[1], int(first[1].sum()), words)]
-    for _ in range(sweeps):
-        history.append(sweep_totals(shards, setting, history))
-    replies = answers(shards, setting, history, burn_in)
-    documents = written.where("shard is null").select("chunk", "ids", "held", "lengths", "codes")
+    part_bits = max(0, bits - PART_BITS)
+    written = store(chunks_of(docs, doc_id, text, held), "chunks")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as many as buckets
+    asked = asked_of(written, bits).repartition(parts, "shard")
+    shards = store_by(asked.groupBy("shard").applyInArrow(gather, SHARDS_SCHEMA), "shard", "shards")
+    names = ("tokens", "words", "seats", "ones", "twos", "single", "double")
+    first = shards.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in names]).first()
+    tokens, words, seats, ones, twos, single, double = (int(x) for x in first)
+    none = np.empty(0, dtype=np.int64)
+    setting = Setting(tokens, words, none, discount_of(ones, twos), discount_of(single, double), seed, CONTEXT_BITS)
+    links = store(links_of(shards, part_bits), "links")
+
+    def linked(sweep: int, column: str) -> DataFrame:
+        return links.selectExpr("shard", "part", f"{sweep} sweep", f"{column} a", "cast(null as binary) b")
+
+    totals, states, sums = [linked(0, "tables")], [linked(STATE, "tables").limit(0)], [(seats, words)]
+    for sweep in range(sweeps):
+        coming = totals[sweep].unionByName(states[sweep])
+        told = store(seated(shards, coming, setting, sweep, sums[sweep], part_bits), "seats")
+        states.append(told.where(f"sweep = {STATE}").drop("customers", "tables"))
+        both = [F.coalesce(F.sum(c), F.lit(0)) for c in ("customers", "tables")]
+        sums.append(tuple(int(x) for x in told.agg(*both).first()))
+        totals.append(store(totals_of(links, told), "totals"))
+    coming = reduce(DataFrame.unionByName, [linked(CUSTOMERS, "customers"), states[burn_in], *totals[burn_in:]])
+    replies = answers(shards, coming, setting, sums, burn_in)
+    documents = written.select("chunk", "ids", "held", "lengths", "codes")
     return document_scores(documents, replies, setting).withColumn("train_tokens", F.lit(tokens).cast("bigint"))

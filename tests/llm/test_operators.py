@@ -449,6 +449,34 @@ def test_model_beats_the_base_on_unseen_text(spark):
     assert sum(r["score"] for r in found) > sum(r["base_score"] for r in found)
 
 
+def test_long_words_are_contexts_of_their_own(spark):
+    # two words before of one length, each with one word behind it; and what stands between them tells nothing
+    rng = np.random.default_rng(13)
+    sides = {"leading": "alpha", "another": "gamma"}
+
+    def text():
+        return " ".join(f"{w} {sides[w]}" for w in rng.choice(list(sides), 30))
+
+    unseen = [(1000, "leading alpha " * 20), (1001, "leading gamma " * 20)]
+    docs = frame(spark, [(i, text(), None, None) for i in range(40)] + [(i, t, None, None) for i, t in unseen]).drop("held")
+    found = {r["doc_id"]: r["score"] for r in language.score(docs.withColumn("held", F.col("doc_id") >= 1000), "held").collect()}
+    assert found[1000] > found[1001] + 20
+
+
+def test_context_restaurants_grow_with_the_words(spark):
+    docs = frame(spark, [(i, " ".join(f"word{i * 50 + j:06d}" for j in range(50)), None, None) for i in range(40)])
+    chunks = language.chunks_of(docs.withColumn("held", F.lit(False)), "doc_id", "text", "held")
+    shards = language.asked_of(chunks.repartition(2), 2).groupBy("shard").applyInArrow(language.gather, language.SHARDS_SCHEMA)
+    links = language.links_of(shards, 1).collect()
+    places = {(r["part"], p) for r in links for p in language._unzip_sorted(r["places"]).tolist()}
+    customers = {}
+    for r in links:
+        at = language._unzip_sorted(r["places"]).tolist()
+        customers |= {(r["part"], p): n for p, n in zip(at, language._unzip(r["customers"], "<i8").tolist(), strict=True)}
+    assert len(places) == 40 * 50 + 1 and sum(customers.values()) == 40 * 51
+    assert sorted(customers.values())[-2:] == [1, 40]
+
+
 # 8
 
 
