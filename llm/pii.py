@@ -35,8 +35,8 @@ _PHONE = re.compile(rb"\+[0-9][ ().0-9-]+[0-9]")
 TAGS = 1 + 2 * len(KINDS)
 #: Weights of a tag, documents that the labelled table is drawn from, and its sequences at most.
 TABLE, SAMPLE_DOCS, SAMPLE_SEQUENCES = 1 << 12, 4_000, 3_000
-#: Words around a span in a labelled sequence, and words of a sequence at most when decoding.
-CONTEXT, LONGEST = 8, 256
+#: Words around a span in a labelled sequence.
+CONTEXT = 8
 #: Gradient steps, their size, and the penalty on squared weights.
 ROUNDS, RATE, PENALTY = 60, 0.2, 1e-4
 
@@ -94,7 +94,7 @@ _DIGIT, _AT, _DOT = 3, 5, 6
 
 @dataclass
 class Words:
-    """Words of a buffer: byte positions, sequence numbers (lines, cut when long) and hashed features."""
+    """Words of a buffer: byte positions, sequence numbers (whole lines) and hashed features."""
 
     starts: np.ndarray
     ends: np.ndarray
@@ -134,8 +134,6 @@ def words_of(buffer: bytes) -> Words:
     new = np.concatenate(([True], lines[1:] != lines[:-1]))
     before[new] = 0
     after[np.concatenate((new[1:], [True]))] = 0
-    line_start = np.maximum.accumulate(np.where(new, np.arange(len(starts)), 0))
-    cut = (np.arange(len(starts)) - line_start) % LONGEST == 0
     facts = [
         shape,
         np.minimum(digits, 20) * 32 + np.minimum(size, 31),
@@ -148,7 +146,7 @@ def words_of(buffer: bytes) -> Words:
     ]
     salted = [f.astype(np.uint64) * np.uint64(16) + np.uint64(i) for i, f in enumerate(facts)]
     features = np.stack([(mix(f) % np.uint64(TABLE)).astype(np.int64) for f in salted], axis=1)
-    return Words(starts, ends, np.cumsum(cut) - 1, features)
+    return Words(starts, ends, np.cumsum(new) - 1, features)
 
 
 @dataclass
@@ -200,6 +198,7 @@ def viterbi(scores: np.ndarray, field: Field, steps_: Steps) -> np.ndarray:
         choice = ways.argmax(axis=1)
         back.append(choice.astype(np.uint8))
         best = np.take_along_axis(ways, choice[:, None, :], axis=1)[:, 0] + scores[steps_.at(t)]
+        best -= best.max(axis=1, keepdims=True)  # of a long line too, the differences keep their digits
     ends[: len(best)] = best.argmax(axis=1)
     now = ends
     for t in range(steps_.longest - 1, -1, -1):

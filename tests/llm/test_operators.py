@@ -323,6 +323,24 @@ def test_field_learns_shapes_from_a_small_table():
     assert right >= 57
 
 
+def test_spans_anywhere_in_a_long_line():
+    def sentence(before, after):
+        phone = f"+1 ({217 + before % 700}) {300 + after % 600}-4455".encode()
+        body = b"word " * before + phone + b" thing" * after
+        return body, [(5 * before, 5 * before + len(phone), 3)]
+
+    plain = (b"word thing an other word", [])
+    field = pii.train_field([sentence(2 + k % 7, 2 + k % 5) if k % 2 else plain for k in range(120)])
+    for before in (6, 253, 254, 255, 256, 510, 511, 3838, 3839):
+        body, spans = sentence(before, 40)
+        w = pii.words_of(body + b"\n" + body)
+        assert (np.bincount(w.sequence) == before + 43).all()
+        scores = field.features[w.features].sum(axis=1).astype(np.float32)
+        tags = pii.viterbi(scores, field, pii.Steps(w.sequence))
+        second = [(a + len(body) + 1, b + len(body) + 1, k) for a, b, k in spans]
+        assert pii.added_spans(body + b"\n" + body, w.starts, w.ends, tags, []) == spans + second
+
+
 def test_viterbi_finds_the_best_path():
     rng = np.random.default_rng(7)
     field = pii.Field(np.zeros((1, pii.TAGS)), rng.normal(size=(pii.TAGS, pii.TAGS)), rng.normal(size=pii.TAGS))
