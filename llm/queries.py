@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, linededup, minhash, mixing, neighbours, pii, quality, sharding, simhash
+from . import bpe, language, linededup, minhash, mixing, neighbours, pii, quality, sharding, simhash, vectorcodes
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,6 +104,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors by 16 codebooks of 64 entries, with their errors and the digest of the codebooks."""
+    found = vectorcodes.Compressor(table(spark, sf_dir, "embeddings"))
+    return found.encoded().select(
+        "vec_id",
+        F.lower(F.hex("codes")).alias("code"),
+        "error",
+        "label_error",
+        F.lit(found.digest()).alias("codebooks_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_minhash": op2_minhash,
@@ -115,9 +127,57 @@ QUERIES: dict[str, Query] = {
     "op8_bpe": op8_bpe,
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
+    "op12_vector_codes": op12_vector_codes,
 }
 
+
+def _nearest_entries(step: int) -> str:
+    return f"""
+    , nearest{step} AS (
+        SELECT vec_id, label, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d, any_value(v) AS v FROM (
+            SELECT p.vec_id, p.label, p.part, p.v, e.entry,
+                   list_sum(list_transform(list_zip(p.v, e.v), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS d
+            FROM pieces p JOIN entries{step} e USING (part))
+        GROUP BY vec_id, label, part)"""
+
+
+def _moved_entries(step: int) -> str:
+    return f"""
+    , means{step} AS (
+        SELECT part, entry, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY position) AS v FROM (
+            SELECT part, entry, position, sum(x)::BIGINT AS s, count(*)::BIGINT AS n FROM (
+                SELECT part, entry, unnest(v) AS x, generate_subscripts(v, 1) AS position FROM nearest{step})
+            GROUP BY part, entry, position)
+        GROUP BY part, entry)
+    , entries{step + 1} AS (
+        SELECT part, entry, coalesce(m.v, e.v) AS v FROM entries{step} e LEFT JOIN means{step} m USING (part, entry))"""
+
+
+_VECTOR_CODES = (
+    """
+    WITH kept AS (
+        SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+        FROM embeddings WHERE embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    pieces AS (
+        SELECT vec_id, label, part, v[part * len(v) // 16 + 1:(part + 1) * len(v) // 16] AS v
+        FROM kept, (SELECT unnest(range(16)) AS part)),
+    seeds AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept QUALIFY entry < 64),
+    entries0 AS (SELECT part, entry, v FROM pieces JOIN seeds USING (vec_id))"""
+    + _nearest_entries(0) + _moved_entries(0) + _nearest_entries(1) + _moved_entries(1) + _nearest_entries(2)
+    + """
+    , codes AS (
+        SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code,
+               CAST(sum(d) AS BIGINT) AS error
+        FROM nearest2 GROUP BY vec_id),
+    digest AS (
+        SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM entries2)
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+    FROM codes, digest"""
+)
+
 SQL: dict[str, str] = {
+    "op12_vector_codes": _VECTOR_CODES,
     "op4_line_dedup": """
         WITH lines AS (
             SELECT doc_id, n, line, translate(
