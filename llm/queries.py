@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, linededup, minhash, mixing, neighbours, pii, quality, sharding, simhash, vectorcodes
+from . import bpe, conversations, language, linededup, minhash, mixing, neighbours, pii, quality, sharding, simhash, vectorcodes
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,6 +104,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and digest of the repaired rows of every damaged conversation."""
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.repair(conversations.damaged(rows), rows)
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of all vectors by 16 codebooks of 64 entries, with their errors and the digest of the codebooks."""
     found = vectorcodes.Compressor(table(spark, sf_dir, "embeddings"))
@@ -127,6 +133,7 @@ QUERIES: dict[str, Query] = {
     "op8_bpe": op8_bpe,
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
+    "op11_repair": op11_repair,
     "op12_vector_codes": op12_vector_codes,
 }
 
@@ -176,7 +183,84 @@ _VECTOR_CODES = (
     FROM codes, digest"""
 )
 
+# A state of the grammar holds cost, audit and lines of the best repair of all later rows.
+_CONVERSATION_REPAIR = """
+    WITH RECURSIVE crc AS (
+        SELECT list(list_reduce([n] || [0, 0, 0, 0, 0, 0, 0, 0],
+               lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS tab
+        FROM (SELECT unnest(range(256))::BIGINT AS n)),
+    named AS (
+        SELECT dense_rank() OVER (ORDER BY conv_id) AS c, conv_id, turn, coalesce(role, ' ') AS role,
+               coalesce(text, ' ') AS text,
+               coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name
+        FROM conversations),
+    kinds AS (
+        SELECT * EXCLUDE (name), xor(list_reduce(
+                   [4294967295::BIGINT] || list_transform(string_split(name, ''), lambda x: CAST(ord(x) AS BIGINT)),
+                   lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) % 20 AS kind
+        FROM named, crc),
+    damaged AS (
+        SELECT c, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+               CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+               unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy
+        FROM kinds WHERE kind <> 0),
+    placed AS (
+        SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+               regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*\\z', 1) AS tail
+        FROM damaged),
+    faults AS (
+        SELECT *, CASE WHEN tail = '' THEN 'blank'
+                       WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 THEN 'duplicate'
+                       WHEN tail NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+               lag(left(role, 1)) OVER (PARTITION BY c ORDER BY i) || left(role, 1) AS pair
+        FROM placed),
+    counted AS (
+        SELECT c, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) AS n,
+               count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+               count(*) FILTER (fault = 'truncated') AS truncated,
+               count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+        FROM faults GROUP BY c),
+    best AS (
+        SELECT c, n + 1 AS i, {'cost': 0::BIGINT, 'audit': '', 'lines': []::VARCHAR[]} AS f0,
+               {'cost': 10::BIGINT, 'audit': 'II', 'lines': ['user:', 'assistant:']} AS f1,
+               {'cost': 5::BIGINT, 'audit': 'I', 'lines': ['assistant:']} AS f2,
+               {'cost': 0::BIGINT, 'audit': '', 'lines': []::VARCHAR[]} AS f3
+        FROM counted
+        UNION ALL
+        SELECT c, i, least(b0, {'cost': g2.cost + 5, 'audit': 'I' || g2.audit, 'lines': ['user:'] || g2.lines}),
+               least(b1, {'cost': g2.cost + 5, 'audit': 'I' || g2.audit, 'lines': ['user:'] || g2.lines}), g2, g3
+        FROM (
+            SELECT c, i, b0, b1,
+                   least(b2, {'cost': b3.cost + 5, 'audit': 'I' || b3.audit, 'lines': ['assistant:'] || b3.lines}) AS g2,
+                   least(b3, {'cost': b2.cost + 5, 'audit': 'I' || b2.audit, 'lines': ['user:'] || b2.lines}) AS g3
+            FROM (
+                SELECT r.c, r.i,
+                       least({'cost': f0.cost + 2, 'audit': 'D' || f0.audit, 'lines': f0.lines},
+                             CASE WHEN stays AND x = 's' THEN {'cost': f1.cost + more, 'audit': 'K' || f1.audit, 'lines': [line] || f1.lines}
+                                  WHEN stays AND x = 'u' THEN {'cost': f2.cost + more, 'audit': 'K' || f2.audit, 'lines': [line] || f2.lines} END,
+                             CASE WHEN stays THEN {'cost': f2.cost + more + 1, 'audit': 'R' || f2.audit, 'lines': ['user:' || text] || f2.lines} END) AS b0,
+                       least({'cost': f1.cost + 2, 'audit': 'D' || f1.audit, 'lines': f1.lines},
+                             CASE WHEN stays AND x = 'u' THEN {'cost': f2.cost + more, 'audit': 'K' || f2.audit, 'lines': [line] || f2.lines} END,
+                             CASE WHEN stays THEN {'cost': f2.cost + more + 1, 'audit': 'R' || f2.audit, 'lines': ['user:' || text] || f2.lines} END) AS b1,
+                       least({'cost': f2.cost + 2, 'audit': 'D' || f2.audit, 'lines': f2.lines},
+                             CASE WHEN stays AND x = 'a' THEN {'cost': f3.cost + more, 'audit': 'K' || f3.audit, 'lines': [line] || f3.lines} END,
+                             CASE WHEN stays THEN {'cost': f3.cost + more + 1, 'audit': 'R' || f3.audit, 'lines': ['assistant:' || text] || f3.lines} END) AS b2,
+                       least({'cost': f3.cost + 2, 'audit': 'D' || f3.audit, 'lines': f3.lines},
+                             CASE WHEN stays AND x = 'u' THEN {'cost': f2.cost + more, 'audit': 'K' || f2.audit, 'lines': [line] || f2.lines} END,
+                             CASE WHEN stays THEN {'cost': f2.cost + more + 1, 'audit': 'R' || f2.audit, 'lines': ['user:' || text] || f2.lines} END) AS b3
+                FROM best JOIN (
+                    SELECT c, i, text, role || ':' || text AS line, left(role, 1) AS x,
+                           coalesce(fault NOT IN ('blank', 'duplicate'), true) AS stays,
+                           CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS more FROM faults
+                ) r ON r.c = best.c AND r.i = best.i - 1)))
+    SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+           coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(f0.cost, 0) AS cost,
+           coalesce(f0.audit, '') AS audit, sha256(coalesce(array_to_string(f0.lines, chr(10)), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT c, conv_id FROM named) LEFT JOIN counted USING (c)
+    LEFT JOIN (SELECT c, f0 FROM best WHERE i = 1) USING (c)"""
+
 SQL: dict[str, str] = {
+    "op11_repair": _CONVERSATION_REPAIR,
     "op12_vector_codes": _VECTOR_CODES,
     "op4_line_dedup": """
         WITH lines AS (

@@ -29,7 +29,7 @@ PARTS, ENTRIES, ROUNDS = 16, 64, 2
 #: What a component is multiplied with before it is cut down to an integer.
 SCALE = 256
 #: Rows and components of a chunk at most, and points of a flat block.
-CHUNK, CHUNK_COMPONENTS, BLOCK = 16_384, 1 << 22, 64
+CHUNK, CHUNK_COMPONENTS, BLOCK = 16_384, 1 << 22, 8
 #: Distances that one kernel holds at once.
 KERNEL = 1 << 21
 
