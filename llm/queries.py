@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, conversations, language, linededup, minhash, mixing, neighbours, pii, quality, sharding, simhash, vectorcodes
+from . import bpe, conversations, language, linededup, minhash, mixing, neighbours, pii, quality, sharding, simhash, tensorbands, vectorcodes
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,6 +122,11 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 4-word shingles are alike by 0.8 or more."""
+    return tensorbands.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_minhash": op2_minhash,
@@ -135,6 +140,7 @@ QUERIES: dict[str, Query] = {
     "op10_quality": op10_quality,
     "op11_repair": op11_repair,
     "op12_vector_codes": op12_vector_codes,
+    "op13_tensored_minhash": op13_tensored_minhash,
 }
 
 
