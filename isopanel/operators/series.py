@@ -9,60 +9,49 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import first_by, round_exact
-from .median import exact_median, small_group_median, value_counts
+from .median import Sketches, exact_median, small_group_median
 
 KEYS = ("country", "indicator")
 PANEL = ("country", "indicator", "year")
 
 
-def panel_counts(panel: DataFrame, keys: Sequence[str] = PANEL) -> DataFrame:
-    """The panel as distinct values with their number of rows ``n``.
+def panel_sketches(panels: Mapping[str, DataFrame]) -> Sketches:
+    """Stored sketches and sums of all series: one pass from which both country series and regional medians start.
 
-    Country series and regional medians can both be taken from it, so the rows are read and shuffled once.
+    ``panels`` holds, by aggregate, the rows of the indicators that it applies to.
     """
-    return value_counts(panel, keys)
+    rows = [panel.select(*PANEL, F.lit(agg).alias("agg"), "value") for agg, panel in panels.items()]
+    return Sketches(reduce(DataFrame.unionByName, rows), [*PANEL, "agg"], of=F.col("agg") == "median")
 
 
 def annual_series(
-    panel: DataFrame,
-    agg: str,
-    keys: Sequence[str] = PANEL,
-    weight: str | None = None,
-    digits: int | None = 3,
-    output: str = "value",
-    counted: bool = False,
+    panel: DataFrame, agg: str, keys: Sequence[str] = PANEL, digits: int | None = 3, output: str = "value"
 ) -> DataFrame:
-    """One figure per key: the exact median or the sum of ``value``. Rows with a missing key or value do not count.
-
-    ``counted``: the panel is a stored result of :func:`panel_counts` on these keys, and ``weight`` its count.
-    """
+    """One figure per key: the exact median or the sum of ``value``. Rows with a missing key or value do not count."""
     keys = list(keys)
     if agg == "median":
-        figures = exact_median(panel, keys, output=output, weight=weight, counted=counted)
+        figures = exact_median(panel, keys, output=output)
     elif agg == "sum":
-        part = F.col("value") if weight is None else F.col("value") * F.col(weight)
-        present = panel.dropna(subset=[*keys, "value"])
-        figures = present.groupBy(*keys).agg(F.sum(part).alias(output))
+        figures = panel.dropna(subset=[*keys, "value"]).groupBy(*keys).agg(F.sum("value").alias(output))
     else:
         raise ValueError(f"unknown aggregate: {agg}")
     return figures if digits is None else figures.withColumn(output, round_exact(output, digits))
 
 
-def annual_panel(panels: Mapping[str, DataFrame], weight: str | None = None, digits: int | None = 3) -> DataFrame:
-    """Annual series of all indicators. ``panels`` holds, by aggregate, the rows of the indicators it applies to, or
-    with ``weight`` their stored counts.
+def annual_panel(sketches: Sketches, digits: int | None = 3) -> DataFrame:
+    """Annual series of all indicators, each by its own aggregate, from :func:`panel_sketches`."""
+    sums = sketches.sums("value").where(F.col("agg") == "sum")
+    figures = sketches.median(output="value").unionByName(sums).drop("agg")
+    return figures if digits is None else figures.withColumn("value", round_exact("value", digits))
 
-    Taking them apart by a filter on the indicator instead would put a different filter below each use of the
-    panel and read it once per aggregate.
-    """
-    counted = weight is not None
-    parts = [annual_series(panel, agg, weight=weight, digits=digits, counted=counted) for agg, panel in panels.items()]
-    return reduce(DataFrame.unionByName, parts)
 
-
-def regional_median(panel: DataFrame, weight: str | None = None, digits: int = 3) -> DataFrame:
+def regional_median(panel: DataFrame | Sketches, digits: int = 3) -> DataFrame:
     """Median over the raw rows of all countries per indicator and year, also for summed indicators."""
-    figures = exact_median(panel, ("indicator", "year"), output="regional_median", weight=weight)
+    keys = ("indicator", "year")
+    if isinstance(panel, Sketches):
+        figures = panel.median(keys, output="regional_median")
+    else:
+        figures = exact_median(panel, keys, output="regional_median")
     return figures.withColumn("regional_median", round_exact("regional_median", digits))
 
 

@@ -1,14 +1,14 @@
 """From a folder of observation files to result tables and documents, and from those to answers.
 
-Each step reads what the step before has written, so a step can be run again on its own, and no step's result
-depends on the lifetime of an executor.
+Each step reads what the step before has written, so no step's result depends on the lifetime of an executor. The
+tables of a build are a release of the output folder: they are written aside and become current together, so a build
+that was ended at any place is simply run again, and readers never see tables of two builds.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 from functools import reduce
-from posixpath import join
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,14 +20,18 @@ from ..operators import narrative as n
 from ..operators import risk as rk
 from ..operators import series as s
 from ..operators import trend as tr
-from ..sinks.documents import chart_payload, country_document, enriched_document, read_documents, write_documents
-from ..sinks.tables import store, write_tables
+from ..sinks import releases
+from ..sinks.documents import chart_payload, country_document, enriched_document
+from ..sinks.releases import Release
+from ..sinks.tables import store
 from ..sources import catalog as c
 from ..sources import observations as o
 from ..sources.countries import project_map_xy, standard_countries
 
 #: Detail tables that a request's charts show, with the rankings made for them.
 CHART_TABLES = ("products", "power_sources", "power_links", "risk", "extremes")
+#: Countries of requests that are looked up by name, each in its own files; with more of them tables are read whole.
+NAMES = 1_000
 
 
 def stage(
@@ -37,44 +41,31 @@ def stage(
     return {name: store(df, name) for name, df in o.scan_many(spark, root, files).items()}
 
 
-def write_and_read(tables: Mapping[str, DataFrame], root: str) -> dict[str, DataFrame]:
-    """The tables as they are read back, with their own types: those of folder names would be guessed."""
-    write_tables(tables, root)
-    return {
-        name: table.sparkSession.read.schema(table.schema).parquet(join(root, name)).select(*table.columns)
-        for name, table in tables.items()
-    }
-
-
 def build(
     datasets: Mapping[str, DataFrame],
     out: str,
     dim: DataFrame | None = None,
     catalog: c.Catalog = c.STANDARD_CATALOG,
 ) -> dict[str, DataFrame]:
-    """Annual series with regional medians, trends, headline figures and one document per country, below ``out``."""
+    """Annual series with regional medians, trends, headline figures and one document per country, as a release of ``out``.
+    """
     spark = next(iter(datasets.values())).sparkSession
     dim = standard_countries(spark) if dim is None else dim
     panels = o.load_panels(datasets, catalog)
-    counts = {agg: store(s.panel_counts(panel), f"counts_{agg}") for agg, panel in panels.items()}
-    regional = store(s.regional_median(reduce(DataFrame.unionByName, counts.values()), weight="n"), "regional")
-    series = s.align_regional(s.annual_panel(counts, weight="n"), regional)
+    sketches = s.panel_sketches(panels)
+    regional = store(s.regional_median(sketches), "regional")
+    series = s.align_regional(s.annual_panel(sketches), regional)
     labels = catalog.frame(spark)
     headline = store(s.headline_change(regional), "headline")
-    tables = write_and_read({"series": series}, out)
-    tables |= write_and_read(
-        {
-            "trend": tr.linear_trend(tables["series"]),
-            "headline": headline,
-            "headline_stat": s.headline_stat(headline, labels, c.HEADLINE_INDICATOR, c.HEADLINE_LABEL),
-            "countries": project_map_xy(dim),
-            "catalog": labels,
-        },
-        out,
-    )
-    document = country_document(tables["countries"], tables["series"], tables["trend"], tables["catalog"])
-    write_documents(document, join(out, "documents"))
-    return {**tables, "documents": read_documents(document, join(out, "documents"))}
+    release = Release(spark, out)
+    series = release.write("series", series)
+    trend = release.write("trend", tr.linear_trend(series))
+    release.write("headline", headline)
+    release.write("headline_stat", s.headline_stat(headline, labels, c.HEADLINE_INDICATOR, c.HEADLINE_LABEL))
+    countries = release.write("countries", project_map_xy(dim))
+    labels = release.write("catalog", labels)
+    release.write("documents", country_document(countries, series, trend, labels), "json")
+    return release.publish()
 
 
 def enrich(
@@ -85,9 +76,9 @@ def enrich(
     risk_indicators: tuple[str, ...] = c.TAIL_RISK_INDICATORS,
     catalog: c.Catalog = c.STANDARD_CATALOG,
 ) -> dict[str, DataFrame]:
-    """Product, energy source, flow and tail-risk tables, and documents with those sections, below ``out``.
+    """Product, energy source, flow and tail-risk tables, and documents with those sections, as a release of ``out``.
 
-    The first batch is read and left as it is.
+    The first batch is read and left as it is; its tables are taken over into the release.
     """
     rows = [
         o.load_products(datasets[catalog[name].source], catalog[name].rows).withColumn("indicator", F.lit(name))
@@ -96,22 +87,24 @@ def enrich(
     keys = ["country", "indicator"]
     power = datasets[catalog["power_generation"].source]
     risky = built["series"].where(F.col("indicator").isin(*risk_indicators)).drop("regional_median")
-    tables = write_and_read(
-        {
+    release = Release(built["series"].sparkSession, out)
+    tables = {
+        name: release.write(name, table)
+        for name, table in {
             "products": b.member_annual(reduce(DataFrame.unionByName, rows), "median", keys),
             "power_sources": b.member_annual(o.load_power_by_source(power), "sum"),
             "power_links": fl.flow_links(o.load_power_by_source_grid(power)),
             "risk": rk.tail_risk_stats(risky),
             "extremes": rk.tail_risk_extremes(risky),
-        },
-        out,
-    )
+        }.items()
+    }
     document = enriched_document(
         built["documents"], tables["products"], tables["power_sources"], tables["power_links"], tables["risk"],
         tables["extremes"], risky,
     )
-    write_documents(document, join(out, "documents_enriched"))
-    return {**tables, "documents_enriched": read_documents(document, join(out, "documents_enriched"))}
+    release.write("documents_enriched", document, "json")
+    published = release.publish()
+    return {name: published[name] for name in (*tables, "documents_enriched")}
 
 
 def answer(
@@ -158,3 +151,33 @@ def answer(
         "charts": chart_payload(series, asked),
         **{f"charts_{name}": chart_payload(table, asked) for name, table in extended.items()},
     }
+
+
+def requested(requests: DataFrame, dim: DataFrame, default: str = c.DEFAULT_COUNTRY, most: int = NAMES) -> list[str] | None:
+    """Names of all countries that the requests ask for, or None if there are more than ``most``."""
+    asked = cmp.resolve_compare(cmp.country_or_default(requests, dim, default), dim)
+    names = asked.select("country").union(asked.select("compare")).where("country <> ''").distinct().limit(most + 1).collect()
+    return None if len(names) > most else sorted(r[0] for r in names)
+
+
+def payload(
+    spark: SparkSession, out: str, requests: DataFrame, table: str = "series", default: str = c.DEFAULT_COUNTRY
+) -> DataFrame:
+    """Chart rows of one table of the current release for the requests. Only the asked countries' files are read."""
+    entries = releases.current(spark, out)
+    dim = releases.read_entry(spark, out, entries["countries"])
+    asked = cmp.resolve_compare(cmp.country_or_default(requests, dim, default), dim)
+    rows = releases.read_entry(spark, out, entries[table], requested(requests, dim, default))
+    return chart_payload(rows, asked.select("country", "compare").distinct())
+
+
+def answer_from(
+    spark: SparkSession, out: str, requests: DataFrame, default: str = c.DEFAULT_COUNTRY
+) -> dict[str, DataFrame]:
+    """:func:`answer` from the current release, of which only the asked countries' files are read."""
+    entries = releases.current(spark, out)
+    dim = releases.read_entry(spark, out, entries["countries"])
+    names = requested(requests, dim, default)
+    found = {name: releases.read_entry(spark, out, entry, names) for name, entry in entries.items()}
+    found["countries"] = dim
+    return answer(found, found, requests, default)

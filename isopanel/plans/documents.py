@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..operators import compare as cmp
 from ..operators import risk as rk
 from ..sinks import documents as d
+from ..sinks.releases import Release
 from ..sinks.tables import work_dir
+from . import batch
 from .oracle import with_
 from .registry import query
 from .testbed import Testbed
@@ -147,8 +149,12 @@ def enrich_results(t: Testbed):
 SELECT "primary", compare, role, country, indicator, year, value, regional_median
 FROM aligned JOIN roles USING (country)""")
 def chart_payload(t: Testbed):
-    requests = cmp.resolve_compare(cmp.country_or_default(t.nation_requests, t.countries, "NATION_0"), t.countries)
-    return d.chart_payload(t.stored.aligned, requests).select(
+    out = work_dir(t.spark)
+    release = Release(t.spark, out)
+    release.write("series", t.aligned)
+    release.write("countries", t.countries)
+    release.publish()
+    return batch.payload(t.spark, out, t.nation_requests, default="NATION_0").select(
         "primary", "compare", "role", "country", "indicator", "year", "value", "regional_median"
     )
 

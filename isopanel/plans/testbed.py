@@ -16,6 +16,7 @@ from ..operators import breakdown as b
 from ..operators import flows as fl
 from ..operators import series as s
 from ..operators import trend as tr
+from ..operators.median import Sketches
 from ..sinks.tables import store
 from ..sources import catalog as c
 from ..sources import observations as o
@@ -276,21 +277,21 @@ class Testbed:
         return reduce(DataFrame.union, self.panels.values())
 
     @cached_property
-    def counts(self) -> dict[str, DataFrame]:
-        return {agg: store(s.panel_counts(panel), f"counts_{agg}") for agg, panel in self.panels.items()}
+    def sketches(self) -> Sketches:
+        return s.panel_sketches(self.panels)
 
     @cached_property
     def annual(self) -> DataFrame:
-        return s.annual_panel(self.counts, weight="n")
+        return s.annual_panel(self.sketches)
 
     @cached_property
     def regional(self) -> DataFrame:
-        return s.regional_median(reduce(DataFrame.union, self.counts.values()), weight="n")
+        return s.regional_median(self.sketches)
 
     @cached_property
     def raw_annual(self) -> DataFrame:
         """Annual figures as they come, for the variants that don't round before going on."""
-        return s.annual_panel(self.counts, weight="n", digits=None)
+        return s.annual_panel(self.sketches, digits=None)
 
     @cached_property
     def aligned(self) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping
 from posixpath import join
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,12 +29,3 @@ def store(df: DataFrame, name: str = "table") -> DataFrame:
     path = join(work_dir(df.sparkSession), name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def write_tables(tables: Mapping[str, DataFrame], root: str, by: str = "indicator") -> None:
-    """Result tables as Parquet, partitioned by indicator where they have one, so that readers skip the rest."""
-    for name, table in tables.items():
-        writer = table.write.mode("errorifexists")
-        if by in table.columns:
-            writer = writer.partitionBy(by)
-        writer.parquet(join(root, name))

@@ -6,7 +6,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from isopanel.operators.median import exact_median, value_counts
+from isopanel.operators.median import Sketches, exact_median, value_counts
 
 
 def groups():
@@ -28,12 +28,21 @@ def groups():
     return made
 
 
-@pytest.mark.parametrize("few", [1, 8, 4096])
-def test_matches_brute_force(spark, few):
+@pytest.mark.parametrize(
+    ("few", "size", "margin"),
+    [
+        (4096, 4096, 0.0025),  # all groups but one are held whole by their sketches
+        (4096, 64, 0.1),  # brackets
+        (1, 64, 0.1),  # brackets that are narrowed down
+        (8, 16, 0.0),  # brackets of no width, so that proofs fail
+        (1, 8, 0.001),
+    ],
+)
+def test_matches_brute_force(spark, few, size, margin):
     rows = [(g, float(v)) for g, values in groups().items() for v in values]
     random.Random(3).shuffle(rows)
     df = spark.createDataFrame(rows, "g string, value double").repartition(7)
-    got = {r["g"]: r["median"] for r in exact_median(df, ["g"], few=few).collect()}
+    got = {r["g"]: r["median"] for r in exact_median(df, ["g"], few=few, size=size, margin=margin).collect()}
     for g, values in groups().items():
         ordered = sorted(values)
         a, b = ordered[(len(ordered) - 1) // 2], ordered[len(ordered) // 2]
@@ -72,6 +81,8 @@ def test_many_values_in_one_slab(spark):
     ordered = sorted(v for (v,) in rows)
     expected = (ordered[(len(rows) - 1) // 2] + ordered[len(rows) // 2]) / 2
     assert [r["median"] for r in exact_median(df, ["g"], few=4).collect()] == [expected]
+    counts = value_counts(df, ["g"])
+    assert [r["median"] for r in exact_median(counts, ["g"], weight="n", few=4).collect()] == [expected]
 
 
 def test_no_group_meets_in_one_task_before_it_is_narrowed(spark):
@@ -93,3 +104,42 @@ def test_narrowing_leaves_few_values(spark):
     df = spark.range(50000).select(F.lit(1).alias("g"), F.exp(F.randn(5) * 9).alias("value"))
     values = sorted(r["value"] for r in df.collect())
     assert exact_median(df, ["g"], few=16).first()["median"] == (values[24999] + values[25000]) / 2
+
+
+def test_coarser_groups_start_from_the_same_sketches(spark):
+    rng = random.Random(12)
+    rows = [(rng.choice("abc"), rng.randrange(4), rng.choice([rng.gauss(0, 1), 0.5])) for _ in range(9000)]
+    sketches = Sketches(spark.createDataFrame(rows, "a string, b int, value double"), ["a", "b"], size=512, margin=0.02)
+    fine = {(r["a"], r["b"]): r["median"] for r in sketches.median().collect()}
+    assert fine == {k: statistics.median(v for a, b, v in rows if (a, b) == k) for k in {r[:2] for r in rows}}
+    coarse = {r["b"]: r["median"] for r in sketches.median(["b"]).collect()}
+    assert coarse == {k: statistics.median(v for _, b, v in rows if b == k) for k in range(4)}
+    sums = {(r["a"], r["b"]): r["sum"] for r in sketches.sums().collect()}
+    assert all(abs(sums[k] - sum(v for a, b, v in rows if (a, b) == k)) < 1e-9 for k in fine)
+
+
+def test_two_passes_over_the_rows_at_most(spark):
+    """Rows are counted as they are read: small groups once, large ones twice, whatever the values are."""
+    for n, passes in ((3000, 1), (60000, 2)):
+        read = spark.sparkContext.accumulator(0)
+
+        def counted(batches, read=read):
+            for batch in batches:
+                read.add(batch.num_rows)
+                yield batch
+
+        df = spark.range(n).select(F.lit(1).alias("g"), F.exp(F.randn(3) * 50).alias("value"))
+        assert exact_median(df.mapInArrow(counted, "g int, value double"), ["g"]).count() == 1
+        assert read.value == passes * n
+
+
+def test_one_group_with_most_rows_sends_few(spark):
+    """What the second pass stores of a hot group is its bracket, a small share of its rows."""
+    df = spark.range(200000).select((F.col("id") % 100 == 0).cast("int").alias("g"), F.rand(8).alias("value"))
+    sketches = Sketches(df, ["g"])
+    values = sorted(r["value"] for r in df.where("g = 0").collect())
+    got = {r["g"]: r["median"] for r in sketches.median().collect()}
+    assert got[0] == (values[98999] + values[99000]) / 2
+    lo, hi = (F.kll_sketch_get_quantile_double("_sketch", F.lit(0.5 + x * sketches.margin)) for x in (-1, 1))
+    bracket = sketches.states.where("g = 0").select(lo.alias("lo"), hi.alias("hi")).first()
+    assert 0 < sum(bracket["lo"] <= v <= bracket["hi"] for v in values) < 0.01 * len(values)
