@@ -12,11 +12,14 @@ the worker for later batches.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import struct
+import sys
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +53,17 @@ def pieces(text: str) -> list[str]:
     return _ANY.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
 
+@lru_cache(maxsize=1)
+def unassigned() -> np.ndarray:
+    """Whether this Python's Unicode tables lack a code point, for all of them."""
+    return np.fromiter((unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1)), dtype=bool)
+
+
+def has_unassigned(text: str) -> bool:
+    """Whether a text has a code point that Python's tables lack, which the tokenizer's own tables may know."""
+    return not text.isascii() and bool(unassigned()[np.frombuffer(text.encode("utf-32-le"), dtype="<u4")].any())
+
+
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte: itself where printable in Latin-1, else one from 256 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -67,6 +81,7 @@ class WordEncoder:
         suffix: str = model["end_of_word_suffix"]
         symbols = byte_symbols()
         back = {c: b for b, c in enumerate(symbols)}
+        self.definition, self.back, self.rules = definition, back, None
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.text = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         self.made: dict[int, int] = {}  # the rank of the merge that makes a token
@@ -181,16 +196,28 @@ class WordEncoder:
         self.ids = {name: i.to_bytes(4, "little") for name, i in self.special.items()}
         self.decoded = {name: name for name in self.special}
 
+    def pieces(self, text: str) -> list[str]:
+        """The words of a text. Where it has code points that are newer than Python's tables, the tokenizer's own
+        normaliser and splitter say which they are."""
+        if not has_unassigned(text):
+            return pieces(text)
+        if self.rules is None:
+            from tokenizers import Tokenizer
+
+            self.rules = Tokenizer.from_str(self.definition)
+        split = self.rules.pre_tokenizer.pre_tokenize_str(self.rules.normalizer.normalize_str(text))
+        return [bytes(map(self.back.__getitem__, word)).decode() for word, _ in split]
+
     def split(self, text: str) -> list[str]:
         """The words of a text, and the special tokens that it spells out."""
         if not any(s in text for s in self.special):
-            return pieces(text)
+            return self.pieces(text)
         out: list[str] = []
         for part in re.split("(" + "|".join(map(re.escape, self.special)) + ")", text):
             if part in self.special:
                 out.append(part)
             else:
-                out += pieces(part)
+                out += self.pieces(part)
         return out
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
@@ -201,7 +228,7 @@ class WordEncoder:
             yield b"".join(map(self.ids.__getitem__, words)), " ".join(map(self.decoded.__getitem__, words))
 
 
-_encoders: dict[int, WordEncoder] = {}
+_encoders: dict[str, WordEncoder] = {}
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -213,8 +240,9 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id
     plan is made and sent to the tasks; it is a vocabulary of fixed size.
     """
     with open(tokenizer_path, encoding="utf-8") as file:
-        definition = docs.sparkSession.sparkContext.broadcast(file.read())
-    key = hash(tokenizer_path)
+        content = file.read()
+    definition = docs.sparkSession.sparkContext.broadcast(content)
+    key = hashlib.sha256(content.encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.get(key)

@@ -2,8 +2,9 @@
 
 Every shingle is hashed once. The hash's high part picks a bin and the bin keeps the smallest rest. An empty bin takes
 the value of a filled one that a second, universal hash of (bin, attempt) picks anew for each attempt, so that the
-choice is the same for all documents and every filled bin is as likely (optimal densification). Of each bin's value a
-few low-order bits are stored. Two bins that differ still agree in b bits with probability 2**-b, which the estimate of
+choice is the same for all documents and every filled bin is as likely (optimal densification). The value and the bin's
+number are mixed, and a few low-order bits of that are stored; bins that share one borrowed value are then as
+independent as others. Two bins that differ still agree in b bits with probability 2**-b, which the estimate of
 likeness takes out: (matches - 2**-b) / (1 - 2**-b).
 
 The edited text of a document takes code points from the next document. Both meet where ranges of ids are sorted; only
@@ -84,7 +85,12 @@ def sketches(texts: list[bytes], bins: int = BINS, bits: int = BITS, shingle: in
     shift = np.uint64(64 - (bins - 1).bit_length())
     place = row * bins + (hashes >> shift).astype(np.int64)
     np.minimum.at(values.reshape(-1), place, mix(hashes) >> np.uint64(1))  # below the mark of an empty bin
-    return (densify(values) & np.uint64((1 << bits) - 1)).astype(np.uint8)
+    none = (values == _EMPTY).all(axis=1)
+    # with the bin's number mixed in, a value that many bins borrow has other low bits in each of them
+    own = mix(np.arange(1, bins + 1, dtype=np.uint64))
+    stored = mix(densify(values) ^ own) & np.uint64((1 << bits) - 1)
+    stored[none] = 0
+    return stored.astype(np.uint8)
 
 
 def pack(sketch: np.ndarray) -> np.ndarray:

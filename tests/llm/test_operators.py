@@ -140,6 +140,26 @@ def test_minhash_against_edits(docs):
     assert all(bytes(r["fingerprint"]) in prints[texts[r["doc_id"]]] for r in alone if r["doc_id"] is not None)
 
 
+def test_short_texts_have_their_own_fingerprints():
+    """Texts of 1 to 20 words: different ones differ, unrelated ones are unlike, and estimates have no bias."""
+    rng = np.random.default_rng(7)
+    vocabulary = [f"w{x}" for x in range(5000)]
+    for n in (1, 2, 5, 6, 7, 10, 20):
+        texts = sorted({" ".join(rng.choice(vocabulary, n)) for _ in range(1500)})
+        found = minhash.sketches([t.encode() for t in texts])
+        assert len({x.tobytes() for x in found}) == len(texts)
+        unrelated = minhash.likeness(found[:-1], found[1:])
+        assert unrelated.max() < 0.17 and unrelated.mean() < 0.02
+    errors = []
+    for _ in range(400):
+        base = list(rng.choice(vocabulary, rng.integers(6, 21)))
+        other = [*base[:-1], "changed"] if rng.random() < 0.5 else base + list(rng.choice(vocabulary, 2))
+        a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (base, other))
+        one, two = minhash.sketches([" ".join(w).encode() for w in (base, other)])
+        errors.append(float(minhash.likeness(one[None], two[None])[0]) - len(a & b) / len(a | b))
+    assert abs(np.mean(errors)) < 0.02 and np.abs(errors).max() < 0.5
+
+
 def test_one_document_follows_itself(spark):
     found = minhash.against_edits(frame(spark, [(1, "a b c d e f", None, None)])).collect()
     assert [(r["edited_sha256"], r["near_next"]) for r in found] == [(sha("a b c d" + "a b"), 1.0)] or len(found) == 1
@@ -630,3 +650,15 @@ def test_empty_tables(spark, empty):
         quality.classify(empty, none),
     ]
     assert [df.count() for df in results] == [0] * len(results)
+
+
+def test_all_code_points_are_encoded_alike():
+    """Every code point between two letters, also those that are newer than Python's tables."""
+    reference = Tokenizer.from_file(TOKENIZER)
+    with open(TOKENIZER, encoding="utf-8") as file:
+        encoder = bpe.WordEncoder(file.read())
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"a{chr(c)}B" for c in points[k : k + 4096]) for k in range(0, len(points), 4096)]
+    for k, (text, (ids, _)) in enumerate(zip(texts, encoder.encode(texts), strict=True)):
+        expected = reference.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == expected, hex(points[k * 4096])
