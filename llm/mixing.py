@@ -1,21 +1,21 @@
 """Mixing sources to target weights by a splitting tree of exact block quotas.
 
 A source's documents lie in a fixed random order (a hash of the id) that is cut into blocks of about equal words. The
-mix takes whole passes over a source and a part of one more pass, so a source's quota is a number of blocks. A binary
-tree over the output shards splits the quotas of all sources: at each node the left half of the shards gets its share
-of the draws, made up of sources by a multivariate hypergeometric draw, and the right half gets the rest. Every shard
-so holds an exact number of blocks of every source, all quotas are used up, and the shards' blocks are disjoint runs
-of the sources' permuted blocks. Within a shard documents are shuffled by a hash.
-
-The part of the last pass ends where the wanted words are reached. That place is found by narrowing: words are summed
+mix takes whole passes over a source and a part of one more pass, so a source's quota is a number of blocks, and every
+copy of a document belongs to one of them. A binary tree over the output shards splits the quotas of all sources: at
+each node the left half of the shards gets its share of the draws, made up of sources by a multivariate hypergeometric
+draw, and the right half gets the rest. Every shard so holds an exact number of blocks of every source, all quotas are
+used up, and the shards' blocks are disjoint runs of the sources' permuted blocks. Within a shard documents are shuffled
+by a hash, whose ranges are the tasks' shares of a large shard.
+
+The number of shards follows the words of the mix up to a bound, and so do the words of a block. The part of the last
+pass ends where the wanted words are reached. That place is found by narrowing: words are summed
 in a bounded number of bins for each source, the bin that holds the end is cut into bins again, until it holds a few
 documents, of which those are taken that add up best. No source is ever sorted or gathered.
 """
 
 from __future__ import annotations
 
-from itertools import pairwise
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -27,8 +27,10 @@ from .common import WORD, Hidden, doc_columns, store
 WEIGHTS = (5, 2, 1)
 #: Times its source's size that a target is at most, and so the copies that a document has at most.
 MOST = 3
-#: Words of a block, and output shards.
-BLOCK_WORDS, SHARDS = 100_000, 64
+#: Words of an output shard about, while there are no more shards than the second number; and blocks of a shard.
+SHARD_WORDS, MOST_SHARDS, SHARD_BLOCKS = 1_000_000, 1_024, 64
+#: Words of a task's share of a shard, about.
+PIECE_WORDS = 1_000_000
 #: Bins of one narrowing step, and documents that the last bin holds at most, unless they share one id.
 BINS, LAST_BIN = 256, 256
 #: Documents of which all subsets are tried.
@@ -166,15 +168,14 @@ class Mix:
         weights: tuple[int, ...] = WEIGHTS,
         share: float = 1.0,
         most: int = MOST,
-        shards: int = SHARDS,
-        block_words: int = BLOCK_WORDS,
+        shards: int | None = None,
+        block_words: int | None = None,
         seed: int = 1,
         doc_id: str = "doc_id",
         source: str = "source",
         text: str = "text",
     ) -> None:
         self.doc_id, self.source, self.text, self.most, self.seed = doc_id, source, text, most, seed
-        self.shards = shards
         narrow = doc_columns(docs, doc_id, source, text).select(
             F.col(source).cast("string").alias("source"),
             place_of(F.col(doc_id), seed).alias("place"),
@@ -188,11 +189,14 @@ class Mix:
             "passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
         )
         targets = store(
-            targets.withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")).withColumn(
-                "blocks", F.greatest(F.lit(1), F.expr(f"(source_size + {block_words - 1}) div {block_words}"))
-            ),
-            "targets",
+            targets.withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")), "targets"
         )
+        total = int(targets.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0])
+        self.shards = shards or min(MOST_SHARDS, max(1, round(total / SHARD_WORDS)))
+        self.pieces = max(1, round(total / self.shards / PIECE_WORDS))
+        block_words = block_words or max(1, total // (self.shards * SHARD_BLOCKS))
+        blocks = F.greatest(F.lit(1), F.expr(f"(source_size + {block_words - 1}) div {block_words}"))
+        targets = targets.withColumn("blocks", blocks)
         places = narrow.where("size > 0")
         ends = targets.where("rest >= 0.5").select(
             "source",
@@ -211,12 +215,22 @@ class Mix:
         )
         schema = f"source {targets.schema['source'].dataType.simpleString()}, place bigint"
         self.last = store(last.groupBy("source").applyInPandas(taken_of_last_bin, schema), "last")
-        lows = ends.select(F.col("source").alias("__source"), "low")
-        ended = targets.join(lows, F.expr("source <=> __source"), "left")
-        last_blocks = F.when(F.col("low").isNull(), 0).otherwise(block_of(F.col("low"), F.col("blocks")) + 1)
-        quotas = ended.withColumn("quota", F.col("passes") * F.col("blocks") + last_blocks)
-        # without a part of a pass no place lies before its end; nulls would make pandas take the column for floats
-        quotas = quotas.withColumn("low", F.coalesce("low", F.lit(0).cast("bigint"))).drop("__source")
+        ends = ends.select(F.col("source").alias("__source"), "low", "high", "need")
+        ended = targets.join(ends, F.expr("source <=> __source"), "left")
+        # without a part of a pass no place lies before its end; nulls would make pandas take the columns for floats
+        partly = F.col("low").isNotNull()
+        quotas = ended.select(
+            *targets.columns,
+            F.coalesce("low", F.lit(0)).cast("bigint").alias("low"),
+            F.coalesce("high", F.lit(1)).cast("bigint").alias("high"),
+            F.when(partly, block_of(F.col("low"), F.col("blocks"))).otherwise(0).cast("bigint").alias("last_block"),
+            F.when(partly, F.greatest(F.lit(1), F.round(F.col("need") / block_words)))
+            .otherwise(0)
+            .cast("bigint")
+            .alias("last_blocks"),
+        )
+        # both are 0 without a part of a pass
+        quotas = quotas.withColumn("quota", F.expr("passes * blocks + last_block + last_blocks"))
         self.sources = store(self._with_bounds(quotas), "sources")
 
     def _with_bounds(self, sources: DataFrame) -> DataFrame:
@@ -233,23 +247,18 @@ class Mix:
         return sources.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(bounds, schema)
 
     def plan(self, docs: DataFrame) -> DataFrame:
-        """docs with __size, __source_size, __target, __copies and __shards (an output shard for each copy).
+        """docs with __size, __source_size, __target, __copies, __draws, __shards and __orders.
 
-        Copies are a whole number from 0 to ``most``. Rows of one id and source are taken alike. A null source is a
-        source, the last one; an empty or null text has the size zero. With no rows or no words nothing is taken.
+        Copies are a whole number from 0 to ``most``. The last three are arrays with an entry for each copy: its block
+        among its source's draws, the output shard that the tree deals this block to, and its order in the shard. Rows
+        of one id and source are taken alike. A null source is a source, the last one; an empty or null text has the
+        size zero. With no rows or no words nothing is taken.
         """
         return self._planned(docs, self.doc_id, self.source, self.text)
 
     def _planned(self, docs: DataFrame, doc_id: str, source: str, text: str) -> DataFrame:
-        sources = self.sources.select(
-            F.col("source").alias("__source"),
-            F.col("source_size").alias("__source_size"),
-            F.col("target").alias("__target"),
-            F.col("passes").alias("__passes"),
-            F.col("low").alias("__low"),
-            F.col("blocks").alias("__blocks"),
-            F.col("bounds").alias("__bounds"),
-        )
+        names = ("source", "source_size", "target", "passes", "low", "high", "blocks", "last_block", "last_blocks", "bounds")
+        sources = self.sources.select([F.col(name).alias(f"__{name}") for name in names])
         last = self.last.select(
             F.col("source").alias("__last"), F.col("place").alias("__end"), F.lit(1).alias("__more")
         )
@@ -259,38 +268,75 @@ class Mix:
         joined = sized.join(sources, F.col(source).cast("string").eqNullSafe(F.col("__source"))).join(
             last, F.col("__source").eqNullSafe(F.col("__last")) & (F.col("__place") == F.col("__end")), "left"
         )
-        extra = F.when((F.col("__place") < F.col("__low")) | F.col("__more").isNotNull(), 1).otherwise(0)
+        before = F.col("__place") < F.col("__low")
+        extra = F.when(before | F.col("__more").isNotNull(), 1).otherwise(0)
+        # documents of the last bin are spread over the last blocks by their places in the bin
+        along = (F.col("__place") - F.col("__low")).cast("double") / (F.col("__high") - F.col("__low"))
+        ending = F.least(F.floor(along * F.col("__last_blocks")), F.col("__last_blocks") - 1)
         block = block_of(F.col("__place"), F.col("__blocks"))
-        drawn = F.slice(F.sequence(F.lit(0), F.lit(self.most)), F.lit(1), F.col("__copies"))
-        places = F.transform(
-            drawn,
-            lambda c: F.size(F.filter("__bounds", lambda b: b <= c * F.col("__blocks") + F.col("__block"))) - 1,
+        final_block = F.when(before, block).otherwise(F.col("__last_block") + ending)
+        copies = F.slice(F.sequence(F.lit(0), F.lit(self.most)), F.lit(1), F.col("__copies"))
+        draws = F.transform(
+            copies,
+            lambda c: c * F.col("__blocks") + F.when(c < F.col("__passes"), F.col("__block")).otherwise(F.col("__final")),
         )
+        shards = F.transform("__draws", lambda d: F.size(F.filter("__bounds", lambda b: b <= d)) - 1)
         return (
             joined.withColumn("__copies", (F.col("__passes") + extra).cast("int"))
             .withColumn("__block", block)
-            .withColumn("__shards", places)
-            .drop("__source", "__passes", "__low", "__blocks", "__bounds", "__last", "__end", "__more")
-            .drop("__place", "__block")
+            .withColumn("__final", final_block.cast("bigint"))
+            .withColumn("__draws", draws)
+            .withColumn("__shards", shards)
+            .withColumn("__orders", F.transform("__shards", lambda s: F.xxhash64(F.lit(self.seed), s, F.col(doc_id))))
+            .drop(*[f"__{name}" for name in names if name not in ("source_size", "target")])
+            .drop("__last", "__end", "__more", "__place", "__block", "__final")
+        )
+
+    def _piece(self, order: Column) -> Column:
+        """The range of orders that a copy lies in: a shard's share for one task."""
+        return F.shiftright((F.shiftright(order, 32) + (1 << 31)) * self.pieces, 32)
+
+    def dealt(self, docs: DataFrame) -> DataFrame:
+        """The documents' ids with what :meth:`plan` says and __slots: each copy's position in its shard, gapless from 0,
+        by its order there."""
+        narrow = doc_columns(docs, self.doc_id, self.source, self.text)
+        planned = self.plan(narrow).drop(self.source, self.text).withColumn("__row", F.monotonically_increasing_id())
+        planned = store(planned, "planned")
+        copies = planned.select(
+            "__row", F.posexplode(F.arrays_zip("__shards", "__orders")).alias("k", "copy")
+        ).select(
+            "__row",
+            "k",
+            F.col("copy.__shards").alias("shard"),
+            F.col("copy.__orders").alias("order"),
+            self._piece(F.col("copy.__orders")).alias("piece"),
         )
+        counts = copies.groupBy("shard", "piece").agg(F.count(F.lit(1)).alias("n"))
+        ahead = F.sum("n").over(Window.partitionBy("shard").orderBy("piece")) - F.col("n")
+        rank = F.row_number().over(Window.partitionBy("shard", "piece").orderBy("order", "__row", "k"))
+        placed = copies.withColumn("rank", rank).join(counts.withColumn("ahead", ahead), ["shard", "piece"])
+        slots = placed.groupBy("__row").agg(
+            F.array_sort(F.collect_list(F.struct("k", (F.col("ahead") + F.col("rank") - 1).alias("slot")))).alias("slots")
+        )
+        both = planned.join(slots, "__row", "left")
+        none = F.array().cast("array<bigint>")
+        return both.withColumn("__slots", F.coalesce(F.col("slots.slot"), none)).drop("__row", "slots")
 
     def mixed(self, docs: DataFrame) -> DataFrame:
-        """The mixed documents with all their columns, a row for each copy, shuffled within their output shards."""
+        """The mixed documents with all their columns, a row for each copy, shuffled within their output shards.
+
+        A task holds ranges of a shard's orders, so its size doesn't follow that of the shards.
+        """
         hidden = Hidden(docs)
-        doc_id = hidden[self.doc_id]
-        planned = self._planned(hidden.docs, doc_id, hidden[self.source], hidden[self.text])
-        copies = planned.withColumn("__shard", F.explode("__shards"))
-        order = F.xxhash64(F.lit(self.seed), F.col("__shard"), F.col(doc_id))
-        dealt = copies.withColumn("__order", order).repartition("__shard")
-        return hidden.restore(dealt.sortWithinPartitions("__shard", "__order"))
+        planned = self._planned(hidden.docs, hidden[self.doc_id], hidden[self.source], hidden[self.text])
+        copies = planned.withColumn("__copy", F.explode(F.arrays_zip("__shards", "__orders"))).withColumns(
+            {"__shard": F.col("__copy.__shards"), "__order": F.col("__copy.__orders")}
+        )
+        pieces = copies.withColumn("__piece", self._piece(F.col("__order"))).repartition("__shard", "__piece")
+        return hidden.restore(pieces.sortWithinPartitions("__shard", "__order"))
 
 
 def block_of(place: Column, blocks: Column) -> Column:
     """The block of a place: the order is cut into equal ranges of places."""
     half = PLACE_BITS // 2
     return F.shiftright(F.shiftright(place, half) * blocks, half)
-
-
-def shard_quotas(bounds: list[int], quota: int) -> list[int]:
-    """The blocks that each shard draws from a source."""
-    return [b - a for a, b in pairwise([*bounds, quota])]

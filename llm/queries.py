@@ -17,12 +17,16 @@ Query = Callable[[SparkSession, str], DataFrame]
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix of all sources by the weights 5, 2, 1 takes of each document."""
     docs = table(spark, sf_dir, "documents")
-    return mixing.Mix(docs).plan(docs.select("doc_id", "source", "text")).select(
+    mix = mixing.Mix(docs)
+    found = mix.dealt(docs)
+    return found.select(
         "doc_id",
         F.col("__size").alias("size"),
         F.col("__source_size").alias("source_size"),
         F.col("__target").alias("target"),
         (F.col("__size") * F.col("__copies")).alias("taken"),
+        F.col("__shards").alias("shards"),
+        F.col("__slots").alias("slots"),
     )
 
 

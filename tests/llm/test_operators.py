@@ -63,7 +63,7 @@ def test_mix(docs):
     sizes, taken = Counter(), Counter()
     for r in found:
         assert r["__size"] == len(words(r["text"])) and 0 <= r["__copies"] <= 3 and len(r["__shards"]) == r["__copies"]
-        assert all(0 <= s < mixing.SHARDS for s in r["__shards"])
+        assert all(0 <= s < mix.shards for s in r["__shards"])
         sizes[r["source"]] += r["__size"]
         taken[r["source"]] += r["__size"] * r["__copies"]
     targets = plain_targets(sizes)
@@ -98,6 +98,58 @@ def test_mix_reaches_targets_closely(spark):
     assert sum(shards.values()) == found.agg(F.sum("__copies")).first()[0]
 
 
+@pytest.mark.parametrize(("shards", "block_words"), [(12, 500), (5, 20_000), (None, None), (64, 1_000)])
+def test_blocks_are_dealt_exactly(spark, shards, block_words):
+    """Sources of many and of few blocks, narrowed and not: every copy belongs to a block below its source's quota, a
+    shard has the run of each source's draws that the tree gives it, and its slots have no gaps."""
+    rng = np.random.default_rng(9)
+    some = [(i, " ".join(["w"] * int(rng.integers(0, 120))), None, "abcde"[min(4, int(rng.exponential(0.9)))]) for i in range(5000)]
+    docs = frame(spark, some)
+    mix = mixing.Mix(docs, shards=shards, block_words=block_words)
+    sources = {r["source"]: r for r in mix.sources.collect()}
+    names = sorted(sources)
+    quotas = [sources[s]["quota"] for s in names]
+    split = mixing.split_quotas(np.array(quotas), mix.shards, mix.seed)
+    assert (split.sum(axis=0) == quotas).all()
+    for k, name in enumerate(names):
+        assert sources[name]["bounds"] == (np.cumsum(split[:, k]) - split[:, k]).tolist()
+    of = {i: source for i, _, _, source in some}
+    words_of, slots, places, drawn = Counter(), defaultdict(list), defaultdict(list), defaultdict(set)
+    rows_found = mix.dealt(docs).collect()
+    assert len(rows_found) == len(some)
+    for r in rows_found:
+        source = of[r["doc_id"]]
+        k, ends = names.index(source), np.cumsum(split, axis=0)
+        assert len(r["__draws"]) == len(r["__shards"]) == len(r["__slots"]) == r["__copies"]
+        for draw, shard, order, slot in zip(r["__draws"], r["__shards"], r["__orders"], r["__slots"], strict=True):
+            assert 0 <= draw < quotas[k] and shard == int(np.searchsorted(ends[:, k], draw, side="right"))
+            words_of[shard] += r["__size"]
+            slots[shard].append(slot)
+            places[shard].append((order, slot))
+            drawn[source].add(draw)
+    for shard, found in slots.items():
+        assert sorted(found) == list(range(len(found)))
+        assert [slot for _, slot in sorted(places[shard])] == list(range(len(found)))
+    if shards == 5:  # some ten blocks of many documents in each shard
+        assert set(words_of) == set(range(5)) and max(words_of.values()) < 1.5 * min(words_of.values())
+    if block_words == 500:
+        assert max(words_of.values()) < 1.4 * np.median(list(words_of.values())) and len(words_of) == 12
+        assert all(len(drawn[s]) > 0.95 * q for s, q in zip(names, quotas, strict=True) if q > 20)
+
+
+def test_a_large_shard_is_spread_over_tasks(spark, monkeypatch):
+    """One source and one shard: its documents lie in many partitions, in order within each of them."""
+    monkeypatch.setattr(mixing, "PIECE_WORDS", 500)
+    docs = frame(spark, [(i, "a b c d e f g h i j", None, "one") for i in range(4000)])
+    mix = mixing.Mix(docs, shards=1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = mix.mixed(docs).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) == 8 and max(r["count"] for r in sizes) < 0.35 * 4000 and sum(r["count"] for r in sizes) == 4000
+
+
 def test_sums_come_near():
     rng = np.random.default_rng(1)
     for n in (0, 1, 7, 16, 17, 200):
