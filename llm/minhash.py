@@ -43,6 +43,9 @@ SHINGLE = 5
 #: Bytes of text of a range of ids, about.
 RANGE_BYTES = 32_000_000
 
+#: Texts whose bins are filled together.
+ROWS = 1_024
+
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -85,12 +88,15 @@ def sketches(texts: list[bytes], bins: int = BINS, bits: int = BITS, shingle: in
     shift = np.uint64(64 - (bins - 1).bit_length())
     place = row * bins + (hashes >> shift).astype(np.int64)
     np.minimum.at(values.reshape(-1), place, mix(hashes) >> np.uint64(1))  # below the mark of an empty bin
-    none = (values == _EMPTY).all(axis=1)
     # with the bin's number mixed in, a value that many bins borrow has other low bits in each of them
     own = mix(np.arange(1, bins + 1, dtype=np.uint64))
-    stored = mix(densify(values) ^ own) & np.uint64((1 << bits) - 1)
-    stored[none] = 0
-    return stored.astype(np.uint8)
+    out = np.zeros(values.shape, dtype=np.uint8)
+    for k in range(0, len(texts), ROWS):
+        part = values[k : k + ROWS]
+        stored = mix(densify(part) ^ own) & np.uint64((1 << bits) - 1)
+        some = ~(part == _EMPTY).all(axis=1)
+        out[k : k + ROWS][some] = stored[some]
+    return out
 
 
 def pack(sketch: np.ndarray) -> np.ndarray:
