@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import first_by, round_exact
+from ..sinks.tables import store
 from .median import Sketches, exact_median, small_group_median
 
 KEYS = ("country", "indicator")
@@ -134,18 +135,33 @@ def last_point(series: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 def first_n_last_n(series: DataFrame, n: int, keys: Sequence[str] = KEYS) -> tuple[DataFrame, DataFrame]:
     """The first and the last ``n`` rows by year, numbered from the outer end; equal years are ordered by value.
 
-    Each side is its own ranking filter, so every task hands on at most ``n`` rows per key, however long a
-    series is.
+    Rows are counted by year, which names the years in which the n-th row from either end falls. Only rows up to there
+    are looked at again, and only as distinct values with their number, of which ``n`` at most are ranked for a key.
+    Returns the keys, year, value and position.
     """
+    keys = list(keys)
+    present = series.dropna(subset=[*keys, "year"])
+    years = present.groupBy(*keys, "year").agg(F.count(F.lit(1)).alias("_n"))
+    up, down = (Window.partitionBy(*keys).orderBy(order) for order in (F.col("year").asc(), F.col("year").desc()))
+    ahead = {"_first": F.sum("_n").over(up) - F.col("_n"), "_last": F.sum("_n").over(down) - F.col("_n")}
+    # stored, the few years that are left have a known size, and rows needn't be moved to meet them
+    edges = store(years.withColumns(ahead).where((F.col("_first") < n) | (F.col("_last") < n)).drop("_n"), "edges")
+    values = present.join(edges, [*keys, "year"]).groupBy(*keys, "year", "_first", "_last", "value").agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+    values = store(values, "edge_values")
 
-    def edge(*order: Column) -> DataFrame:
-        position = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-        return present.withColumn("position", position).where(F.col("position") <= n)
+    def edge(ahead: str, *order: Column) -> DataFrame:
+        ordered = Window.partitionBy(*keys).orderBy(*order)
+        few = values.where(F.col(ahead) < n).withColumn("_rank", F.row_number().over(ordered)).where(F.col("_rank") <= n)
+        before = few.withColumn("_before", F.sum("_n").over(ordered) - F.col("_n")).where(F.col("_before") < n)
+        last = F.least(F.col("_before") + F.col("_n"), F.lit(n))
+        places = F.explode(F.sequence((F.col("_before") + 1).cast("int"), last.cast("int")))
+        return before.select(*keys, "year", "value", places.alias("position"))
 
-    present = series.dropna(subset=[*keys, "year"])
     return (
-        edge(F.col("year").asc(), F.col("value").asc()),
-        edge(F.col("year").desc(), F.col("value").desc()),
+        edge("_first", F.col("year").asc(), F.col("value").asc()),
+        edge("_last", F.col("year").desc(), F.col("value").desc()),
     )
 
 

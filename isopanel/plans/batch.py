@@ -17,6 +17,7 @@ from ..operators import breakdown as b
 from ..operators import compare as cmp
 from ..operators import flows as fl
 from ..operators import narrative as n
+from ..operators import power as pw
 from ..operators import risk as rk
 from ..operators import series as s
 from ..operators import trend as tr
@@ -25,6 +26,7 @@ from ..sinks.documents import chart_payload, country_document, enriched_document
 from ..sinks.releases import Release
 from ..sinks.tables import store
 from ..sources import catalog as c
+from ..sources import cleaning as cl
 from ..sources import observations as o
 from ..sources.countries import project_map_xy, standard_countries
 
@@ -37,8 +39,11 @@ NAMES = 1_000
 def stage(
     spark: SparkSession, root: str, files: Mapping[str, str] = c.SOURCE_FILES
 ) -> dict[str, DataFrame]:
-    """Source files as Parquet, so that each is parsed once however many results read it."""
-    return {name: store(df, name) for name, df in o.scan_many(spark, root, files).items()}
+    """Source files as Parquet, so that each is parsed once however many results read it.
+
+    Lines that don't fit their header are kept whole in a column of their own, for the quarantine.
+    """
+    return {name: store(df, name) for name, df in o.scan_many(spark, root, files, corrupt=cl.CORRUPT).items()}
 
 
 def build(
@@ -48,16 +53,20 @@ def build(
     catalog: c.Catalog = c.STANDARD_CATALOG,
 ) -> dict[str, DataFrame]:
     """Annual series with regional medians, trends, headline figures and one document per country, as a release of ``out``.
+
+    Rows that can't be used are released too, with their reasons (``quarantine``), and counted (``cleaning``).
     """
     spark = next(iter(datasets.values())).sparkSession
     dim = standard_countries(spark) if dim is None else dim
-    panels = o.load_panels(datasets, catalog)
-    sketches = s.panel_sketches(panels)
+    cleaned = cl.clean_panels(datasets, catalog)
+    sketches = s.panel_sketches(cl.by_aggregate(cleaned.rows, catalog))
     regional = store(s.regional_median(sketches), "regional")
     series = s.align_regional(s.annual_panel(sketches), regional)
     labels = catalog.frame(spark)
     headline = store(s.headline_change(regional), "headline")
     release = Release(spark, out)
+    release.write("cleaning", cleaned.counts)
+    release.write("quarantine", cleaned.quarantine)
     series = release.write("series", series)
     trend = release.write("trend", tr.linear_trend(series))
     release.write("headline", headline)
@@ -85,15 +94,15 @@ def enrich(
         for name in product_indicators
     ]
     keys = ["country", "indicator"]
-    power = datasets[catalog["power_generation"].source]
+    power = pw.power_cells(datasets[catalog["power_generation"].source])
     risky = built["series"].where(F.col("indicator").isin(*risk_indicators)).drop("regional_median")
     release = Release(built["series"].sparkSession, out)
     tables = {
         name: release.write(name, table)
         for name, table in {
             "products": b.member_annual(reduce(DataFrame.unionByName, rows), "median", keys),
-            "power_sources": b.member_annual(o.load_power_by_source(power), "sum"),
-            "power_links": fl.flow_links(o.load_power_by_source_grid(power)),
+            "power_sources": b.member_annual(pw.source_rows(power), "sum"),
+            "power_links": fl.flow_links(pw.flow_rows(power)),
             "risk": rk.tail_risk_stats(risky),
             "extremes": rk.tail_risk_extremes(risky),
         }.items()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import fixed_text, round_exact
 from ..operators import breakdown as b
 from ..operators import flows as fl
+from ..operators import power as pw
 from ..sinks.tables import store
 from ..sources import observations as o
 from .oracle import r, with_
@@ -196,3 +197,19 @@ JOIN nodes t ON t.country = l.country AND t.label = l.target""")
 def flow_link_nodes(t: Testbed):
     links = t.stored.links
     return fl.flow_indexed(links, nodes=fl.flow_link_nodes(links))
+
+
+@query("power_breakdowns", with_("power", "source_cells", "links") + f"""
+, rows AS (SELECT * FROM power WHERE unit = 'GWH' AND country IS NOT NULL AND value IS NOT NULL)
+SELECT 'total' AS part, country, year, CAST(NULL AS VARCHAR) AS source, CAST(NULL AS VARCHAR) AS target,
+       {r('sum(value)', 2)} AS value FROM rows
+WHERE grid IS DISTINCT FROM 'Total' AND NOT coalesce(source ILIKE '%total%', false) AND year IS NOT NULL
+GROUP BY country, year
+UNION ALL SELECT 'all grids', country, year, NULL, NULL, {r('sum(value)', 2)} FROM rows
+WHERE NOT coalesce(source ILIKE '%total%', false) AND year IS NOT NULL GROUP BY country, year
+UNION ALL SELECT 'source', country, year, member, NULL, value FROM source_cells
+UNION ALL SELECT 'link', country, NULL, source, target, value FROM links
+UNION ALL SELECT 'link with subtotals', country, NULL, source, grid, {r('sum(value)', 2)} FROM rows
+WHERE grid IN ('On-grid', 'Off-grid') AND source IS NOT NULL GROUP BY country, source, grid""")
+def power_breakdowns(t: Testbed):
+    return pw.power_breakdowns(pw.power_cells(t.raw_power))

@@ -10,6 +10,7 @@ from ..functions.numeric import round_exact
 from ..operators import compare as cmp
 from ..sinks.tables import work_dir
 from ..sources import catalog as c
+from ..sources import cleaning as cl
 from ..sources import countries as geo
 from ..sources import observations as o
 from .oracle import MISSING, f, number, r, with_, year
@@ -189,6 +190,33 @@ def load_power_total(t: Testbed):
     return o.load_power_total(t.raw_power)
 
 
+_REASONS = f"""
+, judged AS (
+    SELECT CASE WHEN "{c.COUNTRY_COLUMN}" IS NULL THEN 'country missing' WHEN TIME_PERIOD IS NULL THEN 'year missing'
+                WHEN {year('TIME_PERIOD')} IS NULL THEN 'year not a number' WHEN OBS_VALUE IS NULL THEN 'value missing'
+                WHEN {number('OBS_VALUE')} IS NULL THEN 'value not a number' ELSE 'kept' END AS reason,
+           "{c.COUNTRY_COLUMN}" AS country, TIME_PERIOD AS period_text, OBS_VALUE AS value_text
+    FROM raw_power WHERE UNIT_MEASURE = 'GWH' AND "{c.GRID_COLUMN}" IS DISTINCT FROM 'Total'
+    AND NOT coalesce("{c.SOURCE_COLUMN}" ILIKE '%total%', false))"""
+
+
+def _cleaned(t: Testbed) -> cl.Cleaned:
+    return cl.clean(t.raw_power, c.POWER_TOTAL_ROWS, "power")
+
+
+@query("counted_cleaning", with_("raw_power") + _REASONS + """
+SELECT 'power' AS indicator, reason, count(*) AS n_rows FROM judged GROUP BY reason""")
+def counted_cleaning(t: Testbed):
+    return _cleaned(t).counts
+
+
+@query("quarantined_rows", with_("raw_power") + _REASONS + """
+SELECT reason, country, period_text, value_text, count(*) AS n_rows FROM judged WHERE reason <> 'kept' GROUP BY ALL""")
+def quarantined_rows(t: Testbed):
+    rows = _cleaned(t).quarantine
+    return rows.groupBy("reason", "country", "period_text", "value_text").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 @query("load_power_by_source", with_("power_sources") + "SELECT * FROM power_sources")
 def load_power_by_source(t: Testbed):
     return t.power_sources

@@ -18,6 +18,7 @@ from ..operators import breakdown as b
 from ..operators import compare as cmp
 from ..operators import flows as fl
 from ..operators import narrative as n
+from ..operators import power as pw
 from ..operators import risk as rk
 from ..operators import series as s
 from ..operators import trend as tr
@@ -94,13 +95,13 @@ def tail_risk(datasets: Mapping[str, DataFrame], section: Section) -> tuple[Data
 
 def power(datasets: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     """Power totals against the regional median, source heatmap cells, flow nodes and links, and their texts."""
-    raw = datasets["power_generation"]
+    sums = pw.power_cells(datasets["power_generation"])
     totals = store(
-        s.annual_series(o.load_power_all_grids(raw).withColumn("indicator", F.lit("power")), "sum", digits=None),
+        s.annual_series(pw.all_grids_rows(sums).withColumn("indicator", F.lit("power")), "sum", digits=None),
         "power_totals",
     )
-    cells = store(b.member_annual(o.load_power_by_source(raw), "sum", digits=None), "power_cells")
-    dated = store(fl.flow_links_with_years(o.load_flow_rows_with_year(raw)), "power_links")
+    cells = store(b.member_annual(pw.source_rows(sums), "sum", digits=None), "power_cells")
+    dated = store(fl.flow_links_with_years(pw.flow_rows(sums, with_subtotals=True)), "power_links")
     links = dated.drop("first_year", "last_year")
     return {
         "lines": s.comparison_lines(totals, s.regional_of_series(totals), POWER_REGION_LABEL),

@@ -17,6 +17,7 @@ from ..operators import flows as fl
 from ..operators import series as s
 from ..operators import trend as tr
 from ..operators.median import Sketches
+from ..operators.skew import split_join
 from ..sinks.tables import store
 from ..sources import catalog as c
 from ..sources import observations as o
@@ -201,8 +202,7 @@ class Testbed:
     @cached_property
     def _line_places(self) -> DataFrame:
         return (
-            self.table("lineitem")
-            .join(self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+            split_join(self.table("lineitem"), self.table("supplier"), "l_suppkey", "s_suppkey")
             .join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
         )
 

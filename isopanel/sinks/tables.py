@@ -6,6 +6,7 @@ import uuid
 from posixpath import join
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -20,12 +21,13 @@ def work_dir(spark: SparkSession) -> str:
     return join(session, uuid.uuid4().hex)
 
 
-def store(df: DataFrame, name: str = "table") -> DataFrame:
+def store(df: DataFrame, name: str = "table", by: str | None = None) -> DataFrame:
     """Write the rows as Parquet into the shared folder and go on from there.
 
     For a result that several others are made of. It is computed once, survives the loss of executors, and its
-    size is known to the planner, which then broadcasts it only if it is small.
+    size is known to the planner, which then broadcasts it only if it is small. With ``by`` each value of that column
+    has a folder of its own.
     """
     path = join(work_dir(df.sparkSession), name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    (df.write if by is None else df.write.partitionBy(by)).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -14,32 +14,51 @@ from ..functions.numeric import blank_to_null, parse_number, parse_year
 from . import catalog as c
 from .catalog import Indicator, RowRule
 
+#: What a row must have to count.
+REQUIRED = ("country", "year", "value")
+
 RENAMES = {c.PERIOD_COLUMN: "year", c.COUNTRY_COLUMN: "country"}
 
 
 def scan_observations(
-    spark: SparkSession, path: str, columns: Iterable[str] | None = None, multiline: bool = False
+    spark: SparkSession,
+    path: str,
+    columns: Iterable[str] | None = None,
+    multiline: bool = False,
+    corrupt: str | None = None,
 ) -> DataFrame:
     """One observation CSV, or a folder of its parts, with header lines; all columns are text, missing tokens null.
 
     The names in the header say which column is which, in any order. A part of a folder whose header differs from the
     others' fails the job instead of being read by position. ``columns`` picks some columns by name. With
     ``multiline``, records may have line breaks inside of quotes; each file is then read by one task, so leave it off
-    for large files that have none.
+    for large files that have none. ``corrupt`` names a further column that holds a line whose number of fields is not
+    that of the header, and null otherwise.
     """
     reader = spark.read.option("header", True).option("escape", '"').option("enforceSchema", False)
     reader = reader.option("multiLine", multiline)
     header = reader.csv(path).columns
-    df = reader.schema(T.StructType([T.StructField(name, T.StringType()) for name in header])).csv(path)
+    names = header if corrupt is None else [*header, corrupt]
+    if corrupt is not None:
+        reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", corrupt)
+    df = reader.schema(T.StructType([T.StructField(name, T.StringType()) for name in names])).csv(path)
     wanted = header if columns is None else list(columns)
-    return df.select([blank_to_null(F.col(f"`{name}`")).alias(name) for name in wanted])
+    line = [] if corrupt is None else [F.col(f"`{corrupt}`")]
+    return df.select([blank_to_null(F.col(f"`{name}`")).alias(name) for name in wanted] + line)
 
 
 def scan_many(
-    spark: SparkSession, root: str, files: Mapping[str, str] = c.SOURCE_FILES, multiline: bool = False
+    spark: SparkSession,
+    root: str,
+    files: Mapping[str, str] = c.SOURCE_FILES,
+    multiline: bool = False,
+    corrupt: str | None = None,
 ) -> dict[str, DataFrame]:
     """All named sources below one folder, each still unread but for its header."""
-    return {name: scan_observations(spark, join(root, file), multiline=multiline) for name, file in files.items()}
+    return {
+        name: scan_observations(spark, join(root, file), multiline=multiline, corrupt=corrupt)
+        for name, file in files.items()
+    }
 
 
 def union_datasets(datasets: Mapping[str, DataFrame]) -> DataFrame:
@@ -90,7 +109,7 @@ def load_rows(
     df: DataFrame,
     rule: RowRule,
     extra: Mapping[str, str] | None = None,
-    required: Iterable[str] = ("country", "year", "value"),
+    required: Iterable[str] = REQUIRED,
     with_year: bool = True,
 ) -> DataFrame:
     """Filter, type, drop incomplete rows and project. ``extra`` maps further source columns to output names.
