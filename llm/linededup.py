@@ -24,8 +24,8 @@ from .common import WORD_BASE, Hidden, buckets_for, bytes_of, count_and_bytes, d
 
 #: Code points that a key has at least.
 LEAST_KEY = 10
-#: Bytes of text of a bucket, and keys of a shard, about.
-BUCKET_BYTES, SHARD_KEYS = 8_000_000, 250_000
+#: Bytes of text of a bucket, repeated keys of a shard, and keys that are asked for there, about.
+BUCKET_BYTES, SHARD_KEYS, ASKED_KEYS = 8_000_000, 250_000, 500_000
 #: Bits for each key on a level of the perfect hash.
 GAMMA = 2
 #: White space that keys lose at both ends.
@@ -237,7 +237,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         F.min("first").alias("owner"), F.max("last").alias("last"), F.sum("n").alias("n")
     )
     repeated = store(repeated.where("owner < last").drop("last"), "repeated")
-    shards = buckets_for(spark, repeated.count(), SHARD_KEYS)
+    # a shard is met by its own repeated keys and by all keys that are asked for there, most of them of single lines
+    shards = max(buckets_for(spark, repeated.count(), SHARD_KEYS), keys.count() // ASKED_KEYS + 1)
     index = store(build_index(repeated, shards), "index")
     return rewrite(docs, probe(keys, index, shards), buckets, doc_id, text)
 

@@ -4,7 +4,8 @@ Vectors are scaled to length one and quantised to int8 with a scale of their own
 quantisation error. Blocks of queries meet blocks of candidates, and the product of two int8 tiles gives all their
 cosines up to a bound: |q.c - Q.C| <= |q - Q| + |Q| |c - C|. In a tile the k-th largest lower bound of a query prunes
 every candidate whose upper bound is below; the survivors' cosines are computed again from the original vectors in
-double precision. Each tile passes on its k nearest for each query, and these are merged by rank. The result is exact.
+double precision and offered to the query's heap. Each group of tiles passes on its k nearest for each query, and these
+are merged by rank. The result is exact.
 
 Queries are a stated set against all rows. Both sides are cut into chunks, and a pair of chunks is one group: a
 candidate chunk is sent once for each query chunk and the other way round, so the largest task holds one chunk of each
@@ -13,6 +14,8 @@ however many rows, copies or queries there are.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -22,8 +25,8 @@ from .common import doc_columns, store
 
 #: Rows of a candidate chunk and of a query chunk, about.
 CANDIDATES, QUERIES = 16_384, 2_048
-#: Rows of one tile of the product.
-TILE = 1_024
+#: Rows of one tile of the product, dimensions of one slice of it, and survivors that are scored at once.
+TILE, SLICE, SCORED = 1_024, 1_024, 1 << 16
 
 
 def quantise(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -50,40 +53,77 @@ def exact_cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(dot / np.sqrt(a_square * b_square), -1.0, 1.0)
 
 
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All products of two blocks of int8 rows, exactly. Up to 1,040 dimensions float32 holds every sum of them; longer
+    rows are taken in slices that are summed in double precision."""
+    out = np.zeros((len(a), len(b)))
+    for at in range(0, max(1, a.shape[1]), SLICE):
+        out += a[:, at : at + SLICE].astype(np.float32) @ b[:, at : at + SLICE].astype(np.float32).T
+    return out
+
+
+def that_can_win(ids: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the rows that can be among some query's k nearest, as far as equal vectors go.
+
+    Of equal vectors the smaller ids win, so those of the ``k + 1`` smallest ids do for any query, which may have one of
+    them itself, and ``k`` rows of each id.
+    """
+    same = np.ascontiguousarray(vectors + 0.0).view(np.dtype((np.void, vectors.shape[1] * vectors.itemsize)))[:, 0]
+    _, group = np.unique(same, return_inverse=True)
+    order = np.lexsort((ids, group))
+    of, own = group[order], ids[order]
+    new_group = np.concatenate(([True], of[1:] != of[:-1]))
+    new_id = new_group | np.concatenate(([True], own[1:] != own[:-1]))
+    nth_id = np.cumsum(new_id)
+    first_id = np.maximum.accumulate(np.where(new_group, nth_id, 0))
+    place = np.arange(len(order))
+    first_place = np.maximum.accumulate(np.where(new_id, place, 0))
+    return np.sort(order[(nth_id - first_id <= k) & (place - first_place < k)])
+
+
 def nearest_in_chunk(
     query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, id, cosine) of each query's k nearest rows of the chunk, other than itself; ties to smaller ids."""
+    """(query id, id, cosine) of each query's k nearest rows of the chunk, other than itself; ties to smaller ids.
+
+    Every query has a heap of its k best so far. A tile's survivors are scored exactly and offered to it, a bounded
+    number at a time, and the heap's last score prunes the tiles that follow.
+    """
+    some = that_can_win(ids, vectors, k)
+    ids, vectors = ids[some], vectors[some]
     query_codes, query_scales, query_norms, query_errors = quantise(queries)
     codes, scales, _, errors = quantise(vectors)
-    as_float = query_codes.astype(np.float32)  # products of int8 are exact in float32 up to 1,040 dimensions
     slack = 1e-6  # for the rounding of the bounds themselves
     least = np.full((len(queries), k), -np.inf)  # the k largest lower bounds so far
-    kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    heaps: list[list[tuple[float, int]]] = [[] for _ in queries]  # the worst one first: lowest score, largest id
+    last = np.full(len(queries), -np.inf)  # the score of the k-th best
     for at in range(0, len(ids), TILE):
         part = slice(at, at + TILE)
-        products = as_float @ codes[part].astype(np.float32).T
-        cosine = products.astype(np.float64) * query_scales[:, None] * scales[part][None, :]
+        cosine = products(query_codes, codes[part]) * query_scales[:, None] * scales[part][None, :]
         bound = query_errors[:, None] + query_norms[:, None] * errors[part][None, :] + slack
         other = query_ids[:, None] != ids[part][None, :]
         lower = np.where(other, cosine - bound, -np.inf)
         both = np.concatenate((least, lower), axis=1)
         least = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
-        survive = other & (cosine + bound >= least.min(axis=1)[:, None])
-        i, j = np.nonzero(survive)
-        kept.append((i, j + at, (cosine + bound)[i, j]))
-    i, j, upper = (np.concatenate(x) for x in zip(*kept, strict=True))
-    still = upper >= least.min(axis=1)[i]
-    i, j = i[still], j[still]
-    score = np.empty(len(i))
-    for at in range(0, len(i), 1 << 16):
-        part = slice(at, at + (1 << 16))
-        score[part] = exact_cosines(queries[i[part]], vectors[j[part]])
-    order = np.lexsort((ids[j], -score, i))
-    i, j, score = i[order], j[order], score[order]
-    rank = np.arange(len(i)) - np.searchsorted(i, i)
-    best = rank < k
-    return query_ids[i[best]], ids[j[best]], score[best]
+        i, j = np.nonzero(other & (cosine + bound >= np.maximum(least.min(axis=1), last)[:, None]))
+        j += at
+        for begin in range(0, len(i), SCORED):
+            rows, columns = i[begin : begin + SCORED], j[begin : begin + SCORED]
+            score = exact_cosines(queries[rows], vectors[columns])
+            good = score >= last[rows]
+            for row, value, vec_id in zip(rows[good].tolist(), score[good].tolist(), ids[columns[good]].tolist(), strict=True):
+                heap = heaps[row]
+                if len(heap) < k:
+                    heapq.heappush(heap, (value, -vec_id))
+                else:
+                    heapq.heappushpop(heap, (value, -vec_id))
+                if len(heap) == k:
+                    last[row] = heap[0][0]
+    found = [(q, -negated, value) for q, heap in zip(query_ids.tolist(), heaps, strict=True) for value, negated in heap]
+    kinds = (np.int64, np.int64, np.float64)
+    return tuple(np.array(x, dtype=t) for x, t in zip(zip(*found, strict=True), kinds, strict=True)) if found else tuple(
+        np.empty(0, dtype=t) for t in kinds
+    )
 
 
 def usable(vector: Column) -> Column:

@@ -2,30 +2,30 @@
 
 Two logistic classifiers look at each document: one at its text (signs, case, repetition, variety of words), one at its
 metadata (language, source, size and layout). Both are trained on a bounded sample of the labelled documents. In each
-round each classifier labels the documents of a bounded unlabelled pool that it is most sure of, as many of each class
-as the labels' shares suggest, and hands them to the other one. In the end both are calibrated on labelled documents
+round each classifier scores all unlabelled documents and labels those that it is surest of, a fixed number, as many of
+each class as the labels' shares suggest, and hands them to the other one. In the end both are calibrated on labelled documents
 that took no part, their calibrated odds are combined by a third, two-weight classifier fitted there as well, and the
 combination scores all documents. The models have a few dozen weights; features are worked out where documents are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import Hidden, bytes_of, doc_columns, ship, steps, store, word_hashes
 
-#: Labelled documents and unlabelled ones that the classifiers are fitted on at most.
-LABELLED, POOL = 4_000, 6_000
-#: Rounds, and the share of the pool that each classifier labels in a round.
-ROUNDS, EXCHANGED = 4, 0.05
+#: Labelled documents that the classifiers are fitted on at most.
+LABELLED = 4_000
+#: Rounds, documents that each classifier labels in a round, and the log odds from which on it is sure.
+ROUNDS, TAKEN, SURE = 4, 300, 2.0
 #: Every so manyth labelled document is held out for calibration.
 HELD_OUT = 4
 #: Hashed places of language and of source.
@@ -160,48 +160,56 @@ class Model:
         return np.stack([calibration.odds(view.odds(x)[:, None]) for view, calibration, x in pairs], axis=1)
 
 
-def co_train(features: tuple[np.ndarray, ...], labels: np.ndarray) -> Model:
-    """features: of the two views; labels: 1 good, 0 bad, -1 unlabelled."""
-    known = np.flatnonzero(labels >= 0)
-    if len(set(labels[known])) < 2:  # nothing to tell apart: all documents are what the labels are, or good
-        return Model((), (), None, float(labels[known].mean()) if len(known) else 1.0)
-    held = known[HELD_OUT - 1 :: HELD_OUT]
+#: An unlabelled document that a view is sure of: its number and its features of both views.
+Sure = tuple[int, np.ndarray]
+#: Gives, for the views as they are, the documents that each is surest of: by teacher and label, surest first.
+Ask = Callable[[tuple["Logistic", ...]], dict[tuple[int, int], list[Sure]]]
+
+
+def co_train(features: np.ndarray, labels: np.ndarray, ask: Ask) -> Model:
+    """features: of both views of the labelled documents, side by side; labels: 1 good, 0 bad.
+
+    In each round the views are fitted, and each one's surest unlabelled documents become examples of the other one,
+    ``TAKEN`` of them, good and bad as the labels are shared. What a view has been given stays.
+    """
+    if len(set(labels)) < 2:  # nothing to tell apart: all documents are what the labels are, or good
+        return Model((), (), None, float(labels.mean()) if len(labels) else 1.0)
+    held = np.arange(len(labels))[HELD_OUT - 1 :: HELD_OUT]
     if len(set(labels[held])) < 2:
-        held = known
-    training = np.setdiff1d(known, held) if len(held) < len(known) else known
+        held = np.arange(len(labels))
+    training = np.setdiff1d(np.arange(len(labels)), held) if len(held) < len(labels) else held
     if len(set(labels[training])) < 2:
-        training = known
-    given = [dict(zip(training.tolist(), labels[training].tolist(), strict=True)) for _ in features]
-    pool = np.flatnonzero(labels < 0)
-    share = labels[training].mean()
+        training = np.arange(len(labels))
+    share = float(labels[training].mean())
+    given: list[dict[int, tuple[np.ndarray, int]]] = [{}, {}]
 
     def views() -> tuple[Logistic, ...]:
         out = []
-        for x, own in zip(features, given, strict=True):
-            rows = np.fromiter(own, dtype=np.int64)
-            out.append(fit(x[rows], np.fromiter(own.values(), dtype=float)))
+        for view, own in enumerate(given):
+            more = [x for x, _ in own.values()]
+            x = np.vstack((features[training], *more)) if more else features[training]
+            y = np.concatenate((labels[training], [label for _, label in own.values()]))
+            out.append(fit(view_of(x, view), y.astype(float)))
         return tuple(out)
 
     for _ in range(ROUNDS):
-        now = views()
+        sure = ask(views())
         for teacher in (0, 1):
             pupil = given[1 - teacher]
-            rest = np.array([i for i in pool.tolist() if i not in pupil], dtype=np.int64)
-            if not len(rest):
-                continue
-            odds = now[teacher].odds(features[teacher][rest])
-            order = np.argsort(odds, kind="stable")
-            amount = EXCHANGED * len(pool)
-            good, bad = int(round(amount * share)), int(round(amount * (1 - share)))
-            sure_bad = [i for i in order[:bad] if odds[i] < -2]
-            sure_good = [i for i in order[len(order) - good :] if odds[i] > 2]
-            pupil |= {int(rest[i]): 0 for i in sure_bad} | {int(rest[i]): 1 for i in sure_good}
+            for label, part in ((0, 1 - share), (1, share)):
+                new = [(number, x) for number, x in sure.get((teacher, label), []) if number not in pupil]
+                pupil |= {number: (x, label) for number, x in new[: round(TAKEN * part)]}
     final = views()
     y = labels[held].astype(float)
-    calibrations = tuple(fit(v.odds(x[held])[:, None], y) for v, x in zip(final, features, strict=True))
-    model = Model(final, calibrations, None, float(share))
-    odds = model.calibrated(tuple(x[held] for x in features))
-    return Model(final, calibrations, fit(odds, y), float(share))
+    both = tuple(view_of(features[held], view) for view in (0, 1))
+    calibrations = tuple(fit(v.odds(x)[:, None], y) for v, x in zip(final, both, strict=True))
+    model = Model(final, calibrations, None, share)
+    return Model(final, calibrations, fit(model.calibrated(both), y), share)
+
+
+def view_of(features: np.ndarray, view: int) -> np.ndarray:
+    """The columns of the text view (0) or of the metadata view (1)."""
+    return features[:, TEXT_FEATURES:] if view else features[:, :TEXT_FEATURES]
 
 
 def _narrow(docs: DataFrame, doc_id: str, text: str, lang: str, source: str) -> DataFrame:
@@ -213,6 +221,67 @@ def _narrow(docs: DataFrame, doc_id: str, text: str, lang: str, source: str) ->
     )
 
 
+def features_of(docs: DataFrame, doc_id: str, text: str, lang: str, source: str) -> DataFrame:
+    """doc_id, number (a hash of text, language and source) and features (32-bit floats) of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = bytes_of(batch.column("text"))
+            for part in steps(texts):
+                own = batch.slice(part.start, part.stop - part.start)
+                langs, sources = (own.column(c).to_pylist() for c in ("lang", "source"))
+                values = np.hstack((text_features(texts[part]), metadata_features(texts[part], langs, sources)))
+                rows = pa.array([x.tobytes() for x in values.astype(np.float32)], pa.binary())
+                yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("number"), rows], ["doc_id", "number", "features"])
+
+    narrow = _narrow(docs, doc_id, text, lang, source).withColumn("number", F.xxhash64("text", "lang", "source"))
+    return narrow.mapInArrow(run, "doc_id bigint, number bigint, features binary")
+
+
+def surest(pool: DataFrame, views: tuple[Logistic, ...], most: int) -> dict[tuple[int, int], list[Sure]]:
+    """Of all rows of the pool, the ``most`` that each view is surest to be bad and good, by teacher and label.
+
+    Every row is scored. A task passes on its own surest ones, of equal documents one, and the surest of these are taken.
+    """
+    fitted = pool.sparkSession.sparkContext.broadcast(views)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple[int, int], dict[int, tuple[float, bytes]]] = {(t, y): {} for t in (0, 1) for y in (0, 1)}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            numbers, rows = batch.column("number").to_numpy(), batch.column("features").to_pylist()
+            values = np.frombuffer(b"".join(rows), dtype=np.float32).reshape(len(rows), -1).astype(np.float64)
+            for (teacher, label), kept in best.items():
+                odds = fitted.value[teacher].odds(view_of(values, teacher)) * (1 if label else -1)
+                for k in np.flatnonzero(odds > SURE).tolist():
+                    kept[int(numbers[k])] = (float(odds[k]), rows[k])
+                if len(kept) > most:
+                    first = sorted(kept, key=lambda n: (-kept[n][0], n))[:most]
+                    best[teacher, label] = {n: kept[n] for n in first}
+        out = [(t, y, n, odds, row) for (t, y), kept in best.items() for n, (odds, row) in kept.items()]
+        if out:
+            names = ["teacher", "label", "number", "odds", "features"]
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.binary())
+            columns = [pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    found = store(
+        pool.select("number", "features").mapInArrow(
+            run, "teacher int, label int, number bigint, odds double, features binary"
+        ),
+        "surest",
+    )
+    once = found.groupBy("teacher", "label", "number").agg(F.max("odds").alias("odds"), F.first("features").alias("features"))
+    order = Window.partitionBy("teacher", "label").orderBy(F.col("odds").desc(), "number")
+    ranked = once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).orderBy("rank")
+    out: dict[tuple[int, int], list[Sure]] = {}
+    for r in ranked.collect():  # four lists of ``most`` rows
+        row = np.frombuffer(r["features"], dtype=np.float32).astype(np.float64)
+        out.setdefault((r["teacher"], r["label"]), []).append((r["number"], row))
+    return out
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
@@ -221,38 +290,28 @@ def train(
     lang: str = "lang",
     source: str = "source",
 ) -> Model:
-    """The model from bounded samples: LABELLED labelled documents and POOL others, of the smallest hashed ids.
+    """The model from a bounded sample of labels, LABELLED documents of the smallest hashed ids, and all unlabelled rows.
 
-    labels: doc_id and quality (1 good, 0 bad, anything else is no label); of several labels of an id the worst counts.
-    Only features of the samples reach the driver.
+    labels: doc_id and quality (1 good, 0 bad, anything else is no label); of several labels of an id the worst counts,
+    and of several rows of an id one, that of the smallest hash. Features of all documents are stored once; each round
+    scores all unlabelled ones. The driver gets features of the sample and of the surest rows only.
     """
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     ids = F.col(doc_id).cast("bigint").alias("doc_id")
     known = labels.where("quality in (0, 1)").groupBy(ids).agg(F.min("quality").cast("int").alias("label"))
     known = store(known.where("doc_id is not null").orderBy(*order).limit(LABELLED), "labelled")
-    others = docs.select(ids).where("doc_id is not null").orderBy(*order).limit(LABELLED + POOL).distinct()
-    others = others.join(labels.select(F.col(doc_id).cast("bigint").alias("doc_id")), "doc_id", "left_anti")
-    sample = store(known.unionByName(others.select("doc_id", F.lit(-1).alias("label"))), "sample")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = bytes_of(batch.column("text"))
-            for part in steps(texts):
-                own = batch.slice(part.start, part.stop - part.start)
-                langs, sources = (own.column(c).to_pylist() for c in ("lang", "source"))
-                values = np.hstack((text_features(texts[part]), metadata_features(texts[part], langs, sources)))
-                columns = [own.column("doc_id"), own.column("label"), pa.array(list(values))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "label", "features"])
-
-    rows = _narrow(docs, doc_id, text, lang, source).join(sample, "doc_id")
-    rows = rows.select("doc_id", "label", "text", "lang", "source")
-    found = rows.mapInArrow(run, "doc_id bigint, label int, features array<double>").collect()
-    found.sort(key=lambda r: (r[0], tuple(r[2])))
+    every = store(features_of(docs, doc_id, text, lang, source), "features")
+    one = every.join(known, "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct("number", "features")).alias("row"))
+    sample = one.select("doc_id", "label", "row.features").collect()  # a row for each id
+    sample.sort(key=lambda r: r["doc_id"])
     width = TEXT_FEATURES + METADATA_FEATURES
-    values = np.array([r[2] for r in found]).reshape(len(found), width)
-    return co_train(
-        (values[:, :TEXT_FEATURES], values[:, TEXT_FEATURES:]), np.array([r[1] for r in found], dtype=np.int64)
-    )
+    values = np.frombuffer(b"".join(r["features"] for r in sample), dtype=np.float32)
+    values = values.reshape(len(sample), width).astype(np.float64)
+    marked = labels.select(ids).distinct()
+    pool = every.join(marked, "doc_id", "left_anti")
+    # a view may have been given its surest ones before; there are as many further ones behind them
+    most = TAKEN * ROUNDS
+    return co_train(values, np.array([r["label"] for r in sample], dtype=np.int64), lambda views: surest(pool, views, most))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:

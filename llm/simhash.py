@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hidden, bytes_of, doc_columns, steps, store
+from .common import Hidden, bytes_of, doc_columns, mix, steps, store
 
 #: Distinct fingerprints that the shards' tree is fitted on at most. It decides how evenly the shards are filled only.
 SAMPLE = 20_000
@@ -30,6 +30,8 @@ SAMPLE = 20_000
 SHARD_POINTS, LEAST_LEVELS = 8_192, 5
 #: Pairs that are compared at once in a leaf of a shard's own tree.
 LEAF_PAIRS = 1 << 20
+#: Sample points whose median distance splits a node; with fewer it is split at half of the bits.
+LEAST_SAMPLE = 16
 
 _SHIFTS = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
@@ -78,12 +80,13 @@ class ShardTree:
 
     def __init__(self, sample: np.ndarray, levels: int) -> None:
         self.levels = levels
-        self.vantage = np.zeros(1 << levels, dtype=np.uint64)
+        # nodes that the sample doesn't reach split at half of the bits from points of their own
+        self.vantage = mix(np.arange(1, (1 << levels) + 1, dtype=np.uint64))
         self.radius = np.full(1 << levels, 32, dtype=np.int64)
         parts = {1: sample}
         for node in range(1, 1 << levels):
             points = parts.pop(node, sample[:0])
-            if len(points):
+            if len(points) >= LEAST_SAMPLE:
                 self.vantage[node] = points[len(points) // 2]
                 distance = np.bitwise_count(points ^ self.vantage[node]).astype(np.int64)
                 self.radius[node] = np.median(distance)

@@ -714,3 +714,62 @@ def test_all_code_points_are_encoded_alike():
     for k, (text, (ids, _)) in enumerate(zip(texts, encoder.encode(texts), strict=True)):
         expected = reference.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(ids, "<u4").tolist() == expected, hex(points[k * 4096])
+
+
+def test_pool_is_scored_whole_and_ids_may_repeat(spark):
+    """One labelled id and one unlabelled document occur very often; the surest rows are those of a plain ranking."""
+    rng = np.random.default_rng(3)
+    good = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta"], 40)) + ".", "en", "a") for i in range(0, 120, 2)]
+    bad = [(i, "!!! " * 30 + "BUY $$$ " * int(rng.integers(3, 30)), "en", "b") for i in range(1, 120, 2)]
+    more = [(1000 + i, t, lang, x) for i, (_, t, lang, x) in enumerate((good + bad) * 3)]
+    copies = [(5000 + i, good[0][1], "en", "a") for i in range(3000)] + [good[1]] * 3000
+    docs = frame(spark, good + bad + more + copies)
+    labels = spark.createDataFrame([(i, i % 2 ^ 1) for i in range(120)], "doc_id bigint, quality int")
+    model = quality.train(docs, labels)
+    scored = quality.score(docs, model).select("doc_id", "__quality").collect()
+    assert all((r["__quality"] >= 0.5) == (r["doc_id"] % 2 == 0) for r in scored if r["doc_id"] < 120)
+    every = quality.features_of(docs, "doc_id", "text", "lang", "source")
+    rows_found = every.collect()
+    assert len(rows_found) == len(good + bad + more + copies)
+    sure = quality.surest(every, model.views, 20)
+    values = np.array([np.frombuffer(r["features"], np.float32) for r in rows_found], dtype=np.float64)
+    for (teacher, label), found in sure.items():
+        odds = model.views[teacher].odds(quality.view_of(values, teacher)) * (1 if label else -1)
+        by_number = {r["number"]: o for r, o in zip(rows_found, odds.tolist(), strict=True) if o > quality.SURE}
+        expected = sorted(by_number, key=lambda n: (-round(by_number[n], 9), n))[:20]
+        assert {n for n, _ in found} == set(expected) and len(found) == len(expected)
+
+
+def test_neighbours_of_many_equal_and_of_long_vectors():
+    """Equal vectors are ranked by id, rows of a query's own id don't count, and products of long rows are exact."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(3, 8))
+    ids = np.concatenate((rng.permutation(3000), [5] * 40, [7] * 3))
+    vectors = base[rng.integers(0, 3, len(ids))]
+    for query in (5, 7, 11, 2999, 10_000):
+        q = base[:1]
+        found = neighbours.nearest_in_chunk(np.array([query]), q, ids, vectors, 5)
+        score = neighbours.exact_cosines(np.repeat(q, len(ids), axis=0), vectors)
+        order = [i for i in np.lexsort((ids, -score)) if ids[i] != query][:5]
+        assert sorted(zip(-found[2], found[1], strict=True)) == sorted(zip(-score[order], ids[order], strict=True))
+    for dims in (1, 1024, 2000, 5000):
+        a, b = (rng.integers(-127, 128, (20, dims)).astype(np.int8) for _ in range(2))
+        a[0], b[0] = 127, 127
+        assert (neighbours.products(a, b) == a.astype(np.int64) @ b.astype(np.int64).T).all()
+    queries, rows_in = rng.normal(size=(30, 2000)), rng.normal(size=(2500, 2000))
+    found = neighbours.nearest_in_chunk(np.arange(30), queries, np.arange(100, 2600), rows_in, 5)
+    scores = (queries / np.linalg.norm(queries, axis=1)[:, None]) @ (rows_in / np.linalg.norm(rows_in, axis=1)[:, None]).T
+    for k in range(30):
+        assert {int(x) - 100 for x in found[1][found[0] == k]} == set(np.argsort(-scores[k])[:5].tolist())
+
+
+def test_shards_fill_evenly_from_a_small_sample():
+    """Deep levels split points although the sample has none there, and no link is lost."""
+    rng = np.random.default_rng(1)
+    points = np.unique(rng.integers(0, 1 << 64, 100_000, dtype=np.uint64))
+    tree = simhash.ShardTree(points[:64], 10)
+    sizes = np.bincount(tree.homes(points), minlength=1024)
+    assert (sizes > 0).mean() > 0.95 and sizes.max() < 12 * sizes.mean()
+    near = points[:300] ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64))
+    homes, (at, reached) = tree.homes(near), tree.reached(points[:300], 3)
+    assert all(homes[i] in set(reached[at == i].tolist()) for i in range(300))
