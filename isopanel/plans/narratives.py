@@ -19,6 +19,7 @@ from .registry import query
 from .series import window_sql
 from .testbed import WINDOW_THRESHOLD, Testbed
 
+# The wording in the SQL of this module is that of the texts it checks.
 _WORD = "CASE WHEN {0} IS NULL THEN 'held steady' WHEN {0} > 0 THEN 'risen' ELSE 'fallen' END"
 
 INSIGHTS = f"""

@@ -12,9 +12,15 @@ from pyspark.sql import functions as F
 def work_dir(spark: SparkSession) -> str:
     """A new folder below the one that ``spark.checkpoint.dir`` names, or below the warehouse where that is unset.
 
-    Driver and executors share both. The folder of a session goes when its JVM ends.
+    Driver and executors must share it, so on a cluster a warehouse on a local disk is refused. The folder of a session
+    goes when its JVM ends.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = spark.conf.get("spark.sql.warehouse.dir")
+        one_machine = spark.sparkContext.master.split("[")[0] == "local"
+        if not one_machine and (root.startswith("file:") or "://" not in root):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     session = join(root, f"isopanel-{spark.sparkContext.applicationId}")
     path = spark._jvm.org.apache.hadoop.fs.Path(session)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
