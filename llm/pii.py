@@ -1,10 +1,13 @@
 """Personal data by fixed patterns and a linear-chain conditional random field over word shapes.
 
-The patterns give the base spans. The field adds spans that look alike without fitting a pattern. It is trained where
-the plan is made, from a small labelled table of word sequences with their spans, by gradient steps on the conditional
-likelihood; the weights have a fixed size and go to the tasks. There the words of many lines are scored at once: a
-word's features are its shape and its neighbours' shapes, hashed into a table of weights, and all lines are decoded
-together by Viterbi, one step for each word position.
+The patterns give the base spans. The field adds spans that are written in another way: with ``at`` and ``dot`` spelled
+out, in parts, without a prefix, or with other signs between the digits. It is trained where the plan is made, from a
+small labelled table, by gradient steps on the conditional likelihood; the weights have a fixed size and go to the tasks.
+Half of the table is written out from forms of such data and of numbers that are none, the other half are words around
+the patterns' spans in a sample of the documents. In the tasks the words of many lines are scored at once: a word's
+features are its shape, itself if it is short, and the same of its neighbours, hashed into a table of weights, and all
+lines are decoded together by Viterbi, one step for each word position. A span is added only if its text can be what
+it is tagged as: the digits of a card pass their test, and the parts of an address are in range.
 
 Everything works on UTF-8 bytes; the patterns are ASCII, so they find the same in bytes, and positions become code
 points by counting the bytes that begin one.
@@ -37,6 +40,8 @@ TAGS = 1 + 2 * len(KINDS)
 TABLE, SAMPLE_DOCS, SAMPLE_SEQUENCES = 1 << 12, 4_000, 3_000
 #: Words around a span in a labelled sequence.
 CONTEXT = 8
+#: Sequences of the written part of the labelled table, bytes of a word that counts as itself, and the features of a word.
+WRITTEN, SHORT_WORD, FEATURES = 2_000, 8, 11
 #: Gradient steps, their size, and the penalty on squared weights.
 ROUNDS, RATE, PENALTY = 60, 0.2, 1e-4
 
@@ -102,8 +107,30 @@ class Words:
     features: np.ndarray
 
 
+def _letters() -> np.ndarray:
+    """The number of each ASCII letter from 1, whatever its case; 0 for all other bytes."""
+    table = np.zeros(256, dtype=np.uint64)
+    table[65:91] = table[97:123] = np.arange(1, 27)
+    return table
+
+
+_LETTER = _letters()
+
+
+def spelled(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The letters of each short word as one number, other bytes left out; 0 for long words and words without letters."""
+    out = np.zeros(len(starts), dtype=np.uint64)
+    short = ends - starts <= SHORT_WORD
+    for k in range(SHORT_WORD):
+        at = starts + k
+        letter = np.where(short & (at < ends), _LETTER[raw[np.minimum(at, len(raw) - 1)]], np.uint64(0))
+        out = np.where(letter > 0, out * np.uint64(27) + letter, out)
+    return out
+
+
 def words_of(buffer: bytes) -> Words:
-    """The words of a buffer and their features: shape, counts, first and last class, and the neighbours' shapes."""
+    """The words of a buffer and their features: shape, counts, first and last class, a short word itself, and the
+    neighbours' shapes and short words."""
     raw = np.frombuffer(buffer, dtype=np.uint8)
     kind = _CLASS[raw]
     inside = kind > 0
@@ -111,7 +138,7 @@ def words_of(buffer: bytes) -> Words:
     starts, ends = edges[0::2], edges[1::2]
     if not len(starts):
         none = np.empty(0, dtype=np.int64)
-        return Words(none, none, none, np.empty((0, 8), dtype=np.int64))
+        return Words(none, none, none, np.empty((0, FEATURES), dtype=np.int64))
     # runs of one class; digits keep the length of their run up to 4, other classes don't
     begins = np.flatnonzero(np.concatenate(([True], (kind[1:] != kind[:-1]) | ~inside[1:])) & inside)
     lengths = np.minimum(np.diff(np.concatenate((begins, [len(raw)]))), 4)
@@ -132,8 +159,14 @@ def words_of(buffer: bytes) -> Words:
     after = np.concatenate((shape[1:], [np.uint64(0)]))
     lines = np.concatenate(([0], np.cumsum(raw == 10)))[starts]
     new = np.concatenate(([True], lines[1:] != lines[:-1]))
+    final = np.concatenate((new[1:], [True]))
     before[new] = 0
-    after[np.concatenate((new[1:], [True]))] = 0
+    after[final] = 0
+    # letters only, in lower case, so that signs around a word don't matter
+    itself = spelled(raw, starts, ends)
+    previous, following = np.concatenate(([np.uint64(0)], itself[:-1])), np.concatenate((itself[1:], [np.uint64(0)]))
+    previous[new] = 0
+    following[final] = 0
     facts = [
         shape,
         np.minimum(digits, 20) * 32 + np.minimum(size, 31),
@@ -143,6 +176,9 @@ def words_of(buffer: bytes) -> Words:
         after,
         np.minimum(digits, 20) * 2 + (before != 0),
         np.ones(len(starts), dtype=np.int64),
+        itself,
+        previous,
+        following,
     ]
     salted = [f.astype(np.uint64) * np.uint64(16) + np.uint64(i) for i, f in enumerate(facts)]
     features = np.stack([(mix(f) % np.uint64(TABLE)).astype(np.int64) for f in salted], axis=1)
@@ -288,16 +324,131 @@ def added_spans(
             j += 1
         start, end = int(starts[i]), int(ends[j - 1])
         body = buffer[start:end]
-        start += len(body) - len(body.lstrip(b"([{<\"'"))
+        front = b"[{<\"'" if body[:1] == b"(" and b")" in body else b"([{<\"'"
+        start += len(body) - len(body.lstrip(front))
         end -= len(body) - len(body.rstrip(b".,;:!?)]}>\"'"))
-        if start < end:
+        if start < end and plausible(kind, buffer[start:end]):
             out.append((start, end, kind))
     # of those that overlap base spans none is added; base spans are sorted by start, and few
     return [s for s in out if all(s[1] <= t[0] or t[1] <= s[0] for t in taken)]
 
 
+_SPOKEN = re.compile(
+    rb"[a-z0-9._%+-]+\s*(?:@|[\[({]\s*at\s*[\])}]|\bat\b)\s*[a-z0-9-]+\s*"
+    rb"(?:(?:\.|[\[({]\s*dot\s*[\])}]|\bdot\b)\s*[a-z0-9-]+\s*)+",
+    re.IGNORECASE,
+)
+_NO_DIGITS = re.compile(rb"[^0-9]+")
+
+
+def plausible(kind: int, body: bytes) -> bool:
+    """Whether a text can be personal data of the kind, whatever stands between its parts."""
+    if KINDS[kind] == "email":
+        return _SPOKEN.fullmatch(body) is not None
+    numbers = [x for x in _NO_DIGITS.split(body) if x]
+    if KINDS[kind] == "ip":
+        return len(numbers) == 4 and all(len(x.lstrip(b"0")) <= 3 and int(x) <= 255 for x in numbers)
+    if re.search(rb"[A-Za-z\x80-\xff]", body):
+        return False
+    digits = b"".join(numbers)
+    if KINDS[kind] == "card":
+        return 12 <= len(digits) <= 19 and luhn(digits)
+    return 7 <= len(digits) <= 15
+
+
+def written_table(n: int = WRITTEN, seed: int = 1) -> list[tuple[bytes, list[Span]]]:
+    """Sequences in which personal data is written in other ways than the patterns', and some that look like it only.
+
+    Names, words and digits are drawn at random; the forms around them are fixed.
+    """
+    random = np.random.default_rng(seed)
+
+    def word(least: int = 2, most: int = 9) -> str:
+        return "".join(random.choice(list("abcdefghiklmnoprstuvwz"), random.integers(least, most)))
+
+    def digits(count: int) -> str:
+        return "".join(map(str, random.integers(0, 10, count)))
+
+    def card(valid: bool) -> str:
+        while True:
+            found = str(random.integers(3, 7)) + digits(15)
+            if luhn(found.encode()) == valid:
+                return found
+
+    def fours(number: str, sign: str) -> str:
+        return sign.join(number[i : i + 4] for i in range(0, 16, 4))
+
+    def address() -> tuple[str, str, str]:
+        user = word() if random.random() < 0.6 else f"{word()}.{word()}"
+        return user, word(3, 10), str(random.choice(["com", "org", "net", "de", "fr", "example", "co"]))
+
+    def octets() -> list[str]:
+        return [str(x) for x in random.integers(0, 256, 4)]
+
+    def one_of(*forms: str) -> str:
+        return str(random.choice(forms))
+
+    def email() -> str:
+        user, place, end = address()
+        return one_of(
+            f"{user} at {place} dot {end}", f"{user} [at] {place} [dot] {end}", f"{user}(at){place}.{end}",
+            f"{user} (at) {place} (dot) {end}", f"{user} @ {place} . {end}", f"{user}@{place} dot {end}",
+            f"{user} AT {place} DOT {end}",
+        )
+
+    def ip() -> str:
+        parts = octets()
+        return one_of(" . ".join(parts), "[.]".join(parts), " dot ".join(parts), "(.)".join(parts), ". ".join(parts))
+
+    def payment() -> str:
+        return fours(card(True), one_of(".", "/", "  ", "_", " - "))
+
+    def phone() -> str:
+        return one_of(
+            f"{digits(3)} {digits(3)} {digits(4)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"0{digits(2)} {digits(7)}",
+            f"{digits(3)}.{digits(3)}.{digits(4)}", f"0{digits(3)}/{digits(6)}", f"{digits(3)}-{digits(3)}-{digits(4)}",
+        )
+
+    called = {
+        "email": ("mail", "write to", "contact", "email:", "reach me:", "my address is"),
+        "ip": ("host", "server", "from", "ip:", "address", "ping"),
+        "card": ("card", "visa", "pay with", "card no", "credit card:", "charged to"),
+        "phone": ("call", "tel", "phone:", "fax", "ring", "mobile", "tel.:"),
+    }
+
+    def none() -> str:
+        return one_of(
+            f"order {card(False)}", f"order no {fours(card(False), ' ')}", f"invoice {digits(4)}-{digits(4)}-{digits(4)}",
+            f"version {random.integers(0, 9)}.{random.integers(0, 20)}.{random.integers(0, 9)}",
+            f"isbn 978-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}", f"meet me at {word()}", f"{word()} dot {word()}",
+            f"page {digits(3)}", f"{digits(3)} {digits(3)} units", f"on 20{digits(2)}-0{digits(1)}-1{digits(1)}",
+            f"ref {digits(10)}", f"item {digits(3)} {digits(3)} {digits(4)}", f"look at {word()} {digits(3)}",
+            f"section {digits(1)} . {digits(1)} . {digits(1)}", f"sum {digits(3)},{digits(3)},{digits(3)}", f"id {digits(12)}",
+            f"build {digits(3)}.{digits(3)}.{digits(4)}", f"lot {fours(card(False), '/')}", f"score {digits(2)} {digits(2)}",
+        )
+
+    forms = {"email": email, "ip": ip, "card": payment, "phone": phone}
+    out: list[tuple[bytes, list[Span]]] = []
+    for _ in range(n):
+        parts: list[str] = [" ".join(word() for _ in range(random.integers(0, 6)))]
+        spans: list[Span] = []
+        for _ in range(random.integers(1, 3)):
+            if random.random() < 0.45:
+                parts.append(none())
+            else:
+                kind = str(random.choice(KINDS))
+                parts.append(one_of(*called[kind]))
+                body = forms[kind]()
+                start = len(" ".join(parts)) + 1
+                spans.append((start, start + len(body), KINDS.index(kind)))
+                parts.append(body)
+            parts.append(one_of("", ".", ",", word(), word()) if not spans else one_of(word(), word()))
+        out.append((" ".join(parts).encode(), spans))
+    return out
+
+
 def labelled_sequences(docs: DataFrame, doc_id: str, text: str) -> list[tuple[bytes, list[Span]]]:
-    """The small labelled table: words around base spans, and stretches without any, of a bounded sample.
+    """The sampled part of the labelled table: words around base spans, and stretches without any, of a bounded sample.
 
     The sample is the SAMPLE_DOCS documents of the smallest hashed ids; of its sequences the SAMPLE_SEQUENCES of the
     smallest hashes are taken. Only these reach the driver, a few hundred bytes each.
@@ -397,5 +548,5 @@ def find(docs: DataFrame, field: Field, doc_id: str = "doc_id", text: str = "tex
 
 
 def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Train on a bounded sample of the documents themselves, labelled by the patterns, and find spans in all."""
-    return find(docs, train_field(labelled_sequences(docs, doc_id, text)), doc_id, text)
+    """Train on the written table and a bounded sample of the documents, labelled by the patterns; find spans in all."""
+    return find(docs, train_field(written_table() + labelled_sequences(docs, doc_id, text)), doc_id, text)
