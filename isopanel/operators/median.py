@@ -22,7 +22,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sinks.tables import store
@@ -73,9 +73,8 @@ class Sketches:
             F.sum("_v").alias("_sum"),
             F.kll_sketch_agg_double("_v", F.lit(size)).alias("_sketch"),
         )
-        seen = Observation()
-        self.states = store(states.observe(seen, F.max(F.when(self.of, F.col("_n"))).alias("largest")), "sketches")
-        self.largest = seen.get["largest"] or 0
+        self.states = store(states, "sketches")
+        self.largest = self.states.where(self.of).agg(F.max("_n")).first()[0] or 0
 
     def sums(self, output: str = "sum") -> DataFrame:
         """The sum of each group's values."""
@@ -90,14 +89,13 @@ class Sketches:
             keys, largest = self.keys, self.largest
             groups = self.states.where(self.of).select(*keys, "_n", *read_off)
         else:
-            keys, seen = list(keys), Observation()
+            keys = list(keys)
             merged = self.states.groupBy(*keys).agg(
                 F.sum("_n").alias("_n"), F.kll_merge_agg_double("_sketch", F.lit(self.size)).alias("_sketch")
             )
-            merged = merged.select(*keys, "_n", *read_off).observe(seen, F.max("_n").alias("largest"))
             # merging draws at random; stored, all tasks of the second pass see the same brackets
-            groups = store(merged, "brackets")
-            largest = seen.get["largest"] or 0
+            groups = store(merged.select(*keys, "_n", *read_off), "brackets")
+            largest = groups.agg(F.max("_n")).first()[0] or 0
         small = groups.where(F.col("_n") <= self.size).select(*keys, F.col("_median").alias(output))
         if largest <= self.size:
             return small
@@ -158,7 +156,6 @@ def exact_median(
 
 def _median_of_counts(counts: DataFrame, keys: list[str], few: int, output: str) -> DataFrame:
     """Medians from stored counts ``_n`` of all distinct values ``_v``."""
-    seen = Observation()
     groups = counts.groupBy(*keys).agg(
         F.min("_v").alias("_lo"),
         F.max("_v").alias("_hi"),
@@ -167,8 +164,8 @@ def _median_of_counts(counts: DataFrame, keys: list[str], few: int, output: str)
         F.lit(0).cast("bigint").alias("_below"),
         F.lit(False).alias("_found"),
     )
-    groups = store(groups.observe(seen, F.max("_k").alias("most")), "groups")
-    return _median_within(counts, groups, keys, few, output, (seen.get["most"] or 0) > few)
+    most = groups.agg(F.max("_k")).first()[0] or 0
+    return _median_within(counts, groups, keys, few, output, most > few)
 
 
 def _median_within(

@@ -143,3 +143,10 @@ def test_one_group_with_most_rows_sends_few(spark):
     lo, hi = (F.kll_sketch_get_quantile_double("_sketch", F.lit(0.5 + x * sketches.margin)) for x in (-1, 1))
     bracket = sketches.states.where("g = 0").select(lo.alias("lo"), hi.alias("hi")).first()
     assert 0 < sum(bracket["lo"] <= v <= bracket["hi"] for v in values) < 0.01 * len(values)
+
+
+def test_nothing_to_take_a_median_of(spark):
+    df = spark.range(50).select(F.lit("a").alias("g"), F.col("id").cast("double").alias("value"))
+    none = spark.createDataFrame([], df.schema)
+    for empty in (none, df.where("false"), df.where("value < 0"), df.withColumn("value", F.lit(None).cast("double"))):
+        assert exact_median(empty, ["g"]).collect() == []
