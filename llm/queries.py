@@ -269,8 +269,32 @@ _CONVERSATION_REPAIR = """
     FROM (SELECT DISTINCT c, conv_id FROM named) LEFT JOIN counted USING (c)
     LEFT JOIN (SELECT c, f0 FROM best WHERE i = 1) USING (c)"""
 
+_ALIKE_SETS = """
+    WITH RECURSIVE words AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+        FROM documents),
+    shingles AS (
+        SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS i FROM words WHERE len(w) > 0)),
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    common AS (
+        SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
+        FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+    links AS (
+        SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+        WHERE 100 * common >= 80 * (x.n + y.n - common)),
+    ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reached AS (
+        SELECT doc_id AS a, doc_id AS b FROM documents
+        UNION SELECT reached.a, ways.b FROM reached JOIN ways ON reached.b = ways.a),
+    components AS (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a)
+    SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+    FROM documents d LEFT JOIN sizes USING (doc_id) JOIN components USING (doc_id)"""
+
 SQL: dict[str, str] = {
     "op11_repair": _CONVERSATION_REPAIR,
+    "op13_tensored_minhash": _ALIKE_SETS,
     "op12_vector_codes": _VECTOR_CODES,
     "op4_line_dedup": """
         WITH lines AS (
