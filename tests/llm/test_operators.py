@@ -666,6 +666,16 @@ def test_simhash(docs):
     assert ids.pop(None) == 2 and set(ids) == set(first.values()) and set(ids.values()) == {1}
 
 
+def test_simhash_reaches_through_rows_of_one_id(spark):
+    """Rows of one id with several texts connect what each of them is linked to."""
+    a, b, c, d = ("alpha beta gamma delta", "one two three four five", "red green blue", "left right up down")
+    some = [(7, a), (9, a), (9, b), (9, c), (4, c), (12, b), (5, d), (None, d), (None, a)]
+    found = simhash.near_duplicates(frame(spark, [(i, t, "en", "s") for i, t in some])).collect()
+    first = {i: 4 for i in (7, 9, 4, 12)} | {5: 5}
+    expected = [(i, f"{plain_fingerprint(t):016x}", first.get(i, 4 if t == a else 5)) for i, t in some]
+    assert Counter(tuple(r) for r in found) == Counter(expected)
+
+
 def test_links_within_a_shard_miss_nothing():
     rng = np.random.default_rng(14)
     points = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
