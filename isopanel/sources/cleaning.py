@@ -2,7 +2,7 @@
 
 Loading drops rows whose country, year or value is missing or unreadable. Here the same rows are judged instead: each
 gets the first reason that holds, or none. Good and bad rows go to one stored table, in a folder for each reason, so
-readers of either open their own files only. Counts by reason are observed while it is written.
+readers of either open their own files only. Counts by reason are taken from it, by reading no more than the two labels.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import parse_number, parse_year
@@ -34,20 +34,16 @@ class Cleaned:
     """Number of rows by indicator and reason, kept ones included; reasons that don't occur are left out."""
 
 
-def _reasons(df: DataFrame, extra: Mapping[str, str], required: Iterable[str], with_year: bool) -> list[tuple[Column, str]]:
-    """Conditions and their reasons, in the order in which they count."""
-    required = list(required)
-    raw = {"country": c.COUNTRY_COLUMN, "year": c.PERIOD_COLUMN, "value": c.VALUE_COLUMN}
-    raw |= {alias: name for name, alias in extra.items()}
-    unread = {"year": parse_year, "value": parse_number}
-    found = [(F.col(CORRUPT).isNotNull(), "malformed record")] if CORRUPT in df.columns else []
+def _reasons(extra: Iterable[str], required: Iterable[str], with_year: bool, with_lines: bool) -> list[tuple[Column, str]]:
+    """Conditions on typed rows and their reasons, in the order in which they count."""
+    texts = {"country": "country", "year": "period_text", "value": "value_text"} | {name: name for name in extra}
+    found = [(F.col("line").isNotNull(), "malformed record")] if with_lines else []
     for name in required:
         if name == "year" and not with_year:
             continue
-        text = F.col(f"`{raw[name]}`")
-        found.append((text.isNull(), f"{name} missing"))
-        if name in unread:
-            found.append((unread[name](text).isNull(), f"{name} not a number"))
+        found.append((F.col(texts[name]).isNull(), f"{name} missing"))
+        if name in ("year", "value"):
+            found.append((F.col(name).isNull(), f"{name} not a number"))
     return found
 
 
@@ -66,30 +62,28 @@ def judged(
     wanted = rule.condition()
     if CORRUPT in df.columns:
         wanted = wanted | F.col(CORRUPT).isNotNull()
-    reasons = _reasons(df, extra, required, with_year)
-    reason = reduce(lambda rest, r: F.when(r[0], r[1]).otherwise(rest), reversed(reasons), F.lit(KEPT))
     texts = {"period_text": c.PERIOD_COLUMN, "value_text": c.VALUE_COLUMN}
     line = F.col(CORRUPT) if CORRUPT in df.columns else F.lit(None).cast("string")
     columns = [F.col(f"`{c.COUNTRY_COLUMN}`").alias("country")]
     columns += [parse_year(F.col(c.PERIOD_COLUMN)).alias("year")] if with_year else []
     columns += [F.col(f"`{name}`").alias(alias) for name, alias in extra.items()]
-    columns += [parse_number(F.col(c.VALUE_COLUMN)).alias("value"), reason.alias("reason")]
+    columns += [parse_number(F.col(c.VALUE_COLUMN)).alias("value")]
     columns += [F.col(name).alias(alias) for alias, name in texts.items()] + [line.alias("line")]
-    return df.where(wanted).select(*columns), [KEPT, *[name for _, name in reasons]]
+    # typed first: the reason looks at what was read, so each text is read once
+    rows = df.where(wanted).select(*columns)
+    reasons = _reasons(extra.values(), required, with_year, CORRUPT in df.columns)
+    reason = reduce(lambda rest, r: F.when(r[0], r[1]).otherwise(rest), reversed(reasons), F.lit(KEPT))
+    typed = [name for name in rows.columns if name not in (*texts, "line")]
+    return rows.select(*typed, reason.alias("reason"), *texts, "line"), [KEPT, *[name for _, name in reasons]]
 
 
 def _settled(rows: DataFrame, names: Iterable[str], reasons: Iterable[str], typed: list[str]) -> Cleaned:
-    """Write judged rows once, by reason, and count them meanwhile."""
-    pairs = [(name, reason) for name in names for reason in reasons]
-    seen = Observation()
-    counted = [
-        F.count(F.when((F.col("indicator") == name) & (F.col("reason") == reason), 1)).alias(f"n{k}")
-        for k, (name, reason) in enumerate(pairs)
-    ]
+    """Write judged rows once, by reason, and count what was written."""
     # texts of good rows aren't needed any more
     texts = {t: F.when(F.col("reason") != KEPT, F.col(t)) for t in ("period_text", "value_text", "line")}
-    stored = store(rows.withColumns(texts).observe(seen, *counted), "cleaned", by="reason")
-    found = [(*pair, seen.get[f"n{k}"]) for k, pair in enumerate(pairs)]
+    stored = store(rows.withColumns(texts), "cleaned", by="reason")
+    seen = {(r[0], r[1]): r[2] for r in stored.groupBy("indicator", "reason").count().collect()}
+    found = [(*pair, seen.get(pair, 0)) for pair in ((name, reason) for name in names for reason in reasons)]
     counts = rows.sparkSession.createDataFrame(
         [row for row in found if row[2]], "indicator string, reason string, n_rows bigint"
     )

@@ -162,3 +162,17 @@ def test_both_ends_without_sorting_rows(spark):
     read = seen.value
     first.count()
     assert seen.value == read == 2 * len(rows)  # what is returned sorts stored counts, no rows
+
+
+def test_counting_reasons_adds_nothing_to_each_row(spark):
+    """Rows are written without being counted on the way, and each text is read by one expression."""
+    df = power(spark)
+    rows, reasons = cl.judged(df, c.POWER_TOTAL_ROWS)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 2  # the year and the value
+    assert reasons[0] == cl.KEPT and len(reasons) == 6
+    found = cl.clean(df, c.POWER_TOTAL_ROWS, "x")
+    assert "CollectMetrics" not in found.rows._jdf.queryExecution().optimizedPlan().toString()
+    counts = [(r["indicator"], r["reason"], r["n_rows"]) for r in found.counts.collect()]
+    kept = rows.groupBy("reason").count().collect()
+    assert sorted(counts) == sorted(("x", r["reason"], r["count"]) for r in kept)
