@@ -33,6 +33,7 @@ def _write_csv(df, path: str) -> None:
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
         .option("escape", '"')
+        .option("compression", "lz4")
         .csv(path)
     )
 

@@ -132,6 +132,11 @@ RAW_SOURCES = {
     ),
 }
 
+#: What the sources made of orders, and of line items with their parts, read of these.
+ORDER_COLUMNS = ("o_orderkey", "o_custkey", "o_orderdate", "n_name")
+PART_COLUMNS = (
+    "l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus", "l_shipdate", "n_name", "p_brand", "p_type"
+)
 
 # Types of the test tables as written; naming them saves a look into the files per query.
 SCHEMAS = {
@@ -176,9 +181,17 @@ class Testbed:
 
     @cached_property
     def raw_sources(self) -> dict[str, DataFrame]:
-        """What the source files hold, by data set."""
+        """What the source files hold, by data set.
+
+        Many sources are made of the same orders, and two of the same parts. Each join is made once and stored, with the
+        columns that they read.
+        """
         parts = self._line_places.join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
-        places = {"orders": self._order_places, "lines": self._line_places, "parts": parts}
+        places = {
+            "orders": store(self._order_places.select(*ORDER_COLUMNS), "order_places"),
+            "lines": self._line_places,
+            "parts": store(parts.select(*PART_COLUMNS), "part_places"),
+        }
         return {
             name: places[base].select(*[F.expr(sql).alias(column) for column, sql in columns.items()])
             for name, (base, columns) in RAW_SOURCES.items()
